@@ -1,0 +1 @@
+"""Operators of the engine; every function takes and returns DataFrames or Columns."""

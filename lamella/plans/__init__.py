@@ -1,0 +1 @@
+"""Plans of the engine; every function takes and returns DataFrames or Columns."""

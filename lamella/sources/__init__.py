@@ -1,0 +1 @@
+"""Sources of the engine; every function takes and returns DataFrames or Columns."""

@@ -1,0 +1 @@
+"""Streaming of the engine; every function takes and returns DataFrames or Columns."""
