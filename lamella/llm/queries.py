@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import line_dedup, media, mixing, packing, quality, token_counts, token_files
+from lamella.llm import line_dedup, media, mixing, near_dedup, packing, quality, token_counts, token_files, toxicity
 from lamella.llm.common import documents, labels, shared_path
 
 
@@ -49,3 +49,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op3_mixing, op4_tiff, op6_quality, op7_token_counts, op8_line_dedup, op9_token_files)
 }
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES["op2_near_duplicates"] = op2_near_duplicates
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES["op10_toxicity"] = op10_toxicity
