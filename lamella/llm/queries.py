@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import line_dedup, media, mixing, near_dedup, packing, quality, token_counts, token_files, toxicity
+from lamella.llm import line_dedup, media, mixing, near_dedup, packing, quality, scoring, token_counts, token_files, toxicity
 from lamella.llm.common import documents, labels, shared_path
 
 
@@ -63,3 +63,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_toxicity"] = op10_toxicity
+
+
+def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_documents(documents(spark, sf_dir))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+QUERIES["op5_scoring"] = op5_scoring
+ORACLES["op5_scoring"] = scoring.ORACLE
