@@ -12,6 +12,7 @@ columns are ignored. A text of any length is tokenized whole and cut over as man
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,12 @@ class Curve:
     def __init__(self, vocabulary: int, seed: int = 20_011) -> None:
         dealt = np.random.default_rng(seed)
         self.slot = dealt.integers(0, WIDTH, vocabulary + 1)
-        self.sign = dealt.choice([-1.0, 1.0], vocabulary + 1)
+        self.sign = dealt.choice([-1, 1], vocabulary + 1) > 0
         self.matrix = dealt.normal(size=(WIDTH, DIMENSIONS))
 
     def vector(self, ids: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slot[ids], weights=self.sign[ids], minlength=WIDTH)
+        slot = self.slot[ids]
+        return 2.0 * np.bincount(slot[self.sign[ids]], minlength=WIDTH) - np.bincount(slot, minlength=WIDTH)
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -78,10 +80,11 @@ def tokenized(docs: DataFrame, tokenizer: str = BYTE_BPE, end_id: int = 0) -> Da
         curve = Curve(encoder.size)
         kind = "<u2" if encoder.size <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
-        for doc_id, text in rows(batches, "doc_id", "text"):
-            ids = np.frombuffer(encoder.encode(text or "") + end, "<u4")
-            key = curve.keys(curve.vector(ids[:-1])[None])[0]
-            yield doc_id, int(key), len(ids), kind == "<u4", ids.astype(kind).tobytes()
+        for some in batched(rows(batches, "doc_id", "text"), 256):
+            ids = [np.frombuffer(encoder.encode(text or "") + end, "<u4") for _, text in some]
+            keys = curve.keys(np.array([curve.vector(x[:-1]) for x in ids]))
+            for (doc_id, _), key, own in zip(some, keys.tolist(), ids, strict=True):
+                yield doc_id, key, len(own), kind == "<u4", own.astype(kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return gathered(made(batches), schema, lambda r: len(r[4]))

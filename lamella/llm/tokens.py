@@ -71,7 +71,13 @@ class ByteEncoder:
         merged = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = len(model["model"]["vocab"])
         self.library = _library(path)
-        self.pieces = _Pieces(merged.encode_ordinary)
+        self.whole = merged.encode_ordinary
+        self.single = merged._core_bpe.encode_single_piece
+        self.pieces = _Pieces(self.merge)
+
+    def merge(self, piece: str) -> list[int]:
+        """Letters alone are one unit of the splitting rule, and so are letters after a space: they need no splitting."""
+        return self.single(piece.encode()) if piece.removeprefix(" ").isalpha() else self.whole(piece)
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
