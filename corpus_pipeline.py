@@ -35,8 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole epochs, and once more where at least half of a document is taken."""
-    d = mixing.with_quality(docs, labels(spark, sf_dir))
-    taken = mixing.mix(d, mixing.quality_weight(F.col("__quality"))).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
+    taken = mixing.mix(docs, mixing.quality_weights(labels(spark, sf_dir))).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
     joined = docs.join(taken, F.col("doc_id") == F.col("__doc"), "left")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(0), F.coalesce("__times", F.lit(1))) + 1))).where("__copy <= coalesce(__times, 1)").select(*docs.columns)
 

@@ -51,14 +51,19 @@ def source_targets(sized: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame
     return s.select("source", "source_size", "n_docs", F.when(F.col("stops"), (most * F.col("source_size")).cast("double")).otherwise(F.coalesce(shared, F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7, cycle: int = 3, most: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, cycle: int = 3, most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document, repeats counted.
 
-    A source's documents are binned by key into about the square root of their number of bins, so that running sums
-    over bins and inside bins both stay small, whatever share of the rows one source has.
+    weights: doc_id, weight, at most one row an id. Texts become sizes before anything is shuffled. A source's documents
+    are binned by key into about the square root of their number of bins, so that running sums over bins and inside
+    bins both stay small, whatever share of the rows one source has.
     """
-    w = F.coalesce(weight if weight is not None else F.lit(1.0), F.lit(1.0))
-    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), exponential_key(F.col("doc_id"), w, seed).alias("key")), "sizes")
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    if weights is not None:
+        slim = slim.join(weights.select(F.col("doc_id").alias("__doc"), "weight"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    else:
+        slim = slim.withColumn("weight", F.lit(1.0))
+    sized = materialise(slim.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.coalesce("weight", F.lit(1.0)), seed).alias("key")), "sizes")
     targets = source_targets(sized, cycle, most).withColumnRenamed("source", "__source")
     bins = F.ceil(F.sqrt("n_docs"))
     d = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -77,15 +82,10 @@ def mix(docs: DataFrame, weight: Column | None = None, seed: int = 7, cycle: int
     )
 
 
-def quality_weight(quality: Column) -> Column:
-    """2 for documents labelled good, 1/2 for those labelled bad, 1 for the rest."""
-    return F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0)
-
-
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with `__quality`, null where no label is known; the largest label counts if there are several."""
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("quality").alias("__quality"))
-    return docs.join(known, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """doc_id, weight: 2 for documents labelled good, 1/2 for those labelled bad; the largest label counts if there are several."""
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return known.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
 ORACLE = """

@@ -17,8 +17,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.with_quality(documents(spark, sf_dir), labels(spark, sf_dir))
-    return mixing.mix(docs, mixing.quality_weight(F.col("__quality")))
+    return mixing.mix(documents(spark, sf_dir), mixing.quality_weights(labels(spark, sf_dir)))
 
 
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

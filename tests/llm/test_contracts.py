@@ -97,7 +97,7 @@ def test_mixing_weights(spark):
     t = {r["source"]: r for r in mixing.source_targets(docs.selectExpr("source", "1L as size")).collect()}
     assert abs(t["big"]["target"] - 4000 / 3) < 1e-6 and abs(t["small"]["target"] - 8000 / 3) < 1e-6
     docs = docs.selectExpr("doc_id", "text", "w", "if(doc_id < 3000, 'a', 'b') as source")
-    by = {r["heavy"]: r[1] for r in mixing.mix(docs, docs["w"]).where("doc_id < 3000 and taken > 0").groupBy((F.col("doc_id") % 4 < 2).alias("heavy")).count().collect()}
+    by = {r["heavy"]: r[1] for r in mixing.mix(docs, docs.selectExpr("doc_id", "w as weight")).where("doc_id < 3000 and taken > 0").groupBy((F.col("doc_id") % 4 < 2).alias("heavy")).count().collect()}
     assert by[True] > 1.2 * by[False]
 
 
