@@ -11,7 +11,7 @@ from lamella.operators.order import running_by_bin
 
 def organelle_set(text: Column) -> Column:
     """A list from a text split at ; or |, blanks dropped, each once."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), "|", ";"), ";"), F.trim), ""))
+    return F.array_distinct(F.array_remove(F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), "|", ";"), ";"), lambda x: F.trim(x)), ""))
 
 
 def canonical(name: Column, aliases: dict[str, str]) -> Column:
