@@ -7,9 +7,10 @@ score is the sum of logarithms.
 Everything is a join of count tables with exploded n-grams, both partitioned by hash, and a sum per document. To keep
 the shuffle small, n-grams travel as packed arrays: a task gathers its documents into chunks and sends each hash bucket
 one row a chunk. A bucket counts its bigrams, joins them to their occurrences and sums; what backs off to a rare word
-goes on to that word's bucket, where the unigram table is. Words that make up 1/65,000 of the corpus or more (at most
-65,000 words) and bigrams of 1/20,000 or more (at most 20,000) are counted first and broadcast, so that no bucket has
-a hot key. The number of buckets grows with the corpus, so a bucket's size does not.
+goes on to that word's bucket, where the unigram table is. The number of buckets grows with the corpus, so that a
+bucket's size does not. Words that make up 1/65,000 of the corpus or more (at most 65,000) are broadcast with their
+counts. Pairs of words that each fill a bucket or more could be hot keys: they are counted a chunk at a time, and wait
+in their own chunk until their total counts (of at most 4,000 words by 4,000) are known.
 
 Rare words are named by a hash whose width grows with the vocabulary (40 bits below four million words).
 
@@ -20,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from lamella.llm.common import WORD, materialise, rows
 
 _WORDS = re.compile(WORD)
-HOT_WORDS, HOT_PAIRS, TOP_WORDS = 65_000, 20_000, 20_000
+HOT_WORDS, TOP_WORDS = 65_000, 4_000
 RARE = np.uint64(1 << 62)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,10 +64,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
         last: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            words = list(seen)
-            n = np.fromiter(seen.values(), np.int64, len(words))
-            ends = np.fromiter((last.get(w, 0) for w in words), np.int64, len(words))
-            return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(word_hash, words), np.int64, len(words))), pa.array(n), pa.array(n - ends)], names=["w", "n", "ctx"])
+            w = np.fromiter(map(word_hash, itertools.chain(seen, last)), np.int64, len(seen) + len(last))
+            n = np.fromiter(itertools.chain(seen.values(), itertools.repeat(0, len(last))), np.int64, len(w))
+            ends = np.fromiter(itertools.chain(itertools.repeat(0, len(seen)), last.values()), np.int64, len(w))
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(n), pa.array(n - ends)], names=["w", "n", "ctx"])
 
         for (text,) in rows(batches, "text"):
             words = _WORDS.findall(text or "")
@@ -83,32 +85,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Hot:
-    """The broadcast part of the counts: frequent words by rank, and frequent pairs of them."""
+    """The broadcast part of the counts: frequent words by rank; the first `top` of them could make hot pairs."""
 
-    def __init__(self, words: list, total: int, vocabulary: int) -> None:
+    def __init__(self, words: list, total: int, vocabulary: int, bucket_words: int) -> None:
         self.total = total
         self.rank = {int(w): i for i, (w, _, _) in enumerate(words)}
         self.n = np.array([n for _, n, _ in words], float)
         self.ctx = np.array([c for _, _, c in words], float)
-        self.top = int((self.n * TOP_WORDS >= total).sum())
+        self.top = int((self.n >= max(bucket_words, total / TOP_WORDS)).sum())
         self.width = min(7, max(5, math.ceil((2 * math.log2(max(2, vocabulary)) - 4) / 8)))
-        self.pairs, self.pair_n = np.zeros(0, np.uint64), np.zeros(0)
 
     def coder(self) -> Coder:
         return Coder(self)
 
-    def with_pairs(self, found: list) -> Hot:
-        found = sorted((int(k) & ((1 << 64) - 1), n) for k, n in found)
-        self.pairs, self.pair_n = np.array([k for k, _ in found], np.uint64), np.array([n for _, n in found], float)
-        return self
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of hot pairs, 0 for others."""
-        if not len(self.pairs):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == keys, self.pair_n[at], 0.0)
-
 
 class Coder(dict):
     """Word to code: the rank of a hot word, else a name made of its hash."""
@@ -148,37 +137,10 @@ def unpacked(bits: bytes, data: bytes, n: int, width: int) -> np.ndarray:
     return out
 
 
-def hot_pairs(docs: DataFrame, hot: Hot) -> list:
-    """Exact counts of the pairs of top words that make up 1/HOT_PAIRS of the corpus or more (so at most HOT_PAIRS)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        coder, held, size = own.coder(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "n"])
-
-        for (text,) in rows(batches, "text"):
-            c = coder.codes(text or "")
-            both = (c[:-1] < own.top) & (c[1:] < own.top)
-            held.append(pair_key(c[:-1][both], c[1:][both]))
-            size += len(held[-1])
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    counts = docs.select("text").mapInArrow(made, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    return [tuple(r) for r in counts.where(F.col("n") * HOT_PAIRS >= hot.total).collect()]
-
-
 _SENT = "bucket long, chunk long, n long, a_bits binary, a binary, b_bits binary, b binary, doc binary, base binary"
 
 
-def sent(docs: DataFrame, hot: Hot, buckets: int, alpha: float, chunk_words: int = 4_000_000) -> DataFrame:
+def sent(docs: DataFrame, hot: Hot, buckets: int, alpha: float, chunk_words: int = 1_000_000) -> DataFrame:
     """A row a chunk and bucket with its pairs; and a row a chunk with its documents (bucket below 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     names = [c.split()[0] for c in _SENT.split(", ")]
@@ -202,19 +164,10 @@ def sent(docs: DataFrame, hot: Hot, buckets: int, alpha: float, chunk_words: int
             base[some] += np.where(first < RARE, np.log(own.n[np.minimum(first, len(own.n) - 1).astype(np.int64)] / own.total) if len(own.n) else 0.0, -math.log(alpha))
             inside = doc[1:] == doc[:-1] if len(codes) else np.zeros(0, bool)
             a, b, at = codes[:-1][inside], codes[1:][inside], doc[1:][inside]
+            waits = (a < own.top) & (b < own.top)
+            waiting = np.stack([at[waits], a[waits].astype(np.int64), b[waits].astype(np.int64)]).astype("<u2").tobytes()
+            a, b, at = a[~waits], b[~waits], at[~waits]
             key = pair_key(a, b)
-            total = own.pair_counts(key)
-            known = np.flatnonzero(total)
-            if len(known):  # hot pairs: the document's own count is a run length after sorting
-                order = known[np.lexsort((at[known], key[known]))]
-                change = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (at[order][1:] != at[order][:-1])])
-                run = np.diff(np.append(np.flatnonzero(change), len(order)))
-                rest = total[order] - np.repeat(run, run)
-                ctx = own.ctx[a[order].astype(np.int64)]
-                back = alpha * own.n[b[order].astype(np.int64)] / own.total
-                base += np.bincount(at[order], np.log(np.where(rest > 0, rest / ctx, back)), len(held))
-            cold = total == 0
-            a, b, at, key = a[cold], b[cold], at[cold], key[cold]
             # rare first words are at home in their own bucket, the others' pairs in that of the pair
             home = (np.where(a >= RARE, mixed(a), key) >> np.uint64(20)) % np.uint64(buckets)
             # rare words that open a document: pairs without a first word, in any bucket
@@ -230,7 +183,7 @@ def sent(docs: DataFrame, hot: Hot, buckets: int, alpha: float, chunk_words: int
             for p, q in zip(edges[:-1], edges[1:], strict=True):
                 out.append((int(home[p]), chunk, int(q - p), *packed(a[p:q], own.width), *packed(b[p:q], own.width), at[p:q].astype("<u2").tobytes(), None))
             ids = np.array([[0 if d is None else d, d is None, n] for (d, _), n in zip(held, lengths.tolist(), strict=True)], np.int64)
-            out.append((-1 - (chunk % (1 << 40)), chunk, len(held), None, None, None, None, ids.tobytes(), base.tobytes()))
+            out.append((-1 - (chunk % (1 << 40)), chunk, len(held), None, waiting, None, None, ids.tobytes(), base.tobytes()))
             for at_ in range(0, len(out), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at_ : at_ + 500], strict=True), [pa.int64()] * 3 + [pa.binary()] * 6, strict=True)], names=names)
 
@@ -270,7 +223,11 @@ def joined(pairs: DataFrame, hot: Hot, buckets: int, alpha: float) -> DataFrame:
         own = shared.value
         chunk = np.repeat(f["chunk"].to_numpy(), f["n"].to_numpy())
         if f["bucket"].iloc[0] < 0:
-            made = [(2, -1, int(c), int(n), d, v, None) for c, n, d, v in zip(f["chunk"], f["n"], f["doc"], f["base"], strict=True)]
+            made = [(2, -1, int(c), int(n), d, v, w) for c, n, d, v, w in zip(f["chunk"], f["n"], f["doc"], f["base"], f["a"], strict=True)]
+            for waiting in f["a"]:
+                _, a, b = np.frombuffer(waiting, "<u2").reshape(3, -1).astype(np.int64)
+                pairs, often = np.unique((a << 16) | b, return_counts=True)
+                made.append((3, -1, -1, len(pairs), None, often.astype("<i8").tobytes(), pairs.astype("<i8").tobytes()))
             return pd.DataFrame(made, columns=["kind", "bucket", "chunk", "n", "doc", "value", "code"])
         a = np.concatenate([unpacked(*x, own.width) for x in zip(f["a_bits"], f["a"], f["n"], strict=True)])
         b = np.concatenate([unpacked(*x, own.width) for x in zip(f["b_bits"], f["b"], f["n"], strict=True)])
@@ -330,28 +287,52 @@ def looked_up(asked: DataFrame, counts: DataFrame, hot: Hot, alpha: float) -> Da
     return asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(bucket, _SUMS)
 
 
-def summed(parts: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_score from a chunk's sums and its documents."""
+def waiting_counts(met: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of top words and their counts over the whole corpus, in order of pairs: at most TOP_WORDS squared."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for code, n in rows([b], "code", "value"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(code, "<i8")), pa.array(np.frombuffer(n, "<i8"))], names=["k", "n"])
+
+    counts = met.where("kind = 3").select("code", "value").mapInArrow(told, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = sorted(tuple(r) for r in counts.collect())
+    return np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], float)
+
+
+def summed(parts: DataFrame, hot: Hot, waiting: tuple[np.ndarray, np.ndarray], alpha: float) -> DataFrame:
+    """doc_id, n_words, log_score from a chunk's sums, its documents and the pairs that waited there."""
+    shared = parts.sparkSession.sparkContext.broadcast((hot, waiting))
 
     def chunk(f: pd.DataFrame) -> pd.DataFrame:
+        own, (known, counts) = shared.value
         head = f[f["kind"] == 2].iloc[0]
         ids = np.frombuffer(head["doc"], np.int64).reshape(-1, 3)
         score = np.frombuffer(head["value"], "<f8").copy()
         for doc, value in zip(f.loc[f["kind"] == 0, "doc"], f.loc[f["kind"] == 0, "value"], strict=True):
             np.add.at(score, np.frombuffer(doc, "<u2"), np.frombuffer(value, "<f8"))
+        doc, a, b = np.frombuffer(head["code"], "<u2").reshape(3, -1).astype(np.int64)
+        if len(doc):
+            pair = (a << 16) | b
+            order = np.lexsort((pair, doc))
+            p, d = pair[order], doc[order]
+            edge = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]))
+            run = np.diff(np.append(edge, len(p)))
+            rest = counts[np.searchsorted(known, p[edge])] - run
+            back = alpha * own.n[p[edge] & 0xFFFF] / own.total
+            np.add.at(score, d[edge], run * np.log(np.where(rest > 0, rest / own.ctx[p[edge] >> 16], back)))
         return pd.DataFrame({"doc_id": pd.Series(ids[:, 0]).astype("Int64").mask(ids[:, 1] == 1), "n_words": ids[:, 2], "log_score": score})
 
     return parts.groupBy("chunk").applyInPandas(chunk, "doc_id long, n_words long, log_score double")
 
 
-def score_documents(docs: DataFrame, alpha: float = 0.4, bucket_words: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, alpha: float = 0.4, bucket_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score."""
     counts = materialise(word_counts(docs), "words")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # at most HOT_WORDS words reach this count, whatever the corpus
     frequent = counts.where(F.col("n") * HOT_WORDS >= total).orderBy(F.desc("n"), "w").collect() if total else []
-    hot = Hot([tuple(r) for r in frequent][: 65_534], total, vocabulary)
-    hot.with_pairs(hot_pairs(docs, hot) if total else [])
+    hot = Hot([tuple(r) for r in frequent], total, vocabulary, bucket_words)
     buckets = max(8, -(-total // bucket_words))
     met = materialise(joined(sent(docs, hot, buckets, alpha), hot, buckets, alpha), "sums")
     mask = F.lit((1 << (8 * hot.width)) - 1)
@@ -367,7 +348,7 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, bucket_words: int = 2_0
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int64)), b.column(0), b.column(1)], names=["bucket", "code", "n"])
 
     found = looked_up(met.where("kind = 1"), rare.mapInArrow(homes, "bucket long, code long, n long"), hot, alpha)
-    scored = summed(met.where("kind <> 1").unionByName(found))
+    scored = summed(met.where("kind in (0, 2)").unionByName(found), hot, waiting_counts(met), alpha)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
