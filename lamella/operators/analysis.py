@@ -191,3 +191,9 @@ def valid_region(df: DataFrame) -> DataFrame:
     """Pixels of the valid region, cut to the crop's annotation box (half-even edges) where its coverage is partial or sparse."""
     inside = (F.col("x") >= F.rint("bx0")) & (F.col("x") < F.rint("bx1")) & (F.col("y") >= F.rint("by0")) & (F.col("y") < F.rint("by1"))
     return df.where(F.col("valid") & (~F.col("coverage").isin("partial", "sparse") | inside))
+
+
+def group_null(observed: DataFrame, null: DataFrame, units: DataFrame, group: str, unit: str, value: str) -> DataFrame:
+    """Group means over units, observed and in every replicate, summarised against each other. null has `rep`."""
+    mean = lambda df, *keys: df.join(units, unit).groupBy(*keys).agg(F.avg(finite(F.col(value))).alias(value))
+    return null_summary(mean(observed, group), mean(null, group, "rep"), [group], value)

@@ -124,3 +124,14 @@ def structure_failures(checks: dict[str, DataFrame]) -> DataFrame:
         one = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
         out = one if out is None else out.unionByName(one)
     return out.where("n > 0")
+
+
+def vocabulary_spec(df: DataFrame, label: str) -> DataFrame:
+    """labels (in dictionary order) and the digest that names this vocabulary."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"])
+    return dictionary(df, label).agg(words.alias("labels")).withColumn("digest", F.sha2(F.array_join("labels", "\n"), 256))
+
+
+def unauthorised(published: DataFrame, allowed: DataFrame, derived: DataFrame) -> DataFrame:
+    """Published vocabulary that is neither allowed nor derived."""
+    return published.distinct().subtract(allowed).subtract(derived)

@@ -133,3 +133,35 @@ def set_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     every = a.select(*keys, "x", "y", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*keys, "x", "y", F.lit(0).alias("a"), F.lit(1).alias("b")))
     d = every.groupBy(*keys, "x", "y").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     return d.groupBy(*keys).agg((F.count_if((F.col("a") == 1) & (F.col("b") == 1)) / F.count("*")).alias("iou"))
+
+
+def boundary_f1(pred: DataFrame, truth: DataFrame, image: str, tolerance: float) -> DataFrame:
+    """image, precision, recall, f1 of boundary pixels within a tolerance of the other side's boundary; 1 where both are empty."""
+    side = lambda df: boundary_pixels(df, [image]).select(image, F.struct(image, "x", "y").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p, t = side(pred), side(truth)
+
+    def share(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        reach = max(tolerance, 1.0)
+        near = F.explode(F.expr("flatten(transform(sequence(-1L, 1L), i -> transform(sequence(-1L, 1L), j -> struct(cx + i as cx, cy + j as cy))))"))
+        cell = lambda df: df.withColumn("cx", F.floor(F.col("x") / reach)).withColumn("cy", F.floor(F.col("y") / reach))
+        probe = cell(a).select(image, "point_id", "x", "y", near.alias("c")).select(image, "point_id", "x", "y", "c.cx", "c.cy")
+        hits = probe.join(cell(b).select(image, F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy"), [image, "cx", "cy"])
+        hits = hits.where((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= tolerance**2).select("point_id").distinct()
+        return a.join(hits.withColumn("hit", F.lit(1)), "point_id", "left").groupBy(image).agg((F.count("hit") / F.count("*")).alias(name))
+
+    d = share(p, t, "precision").join(share(t, p, "recall"), image, "full")
+    d = d.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall")})
+    return d.withColumn("f1", F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def hd95(distances: DataFrame, image: str) -> DataFrame:
+    """image, hd95: the larger of both sides' 95th percentile of boundary distances (image, side, distance)."""
+    return distances.groupBy(image, "side").agg(F.percentile("distance", F.lit(0.95)).alias("q")).groupBy(image).agg(F.max("q").alias("hd95"))
+
+
+def crop_specification(splits: DataFrame, manifest: DataFrame, values: dict[str, list[int]]) -> DataFrame:
+    """Test crops (dataset, crop_id, organelle) with their manifest entry and the label values of the organelle: its own by name, else the fixed ones."""
+    m = manifest.select("dataset", "crop_id", "path", "names")
+    fixed = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    own = F.map_keys(F.map_filter("names", lambda k, v: F.contains(F.lower(v), F.lower(F.col("organelle")))))
+    return splits.where("split = 'test'").join(m, ["dataset", "crop_id"]).withColumn("values", F.when(F.size(own) > 0, F.sort_array(own)).otherwise(fixed[F.col("organelle")])).drop("names")

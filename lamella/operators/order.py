@@ -72,3 +72,12 @@ def hash_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 def draw_order(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     """The first n of a SHA-2 order by (key:seed): a larger n extends the draw without repeats."""
     return df.withColumn("draw", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)), 256)).orderBy("draw", key).limit(n)
+
+
+def most_uncertain(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    return df.orderBy(F.abs(F.col(score) - 0.5), key).limit(k)
+
+
+def rank_hits(df: DataFrame, group: list[str], score: str, area: str, key: str, k: int = 20) -> DataFrame:
+    """Scored hits first, by falling score, the smaller area first of equal ones."""
+    return best_per_group(df, group, [F.col(score).isNull(), F.desc(score), F.col(area).asc(), F.col(key).asc()], k)

@@ -262,3 +262,21 @@ def choose_shift(cands: DataFrame, key: str, order: list[Column], tile: int, mos
         if left.isEmpty():
             break
     return out
+
+
+def signed_nearest(points: DataFrame, boundary: DataFrame, inside: DataFrame, cell: float) -> DataFrame:
+    """point_id, near_id, distance, negative for points that are inside (a frame of point_id); unreadable points are dropped."""
+    ok = points.where("x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('infinity') and abs(y) < double('infinity')")
+    d = nearest(ok, boundary, cell).join(inside.select("point_id", F.lit(-1.0).alias("sign")).distinct(), "point_id", "left")
+    return d.select("point_id", "near_id", (F.col("distance") * F.coalesce("sign", F.lit(1.0))).alias("distance"))
+
+
+def drop_small(detected: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Components of at least a size, numbered anew by row and column of their first run."""
+    w = Window.partitionBy(*keys).orderBy("y", "x0")
+    return detected.where(F.col("area") >= least).withColumn("number", F.row_number().over(w))
+
+
+def trim_pixels(candidates: DataFrame, outlines: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels of candidates that no outline covers."""
+    return candidates.join(outlines.select(*keys, "x", "y").distinct(), [*keys, "x", "y"], "left_anti")

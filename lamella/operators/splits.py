@@ -179,3 +179,9 @@ def planes(df: DataFrame, depth: str, spacing: Column, most: int | None = None)
 def window_summary(labels: DataFrame, window: list[str]) -> DataFrame:
     """Per window and label value its area and bounding box."""
     return labels.groupBy(*window, "value").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+def source_map(crops: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Crops with the source image and split that some manifest (entries: crop_id, source_image, split) gives them, else their own file."""
+    m = manifests.select(F.explode("entries").alias("e")).select("e.*").groupBy("crop_id").agg(F.min("source_image").alias("__s"), F.min("split").alias("manifest_split"))
+    return crops.join(m, "crop_id", "left").withColumn("source_image", F.coalesce("__s", "em_file")).drop("__s")

@@ -78,3 +78,21 @@ def bootstrap_macro(df: DataFrame, cell: str, order: str, value: str, replicates
     drawn = slots.withColumn("i", F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("n")).cast("int"))
     means = drawn.join(numbered.select(cell, "i", "v"), [cell, "i"]).groupBy("replicate", cell).agg(F.avg("v").alias("m"))
     return means.groupBy("replicate").agg(F.avg("m").alias("macro"))
+
+
+def score_curve(df: DataFrame, k: str, value: str, goal: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """k, mean, sd, n of trial scores, and the least k whose mean is above the goal (null if none is)."""
+    curve = df.groupBy(k).agg(F.avg(finite(F.col(value))).alias("mean"), F.stddev_pop(finite(F.col(value))).alias("sd"), F.count(finite(F.col(value))).alias("n"))
+    return curve, curve.agg(F.min(F.when(F.col("mean") > goal, F.col(k))).alias("min_k"))
+
+
+def combined(ours: DataFrame, theirs: DataFrame, name: str, mean: str, internal: str) -> DataFrame:
+    """Our rows and an external table without its internal duplicates, by falling mean, unknown ones last."""
+    return ours.unionByName(theirs.where(~F.col(name).rlike(internal)), allowMissingColumns=True).orderBy(F.desc_nulls_last(mean), name)
+
+
+def moments(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """n, mean and population sd from sums and sums of squares."""
+    x = F.col(value).cast("double")
+    d = df.groupBy(*(keys or [])).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    return d.select(*(keys or []), "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2)).alias("sd"))

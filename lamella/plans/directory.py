@@ -117,4 +117,20 @@ def composition(t: Tables) -> DataFrame:
     return tiles.composition(t.documents, "source", 30, ["lang"])
 
 
+@BOOK.add("WITH d AS (SELECT p_brand AS label, row_number() OVER (ORDER BY count(*) DESC, lower(p_brand), p_brand) AS i FROM part GROUP BY 1) SELECT string_agg(label, ',' ORDER BY i) AS labels, sha256(string_agg(label, chr(10) ORDER BY i)) AS digest FROM d")
+def vocabulary_spec(t: Tables) -> DataFrame:
+    return facets.vocabulary_spec(t.part, "p_brand").withColumn("labels", F.array_join("labels", ","))
+
+
+@BOOK.add("SELECT DISTINCT p_brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_size > 48 EXCEPT SELECT 'Brand#2'")
+def unauthorised_values(t: Tables) -> DataFrame:
+    return facets.unauthorised(t.part.select("p_brand"), t.part.where("p_size > 48").select("p_brand"), t.spark.createDataFrame([("Brand#2",)], "p_brand string"))
+
+
+@BOOK.add("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def shared_sources(t: Tables) -> DataFrame:
+    pick = lambda s: t.orders.where(F.col("o_orderstatus") == s).select("o_custkey")
+    return pick("O").intersect(pick("F"))
+
+
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

@@ -153,4 +153,22 @@ def quantised(t: Tables) -> DataFrame:
     return d.groupBy("q").agg(F.count("*").alias("n")).withColumn("passes", F.col("q") >= level)
 
 
+@BOOK.add("SELECT l_linenumber, round(avg(l_quantity), 9) AS mean, round(stddev_pop(l_quantity), 9) AS sd, count(l_quantity) AS n, (SELECT min(k) FROM (SELECT l_linenumber AS k, avg(l_quantity) AS m FROM lineitem GROUP BY 1) WHERE m > 25.4) AS min_k FROM lineitem GROUP BY 1")
+def score_curve(t: Tables) -> DataFrame:
+    curve, least = stats.score_curve(t.lineitem, "l_linenumber", "l_quantity", 25.4)
+    return rounded(curve.crossJoin(F.broadcast(least)), "mean", "sd")
+
+
+@BOOK.add("SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 3) AS sd FROM lineitem GROUP BY 1")
+def corpus_moments(t: Tables) -> DataFrame:
+    return stats.moments(t.lineitem, "l_extendedprice", ["l_returnflag"]).withColumns({"mean": F.round("mean", 4), "sd": F.round("sd", 3)})
+
+
+@BOOK.add("SELECT s_name AS name, round(avg(l_quantity), 9) AS mean FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_suppkey % 3 > 0 WHERE s_suppkey % 2 = 0 GROUP BY 1 UNION ALL SELECT c_name, c_acctbal FROM customer WHERE NOT regexp_matches(c_name, '7$')")
+def combined_table(t: Tables) -> DataFrame:
+    q = t.lineitem.where("l_suppkey % 3 > 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.round(F.avg("l_quantity"), 9).alias("mean"))
+    ours = t.supplier.where("s_suppkey % 2 = 0").join(q, "s_suppkey", "left").select(F.col("s_name").alias("name"), "mean")
+    return stats.combined(ours, t.customer.select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("mean")), "name", "mean", "7$")
+
+
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.operators import analysis, labels, spatial, tiles, vectors
+from lamella.functions.numbers import hash01
+from lamella.operators import analysis, labels, order, spatial, tiles, vectors
 from lamella.plans.binding import Book, Tables
 
 BOOK = Book()
@@ -222,4 +223,46 @@ def blended_tiles(t: Tables) -> DataFrame:
     return tiles.blend(d.where("x between x0 and x0 + 15 and y < 16"), 16).withColumn("p", F.round("p", 6))
 
 
+@BOOK.add(f"""WITH {P_SQL}, q AS (SELECT * FROM pt WHERE point_id % 5 = 0), r AS (SELECT * FROM pt WHERE point_id % 5 = 1), d AS (SELECT q.point_id, r.point_id AS near_id, sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2) AS distance FROM q, r)
+SELECT point_id, near_id, round(CASE WHEN point_id % 2 = 0 THEN -distance ELSE distance END, 9) + 0.0 AS distance FROM d QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d.distance, near_id) = 1""")
+def signed_distance(t: Tables) -> DataFrame:
+    p = points(t)
+    d = spatial.signed_nearest(p.where("point_id % 5 = 0"), p.where("point_id % 5 = 1"), p.where("point_id % 2 = 0"), 16.0)
+    return d.withColumn("distance", F.round("distance", 9) + F.lit(0.0))
+
+
+SIDES = "a AS (SELECT DISTINCT event_type AS image, user_id::BIGINT AS x, extract(day FROM ts)::BIGINT AS y FROM events WHERE value > 20), b AS (SELECT DISTINCT event_type AS image, user_id::BIGINT AS x, extract(day FROM ts)::BIGINT AS y FROM events WHERE value > 25)"
+EDGE = "{n} AS (SELECT * FROM {m} p WHERE (SELECT count(*) FROM {m} q WHERE q.image = p.image AND abs(q.x - p.x) + abs(q.y - p.y) = 1) < 4)"
+
+
+@BOOK.add(f"""WITH {SIDES}, {EDGE.format(n='ea', m='a')}, {EDGE.format(n='eb', m='b')}, p AS (SELECT image, avg((EXISTS (SELECT 1 FROM eb WHERE eb.image = ea.image AND (eb.x - ea.x) ** 2 + (eb.y - ea.y) ** 2 <= 1))::INTEGER) AS precision FROM ea GROUP BY 1), r AS (SELECT image, avg((EXISTS (SELECT 1 FROM ea WHERE eb.image = ea.image AND (eb.x - ea.x) ** 2 + (eb.y - ea.y) ** 2 <= 1))::INTEGER) AS recall FROM eb GROUP BY 1)
+SELECT image, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM p JOIN r USING (image)""")
+def boundary_f1(t: Tables) -> DataFrame:
+    side = lambda v: t.events.where(F.col("value") > v).select(F.col("event_type").alias("image"), F.col("user_id").cast("long").alias("x"), F.dayofmonth("ts").cast("long").alias("y")).distinct()
+    return labels.boundary_f1(side(20), side(25), "image", 1.0).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@BOOK.add(f"""WITH {SIDES}, d AS (SELECT a.image, 'a' AS side, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS distance FROM a JOIN b ON a.image = b.image AND a.x % 7 = 0 GROUP BY a.image, a.x, a.y UNION ALL SELECT b.image, 'b', min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) FROM a JOIN b ON a.image = b.image AND b.x % 7 = 0 GROUP BY b.image, b.x, b.y),
+q AS (SELECT image, side, quantile_cont(distance, 0.95) AS q FROM d GROUP BY 1, 2) SELECT image, round(max(q), 9) AS hd95 FROM q GROUP BY 1""")
+def boundary_hd95(t: Tables) -> DataFrame:
+    side = lambda v: t.events.where(F.col("value") > v).select(F.col("event_type").alias("image"), F.col("user_id").cast("double").alias("x"), F.dayofmonth("ts").cast("double").alias("y")).distinct()
+    far = F.hash("image") % 1000 * 1000.0  # images side by side, too far apart to meet
+    flat = lambda df: df.withColumn("x", F.col("x") + far).withColumn("point_id", F.struct("image", "x", "y"))
+    a, b = flat(side(20)), flat(side(25))
+    one = lambda p, q, name: spatial.nearest(p.where((F.col("point_id.x") - far) % 7 == 0), q, 2.0).select(F.col("point_id.image").alias("image"), F.lit(name).alias("side"), "distance")
+    return labels.hd95(one(a, b, "a").unionByName(one(b, a, "b")), "image").withColumn("hd95", F.round("hd95", 9))
+
+
+@BOOK.add(f"WITH {B_SQL}, s AS (SELECT id, p_type, CASE WHEN id % 5 > 0 THEN p_retailprice / 2000 END AS score, (x1 - x0) * (y1 - y0) AS area FROM bx) SELECT id, p_type, row_number() OVER (PARTITION BY p_type ORDER BY score IS NULL, score DESC, area, id) AS rank FROM s QUALIFY rank <= 20")
+def ranked_hits(t: Tables) -> DataFrame:
+    d = boxes(t).select("id", "p_type", F.when(F.col("id") % 5 > 0, F.col("p_retailprice") / 2000).alias("score"), spatial.box_area().alias("area"))
+    return order.rank_hits(d, ["p_type"], "score", "area", "id").select("id", "p_type", "rank")
+
+
+@BOOK.add("SELECT doc_id FROM (SELECT doc_id, ('0x' || substr(sha1(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967295.0::DOUBLE AS s FROM documents) ORDER BY abs(s - 0.5), doc_id LIMIT 25")
+def most_uncertain(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", hash01(F.col("doc_id").cast("string")).alias("s"))
+    return order.most_uncertain(d, "s", "doc_id", 25).select("doc_id")
+
+
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
