@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.numbers import ratio
+from lamella.operators.rounds import persist
 
 
 def confusion(df: DataFrame, keys: list[str], pred: Column, truth: Column, both_empty: str = "one", smooth: float = 0.0) -> DataFrame:
@@ -46,9 +47,9 @@ def mutual_best(pairs: DataFrame, keys: list[str], threshold: float, rounds: int
     out = None
     for _ in range(rounds):
         ranked = live.withColumn("rp", F.row_number().over(Window.partitionBy(*keys, "p").orderBy(*order))).withColumn("rg", F.row_number().over(Window.partitionBy(*keys, "g").orderBy(*order)))
-        won = ranked.where("rp = 1 and rg = 1").drop("rp", "rg").checkpoint() if live.sparkSession.sparkContext.getCheckpointDir() else ranked.where("rp = 1 and rg = 1").drop("rp", "rg")
+        won = persist(ranked.where("rp = 1 and rg = 1").drop("rp", "rg"))
         out = won if out is None else out.unionByName(won)
-        live = live.join(won.select(*keys, "p"), [*keys, "p"], "left_anti").join(won.select(*keys, "g"), [*keys, "g"], "left_anti")
+        live = persist(live.join(won.select(*keys, "p"), [*keys, "p"], "left_anti").join(won.select(*keys, "g"), [*keys, "g"], "left_anti"))
         if live.isEmpty():
             break
     return out

@@ -5,16 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def persist(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it, else the plan as it is."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+from lamella.operators.rounds import persist
 
 
 def box_cells(df: DataFrame, cell: float) -> DataFrame:
