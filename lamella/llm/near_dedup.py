@@ -3,12 +3,15 @@
 A text's k-mers (five words, lower-cased) are labelled by their occurrence number. For each of several hash functions
 the few least labelled k-mers are taken and kept in text order; their joint hash is a bucket key, so texts share keys
 when they share k-mers in the same order. Equal texts are one text from the start. In a bucket every text is aligned
-with one leader, not with every other: similarity is the longest common subsequence M of the k-mer sequences over
-n1 + n2 - M, found bit-parallel in a band, and 1 minus it is a metric, so that the leader's distances rule out the
-other pairs or leave them to the next round. Links are joined to classes by connected components.
+with one leader, the text that has most company in its own buckets, not with every other: similarity is the longest
+common subsequence M of the k-mer sequences over n1 + n2 - M, found bit-parallel in a band. Links are joined to classes
+by connected components.
 
-Large buckets are never cut: texts not settled by their leader go on, re-keyed by their other sketches while a bucket
-stays large, and pair by pair once it is small.
+Members of a leader that are still in different classes are settled by what sets them apart from the leader. If x and y
+reach the similarity, their k-mer sets differ by (n1 + n2) / 9 at most, which bounds from below how many k-mers that the
+leader lacks they must share: so they are found by an equi-join on (leader, such a k-mer), of which only as many as the
+bound leaves open are sent, and pairs whose bound is 0 by a join on the leader. What is found is aligned in turn. No
+bucket is cut or sampled, and no text meets all others of its bucket.
 
 Cases: null and empty texts, and those without words, are classes of their own; texts of fewer than five words are one
 k-mer; a null doc_id sorts before all others and stays null; rows with equal doc_id and text are one document; an empty
@@ -35,8 +38,6 @@ SIMILARITY = 0.8
 SKETCHES, TAKEN = 24, 5
 #: The least similarity that alignment tells exactly; below it only "below" is known.
 KNOWN = 0.6
-#: Buckets up to this size are settled pair by pair.
-SMALL = 48
 LEAST_ID = -(1 << 63)
 
 _WORDS = re.compile(WORD)
@@ -66,13 +67,18 @@ def kmers(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(grams: np.ndarray) -> list[int]:
+def labelled_by_occurrence(grams: np.ndarray) -> np.ndarray:
     order = np.argsort(grams, kind="stable")
     run = grams[order]
     first = np.concatenate([[True], run[1:] != run[:-1]])
     number = np.arange(len(run)) - np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
     labelled = np.empty_like(grams)
     labelled[order] = _mixed(run + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return labelled
+
+
+def sketches(grams: np.ndarray) -> list[int]:
+    labelled = labelled_by_occurrence(grams)
     take, out = min(TAKEN, len(grams)), []
     for at in range(0, SKETCHES, SKETCHES if len(grams) < 50_000 else 1):
         factors = _MULTIPLY[at : at + (SKETCHES if len(grams) < 50_000 else 1), None]
@@ -150,64 +156,61 @@ def signatures(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: len(r[4]) + 250), "id long, t binary, n int, sketch array<long>, words binary")
 
 
+def _with_words(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    a = texts.select(F.col("t").alias("a"), F.col("words").alias("wa"))
+    b = texts.select(F.col("t").alias("b"), F.col("words").alias("wb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb")
+
+
 def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) with sim; texts: t, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for w, v in rows([batch], "wa", "wb"):
-                out.append(similarity(kmers(np.frombuffer(w, "<u4")), kmers(np.frombuffer(v, "<u4"))))
+            out = [similarity(kmers(np.frombuffer(w, "<u4")), kmers(np.frombuffer(v, "<u4"))) for w, v in rows([batch], "wa", "wb")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "sim"])
 
-    a = texts.select(F.col("t").alias("a"), F.col("words").alias("wa"))
-    b = texts.select(F.col("t").alias("b"), F.col("words").alias("wb"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb")
-    return joined.mapInArrow(run, "a binary, b binary, sim double")
+    return _with_words(pairs, texts).mapInArrow(run, "a binary, b binary, sim double")
 
 
-def _led(buckets: DataFrame) -> DataFrame:
-    """Every bucket row with its leader (an unsettled text, the least by key) and the most that their similarity can be."""
-    leaders = buckets.groupBy("bucket").agg(F.min(F.struct(~F.col("loose"), F.col("t"), F.col("n"))).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    led = buckets.join(leaders.select("bucket", F.col("lead.t").alias("lead"), F.col("lead.n").alias("lead_n")), "bucket").where("t <> lead")
-    return led.withColumn("most", F.least("n", "lead_n") / F.greatest("n", "lead_n"))
+def led_by(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, its leader b) with sim, n (k-mers of a), more and less (k-mers, by occurrence, that a has and b hasn't, and the reverse), and
+    tokens: as many of the former, least first, as two texts that reach the similarity must meet in."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64()), ("n", pa.int32()), ("more", pa.int32()), ("less", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for a, b, w, v in rows(batches, "a", "b", "wa", "wb"):
+            x, y = kmers(np.frombuffer(w, "<u4")), kmers(np.frombuffer(v, "<u4"))
+            p, q = labelled_by_occurrence(x), labelled_by_occurrence(y)
+            more = np.setdiff1d(p, q, assume_unique=True)
+            more.sort()
+            least = max(1, -int(-(len(more) - 0.25 * len(x)) // 2))
+            yield a, b, similarity(x, y), len(x), len(more), len(q) - len(p) + len(more), more[: len(more) - least + 1].view(np.int64).tolist()
+
+    return _with_words(pairs, texts).mapInArrow(lambda b: gathered(made(b), schema, lambda r: 100 + 8 * len(r[6])), "a binary, b binary, sim double, n int, more int, less int, tokens array<long>")
 
 
 def links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts with similarity of SIMILARITY or more. buckets: bucket, t, n, loose (not linked there)."""
-    found = []
-    far = 1 - SIMILARITY
-    while True:
-        led = materialise(_led(buckets), "led")
-        pairs = led.where(F.col("most") >= SIMILARITY).select(F.col("t").alias("a"), F.col("lead").alias("b")).distinct()
-        sims = materialise(aligned(pairs, texts), "aligned")
-        found.append(sims.where(F.col("sim") >= SIMILARITY).select("a", "b"))
-        seen = led.join(sims.withColumnsRenamed({"a": "t", "b": "lead"}), ["t", "lead"], "left")
-        #: The least that the distance to the leader can be, and the most.
-        near = F.when(F.col("sim") >= 0, 1 - F.col("sim")).when(F.col("sim") < 0, F.lit(1 - KNOWN)).otherwise(1 - F.col("most"))
-        wide = F.when(F.col("sim") >= 0, 1 - F.col("sim")).otherwise(1.0)
-        linked = F.coalesce(F.col("sim") >= SIMILARITY, F.lit(False))
-        seen = seen.select("bucket", "t", "n", (F.col("loose") & ~linked).alias("loose"), near.alias("near"), wide.alias("wide"))
-        open_ = seen.groupBy("bucket").agg(F.min(F.when(F.col("loose"), F.col("near"))).alias("ring")).where("ring is not null")
-        rest = seen.join(open_, "bucket").where(F.col("loose") | (F.col("wide") >= F.col("ring") - far)).select("bucket", "t", "n", "loose")
-        rest = materialise(rest, "rest")
-        sizes = materialise(rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("loose").alias("open")).where("size > 1 and open > 0"), "sizes")
-        few = rest.join(sizes.where(F.col("size") <= SMALL).select("bucket"), "bucket")
-        other = few.select("bucket", F.col("t").alias("b"), F.col("n").alias("m"), F.col("loose").alias("other"))
-        ratio = F.least("n", "m") / F.greatest("n", "m")
-        each = few.join(other, "bucket").where((F.col("t") < F.col("b")) & (F.col("loose") | F.col("other")) & (ratio >= SIMILARITY))
-        found.append(aligned(each.select(F.col("t").alias("a"), "b").distinct(), texts).where(F.col("sim") >= SIMILARITY).select("a", "b"))
-        many = rest.join(sizes.where(F.col("size") > SMALL).select("bucket"), "bucket")
-        if many.isEmpty():
-            break
-        again = many.join(texts.select("t", F.posexplode("sketch").alias("i", "s")), "t")
-        keyed = again.select(F.xxhash64("bucket", "i", "s").alias("bucket"), "t", "n", "loose")
-        shared = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("loose").alias("open")).where("size > 1 and open > 0")
-        buckets = materialise(keyed.join(shared.select("bucket"), "bucket"), "buckets")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """Pairs (a, b) of texts with similarity of SIMILARITY or more, as many as give the classes. buckets: bucket, t, n, company."""
+    leaders = buckets.groupBy("bucket").agg(F.max_by("t", F.struct("company", "t")).alias("lead"))
+    pairs = buckets.join(leaders, "bucket").where("t <> lead").select(F.col("t").alias("a"), F.col("lead").alias("b")).distinct()
+    led = materialise(led_by(pairs, texts), "led")
+    linked = led.where(F.col("sim") >= SIMILARITY).select("a", "b")
+    roots = materialise(components(linked), "roots")
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = led.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    rest = rest.select("b", "a", "n", "more", "less", "tokens", F.coalesce("a_root", "a").alias("root"), F.coalesce("b_root", "b").alias("lead_root"))
+    mixed = rest.groupBy("b").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("apart"), F.count("*").alias("size"), F.max(F.col("less") - F.col("more")).alias("slack")).where("apart > 0 and size > 1")
+    rest = materialise(rest.join(mixed.select("b", "slack"), "b"), "rest")
+    other = rest.select("b", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "more", "less", "root", "tokens")])
+    differ = (F.col("root") != F.col("o_root")) & (9 * F.col("n") * 5 >= 9 * 4 * F.col("o_n")) & (9 * F.col("o_n") * 5 >= 9 * 4 * F.col("n"))
+    shared = F.ceil((F.col("more") + F.col("less") + F.col("o_more") + F.col("o_less") - (F.col("n") + F.col("o_n")) / 9) / 2) - F.least("less", "o_less")
+    token = lambda df, c: df.withColumn("token", F.explode(c)).drop(c)
+    by_token = token(rest, "tokens").join(token(other, "o_tokens"), ["b", "token"]).where(differ & (F.col("a") < F.col("o_a")))
+    loose = rest.where((F.col("root") != F.col("lead_root")) & (F.col("more") + F.col("less") <= 0.25 * F.col("n") + F.greatest("slack", F.lit(0)) + 1)).drop("tokens")
+    by_leader = loose.join(other.drop("o_tokens"), "b").where(differ & (shared <= 0))
+    found = by_token.select(F.col("a"), F.col("o_a").alias("b")).unionByName(by_leader.select(F.least("a", "o_a").alias("a"), F.greatest("a", "o_a").alias("b"))).distinct()
+    return linked.unionByName(aligned(found, texts).where(F.col("sim") >= SIMILARITY).select("a", "b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -216,12 +219,12 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = written.where("n > 0").groupBy("t").agg(F.min("id").alias("least"), F.min("uid").alias("uid"))
     texts = materialise(texts, "texts")
     first = written.join(texts.select("uid"), "uid", "left_semi")
-    keyed = first.select("t", "n", F.posexplode("sketch").alias("i", "s")).select(F.xxhash64("i", "s").alias("bucket"), "t", "n", F.lit(True).alias("loose"))
+    keyed = first.select("t", "n", F.posexplode("sketch").alias("i", "s")).select(F.xxhash64("i", "s").alias("bucket"), "t", "n")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialise(keyed.join(shared.select("bucket"), "bucket"), "buckets")
-    among = buckets.select("t").distinct()
-    several = materialise(first.join(among, "t", "left_semi").select("t", "words", "sketch"), "candidates")
-    roots = components(links(several, buckets))
+    buckets = materialise(keyed.join(shared, "bucket"), "buckets")
+    company = materialise(buckets.groupBy("t").agg(F.sum("size").alias("company")), "company")
+    several = materialise(first.join(company, "t", "left_semi").select("t", "words"), "candidates")
+    roots = components(links(several, buckets.join(company, "t")))
     named = texts.join(roots, texts["t"] == roots["node"], "left").select("t", "least", F.coalesce("root", "t").alias("root"))
     named = materialise(named, "named")
     heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
