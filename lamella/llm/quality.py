@@ -83,15 +83,15 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and `stats`, for every row."""
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in BASE), ("stats", pa.list_(pa.float64())), ("text_hash", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in BASE), ("stats", pa.list_(pa.float64()))])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for doc_id, text, h in rows(batches, "doc_id", "text", "text_hash"):
+        for doc_id, text in rows(batches, "doc_id", "text"):
             counts, stats = statistics(text or "")
-            yield doc_id, *counts, stats, h
+            yield doc_id, *counts, stats
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    found = slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 150), "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", stats array<double>, text_hash long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 150), "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", stats array<double>")
     return found.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -177,18 +177,35 @@ def threshold(labelled: DataFrame, bins: int = 2_000, cost: float = 20.0) -> flo
     return (best.min() + best.max()) / 2 / bins if gain.max() > 0 else 1.0
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = 4096, tainted: float = 0.03, trees: int = 150, subsample: int = 256, seed: int = 11) -> DataFrame:
-    """doc_id, the base counts, base_failed, oddness, kept, text_hash (xxhash64 of the text, to join the verdict back)."""
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = 4096, tainted: float = 0.03, trees: int = 150, subsample: int = 256, seed: int = 11) -> tuple[DataFrame, Forest, float]:
+    """The statistics of every row, the forest, and the score from which rows go."""
     stats = materialise(rule_statistics(docs), "rules")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labelled = stats.where("not base_failed").join(known, "doc_id")
     forest = fit_forest(labelled, sample, tainted, trees, subsample, seed)
-    cut = threshold(scored(labelled, forest))
+    return stats, forest, threshold(scored(labelled, forest))
+
+
+def judge(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
+    """doc_id, the base counts, base_failed, oddness, kept: a row a document."""
+    stats, forest, cut = fitted(docs, labels, **options)
     kept = ~F.col("base_failed") & (F.col("oddness") < F.lit(cut))
     return scored(stats, forest).withColumn("kept", kept).drop("stats")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that judge() keeps; a verdict belongs to a text, so equal rows share it."""
-    gone = judge(docs, labels, **options).where("not kept").select(F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, F.xxhash64("text") == F.col("__hash"), "left_anti")
+    """The rows of docs that judge() keeps, filtered where they are read: no text is shuffled or joined."""
+    _, forest, cut = fitted(docs, labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)  # of bounded size: trees x subsample
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                found = [statistics(text or "") for text in batch.column(at).to_pylist()]
+                good = np.array([n >= 20 and 100 * r <= 30 * n for (n, *_, r), _ in found])
+                odd = shared.value.score(np.array([s for _, s in found], float).reshape(-1, len(STATS)))
+                yield batch.filter(pa.array(good & (odd < cut)))
+
+    return docs.mapInArrow(run, docs.schema)
