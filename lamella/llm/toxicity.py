@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and voting.
 
-Features are words and the starts of words that mark labelled toxic rows; they are counted over all labelled training
-rows. Inverse document frequencies come from all documents. Labelled examples (a bounded sample) are indexed by feature
-in blocks of documents with each block's largest weight; a query visits blocks in the order of their upper bound and
+The classifier is fitted on a bounded sample of labelled rows, at most `examples` in hash order. Features are words and
+the starts of words that mark its toxic rows. Inverse document frequencies come from all documents. The sample's rows
+are indexed by feature in blocks of examples with each block's largest weight; a query visits blocks in the order of their upper bound and
 stops where the bound can't reach its k-th neighbour, so the k nearest are exact. Neighbours vote by cosine, and votes
 are calibrated by the examples' own leave-one-out votes.
 
@@ -53,14 +53,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows that may be learned from."""
+def training_rows(docs: DataFrame, labels: DataFrame, examples: int, seed: int) -> DataFrame:
+    """doc_id, text, toxic of at most `examples` labelled ids that may be learned from, in hash order.
+
+    The ids (16 bytes each, a bounded number) are broadcast, so that no text is shuffled.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(known.where(~held_out(F.col("doc_id"))), "doc_id")
+    sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(examples)
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
 def choose_features(train: DataFrame, most: int, least: int = 4, lift: float = 3.0) -> list[str]:
-    """The `most` features that mark toxic rows best (log-likelihood ratio), counted over all training rows."""
+    """The `most` features that mark toxic rows best (log-likelihood ratio), counted over the training rows."""
     schema = pa.schema([("feature", pa.string()), ("n", pa.int64()), ("toxic", pa.int64())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -216,13 +220,11 @@ class Index:
         return float(np.interp(vote, *self.curve)), [(int(i), float(c), float(self.toxic[i])) for i, c in zip(at, cosine, strict=True)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = 8192, features: int = 2000, k: int = 15, smooth: float = 0.5, seed: int = 3) -> Index:
-    """The index of at most `examples` labelled rows, in hash order; counts cover all rows."""
-    train = training_rows(docs, labels)
-    train = materialise(train, "toxic-training")
+def learn(docs: DataFrame, labels: DataFrame, examples: int = 20_000, features: int = 2000, k: int = 15, smooth: float = 0.5, seed: int = 3) -> Index:
+    """The index of at most `examples` labelled rows; document frequencies cover all rows."""
+    train = materialise(training_rows(docs, labels, examples, seed), "toxic-training")
     chosen = choose_features(train, features)
     index = Index(chosen, *document_frequencies(docs, chosen))
-    sample = train.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(examples)
     schema = pa.schema([("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("toxic", pa.int32())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -231,8 +233,8 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = 8192, features: in
             found = reader.counts(text or "")
             yield list(found), list(found.values()), int(bool(toxic))
 
-    taken = sample.select("text", "toxic").mapInArrow(lambda b: gathered(made(b), schema, lambda r: 60), "ids array<int>, counts array<int>, toxic int").collect()
-    index.fit([(dict(zip(r["ids"], r["counts"], strict=True)), r["toxic"]) for r in taken], k, smooth)
+    taken = train.select("text", "toxic").mapInArrow(lambda b: gathered(made(b), schema, lambda r: 60), "ids array<int>, counts array<int>, toxic int").collect()
+    index.fit(sorted(((dict(zip(r["ids"], r["counts"], strict=True)), r["toxic"]) for r in taken), key=str), k, smooth)
     return index
 
 
