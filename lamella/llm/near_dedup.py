@@ -38,6 +38,8 @@ SIMILARITY = 0.8
 SKETCHES, TAKEN = 24, 5
 #: The least similarity that alignment tells exactly; below it only "below" is known.
 KNOWN = 0.6
+#: Lists of missing k-mers up to this length are compared exactly, longer ones by their length.
+GONE = 96
 LEAST_ID = -(1 << 63)
 
 _WORDS = re.compile(WORD)
@@ -174,9 +176,10 @@ def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def led_by(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, its leader b) with sim, n (k-mers of a), more and less (k-mers, by occurrence, that a has and b hasn't, and the reverse), and
-    tokens: as many of the former, least first, as two texts that reach the similarity must meet in."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64()), ("n", pa.int32()), ("more", pa.int32()), ("less", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    """pairs (a, its leader b) with sim, n (k-mers of a), more and less (k-mers, by occurrence, that a has and b hasn't, and the reverse),
+    tokens: as many of the former, least first, as two texts that reach the similarity must meet in, and gone: the
+    latter, null where there are over GONE of them."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64()), ("n", pa.int32()), ("more", pa.int32()), ("less", pa.int32()), ("tokens", pa.list_(pa.int64())), ("gone", pa.list_(pa.int64()))])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for a, b, w, v in rows(batches, "a", "b", "wa", "wb"):
@@ -185,9 +188,10 @@ def led_by(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             more = np.setdiff1d(p, q, assume_unique=True)
             more.sort()
             least = max(1, -int(-(len(more) - 0.25 * len(x)) // 2))
-            yield a, b, similarity(x, y), len(x), len(more), len(q) - len(p) + len(more), more[: len(more) - least + 1].view(np.int64).tolist()
+            gone = np.setdiff1d(q, p, assume_unique=True)
+            yield a, b, similarity(x, y), len(x), len(more), len(gone), more[: len(more) - least + 1].view(np.int64).tolist(), gone.view(np.int64).tolist() if len(gone) <= GONE else None
 
-    return _with_words(pairs, texts).mapInArrow(lambda b: gathered(made(b), schema, lambda r: 100 + 8 * len(r[6])), "a binary, b binary, sim double, n int, more int, less int, tokens array<long>")
+    return _with_words(pairs, texts).mapInArrow(lambda b: gathered(made(b), schema, lambda r: 600 + 8 * len(r[6])), "a binary, b binary, sim double, n int, more int, less int, tokens array<long>, gone array<long>")
 
 
 def links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -199,16 +203,23 @@ def links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
     roots = materialise(components(linked), "roots")
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rest = led.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    rest = rest.select("b", "a", "n", "more", "less", "tokens", F.coalesce("a_root", "a").alias("root"), F.coalesce("b_root", "b").alias("lead_root"))
+    rest = rest.select("b", "a", "n", "more", "less", "tokens", "gone", F.coalesce("a_root", "a").alias("root"), F.coalesce("b_root", "b").alias("lead_root"))
     mixed = rest.groupBy("b").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("apart"), F.count("*").alias("size"), F.max(F.col("less") - F.col("more")).alias("slack")).where("apart > 0 and size > 1")
     rest = materialise(rest.join(mixed.select("b", "slack"), "b"), "rest")
-    other = rest.select("b", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "more", "less", "root", "tokens")])
+    other = rest.select("b", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "more", "less", "root", "tokens", "gone")])
     differ = (F.col("root") != F.col("o_root")) & (9 * F.col("n") * 5 >= 9 * 4 * F.col("o_n")) & (9 * F.col("o_n") * 5 >= 9 * 4 * F.col("n"))
-    shared = F.ceil((F.col("more") + F.col("less") + F.col("o_more") + F.col("o_less") - (F.col("n") + F.col("o_n")) / 9) / 2) - F.least("less", "o_less")
-    token = lambda df, c: df.withColumn("token", F.explode(c)).drop(c)
-    by_token = token(rest, "tokens").join(token(other, "o_tokens"), ["b", "token"]).where(differ & (F.col("a") < F.col("o_a")))
-    loose = rest.where((F.col("root") != F.col("lead_root")) & (F.col("more") + F.col("less") <= 0.25 * F.col("n") + F.greatest("slack", F.lit(0)) + 1)).drop("tokens")
-    by_leader = loose.join(other.drop("o_tokens"), "b").where(differ & (shared <= 0))
+    # how many k-mers the two must share among those that the leader lacks, and among those that they lack
+    both = F.array_intersect("tokens", "o_tokens")
+    unseen = F.col("more") - F.size("tokens") + F.col("o_more") - F.size("o_tokens")
+    lost = F.coalesce(F.when(F.col("gone").isNotNull() & F.col("o_gone").isNotNull(), F.size(F.array_intersect("gone", "o_gone"))), F.least("less", "o_less"))
+    must = F.ceil((F.col("more") + F.col("less") + F.col("o_more") + F.col("o_less") - (F.col("n") + F.col("o_n")) / 9) / 2)
+    reached = F.size(both) + unseen + lost >= must
+    token = lambda df, c: df.withColumn("token", F.explode(c))
+    near = differ & (F.col("a") < F.col("o_a")) & (F.array_min(both) == F.col("token")) & reached
+    left, right = token(rest, "tokens"), token(other, "o_tokens").withColumnsRenamed({"b": "o_b", "token": "o_token"})
+    by_token = left.join(right, (F.col("b") == F.col("o_b")) & (F.col("token") == F.col("o_token")) & near)
+    loose = rest.where((F.col("root") != F.col("lead_root")) & (F.col("more") + F.col("less") <= 0.25 * F.col("n") + F.greatest("slack", F.lit(0)) + 1))
+    by_leader = loose.join(other.withColumnRenamed("b", "o_b"), (F.col("b") == F.col("o_b")) & differ & (must <= F.least("less", "o_less")) & reached)
     found = by_token.select(F.col("a"), F.col("o_a").alias("b")).unionByName(by_leader.select(F.least("a", "o_a").alias("a"), F.greatest("a", "o_a").alias("b"))).distinct()
     return linked.unionByName(aligned(found, texts).where(F.col("sim") >= SIMILARITY).select("a", "b"))
 
@@ -218,12 +229,14 @@ def classes(docs: DataFrame) -> DataFrame:
     written = materialise(signatures(docs).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     texts = written.where("n > 0").groupBy("t").agg(F.min("id").alias("least"), F.min("uid").alias("uid"))
     texts = materialise(texts, "texts")
-    first = written.join(texts.select("uid"), "uid", "left_semi")
+    first = written.select("uid", "t", "n", "sketch").join(texts.select("uid"), "uid", "left_semi")
     keyed = first.select("t", "n", F.posexplode("sketch").alias("i", "s")).select(F.xxhash64("i", "s").alias("bucket"), "t", "n")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialise(keyed.join(shared, "bucket"), "buckets")
     company = materialise(buckets.groupBy("t").agg(F.sum("size").alias("company")), "company")
-    several = materialise(first.join(company, "t", "left_semi").select("t", "words"), "candidates")
+    chosen = texts.join(company, "t").select("uid")
+    # the words are moved once, by the same plan at any size
+    several = materialise(written.select("uid", "t", "words").hint("merge").join(chosen, "uid").select("t", "words"), "candidates")
     roots = components(links(several, buckets.join(company, "t")))
     named = texts.join(roots, texts["t"] == roots["node"], "left").select("t", "least", F.coalesce("root", "t").alias("root"))
     named = materialise(named, "named")
