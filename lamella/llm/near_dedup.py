@@ -2,7 +2,9 @@
 
 A text's k-mers (five words, lower-cased) are labelled by their occurrence number. For each of several hash functions
 the few least labelled k-mers are taken and kept in text order; their joint hash is a bucket key, so texts share keys
-when they share k-mers in the same order. Equal texts are one text from the start. In a bucket every text is aligned
+when they share k-mers in the same order. Sketches say little of short texts: those have for keys the least labelled
+k-mers themselves, as many as two texts that reach the similarity must meet in, so none of their pairs is missed. Equal
+texts are one text from the start. In a bucket every text is aligned
 with one leader, the text that has most company in its own buckets, not with every other: similarity is the longest
 common subsequence M of the k-mer sequences over n1 + n2 - M, found bit-parallel in a band. Links are joined to classes
 by connected components.
@@ -34,8 +36,12 @@ from lamella.llm.components import components
 
 K = 5
 SIMILARITY = 0.8
-#: Sketches a text, and k-mers in one. Two texts of similarity 0.8 share none with probability (1 - 0.8**5)**24 = 7e-5.
+#: Sketches a text, and k-mers in one. Two texts with M common k-mers of U share none with probability (1 - C(M, 5) / C(U, 5))**24:
+#: at similarity 0.8 that is 1.4e-4 for M = 36, and falls to (1 - 0.8**5)**24 = 7e-5 for long texts.
 SKETCHES, TAKEN = 24, 5
+#: Texts of at most so many k-mers are found exactly. Texts that can be near one above this have at least LEAST_SKETCHED.
+SHORT = 40
+LEAST_SKETCHED = -(-4 * (SHORT + 1) // 5)
 #: The least similarity that alignment tells exactly; below it only "below" is known.
 KNOWN = 0.6
 LEAST_ID = -(1 << 63)
@@ -92,6 +98,19 @@ def sketches(grams: np.ndarray) -> list[int]:
     return np.concatenate(out).view(np.int64).tolist()
 
 
+def keys(grams: np.ndarray) -> list[int]:
+    """Bucket keys. Of two texts that reach SIMILARITY, each has four fifths of its labelled k-mers in common with the
+    other, so that the least n - ceil(0.8 n) + 1 of both, in any order that all texts share, have one in common."""
+    n, out = len(grams), []
+    if n <= SHORT:
+        least = np.sort(labelled_by_occurrence(grams))[: n + 1 - -(-4 * n // 5)]
+        out += least.view(np.int64).tolist()
+    if n >= LEAST_SKETCHED:
+        found = np.array(sketches(grams), np.int64).view(np.uint64)
+        out += _mixed(found + np.arange(1, SKETCHES + 1, dtype=np.uint64) * _MIX).view(np.int64).tolist()
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """M / (n1 + n2 - M) for the longest common subsequence M; -1 where that is below KNOWN for sure."""
     if len(a) > len(b):
@@ -142,18 +161,18 @@ def text_key(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, t (the text's key), n (k-mers), sketch keys and word hashes, a row a document; n = 0 without words."""
-    schema = pa.schema([("id", pa.int64()), ("t", pa.binary()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64())), ("words", pa.binary())])
+    """id, t (the text's key), n (k-mers), bucket keys and word hashes, a row a document; n = 0 without words."""
+    schema = pa.schema([("id", pa.int64()), ("t", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("words", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         known = _Hashes()
         for doc_id, t, text in rows(batches, "id", "t", "text"):
             words = np.array([known[w] for w in _WORDS.findall(text or "")], "<u4")
             grams = kmers(words) if len(words) else words
-            yield doc_id, t, len(grams), sketches(grams) if len(grams) else [], words.tobytes()
+            yield doc_id, t, len(grams), keys(grams) if len(grams) else [], words.tobytes()
 
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), text_key(F.col("text")).alias("t"), "text")
-    return slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: len(r[4]) + 250), "id long, t binary, n int, sketch array<long>, words binary")
+    return slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: len(r[4]) + 250), "id long, t binary, n int, keys array<long>, words binary")
 
 
 def _with_words(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -218,8 +237,8 @@ def classes(docs: DataFrame) -> DataFrame:
     written = materialise(signatures(docs).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     texts = written.where("n > 0").groupBy("t").agg(F.min("id").alias("least"), F.min("uid").alias("uid"))
     texts = materialise(texts, "texts")
-    first = written.select("uid", "t", "n", "sketch").join(texts.select("uid"), "uid", "left_semi")
-    keyed = first.select("t", "n", F.posexplode("sketch").alias("i", "s")).select(F.xxhash64("i", "s").alias("bucket"), "t", "n")
+    first = written.select("uid", "t", "n", "keys").join(texts.select("uid"), "uid", "left_semi")
+    keyed = first.select(F.explode("keys").alias("bucket"), "t", "n")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialise(keyed.join(shared, "bucket"), "buckets")
     company = materialise(buckets.groupBy("t").agg(F.sum("size").alias("company")), "company")

@@ -101,6 +101,25 @@ def test_near_duplicates(spark, planted):
     assert got == brute_classes(planted)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """No pair of short texts is missed, with a word more at an end or words changed, down to a similarity of exactly 0.8."""
+    rng = random.Random(12)
+    new = lambda: f"u{rng.randrange(10**9)}"
+    docs, passage = [], [new() for _ in range(12)]
+    for n in range(1, 50):
+        for i in range(6):
+            base = [new() for _ in range(n)]
+            docs += [base, base + [new()] * (1 + i % 2) if i < 4 else [new(), *base]]
+            docs += [base[: n // 2] + [new()] + base[n // 2 + 1 :]] if n > 40 else []
+        docs += [passage + [new() for _ in range(n % 9)] for _ in range(3)]
+    chain = [new() for _ in range(12)]
+    docs += [chain[: 8 + i] for i in range(5)] + [[*chain, "x", "y"], [*chain, "y", "x"]]
+    docs = {i: " ".join(d) for i, d in enumerate(docs)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == brute_classes(docs)
+
+
 def test_near_duplicates_whole_table(spark, sf):
     docs = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
     got = {r.doc_id: r.class_id for r in queries.op2_near_duplicates(spark, sf).collect()}
