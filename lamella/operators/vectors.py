@@ -9,6 +9,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.rounds import persist
+
 
 def unit(v: Column) -> Column:
     v = F.transform(v, lambda x: x.cast("double"))
@@ -20,12 +22,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most_queries: int = 1024) -> DataFrame:
-    """query, key, cosine, rank: the k nearest other rows of each query, exactly. A bounded set of queries is compared with all rows.
+def cosine_topk(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """query, key, cosine, rank: the k nearest other rows of each query, exactly. Queries are dealt by hash into blocks of about `block`, and each block is compared with all rows.
 
     Ranks are first cut to k inside parts of the table, so the final rank sees k rows a part.
     """
-    q = queries.orderBy(key).limit(most_queries).select(F.col(key).alias("query"), unit(F.col(vector)).alias("q"))
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for i in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
+        d = _topk(df, q, key, vector, k)
+        d = persist(d) if blocks > 1 else d
+        found = d if found is None else found.unionByName(d)
+    return found
+
+
+def _topk(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("q"))
     d = df.select(F.col(key), unit(F.col(vector)).alias("v")).join(F.broadcast(q), F.col(key) != F.col("query"))
     d = d.select("query", key, F.round(dot(F.col("q"), F.col("v")), 9).alias("cosine")).withColumn("part", F.pmod(F.xxhash64(key), F.lit(64)))
     order = [F.desc("cosine"), F.asc(key)]

@@ -328,3 +328,17 @@ def test_extract(spark, tmp_path):
     assert sorted(r.dataset_id for r in e["datasets"].collect()) == ["d1", "d2"]
     assert {r.asset_id: (r.inplane_nm, r.accepted_tiles, r.dim) for r in e["assets"].collect()} == {"a1": (4.5, 4, "3D"), "a2": (None, 0, None)}
     assert e["tags"].collect() == [Row(asset_id="a1", grp="organ", name="liver")]
+
+
+def test_cosine_of_all_queries(spark):
+    """Every query is answered, however many there are."""
+    rng = random.Random(3)
+    v = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(1500)]
+    d = spark.createDataFrame(list(enumerate(v)), "id long, v array<double>")
+    got = vectors.cosine_topk(d, d, "id", "v", 2).collect()
+    assert sorted((r["query"], r["rank"]) for r in got) == [(i, k) for i in range(1500) for k in (1, 2)]
+    u = [[x / math.sqrt(sum(y * y for y in w)) for x in w] for w in v]
+    cosine = {(r["query"], r["rank"]): r["cosine"] for r in got}
+    for i in range(0, 1500, 50):
+        best = sorted((sum(map(math.prod, zip(u[i], w))) for j, w in enumerate(u) if j != i), reverse=True)[:2]
+        assert [cosine[i, 1], cosine[i, 2]] == pytest.approx(best, abs=1e-8)
