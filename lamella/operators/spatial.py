@@ -128,20 +128,19 @@ def distance_bands(distances: DataFrame, edges: list[float], value: str = "dista
     return d.groupBy("band").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("band", "n", (F.col("n") / F.col("total")).alias("share"), "median")
 
 
-def greedy(boxes: DataFrame, score: str, cell: float, most_overlap: float = 0.0, rounds: int = 60) -> DataFrame:
+def greedy(boxes: DataFrame, score: str, cell: float, most_overlap: float = 0.0) -> DataFrame:
     """Boxes of a greedy choice by falling score without overlaps: the same set as going through them one by one.
 
     Conflicts are found once. In each round boxes that beat all their open rivals are chosen and their rivals go; ties
-    are broken by id.
+    are broken by id. Rounds go on until no box is open; the best open box is chosen in each, so they end.
     """
     pairs = overlaps(boxes, boxes, cell).where("a_id <> b_id").where(F.col("shared") / F.least("area_a", "area_b") > most_overlap)
     s = boxes.select("id", F.col(score).alias("s"))
     edges = pairs.join(s.withColumnsRenamed({"id": "a_id", "s": "sa"}), "a_id").join(s.withColumnsRenamed({"id": "b_id", "s": "sb"}), "b_id")
     better = F.struct(F.col("sb"), -F.col("b_id")) > F.struct(F.col("sa"), -F.col("a_id"))
-    edges = persist(edges.select("a_id", "b_id", better.alias("loses")))
-    live, chosen = persist(boxes.select("id")), None
-    for _ in range(rounds):
-        open_ = edges.join(live.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(live.withColumnRenamed("id", "b_id"), "b_id", "left_semi")
+    open_ = persist(edges.select("a_id", "b_id", better.alias("loses")))
+    live, chosen, done = persist(boxes.where("id is not null").select("id")), None, 0
+    while True:
         beaten = open_.where("loses").select(F.col("a_id").alias("id")).distinct()
         won = persist(live.join(beaten, "id", "left_anti"))
         chosen = won if chosen is None else chosen.unionByName(won)
@@ -149,25 +148,36 @@ def greedy(boxes: DataFrame, score: str, cell: float, most_overlap: float = 0.0,
         live = persist(live.join(won, "id", "left_anti").join(gone, "id", "left_anti"))
         if live.isEmpty():
             break
+        open_ = persist(open_.join(live.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(live.withColumnRenamed("id", "b_id"), "b_id", "left_semi"))
+        done += 1
+        chosen = chosen if done % 20 else persist(chosen)
     return boxes.join(chosen, "id", "left_semi")
 
 
-def label_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: the least node that each node of links (a, b) is connected with, by hooking to minima and doubling."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = persist(both)
-    root = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    state = None
-    for _ in range(rounds):
-        near = both.join(root.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        root = root.join(near, "node").select("node", F.least("root", "r").alias("root"))
-        up = root.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        root = persist(root.join(up, "root").select("node", F.least("root", "top").alias("root")))
-        now = root.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()[0]
-        if now == state:
+def label_components(links: DataFrame) -> DataFrame:
+    """node, root: the least node that each node of links (a, b) is connected with, by large and small stars.
+
+    Rounds go on until the links no longer change: every node then hangs on its root. Roots are hooked to roots, so a
+    path needs about as many rounds as the logarithm of its length.
+    """
+    links = persist(links.select("a", "b").distinct())
+    edges = persist(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = persist(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = persist(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        now = state(edges)
+        if now == before:
             break
-        state = now
-    return root
+        before = now
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    found = nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    return found.select("node", F.coalesce("root", "node").alias("root"))
 
 
 def runs_of(pixels: DataFrame, keys: list[str]) -> DataFrame:

@@ -342,3 +342,19 @@ def test_cosine_of_all_queries(spark):
     for i in range(0, 1500, 50):
         best = sorted((sum(map(math.prod, zip(u[i], w))) for j, w in enumerate(u) if j != i), reverse=True)[:2]
         assert [cosine[i, 1], cosine[i, 2]] == pytest.approx(best, abs=1e-8)
+
+
+def test_components_of_long_shapes(spark):
+    """A U of 90 rows whose lower end label is at the far arm is one component, as is a path; a node linked with itself is one too."""
+    px = [(1, 0, y, 1.0) for y in range(90)] + [(1, 4, y, 1.0) for y in range(1, 90)] + [(1, x, 89, 1.0) for x in (1, 2, 3)]
+    runs = spatial.run_components(spark.createDataFrame(px, "image long, x long, y long, v double"), ["image"]).collect()
+    assert {tuple(r.label) for r in runs} == {(1, 0, 0)}
+    path = [(i, i + 1) for i in range(400)] + [(1000, 1000), (2001, 2000)]
+    got = {r.node: r.root for r in spatial.label_components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(401), 0) | {1000: 1000, 2000: 2000, 2001: 2000}
+
+
+def test_greedy_of_a_long_chain(spark):
+    """Boxes that each overlap the next, with falling scores: every other one is chosen, however long the chain."""
+    d = spark.createDataFrame([(i, 10 * i, 0, 10 * i + 15, 5, 1000.0 - i) for i in range(140)], "id long, x0 long, y0 long, x1 long, y1 long, s double")
+    assert sorted(r.id for r in spatial.greedy(d, "s", 64.0).collect()) == list(range(0, 140, 2))
