@@ -9,13 +9,12 @@ with one leader, the text that has most company in its own buckets, not with eve
 common subsequence M of the k-mer sequences over n1 + n2 - M, found bit-parallel in a band. Links are joined to classes
 by connected components.
 
-Members of a leader that are still in different classes are settled by what sets them apart from the leader. If x and y
-reach the similarity, their k-mer sets differ by (n1 + n2) / 9 at most, which bounds from below how many k-mers that the
-leader lacks they must share: so they are found by an equi-join on (leader, such a k-mer), of which only as many as the
-bound leaves open are sent, and pairs whose bound is 0 by a join on the leader. What is found is aligned in turn. No
-bucket is cut or sampled, and no text meets all others of its bucket.
+Members of a leader that are still in different classes are settled by what sets them apart from it: two texts that
+reach the similarity differ from the leader in much the same k-mers, of which a bound says how many they must share, so
+they are found by an equi-join on the rarest of these (see apart()), and aligned in turn. No bucket is cut or sampled,
+and no text meets all others of its bucket.
 
-Cases: null and empty texts, and those without words, are classes of their own; texts of fewer than five words are one
+Cases: null and empty texts, and those without words, are classes of their own, a row each; texts of fewer than five words are one
 k-mer; a null doc_id sorts before all others and stays null; rows with equal doc_id and text are one document; an empty
 table gives no rows; other columns are ignored, and kept by keep_one().
 """
@@ -193,43 +192,67 @@ def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def led_by(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, its leader b) with sim, n (k-mers of a), more and less (k-mers, by occurrence, that a has and b hasn't, and the reverse), and
-    tokens: as many of the former, least first, as two texts that reach the similarity must meet in."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64()), ("n", pa.int32()), ("more", pa.int32()), ("less", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    """pairs (a, its leader b) with sim, n and lead_n (k-mers of both), and diff: names of the labelled k-mers that one of the
+    two has and the other hasn't. The leader is part of a name, so members of other leaders share none."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sim", pa.float64()), ("n", pa.int64()), ("lead_n", pa.int64()), ("diff", pa.list_(pa.int64()))])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for a, b, w, v in rows(batches, "a", "b", "wa", "wb"):
             x, y = kmers(np.frombuffer(w, "<u4")), kmers(np.frombuffer(v, "<u4"))
-            p, q = labelled_by_occurrence(x), labelled_by_occurrence(y)
-            more = np.setdiff1d(p, q, assume_unique=True)
-            more.sort()
-            least = max(1, -int(-(len(more) - 0.25 * len(x)) // 2))
-            yield a, b, similarity(x, y), len(x), len(more), len(q) - len(p) + len(more), more[: len(more) - least + 1].view(np.int64).tolist()
+            differ = np.setxor1d(labelled_by_occurrence(x), labelled_by_occurrence(y), assume_unique=True)
+            yield a, b, similarity(x, y), len(x), len(y), _mixed(differ + np.uint64(xxhash.xxh3_64_intdigest(b))).view(np.int64).tolist()
 
-    return _with_words(pairs, texts).mapInArrow(lambda b: gathered(made(b), schema, lambda r: 100 + 8 * len(r[6])), "a binary, b binary, sim double, n int, more int, less int, tokens array<long>")
+    return _with_words(pairs, texts).mapInArrow(lambda b: gathered(made(b), schema, lambda r: 100 + 8 * len(r[5])), "a binary, b binary, sim double, n long, lead_n long, diff array<long>")
 
 
-def links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts with similarity of SIMILARITY or more, as many as give the classes. buckets: bucket, t, n, company."""
+def apart(led: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots under one leader that may reach the similarity. led: as led_by() has it.
+
+    With D(x) the k-mers that set x apart from its leader, x and y differ in as many k-mers as D(x) and D(y) do. So they
+    reach the similarity only if D(x) and D(y) have (|D(x)| + |D(y)| - (n(x) + n(y)) / 9) / 2 members in common. Members
+    are put in one order, rarest first; then the first one in common comes early in both, and only so many are sent as
+    allow for that, to the classes of |D| that a partner can have. Members that no other root has come first and are
+    not sent at all: frequent ones, such as those of a passage, come last and are rarely sent.
+    """
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = led.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    rest = rest.select("b", "a", "n", "lead_n", "diff", F.size("diff").cast("long").alias("d"), F.coalesce("a_root", "a").alias("root"), F.coalesce("b_root", "b").alias("lead_root"))
+    mixed = materialise(rest.groupBy("b").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("apart"), F.count("*").alias("size")).where("apart > 0 and size > 1").select("b"), "mixed")
+    rest = materialise(rest.join(mixed, "b").withColumn("rid", F.monotonically_increasing_id()), "rest")
+    each = rest.select("rid", F.xxhash64("root").alias("r"), F.explode("diff").alias("token"))
+    several = materialise(each.groupBy("token").agg(F.count("*").alias("times"), F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token", "times"), "tokens")
+    held = each.join(several, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("held"))  # at most a text's own k-mers
+    width = F.greatest(F.lit(1), F.expr("lead_n div 12"))
+    sent = rest.select("rid", "a", "root", "n", "lead_n", "d", width.alias("w")).join(held, "rid")
+    sent = sent.select("a", "root", "n", "lead_n", "d", "w", F.size("held").alias("shared"), F.posexplode("held").alias("at", "one"))
+    sent = sent.select("a", "root", "n", "lead_n", "d", "w", F.col("one.token").alias("token"), (F.col("shared") - F.col("at")).cast("long").alias("from_here"))
+    low, high = (F.floor((F.col("d") + sign * F.col("n") / 4) / F.col("w")) for sign in (-1, 1))
+    sent = sent.withColumns({"own": F.floor(F.col("d") / F.col("w")), "other": F.explode(F.sequence(F.greatest(F.lit(0), low), high))})
+    longest = F.least(1.25 * F.col("n"), F.col("lead_n") + (F.col("other") + 1) * F.col("w"))
+    sent = sent.where(18 * F.col("from_here") >= 9 * (F.col("d") + F.col("other") * F.col("w")) - (F.col("n") + longest)).drop("w", "lead_n")
+    partner = sent.select("token", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"o_{c}") for c in ("a", "root", "n", "d", "from_here")])
+    differ = (F.col("root") != F.col("o_root")) & (F.col("a") < F.col("o_a")) & (5 * F.col("n") >= 4 * F.col("o_n")) & (5 * F.col("o_n") >= 4 * F.col("n"))
+    open_ = 9 * (F.col("d") + F.col("o_d")) - (F.col("n") + F.col("o_n"))
+    met = sent.alias("x").join(partner.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.other") == F.col("y.other")) & differ & (18 * F.least("from_here", "o_from_here") >= open_))
+    # those that have the leader's k-mers in another order need have nothing else in common
+    near = rest.where(9 * F.col("d") <= F.col("n") + F.col("lead_n")).select("b", "a", "root", "n", "d", "lead_root")
+    turned = near.where("root <> lead_root").select("b", *[F.col(c).alias(f"o_{c}") for c in ("a", "root", "n", "d")])
+    by_leader = near.join(turned, "b").where((F.col("root") != F.col("o_root")) & (open_ <= 0))
+    return met.select("a", F.col("o_a").alias("b")).unionByName(by_leader.select(F.least("a", "o_a").alias("a"), F.greatest("a", "o_a").alias("b"))).distinct()
+
+
+def text_classes(texts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """node, root: texts that have near-duplicates, with the least of their class. texts: t, words; buckets: bucket, t, n, company."""
     leaders = buckets.groupBy("bucket").agg(F.max_by("t", F.struct("company", "t")).alias("lead"))
     pairs = buckets.join(leaders, "bucket").where("t <> lead").select(F.col("t").alias("a"), F.col("lead").alias("b")).distinct()
     led = materialise(led_by(pairs, texts), "led")
-    linked = led.where(F.col("sim") >= SIMILARITY).select("a", "b")
-    roots = materialise(components(linked), "roots")
+    roots = materialise(components(led.where(F.col("sim") >= SIMILARITY).select("a", "b")), "roots")
+    found = materialise(aligned(apart(led, roots), texts).where(F.col("sim") >= SIMILARITY).select("a", "b"), "found")
+    root_of = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = led.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    rest = rest.select("b", "a", "n", "more", "less", "tokens", F.coalesce("a_root", "a").alias("root"), F.coalesce("b_root", "b").alias("lead_root"))
-    mixed = rest.groupBy("b").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("apart"), F.count("*").alias("size"), F.max(F.col("less") - F.col("more")).alias("slack")).where("apart > 0 and size > 1")
-    rest = materialise(rest.join(mixed.select("b", "slack"), "b"), "rest")
-    other = rest.select("b", *[F.col(c).alias(f"o_{c}") for c in ("a", "n", "more", "less", "root", "tokens")])
-    differ = (F.col("root") != F.col("o_root")) & (9 * F.col("n") * 5 >= 9 * 4 * F.col("o_n")) & (9 * F.col("o_n") * 5 >= 9 * 4 * F.col("n"))
-    shared = F.ceil((F.col("more") + F.col("less") + F.col("o_more") + F.col("o_less") - (F.col("n") + F.col("o_n")) / 9) / 2) - F.least("less", "o_less")
-    token = lambda df, c: df.withColumn("token", F.explode(c)).drop(c)
-    by_token = token(rest, "tokens").join(token(other, "o_tokens"), ["b", "token"]).where(differ & (F.col("a") < F.col("o_a")))
-    loose = rest.where((F.col("root") != F.col("lead_root")) & (F.col("more") + F.col("less") <= 0.25 * F.col("n") + F.greatest("slack", F.lit(0)) + 1)).drop("tokens")
-    by_leader = loose.join(other.drop("o_tokens"), "b").where(differ & (shared <= 0))
-    found = by_token.select(F.col("a"), F.col("o_a").alias("b")).unionByName(by_leader.select(F.least("a", "o_a").alias("a"), F.greatest("a", "o_a").alias("b"))).distinct()
-    return linked.unionByName(aligned(found, texts).where(F.col("sim") >= SIMILARITY).select("a", "b"))
+    joined = components(found.join(named("a"), "a", "left").join(named("b"), "b", "left").select(root_of("a"), root_of("b")))
+    every = roots.unionByName(joined.select("node", F.col("node").alias("root"))).distinct()
+    return every.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -245,7 +268,7 @@ def classes(docs: DataFrame) -> DataFrame:
     chosen = texts.join(company, "t").select("uid")
     # the words are moved once, by the same plan at any size
     several = materialise(written.select("uid", "t", "words").hint("merge").join(chosen, "uid").select("t", "words"), "candidates")
-    roots = components(links(several, buckets.join(company, "t")))
+    roots = text_classes(several, buckets.join(company, "t"))
     named = texts.join(roots, texts["t"] == roots["node"], "left").select("t", "least", F.coalesce("root", "t").alias("root"))
     named = materialise(named, "named")
     heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
@@ -261,6 +284,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document has the least id of its class, once each."""
-    kept = classes(docs).where("id = class_id").select(F.col("id").alias("__id"), F.col("t").alias("__t"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)), "__t": text_key(F.col("text"))})
-    return keyed.join(kept, ["__id", "__t"], "left_semi").dropDuplicates(["__id", "__t"]).drop("__id", "__t")
+    kept = classes(docs).where("id = class_id").select("id", "t")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), text_key(F.col("text")).alias("t"), F.struct(*docs.columns).alias("row"))
+    return keyed.join(kept, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]).select("row.*")
