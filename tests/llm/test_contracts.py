@@ -1,7 +1,9 @@
 """The contracted queries against plain Python over the same documents."""
 
 import hashlib
+import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,12 +11,14 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lamella.llm import line_dedup, media, mixing, packing, quality, queries, token_counts, token_files
 from lamella.llm.common import BLANKS, shared_path
-from lamella.llm.tokens import byte_encoder, word_encoder
+from lamella.llm.tokens import BYTE_BPE, WORD_BPE
 
 WORD = re.compile(r"[^ \t-\r]+")
+FRESH = {p: Tokenizer.from_file(p) for p in (BYTE_BPE, WORD_BPE)}
 LONG = "long. " * 30_000
 TEXTS = ["", None, "one word", "a\n\nb  c\t d", "é ü ß Ω 漢字 \x1c \xa0 İ", LONG, "same line that is long enough\nother", "Same line that is LONG enough \nx", "  same line that is long enough", "same line that is long enough", "<|endoftext|> it's"]
 ROWS = [(i, t, ("a", "b", None)[i % 3], i % 5) for i, t in enumerate(TEXTS)] + [(3, "a\n\nb  c\t d", "a", 1), (3, "a\n\nb  c\t d", "a", 1), (None, "no id here", "b", 0)]
@@ -36,8 +40,8 @@ def texts(sf):
     return dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
 
 
-def ids(encoder, text, end=None):
-    found = encoder.library.encode(text or "", add_special_tokens=False).ids
+def ids(path, text, end=None):
+    found = FRESH[path].encode(text or "", add_special_tokens=False).ids
     return np.array(found + ([] if end is None else [end]), "<u4")
 
 
@@ -50,7 +54,7 @@ def test_packing(spark, sf):
         by_sequence[r.sequence_id].append(r)
     assert set(by_doc) == set(docs)
     for doc_id, own in by_doc.items():
-        want, at = ids(byte_encoder(), docs[doc_id], 0), 0
+        want, at = ids(BYTE_BPE, docs[doc_id], 0), 0
         for r in sorted(own, key=lambda r: r.start):
             assert (r.start, r.doc_tokens) == (at, len(want))
             assert r.ids_crc32 == zlib.crc32(want[at : at + r.length].tobytes())
@@ -76,7 +80,7 @@ def test_packing_neighbours(spark, odd, empty):
     got = packing.pack_along_curve(odd, length=8).groupBy("doc_id").sum("length").collect()
     want = Counter()
     for r in ROWS:
-        want[r[0]] += len(ids(byte_encoder(), r[1], 0))
+        want[r[0]] += len(ids(BYTE_BPE, r[1], 0))
     assert dict(map(tuple, got)) == dict(want)
 
 
@@ -126,9 +130,51 @@ def test_tiff_round_trip(how):
                     assert b"".join(p[-1] for p in media.pages(raw)) == payload
 
 
+def test_tiff_forms():
+    """Every form meets short and long texts alike."""
+    for form in media.FORMS:
+        for n in (64, 4096, 300_000):
+            payload = (b"some text " * (n // 10 + 7))[: n // 64 * 64]
+            assert b"".join(p[-1] for p in media.pages(media.write_tiff(payload, **form))) == payload
+    met = {zlib.crc32(media.store_text("x" * n)[:0] + ("x" * n).encode() + bytes(-n % 64)) % 4 for n in range(1, 40)}
+    assert met == {0, 1, 2, 3}
+
+
+def tiff_header(**changed):
+    """A file of one 64 x 2 page whose fields are changed as told."""
+    raw = bytearray(media.write_tiff(bytes(128), compression=media.NONE))
+    at = struct.unpack_from("<I", raw, 4)[0]
+    for i in range(struct.unpack_from("<H", raw, at)[0]):
+        tag = struct.unpack_from("<H", raw, at + 2 + 12 * i)[0]
+        for name, value in changed.items():
+            if getattr(media, name) == tag:
+                struct.pack_into("<I", raw, at + 10 + 12 * i, value)
+    return bytes(raw)
+
+
 def test_tiff_bad(spark):
-    got = media.read_pages(spark.createDataFrame([(1, b"II"), (2, None), (3, b"II*\0\0\0\0\0")], "page int, media binary")).collect()
-    assert len(got) == 3 and all(r.error and r.data is None for r in got)
+    bad = [b"II", None, b"II*\0\0\0\0\0", tiff_header(WIDTH=0), tiff_header(WIDTH=1 << 20, HEIGHT=1 << 20), tiff_header(ROWS_PER_STRIP=0), tiff_header(STRIP_OFFSETS=1 << 30), tiff_header(BITS=7), tiff_header(COMPRESSION=media.LZW, HEIGHT=1 << 30, ROWS_PER_STRIP=1 << 30)]
+    bad += [media.write_tiff(bytes(range(256)) * 8, compression=media.NONE, tile=32).replace(struct.pack("<HHII", media.TILE_WIDTH, 4, 1, 32), struct.pack("<HHII", media.TILE_WIDTH, 4, 1, 0))]
+    got = media.read_pages(spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "page int, media binary")).collect()
+    assert len(got) == len(bad) and all(r.error and r.data is None for r in got)
+    good = media.read_pages(spark.createDataFrame([(tiff_header(),)], "media binary")).collect()
+    assert [r.data for r in good] == [bytes(128)]
+
+
+def test_tiff_fuzzed():
+    """Files with bytes changed, cut or doubled give pages or one of the errors that become a row, and little memory."""
+    dealt = random.Random(6)
+    whole = [media.write_tiff(dealt.randbytes(64 * 40), **form) for form in media.FORMS]
+    for _ in range(3000):
+        raw = bytearray(dealt.choice(whole))
+        for _ in range(dealt.randrange(1, 5)):
+            raw[dealt.choice([dealt.randrange(len(raw)), -dealt.randrange(1, 160), dealt.randrange(8)])] = dealt.choice([0, 255, dealt.randrange(256)])
+        if dealt.random() < 0.2:
+            del raw[dealt.randrange(len(raw)) :]
+        try:
+            assert sum(len(p[-1]) for p in media.pages(bytes(raw))) <= 4096 * len(raw) * 50
+        except media.BROKEN:
+            pass
 
 
 def brute_repeats(words):
@@ -170,7 +216,7 @@ def test_quality_held_out(spark):
 
 
 def test_token_counts(spark, sf, odd, empty):
-    lengths = np.array([len(ids(byte_encoder(), t)) for t in texts(sf).values()])
+    lengths = np.array([len(ids(BYTE_BPE, t)) for t in texts(sf).values()])
     got = queries.op7_token_counts(spark, sf).collect()
     assert {r.length: r.n_docs for r in got} == dict(Counter(lengths.tolist()))
     for r in got:
@@ -208,7 +254,7 @@ def test_token_files(spark, sf, odd, empty):
     got = sorted(queries.op9_token_files(spark, sf).collect())
     at = 0
     for r, doc_id in zip(got, sorted(docs), strict=True):
-        want = ids(word_encoder(), docs[doc_id], 2)
+        want = ids(WORD_BPE, docs[doc_id], 2)
         assert tuple(r) == (doc_id, at, len(want), zlib.crc32(want.tobytes()))
         at += len(want)
     for frame, n in ((odd, len(ROWS)), (empty, 0)):
