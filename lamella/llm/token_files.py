@@ -1,11 +1,12 @@
 """Token files: Parquet list columns in document order, and selective reads of them.
 
-Documents are range-partitioned by doc_id before they are tokenized, so tokens are never shuffled; each part is one
-shard file, in ascending order. Row groups, pages and encodings are set through the writer: ids are dictionary-encoded
-where they fit and page indexes are written, so a reader of few documents, or of lengths alone, skips the rest.
+Documents are tokenized where they are read; their packed ids (two bytes each where the vocabulary allows it) are
+range-partitioned by doc_id, and each part is one shard file, in ascending order. Row groups, pages and encodings are set
+through the writer: ids are dictionary-encoded where they fit and page indexes are written, so a reader of few documents,
+or of lengths alone, skips the rest.
 
 Cases: a null text is an empty one, so its document is the end id alone; null doc_ids come first; rows with equal
-doc_id are ordered by text; an empty table gives files without rows; other columns are ignored.
+doc_id are ordered by a hash of their text; an empty table gives files without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import partitions, rows
+from lamella.llm.common import gathered, materialise, partitions, rows
 from lamella.llm.tokens import WORD_BPE, word_encoder
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -36,32 +37,45 @@ FORMAT = {
 }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: int = 2) -> None:
-    """Writes every document's ids and the end id to `path` in ascending doc_id order."""
+def packed_tokens(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2) -> DataFrame:
+    """doc_id, tie, wide (ids have four bytes, not two) and packed: the ids of a text and the end id."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("wide", pa.bool_()), ("packed", pa.binary())])
 
-    def batch(held: list[tuple], shard: int) -> pa.RecordBatch:
-        ids, starts, lengths, values = zip(*held, strict=True)
-        flat = np.concatenate(values).view("<i4")
-        ends = np.concatenate([[0], np.cumsum(lengths)]).astype("<i4")
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shard] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), lists], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        encoder = word_encoder(tokenizer)
+        wide, end = encoder.size > 1 << 16, np.array([end_id], "<u4").tobytes()
+        for doc_id, tie, text in rows(batches, "doc_id", "tie", "text"):
+            ids = encoder.encode(text or "") + end
+            yield doc_id, tie, wide, ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: len(r[3])), "doc_id long, tie long, wide boolean, packed binary")
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: int = 2, most: int = 1 << 20) -> None:
+    """Writes every document's ids and the end id to `path` in ascending doc_id order, `most` ids at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, start, held, size = word_encoder(tokenizer), TaskContext.get().partitionId(), 0, [], 0
-        end = np.array([end_id], "<u4").tobytes()
-        for doc_id, text in rows(batches, "doc_id", "text"):
-            ids = np.frombuffer(encoder.encode(text or "") + end, "<u4")
-            held.append((doc_id, start, len(ids), ids))
-            start, size = start + len(ids), size + len(ids)
-            if size >= 1 << 20:
-                yield batch(held, shard)
-                held, size = [], 0
-        if held:
-            yield batch(held, shard)
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = slim.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    writer = ordered.mapInArrow(run, SCHEMA).write
+        shard, start = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            packed = batch.column(2).cast(pa.large_binary())
+            ends = np.frombuffer(packed.buffers()[1], "<i8")[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, np.int64)
+            each = 4 if len(packed) and batch.column(1)[0].as_py() else 2
+            ends = ends // each
+            ids = np.frombuffer(packed.buffers()[2] or b"", f"<u{each}")[: ends[-1]]
+            at = 0
+            while at < len(packed):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+                own = ends[at : to + 1]
+                lists = pa.ListArray.from_arrays(pa.array((own - own[0]).astype("<i4")), pa.array(ids[own[0] : own[-1]].astype("<i4")))
+                columns = [batch.column(0).slice(at, to - at), pa.array(np.full(to - at, shard, "<i4")), pa.array(start + own[:-1] - own[0]), pa.array(np.diff(own)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+                start += int(own[-1] - own[0])
+                at = to
+
+    tokens = materialise(packed_tokens(docs, tokenizer, end_id), "packed-tokens")
+    ordered = tokens.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "tie")
+    writer = ordered.select("doc_id", "wide", "packed").mapInArrow(run, SCHEMA).write
     for k, v in FORMAT.items():
         writer = writer.option(k, v)
     writer.parquet(path)
@@ -93,7 +107,7 @@ def checksums(files: DataFrame) -> DataFrame:
         for b in batches:
             lists = b.column(4)
             ends = lists.offsets.to_numpy()
-            values = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            values = memoryview(lists.values.to_numpy(zero_copy_only=False).view("<u4")).cast("B")
             crc = [zlib.crc32(values[4 * p : 4 * q]) for p, q in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], names=["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
