@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import rows
+from lamella.llm.common import materialise, rows
 from lamella.llm.tokens import BYTE_BPE, byte_encoder
 
 
 def length_counts(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """length, n_docs: tasks send their own histograms, Spark adds them up."""
+    """length, n_docs: tasks send their own histograms, Spark adds them up; written, so that texts are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = byte_encoder(tokenizer), {}
@@ -31,7 +31,7 @@ def length_counts(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(x, np.int64)) for x in (seen.keys(), seen.values())], names=["length", "n"])
 
-    return docs.select("text").mapInArrow(run, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return materialise(docs.select("text").mapInArrow(run, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
