@@ -14,6 +14,7 @@ rows; other columns pass through, except `n_lines` and `n_dropped`, which are re
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import BLANKS, gathered, materialise, partitions, rows, shared_path
+from lamella.llm.common import BLANKS, gathered, materialise, partitions, rows, shared_path, unused
 
 KEY = ["h1", "h2"]
 LEAST_ID = -(1 << 63)
@@ -54,19 +55,39 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
 
 
 class LineRuns:
-    """Runs of (h1, h2, n_docs, keeper) in levels, each written sorted by key; keeper is null in rows that only count."""
+    """Runs of (h1, h2, n_docs, keeper) in levels, each written sorted by key; keeper is null in rows that only count.
+
+    With a `root` of its own, the list of runs is written there after every batch, a version each, and LineRuns.open()
+    takes them up again: a later batch, in a later job, meets all that came before.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 3, root: str | None = None) -> None:
+        self.spark, self.fanout, self.root, self.version, self.levels = spark, fanout, root, 0, [[]]
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, fanout: int = 3) -> LineRuns:
+        """The runs of the last version written to `root`: one row a run, and there are few."""
+        own = cls(spark, fanout, root)
+        listed = spark.read.schema("level int, place int, path string, version int").parquet(f"{root}/manifest").collect()
+        own.version = max((r["version"] for r in listed), default=0)
+        for r in sorted((r for r in listed if r["version"] == own.version), key=lambda r: (r["level"], r["place"])):
+            own._put(r["level"], r["path"])
+        return own
+
+    def _put(self, level: int, path: str) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(path)
 
-    def __init__(self, spark: SparkSession, fanout: int = 3) -> None:
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(path)
 
     def _write(self, run: DataFrame, level: int) -> None:
-        path = shared_path(self.spark, f"lines-{level}")
+        path = f"{self.root}/run-{uuid.uuid4().hex}" if self.root else shared_path(self.spark, f"lines-{level}")
         run.repartition(partitions(self.spark), *KEY).sortWithinPartitions(*KEY).write.option("compression", "zstd").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(self.spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(path))
+        self._put(level, path)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._merged(self.levels[level])
+            merged = self._merged([self._read(p) for p in self.levels[level]])
             self.levels[level] = []
             self._write(merged, level + 1)
 
@@ -75,7 +96,7 @@ class LineRuns:
         return functools.reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [self._read(p) for level in self.levels for p in level]
 
     def add(self, batch: DataFrame) -> None:
         """batch: __id, h1, h2."""
@@ -84,12 +105,27 @@ class LineRuns:
             known = functools.reduce(DataFrame.unionByName, runs).where("keeper is not null").select(*KEY, F.lit(True).alias("known"))
             keys = keys.join(known, KEY, "left").select(*KEY, "n_docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper"))
         self._write(keys, 0)
+        if self.root:
+            self.version += 1
+            listed = [(level, i, p) for level, paths in enumerate(self.levels) for i, p in enumerate(paths)]
+            self.spark.createDataFrame(listed, "level int, place int, path string").coalesce(1).write.parquet(f"{self.root}/manifest/version={self.version}")
 
     def totals(self) -> DataFrame:
         return self._merged(self.runs())
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, holders: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+def lost_lines(lines: DataFrame, common: DataFrame, frequent: int) -> DataFrame:
+    """__id, h1, h2 of the lines that go. Keys held by a `frequent`th of all lines or more, so at most `frequent`, are broadcast:
+    theirs are never gathered in one task. The others are joined by key."""
+    total = lines.count()
+    common = materialise(common, "common")
+    often = F.broadcast(common.where(F.col("n_docs") * frequent >= total).select(*KEY, "keeper"))
+    rest = common.where(F.col("n_docs") * frequent < total).select(*KEY, "keeper")
+    gone = lines.join(often, KEY).unionByName(lines.join(often, KEY, "left_anti").join(rest, KEY))
+    return gone.where("__id < keeper").select("__id", *KEY)
+
+
+def dedup_lines(docs: DataFrame, least: int = 20, holders: int = 3, batches: int = 4, fanout: int = 3, frequent: int = 1000) -> DataFrame:
     """docs without the lines whose key `holders` or more documents hold, except in the largest doc_id that holds it."""
     spark = docs.sparkSession
     lines = line_keys(docs, least)
@@ -100,23 +136,24 @@ def dedup_lines(docs: DataFrame, least: int = 20, holders: int = 3, batches: int
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).drop("batch"))
-    common = runs.totals().where(F.col("n_docs") >= holders).select(*KEY, "keeper")
-    gone = lines.join(common, KEY).where("__id < keeper")
-    gone = gone.groupBy("__id").agg(F.collect_set(F.struct(*KEY)).alias("__gone"))
+    common = runs.totals().where(F.col("n_docs") >= holders)
+    gone = lost_lines(lines, common, frequent)
+    own, hashes = unused(docs, "__own"), unused(docs, "__gone")
+    gone = gone.groupBy(F.col("__id").alias(own)).agg(F.collect_set(F.struct(*KEY)).alias(hashes))  # at most a text's own lines
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept, _id().alias("__id")).join(gone, "__id", "left").drop("__id")
-    schema = joined.drop("__gone").withColumn("text", F.lit("")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    joined = docs.select(*kept, _id().alias(own)).join(gone, own, "left").drop(own)
+    schema = joined.drop(hashes).withColumn("text", F.lit("")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts, n_lines, n_dropped = [], [], []
             at = {n: i for i, n in enumerate(frame.schema.names)}
-            for (text, gone) in rows([frame], "text", "__gone"):
+            for text, gone in rows([frame], "text", hashes):
                 lines = (text or "").split("\n")
                 left = lines
                 if gone:
-                    hashes = {(g["h1"], g["h2"]) for g in gone}
-                    left = [x for x in lines if len(k := line_key(x)) < least or key_hash(k) not in hashes]
+                    lost = {(g["h1"], g["h2"]) for g in gone}
+                    left = [x for x in lines if len(k := line_key(x)) < least or key_hash(k) not in lost]
                 texts.append("\n".join(left))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
