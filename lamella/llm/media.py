@@ -2,9 +2,12 @@
 
 The reader takes a binary column and emits one row a page: it follows the chain of directories in either byte order,
 decodes strips or tiles (uncompressed, PackBits, LZW or deflate), undoes the horizontal predictor, and cuts tiles to
-the image. Work is per file, in the tasks that read it; nothing is shuffled.
+the image. Work is per file, in the tasks that read it; nothing is shuffled. Samples of 8, 16 or 32 bits with all
+channels together are read; separate planes, 1, 2 or 4 bits, predictor 3 and 64-bit files are errors.
 
-Cases: a null or unreadable value gives one row with page null and `error` set; a file without pages gives that too;
+Cases: a null or unreadable value gives one row with page null and `error` set, whatever is wrong with it; so does a file
+without pages. Pages before the first bad one are emitted, the error's row comes after them, and later pages are not
+read. No more memory is taken than a page's stored bytes can unpack to: a page that declares more is an error;
 empty texts are one row of zeros when stored; equal bytes give equal rows; other columns pass through under their own
 names (`page`, `width`, `height`, `samples`, `compression`, `data` and `error` are replaced if they were there).
 """
@@ -33,16 +36,19 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END = 256, 257
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, i = [], 0
-    while i < len(data):
+def unpack_bits(data: bytes, most: int) -> bytes:
+    """The bytes of runs and literals, until `most` are there."""
+    out, i, size = [], 0, 0
+    while i < len(data) and size < most:
         n = data[i]
         if n < 128:
             out.append(data[i + 1 : i + 2 + n])
+            size += n + 1
             i += n + 2
         else:
             if n > 128:
                 out.append(data[i + 1 : i + 2] * (257 - n))
+                size += 257 - n
             i += 2 if n > 128 else 1
     return b"".join(out)
 
@@ -66,10 +72,10 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format has it."""
+def unpack_lzw(data: bytes, most: int) -> bytes:
+    """Codes of 9 to 12 bits, high bit first, until `most` bytes are there; the width grows one code early, as the format has it."""
     start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, last, width, held, bits = list(start), [], b"", 9, 0, 0
+    table, out, last, width, held, bits, size = list(start), [], b"", 9, 0, 0, 0
     for byte in data:
         held, bits = (held << 8) | byte, bits + 8
         if bits < width:
@@ -77,17 +83,19 @@ def unpack_lzw(data: bytes) -> bytes:
         bits -= width
         code = held >> bits
         held &= (1 << bits) - 1
-        if code == END:
-            break
         if code == CLEAR:
             table, last, width = list(start), b"", 9
             continue
+        if code == END or size >= most:
+            break
         entry = table[code] if code < len(table) else last + last[:1]
         if last:
-            table.append(last + entry[:1])
+            if len(table) < 1 << 12:
+                table.append(last + entry[:1])
             if len(table) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(entry)
+        size += len(entry)
         last = entry
     return b"".join(out)
 
@@ -130,7 +138,13 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODE = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+DECODE = {NONE: lambda b, most: b, LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
+#: Bytes that one stored byte can unpack to at most: a run of 128 in two; an entry of 4,096 in a code of nine bits; 1,032 in deflate.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 ENCODE = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_bits}
 
 
@@ -145,7 +159,7 @@ def _directories(raw: bytes) -> Iterator[dict[int, tuple]]:
             raise ValueError("directories form a loop")
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", raw, at)
-        found = {"order": order}
+        found: dict = {"order": order}
         for i in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * i)
             if kind not in FIELDS:
@@ -154,37 +168,52 @@ def _directories(raw: bytes) -> Iterator[dict[int, tuple]]:
             place = at + 10 + 12 * i
             if size * count > 4:
                 (place,) = struct.unpack_from(order + "I", raw, place)
-            found[tag] = struct.unpack_from(order + code * count, raw, place)
+            if place + size * count > len(raw):
+                raise ValueError(f"field {tag} lies beyond the file")
+            found[tag] = struct.unpack_from(f"{order}{count * len(code)}{code[0]}", raw, place)
         yield found
         (at,) = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)
 
 
-def _undo_predictor(block: np.ndarray, order: str, bits: int) -> np.ndarray:
+def _undo_predictor(block: np.ndarray) -> np.ndarray:
     """Rows of differences from the sample on the left, per channel (rows x width x channels)."""
-    return np.cumsum(block.astype(np.uint64), axis=1).astype(block.dtype) if bits <= 64 else block
+    return np.cumsum(block.astype(np.uint64), axis=1).astype(block.dtype)
 
 
 def _page(raw: bytes, d: dict[int, tuple]) -> tuple[int, int, int, int, bytes]:
     width, height, channels = d[WIDTH][0], d[HEIGHT][0], d.get(SAMPLES, (1,))[0]
-    bits, how, predictor = d.get(BITS, (1,))[0], d.get(COMPRESSION, (NONE,))[0], d.get(PREDICTOR, (1,))[0]
-    if bits not in (8, 16, 32) or how not in DECODE or predictor not in (1, 2) or d.get(PLANAR, (1,))[0] != 1:
+    bits, how, predictor = max(d.get(BITS, (1,))), d.get(COMPRESSION, (NONE,))[0], d.get(PREDICTOR, (1,))[0]
+    if min(d.get(BITS, (1,))) != bits or bits not in (8, 16, 32) or how not in DECODE or predictor not in (1, 2) or d.get(PLANAR, (1,))[0] != 1:
         raise ValueError(f"unsupported: {bits} bits, compression {how}, predictor {predictor}")
     kind = np.dtype(f"{d['order']}u{bits // 8}")
     tiled = TILE_OFFSETS in d
     w, h = (d[TILE_WIDTH][0], d[TILE_HEIGHT][0]) if tiled else (width, min(height, d.get(ROWS_PER_STRIP, (height,))[0]))
     offsets, counts = (d[TILE_OFFSETS], d[TILE_COUNTS]) if tiled else (d[STRIP_OFFSETS], d[STRIP_COUNTS])
+    if min(width, height, channels, w, h) < 1:
+        raise ValueError("a side or the number of samples is 0")
     across = -(-width // w)
+    if len(offsets) != len(counts) or len(offsets) != across * -(-height // h):
+        raise ValueError("strips or tiles do not fill the page")
+    if any(o + c > len(raw) for o, c in zip(offsets, counts, strict=True)):
+        raise ValueError("a strip or tile lies beyond the file")
+    tall = [h if tiled else min(h, height - i // across * h) for i in range(len(offsets))]
+    sizes = [t * w * channels * kind.itemsize for t in tall]
+    if any(size > GROWTH[how] * c for size, c in zip(sizes, counts, strict=True)):
+        raise ValueError("a strip or tile declares more than it can hold")
     image = np.zeros((height, width, channels), kind)
-    for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
+    for i, (o, c, size) in enumerate(zip(offsets, counts, sizes, strict=True)):
         y, x = i // across * h, i % across * w
-        tall = h if tiled else min(h, height - y)
-        block = np.frombuffer(DECODE[how](raw[o : o + c]), kind, tall * w * channels).reshape(tall, w, channels)
+        block = np.frombuffer(DECODE[how](raw[o : o + c], size), kind, size // kind.itemsize).reshape(tall[i], w, channels)
         if predictor == 2:
-            block = _undo_predictor(block, d["order"], bits)
-        image[y : y + tall, x : x + w] = block[: height - y, : width - x]
+            block = _undo_predictor(block)
+        image[y : y + tall[i], x : x + w] = block[: height - y, : width - x]
     return width, height, channels, how, image.tobytes()
 
 
+#: What reading a broken file can raise.
+BROKEN = (ValueError, LookupError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
+
+
 def pages(raw: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
     """Width, height, channels, compression code and samples of each page of one file."""
     for directory in _directories(raw):
@@ -207,7 +236,7 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
                     n += 1
                 if not n:
                     yield *rest, *[None] * 6, "no page"
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+            except BROKEN as e:
                 yield *rest, *[None] * 6, f"{type(e).__name__}: {e}"[:200]
 
     return df.select(*others, media).mapInArrow(lambda b: gathered(made(b), arrow, lambda r: len(r[-2] or b"")), schema)
@@ -253,21 +282,23 @@ def write_tiff(payload: bytes, width: int = 64, rows_per_page: int = 4096, rows_
     return bytes(out)
 
 
+#: The forms of storage: LZW strips, PackBits strips in the other byte order, deflate strips with differences, deflate tiles.
+FORMS = [
+    {"compression": LZW, "rows_per_page": 1024, "rows_per_strip": 64},
+    {"compression": PACKBITS, "rows_per_page": 1024, "rows_per_strip": 128, "order": ">"},
+    {"compression": DEFLATE, "rows_per_page": 1024, "rows_per_strip": 256, "predictor": 2},
+    {"compression": DEFLATE, "rows_per_page": 256, "tile": 64},
+]
+
+
 def store_text(text: str) -> bytes:
     """A text as a file: UTF-8, zeros up to a positive multiple of 64, one sample a byte, 64 columns.
 
-    Short payloads (to 256 bytes) are LZW strips, those to 4 kB PackBits strips, those to 16 kB deflate strips with the
-    horizontal predictor, and larger ones deflate tiles of 64 x 64 on pages of 256 rows.
+    One of the FORMS, by a checksum of the payload: each takes a quarter of the texts of every size.
     """
     raw = text.encode()
     payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-    if len(payload) <= 256:
-        return write_tiff(payload, compression=LZW, rows_per_strip=2)
-    if len(payload) <= 4096:
-        return write_tiff(payload, compression=PACKBITS, rows_per_strip=16, order=">")
-    if len(payload) <= 16384:
-        return write_tiff(payload, compression=DEFLATE, predictor=2, rows_per_strip=128)
-    return write_tiff(payload, rows_per_page=256, compression=DEFLATE, tile=64)
+    return write_tiff(payload, **FORMS[zlib.crc32(payload) % len(FORMS)])
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
@@ -281,7 +312,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: r[3]), "doc_id long, n_bytes long, media binary, media_bytes long, media_sha256 string")
-    return materialise(found.withColumn("uid", F.monotonically_increasing_id()), "media", compression="none")
+    return materialise(found.withColumn("uid", F.monotonically_increasing_id()), "media")
 
 
 def page_features(paged: DataFrame) -> DataFrame:
