@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted sampling without replacement.
 
-Each document gets an exponential key, -ln(u) / weight, from a hash of its id: within a source the documents in key
+Each document gets an exponential key, -ln(u) / weight, from a hash of its id (of its text where the id is null): within a source the documents in key
 order are a weighted random order. A source's target in words is met by complete epochs over all its documents first;
 the rest is taken in key order by a running sum of sizes, and the document at the edge is cut to fit. DataFrame and
 SQL functions only.
@@ -22,10 +22,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def exponential_key(doc_id: Column, weight: Column, seed: int) -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
-    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    return -F.log(u) / weight
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number above 0 and below 1 by the id; where that is null, by the text."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit("")))))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def source_targets(sized: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
@@ -58,12 +59,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 7, cycle:
     are binned by key into about the square root of their number of bins, so that running sums over bins and inside
     bins both stay small, whatever share of the rows one source has.
     """
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
     if weights is not None:
         slim = slim.join(weights.select(F.col("doc_id").alias("__doc"), "weight"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     else:
         slim = slim.withColumn("weight", F.lit(1.0))
-    sized = materialise(slim.select("doc_id", "source", "size", exponential_key(F.col("doc_id"), F.coalesce("weight", F.lit(1.0)), seed).alias("key")), "sizes")
+    sized = materialise(slim.select("doc_id", "source", "size", (-F.log("u") / F.coalesce("weight", F.lit(1.0))).alias("key")), "sizes")
     targets = source_targets(sized, cycle, most).withColumnRenamed("source", "__source")
     bins = F.ceil(F.sqrt("n_docs"))
     d = sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -92,7 +93,7 @@ ORACLE = """
 WITH sized AS (
   SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          CASE q.quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS w,
-         (CAST('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+         (CAST('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'null ' || md5(coalesce(d.text, '')))), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q USING (doc_id)),
 keyed AS (SELECT *, -ln(u) / w AS k FROM sized),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
