@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes and reads again for the next one.
 All but the last return the columns of documents.
+
+Cases: a null text is an empty one and, like every text of fewer than 20 words, goes in the first stage; null doc_ids are
+kept through all stages, as one document where the text is the same too; of equal rows the near-duplicate stage keeps
+one; a very long text passes whole; further columns pass through all but the last stage, whatever their names; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -34,10 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole epochs, and once more where at least half of a document is taken."""
-    taken = mixing.mix(docs, mixing.quality_weights(labels(spark, sf_dir))).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).cast("int").alias("__times"))
-    joined = docs.join(taken, F.col("doc_id") == F.col("__doc"), "left")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(0), F.coalesce("__times", F.lit(1))) + 1))).where("__copy <= coalesce(__times, 1)").select(*docs.columns)
+    """Documents as often as the mix takes them: whole epochs, and once more where at least half of a document is taken.
+
+    Rows of one doc_id (null ids are one, too) come as often as the one of them that is taken most; documents without
+    words come once."""
+    taken = mixing.mix(docs, mixing.quality_weights(labels(spark, sf_dir)))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    taken = taken.select(F.col("doc_id").alias("own"), times.alias("times")).groupBy("own").agg(F.max("times").alias("times"))
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("own"))).where("times > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
