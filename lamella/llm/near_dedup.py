@@ -175,9 +175,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _with_words(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs with the words of both: moved by the same plan at any size."""
     a = texts.select(F.col("t").alias("a"), F.col("words").alias("wa"))
     b = texts.select(F.col("t").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "wa", "wb")
 
 
 def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
