@@ -10,9 +10,11 @@ one row a chunk. A bucket counts its bigrams, joins them to their occurrences an
 goes on to that word's bucket, where the unigram table is. The number of buckets grows with the corpus, so that a
 bucket's size does not. Words that make up 1/65,000 of the corpus or more (at most 65,000) are broadcast with their
 counts. Pairs of words that each fill a bucket or more could be hot keys: they are counted a chunk at a time, and wait
-in their own chunk until their total counts (of at most 4,000 words by 4,000) are known.
+in their own chunk until their total counts (of at most 1,000 words by 1,000) are known.
 
-Rare words are named by a hash whose width grows with the vocabulary (40 bits below four million words).
+Rare words are named by a hash whose width grows with the vocabulary: in v words less than v * v / 2**(8 * width + 1), so below
+one in a thousand, pairs are expected to share a name (from 2**23 words on, where names reach their full 61 bits, the
+expectation is v * v / 2**62).
 
 Cases: null and empty texts, and those without words, have 0 words, score 0 and a null mean; a null doc_id is kept;
 repeated rows are documents of their own, and evidence for each other; an empty table gives no rows; other columns are
@@ -35,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import WORD, materialise, rows
+from lamella.llm.common import WORD, materialise, partitions, rows
 
 _WORDS = re.compile(WORD)
-HOT_WORDS, TOP_WORDS = 65_000, 4_000
+HOT_WORDS, TOP_WORDS = 65_000, 1_000
 RARE = np.uint64(1 << 62)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,7 +95,8 @@ class Hot:
         self.n = np.array([n for _, n, _ in words], float)
         self.ctx = np.array([c for _, _, c in words], float)
         self.top = int((self.n >= max(bucket_words, total / TOP_WORDS)).sum())
-        self.width = min(7, max(5, math.ceil((2 * math.log2(max(2, vocabulary)) - 4) / 8)))
+        self.width = min(8, max(5, math.ceil((2 * math.log2(max(2, vocabulary)) + 9) / 8)))
+        self.mask = (1 << min(8 * self.width, 61)) - 1
 
     def coder(self) -> Coder:
         return Coder(self)
@@ -104,7 +107,7 @@ class Coder(dict):
 
     def __init__(self, hot: Hot) -> None:
         super().__init__()
-        self.hot, self.mask = hot, (1 << (8 * hot.width)) - 1
+        self.hot, self.mask = hot, hot.mask
 
     def __missing__(self, word: str) -> int:
         h = word_hash(word)
@@ -263,10 +266,10 @@ def joined(pairs: DataFrame, hot: Hot, buckets: int, alpha: float) -> DataFrame:
             made.append((1, int(home[p]), -1, int(q - p), doc[o].astype("<u2").tobytes(), chunk[o].astype("<i8").tobytes(), b[o].view(np.uint8).reshape(-1, 8)[:, : own.width].tobytes()))
         return pd.DataFrame(made, columns=["kind", "bucket", "chunk", "n", "doc", "value", "code"])
 
-    return pairs.groupBy("bucket").applyInPandas(bucket, _SUMS)
+    return pairs.repartition(max(buckets, partitions(pairs.sparkSession)), "bucket").groupBy("bucket").applyInPandas(bucket, _SUMS)
 
 
-def looked_up(asked: DataFrame, counts: DataFrame, hot: Hot, alpha: float) -> DataFrame:
+def looked_up(asked: DataFrame, counts: DataFrame, hot: Hot, buckets: int, alpha: float) -> DataFrame:
     """asked: rare words that a document backs off to; counts: bucket, code, n of rare words."""
     width, total = hot.width, hot.total
 
@@ -284,7 +287,8 @@ def looked_up(asked: DataFrame, counts: DataFrame, hot: Hot, alpha: float) -> Da
         value = np.log(alpha * n[order][np.searchsorted(known[order], code)] / total)
         return pd.DataFrame(_sums(chunk, doc, value), columns=["kind", "bucket", "chunk", "n", "doc", "value", "code"])
 
-    return asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(bucket, _SUMS)
+    n = max(buckets, partitions(asked.sparkSession))
+    return asked.repartition(n, "bucket").groupBy("bucket").cogroup(counts.repartition(n, "bucket").groupBy("bucket")).applyInPandas(bucket, _SUMS)
 
 
 def waiting_counts(met: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +339,7 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, bucket_words: int = 1_0
     hot = Hot([tuple(r) for r in frequent], total, vocabulary, bucket_words)
     buckets = max(8, -(-total // bucket_words))
     met = materialise(joined(sent(docs, hot, buckets, alpha), hot, buckets, alpha), "sums")
-    mask = F.lit((1 << (8 * hot.width)) - 1)
+    mask = F.lit(hot.mask)
     spark = docs.sparkSession
     ranked = spark.createDataFrame([(int(w),) for w in hot.rank], "w long")
     rare = counts.join(F.broadcast(ranked), "w", "left_anti")
@@ -347,7 +351,7 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, bucket_words: int = 1_0
             home = (mixed(code | RARE) >> np.uint64(20)) % np.uint64(buckets)
             yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int64)), b.column(0), b.column(1)], names=["bucket", "code", "n"])
 
-    found = looked_up(met.where("kind = 1"), rare.mapInArrow(homes, "bucket long, code long, n long"), hot, alpha)
+    found = looked_up(met.where("kind = 1"), rare.mapInArrow(homes, "bucket long, code long, n long"), hot, buckets, alpha)
     scored = summed(met.where("kind in (0, 2)").unionByName(found), hot, waiting_counts(met), alpha)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
