@@ -1,25 +1,30 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and voting.
 
-The classifier is fitted on a bounded sample of labelled rows, at most `examples` in hash order. Features are words and
-the starts of words that mark its toxic rows. Inverse document frequencies come from all documents. The sample's rows
-are indexed by feature in blocks of examples with each block's largest weight; a query visits blocks in the order of their upper bound and
-stops where the bound can't reach its k-th neighbour, so the k nearest are exact. Neighbours vote by cosine, and votes
-are calibrated by the examples' own leave-one-out votes.
+The examples are a bounded sample of labelled rows in hash order. Features are all words of the examples, and as extra
+ones the starts and repeats of words that mark toxic rows of a larger, also bounded, training sample. A feature weighs
+(1 + log count) * idf * relevance: inverse document frequencies come from all documents, and relevance is 1 for words that
+tell nothing and grows with the evidence, over the training sample, that a word marks toxic rows.
+
+The examples' unit vectors are indexed by feature in blocks of examples, with each block's largest weight; words that
+many examples have are held as dense columns. A query's bound in every block comes from these; blocks are taken in the
+order of their bounds until none can reach the k-th neighbour, so the k nearest are exact. Neighbours vote by cosine,
+and votes are calibrated by the examples' own leave-one-out votes.
 
 Labels are read from rows whose crc32(doc_id as text) mod 3 is not 1 only; language, source, id and labels are no input
 of a score.
 
-Cases: a null or empty text has no features and gets the rate of toxic examples without features; so does any text
-without them; without labels every score is 0; labels of null doc_ids are ignored and the largest counts if there are
-several; repeated rows are scored each; ties between neighbours go to the lower place in the index; an empty table
-gives no rows; other columns are ignored.
+Cases: a null or empty text, like any text without a word of an example, gets the rate of toxic ones among the
+examples without words, 0 if there are none; without labels every score is 0; labels of null doc_ids are ignored and the largest counts if there are several; repeated rows are
+scored each; ties between neighbours go to the lower place in the index; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +35,11 @@ from lamella.llm.common import gathered, materialise, rows
 
 _WORDS = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6)
-#: A word or start is a feature of its own where it occurs at least so often.
+#: A marking word or start is a feature of its own where it occurs at least so often.
 TIMES = (1, 2, 3)
 BLOCK = 64
+#: A feature that one in so many examples has is a dense column of the index.
+FREQUENT = 25
 
 
 def features_of(word: str) -> list[str]:
@@ -56,15 +63,16 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, examples: int, seed: int) -> DataFrame:
     """doc_id, text, toxic of at most `examples` labelled ids that may be learned from, in hash order.
 
-    The ids (16 bytes each, a bounded number) are broadcast, so that no text is shuffled.
+    The ids (16 bytes each, a bounded number) are broadcast, so that only these texts are moved; an id in several rows
+    gives one row, with the least of its texts.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(examples)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def choose_features(train: DataFrame, most: int, least: int = 4, lift: float = 3.0) -> list[str]:
-    """The `most` features that mark toxic rows best (log-likelihood ratio), counted over the training rows."""
+def feature_counts(train: DataFrame) -> DataFrame:
+    """feature, n, toxic: in how many of the training rows, and of its toxic ones, each feature is."""
     schema = pa.schema([("feature", pa.string()), ("n", pa.int64()), ("toxic", pa.int64())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -80,53 +88,88 @@ def choose_features(train: DataFrame, most: int, least: int = 4, lift: float = 3
         yield from ((k, *v) for k, v in tally.items())
 
     counts = train.select("text", "toxic").mapInArrow(lambda b: gathered(made(b), schema, lambda r: 40), "feature string, n long, toxic long")
-    counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    total, bad = train.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
-    if not bad or bad == total:
+    return counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def relevance(n: Column, toxic: Column, rows_: int, bad: int, boost: float = 8.0, doubt: float = 10.0) -> Column:
+    """1 and more: the logarithm of how much likelier a feature is in toxic rows, less where few of them have it."""
+    odds = F.log((toxic + 0.5) / F.lit(bad + 1.0)) - F.log((n - toxic + 0.5) / F.lit(rows_ - bad + 1.0))
+    return 1 + boost * F.greatest(F.lit(0.0), odds) * F.pow(toxic / (toxic + doubt), 2)
+
+
+def choose_features(counts: DataFrame, words: DataFrame, rows_: int, bad: int, most: int, least: int = 4, lift: float = 3.0) -> list[tuple[str, float]]:
+    """Features and their relevance: all of `words`, and the `most` others that mark toxic rows best (log-likelihood ratio)."""
+    if not bad or bad == rows_:
         return []
-    p = bad / total
+    p = bad / rows_
     part = lambda k, n, q: F.when(k > 0, k * F.log(k / (n * F.lit(q)))).otherwise(0.0)
     score = part(F.col("toxic"), F.col("n"), p) + part(F.col("n") - F.col("toxic"), F.col("n"), 1 - p)
-    marked = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= lift * p * F.col("n")) & (F.col("toxic") * 2 >= F.col("n")))
-    return [r[0] for r in marked.select("feature", score.alias("score")).orderBy(F.desc("score"), "feature").limit(most).collect()]
+    named = counts.select("feature", "n", "toxic", relevance(F.col("n"), F.col("toxic"), rows_, bad).alias("relevance"))
+    marked = named.where((F.col("toxic") >= least) & (F.col("toxic") >= lift * p * F.col("n")) & (F.col("toxic") * 2 >= F.col("n")))
+    marked = marked.withColumn("score", score).orderBy(F.desc("score"), "feature").limit(most).select("feature", "relevance")
+    found = named.join(words, "feature").select("feature", "relevance").unionByName(marked).distinct().collect()  # of bounded size: the examples' words
+    return sorted(map(tuple, found))
+
+
+def example_words(examples: DataFrame) -> DataFrame:
+    """feature: each word of the examples."""
+    schema = pa.schema([("feature", pa.string())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (text,) in rows(batches, "text"):
+            yield from ((f"{w}#1",) for w in set(_WORDS.findall((text or "").lower())))
+
+    return examples.select("text").mapInArrow(lambda b: gathered(made(b), schema, lambda r: 20), "feature string").distinct()
 
 
 class Reader:
-    """Texts as rows of feature numbers and counts; a word is looked up once a worker."""
+    """Texts as feature numbers and counts; a word is looked up once a worker."""
 
-    def __init__(self, features: list[str]) -> None:
-        self.numbers: dict[str, list[tuple[int, int]]] = {}
+    def __init__(self, features: Sequence[str]) -> None:
+        names: dict[str, list[tuple[int, int]]] = {}
         for i, f in enumerate(features):
             name, _, times = f.rpartition("#")
-            self.numbers.setdefault(name, []).append((int(times), i))
-        self.words: dict[str, tuple[str, ...]] = {}
-
-    def counts(self, text: str) -> dict[int, int]:
+            names.setdefault(name, []).append((int(times), i))
+        #: Features that need a count of their name, which several words can share; the others are the word alone.
+        self.counted = {f: v for f, v in names.items() if f.endswith("*") or len(v) > 1 or v[0][0] > 1}
+        self.plain = {f: v[0][1] for f, v in names.items() if f not in self.counted}
+        self.heads = {f[: STARTS[0]] for f in self.counted}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the features of a text, and how often each is there."""
+        words = Counter(_WORDS.findall(text.lower()))
+        plain, heads, head = self.plain, self.heads, STARTS[0]
+        known = [w for w in words if w in plain]
+        ids, often = [plain[w] for w in known], [words[w] for w in known]
         seen: dict[str, int] = {}
-        for w in _WORDS.findall(text.lower()):
-            found = self.words.get(w)
-            if found is None:
-                found = tuple(f for f in features_of(w) if f in self.numbers)
-                if len(self.words) < 500_000:
-                    self.words[w] = found
-            for f in found:
-                seen[f] = seen.get(f, 0) + 1
-        return {i: n for f, n in seen.items() for times, i in self.numbers[f] if n >= times}
-
-
-def document_frequencies(docs: DataFrame, features: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature is, and their number: a task sends a row a feature at most."""
+        for w in words:
+            if w[:head] in heads:
+                for f in features_of(w):
+                    if f in self.counted:
+                        seen[f] = seen.get(f, 0) + words[w]
+        for f, n in seen.items():
+            for times, i in self.counted[f]:
+                if n >= times:
+                    ids.append(i)
+                    often.append(n)
+        ids, often = np.array(ids, np.int64), np.array(often, np.int64)
+        order = np.argsort(ids)
+        return ids[order], often[order]
+
+
+def document_frequencies(docs: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each feature is, and their number: a task sends a row a feature that it saw at most."""
     if not features:
         return np.zeros(0), 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, tally, n = Reader(features), np.zeros(len(features) + 1, np.int64), 0
         for (text,) in rows(batches, "text"):
-            found = reader.counts(text or "")
-            tally[list(found)] += 1
+            tally[reader.counts(text or "")[0]] += 1
             n += 1
         tally[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tally))), pa.array(tally)], names=["f", "n"])
+        there = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(tally[there])], names=["f", "n"])
 
     found = docs.select("text").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(features) + 1)
@@ -136,61 +179,96 @@ def document_frequencies(docs: DataFrame, features: list[str]) -> tuple[np.ndarr
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples, by feature in blocks of BLOCK examples, with each block's largest weight."""
+    """Unit vectors of the examples by feature, in blocks of BLOCK examples, with each block's largest weight."""
 
-    def __init__(self, features: list[str], df: np.ndarray, n: int) -> None:
+    def __init__(self, features: Sequence[str], factor: np.ndarray, df: np.ndarray, n: int) -> None:
         self.features = features
-        self.idf = np.log((1 + n) / (1 + df)) + 1 if len(features) else np.zeros(0)
-        self.k, self.blocks, self.bounds, self.toxic, self.base, self.curve = 1, [], np.zeros((len(features), 0)), np.zeros(0), 0.0, (np.zeros(1), np.zeros(1))
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in ids])) * self.idf[ids] if len(ids) else np.zeros(0)
-        return ids, w / np.linalg.norm(w) if len(ids) else w
-
-    def fit(self, examples: list[tuple[dict[int, int], int]], k: int, smooth: float) -> None:
-        marked = sorted(((sorted(c), c, y) for c, y in examples if c), key=lambda e: (e[0], e[2]))  # alike examples share blocks
-        bare = [y for c, y in examples if not c]
-        self.k = k
-        self.smooth = smooth
-        self.rate = float(np.mean([y for _, y in examples])) if examples else 0.0
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * factor if len(features) else np.zeros(0)
+        self.k, self.smooth, self.toxic, self.rate, self.base, self.curve = 1, 0.0, np.zeros(0), 0.0, 0.0, (np.zeros(1), np.zeros(1))
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.idf[ids]
+        return w / np.linalg.norm(w) if len(w) else w
+
+    def fit(self, examples: list[tuple[np.ndarray, np.ndarray, int]], k: int, smooth: float) -> None:
+        self.k, self.smooth = k, smooth
+        self.rate = float(np.mean([y for *_, y in examples])) if examples else 0.0
+        bare = [y for i, _, y in examples if not len(i)]
         self.base = float(np.mean(bare)) if bare else 0.0
-        self.toxic = np.array([y for *_, y in marked], float)
-        vectors = [self.vector(c) for _, c, _ in marked]
-        n_blocks = -(-len(vectors) // BLOCK)
-        self.bounds = np.zeros((len(self.features), n_blocks))
-        for b in range(n_blocks):
-            own = vectors[b * BLOCK : (b + 1) * BLOCK]
-            ids = np.concatenate([v[0] for v in own])
-            weights = np.concatenate([v[1] for v in own])
-            place = np.repeat(np.arange(len(own)), [len(v[0]) for v in own])
-            np.maximum.at(self.bounds[:, b], ids, weights)
-            order = np.lexsort((place, ids))  # postings: by feature, then example
-            self.blocks.append((ids[order], place[order], weights[order], len(own)))
-        votes = np.array([self.vote(*v, skip=i) for i, v in enumerate(vectors)])
+        vectors = [(i, self.vector(i, c), y) for i, c, y in examples if len(i)]
+        vectors.sort(key=lambda v: (int(v[0][np.argmax(v[1])]), v[2]))  # alike examples share blocks
+        self.toxic = np.array([y for *_, y in vectors], float)
+        n, size = len(vectors), len(self.features)
+        ids = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
+        place = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else ids
+        weight = np.concatenate([v[1] for v in vectors]).astype(np.float32) if n else np.zeros(0, np.float32)
+        often = np.bincount(ids, minlength=size) * FREQUENT >= max(n, 2 * FREQUENT)
+        self.column = np.full(size, -1)
+        self.column[often] = np.arange(often.sum())
+        self.dense = np.zeros((int(often.sum()), n), np.float32)
+        dense = often[ids]
+        self.dense[self.column[ids[dense]], place[dense]] = weight[dense]
+        order = np.flatnonzero(~dense)
+        order = order[np.lexsort((place[order], ids[order]))]  # postings: by feature, then example
+        self.place, self.weight = place[order].astype(np.int32), weight[order]
+        self.starts = np.searchsorted(ids[order], np.arange(size + 1)).astype(np.int32)
+        self.blocks = -(-n // BLOCK)
+        block = place // BLOCK
+        order = np.lexsort((block, ids))
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(block[order]) != 0)])) if len(order) else np.zeros(0, np.int64)
+        self.bound_block = block[order[edge]].astype(np.int32)
+        self.bound = np.maximum.reduceat(weight[order], edge) if len(edge) else np.zeros(0, np.float32)
+        self.bound_starts = np.searchsorted(ids[order[edge]], np.arange(size + 1)).astype(np.int32)
+        votes = np.concatenate([self.votes(*self.nearest([v[:2] for v in vectors[at : at + 256]], list(range(at, min(at + 256, n))))) for at in range(0, n, 256)]) if n else np.zeros(0)
         self.curve = self.calibration(votes, self.toxic)
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a feature in common."""
-        bounds = weights @ self.bounds[ids]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        query = np.zeros(len(self.features))
-        query[ids] = weights
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == self.k and bounds[b] < best[-1] - 1e-12):
-                break
-            features, place, w, size = self.blocks[b]
-            cosine = np.bincount(place, weights=query[features] * w, minlength=size)
-            at = np.flatnonzero(cosine > 0)
-            at = at[at + b * BLOCK != skip]
-            best_at, best = np.concatenate([best_at, at + b * BLOCK]), np.concatenate([best, cosine[at]])
-            order = np.lexsort((best_at, -np.round(best, 12)))[: self.k]
-            best_at, best = best_at[order], best[order]
+    @staticmethod
+    def _spread(starts: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every posting that a query's features have: its place in the lists, the query's number and its weight."""
+        ids = np.concatenate([q[0] for q in queries])
+        weights = np.concatenate([q[1] for q in queries])
+        number = np.repeat(np.arange(len(queries)), [len(q[0]) for q in queries])
+        length = (starts[ids + 1] - starts[ids]).astype(np.int64)
+        at = np.repeat(starts[ids] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        return at, np.repeat(number, length), np.repeat(weights, length)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (-1: none) and cosines of the k nearest examples of each query that share a feature with it: one row a query.
+
+        queries: feature numbers and weights of a unit vector; skip: a place that does not count, for each.
+        """
+        q, n, nb = len(queries), len(self.toxic), self.blocks
+        best_at, best = np.full((q, self.k), -1), np.zeros((q, self.k))
+        if not n or not q:
+            return best_at, best
+        at, number, w = self._spread(self.bound_starts, queries)
+        bounds = np.bincount(number * nb + self.bound_block[at], w * self.bound[at], q * nb).reshape(q, nb) * (1 + 1e-5)
+        at, number, w = self._spread(self.starts, queries)
+        cosine = np.bincount(number * n + self.place[at], w * self.weight[at], q * n).reshape(q, n)
+        query = np.zeros((q, len(self.dense)), np.float32)
+        for i, (ids, weights) in enumerate(queries):
+            own = self.column[ids]
+            query[i, own[own >= 0]] = weights[own >= 0]
+        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
+            asks = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best[:, -1]))
+            if not len(asks):
+                continue
+            lo, hi = b * BLOCK, min((b + 1) * BLOCK, n)
+            asked = query if len(asks) == q else query[asks]
+            found = np.round(cosine[asks, lo:hi] + asked @ self.dense[:, lo:hi], 6)
+            if skip is not None:
+                found[np.array(skip)[asks, None] == np.arange(lo, hi)] = 0
+            better = np.flatnonzero((found > 0).any(axis=1) & (found.max(axis=1) >= best[asks, -1]))
+            asks, found = asks[better], found[better]
+            both = np.concatenate([best[asks], found], axis=1)
+            where = np.concatenate([best_at[asks], np.where(found > 0, np.arange(lo, hi), -1)], axis=1)
+            order = np.lexsort((where, -both), axis=1)[:, : self.k]
+            best[asks], best_at[asks] = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)
         return best_at, best
 
-    def vote(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> float:
-        at, cosine = self.nearest(ids, weights, skip)
-        return (cosine @ self.toxic[at] + self.smooth * self.rate) / (cosine.sum() + self.smooth)
+    def votes(self, at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        toxic = np.where(at >= 0, self.toxic[at] if len(self.toxic) else 0.0, 0.0)
+        return ((cosine * toxic).sum(axis=1) + self.smooth * self.rate) / (cosine.sum(axis=1) + self.smooth)
 
     @staticmethod
     def calibration(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,49 +286,52 @@ class Index:
         rate = [r for p in pools for r in [(p[0] + 0.5) / (p[1] + 1)] * 2]
         return np.array(x), np.array(rate)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, float]]]:
-        """The calibrated score, and the evidence: features that marked the text, with the neighbours' cosines and labels."""
-        if not counts or not len(self.toxic):
-            return self.base, []
-        ids, weights = self.vector(counts)
-        at, cosine = self.nearest(ids, weights)
-        if not len(at):
-            return self.base, []
-        vote = (cosine @ self.toxic[at] + self.smooth * self.rate) / (cosine.sum() + self.smooth)
-        return float(np.interp(vote, *self.curve)), [(int(i), float(c), float(self.toxic[i])) for i, c in zip(at, cosine, strict=True)]
-
-
-def learn(docs: DataFrame, labels: DataFrame, examples: int = 20_000, features: int = 2000, k: int = 15, smooth: float = 0.5, seed: int = 3) -> Index:
-    """The index of at most `examples` labelled rows; document frequencies cover all rows."""
-    train = materialise(training_rows(docs, labels, examples, seed), "toxic-training")
-    chosen = choose_features(train, features)
-    index = Index(chosen, *document_frequencies(docs, chosen))
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated scores of texts, given as feature numbers and counts, with their neighbours' places and cosines."""
+        at, cosine = self.nearest([(i, self.vector(i, c)) for i, c in queries])
+        if not len(self.toxic):
+            return np.full(len(queries), self.base), at, cosine
+        found = np.interp(self.votes(at, cosine), *self.curve)
+        return np.clip(np.where(at[:, 0] >= 0, found, self.base), 0.0, 1.0), at, cosine
+
+
+def learn(docs: DataFrame, labels: DataFrame, training: int = 20_000, examples: int = 4096, features: int = 2000, k: int = 15, smooth: float = 0.5, seed: int = 3) -> Index:
+    """The index of at most `examples` labelled rows, with relevance from at most `training`; document frequencies cover all rows."""
+    train = materialise(training_rows(docs, labels, training, seed), "toxic-training")
+    rows_, bad = train.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
+    taken = train.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").select("doc_id").limit(examples)
+    own = materialise(train.join(F.broadcast(taken.distinct()), "doc_id").select("text", "toxic"), "toxic-examples")
+    chosen = choose_features(feature_counts(train), example_words(own), rows_, bad, features)
+    names = [f for f, _ in chosen]
+    index = Index(names, np.array([r for _, r in chosen]), *document_frequencies(docs, names))
     schema = pa.schema([("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("toxic", pa.int32())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        reader = Reader(chosen)
+        reader = Reader(names)
         for text, toxic in rows(batches, "text", "toxic"):
-            found = reader.counts(text or "")
-            yield list(found), list(found.values()), int(bool(toxic))
+            yield *reader.counts(text or ""), int(bool(toxic))
 
-    taken = train.select("text", "toxic").mapInArrow(lambda b: gathered(made(b), schema, lambda r: 60), "ids array<int>, counts array<int>, toxic int").collect()
-    index.fit(sorted(((dict(zip(r["ids"], r["counts"], strict=True)), r["toxic"]) for r in taken), key=str), k, smooth)
+    found = own.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 60), "ids array<int>, counts array<int>, toxic int").collect()  # of bounded size: the examples
+    index.fit(sorted(((np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["toxic"]) for r in found), key=lambda e: (e[0].tobytes(), e[1].tobytes(), e[2])), k, smooth)
     return index
 
 
 def score_texts(docs: DataFrame, index: Index, strict: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (the features found and the mean cosine and label of neighbours)."""
+    """doc_id, held_out, score, predicted, evidence (the features that weigh most, neighbours with their cosines, toxic ones)."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.string())])
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # of bounded size: features x examples / BLOCK, and examples
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # of bounded size: the examples' words
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own = shared.value
         reader = Reader(own.features)
-        for doc_id, text in rows(batches, "doc_id", "text"):
-            counts = reader.counts(text or "")
-            score, near = own.score(counts)
-            seen = ",".join(own.features[f] for f in sorted(counts)[:8])
-            yield doc_id, min(1.0, max(0.0, score)), f"{seen};neighbours={len(near)};toxic={int(sum(n[2] for n in near))}" if near else ""
+        for some in itertools.batched(rows(batches, "doc_id", "text"), 128):
+            queries = [reader.counts(text or "") for _, text in some]
+            scores, at, cosine = own.scores(queries)
+            for (doc_id, _), (ids, counts), score, near, c in zip(some, queries, scores.tolist(), at, cosine, strict=True):
+                n = int((near >= 0).sum())
+                top = ids[np.argsort(-(1 + np.log(counts)) * own.idf[ids], kind="stable")[:3]]
+                seen = ",".join(own.features[f] for f in top)
+                yield doc_id, score, f"{seen};neighbours={n};nearest={c[0]:.3f};toxic={int(own.toxic[near[:n]].sum())}" if n else ""
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 100), "doc_id long, score double, evidence string")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -207,26 +208,73 @@ def test_scores_oracle(spark):
     assert want.astype(str).equals(got.astype(str))
 
 
+def dense_votes(index, examples, asked, k, smooth, same):
+    """Votes by plain cosines with all examples, in the index's order; `same`: asked are the examples, each without itself."""
+    size = len(index.features)
+
+    def unit(c):
+        v = np.zeros(size)
+        for f, n in zip(*c):
+            v[f] = (1 + math.log(n)) * index.idf[f]
+        return v / (np.linalg.norm(v) or 1)
+
+    own = sorted(((unit(e[:2]), e) for e in examples if len(e[0])), key=lambda x: (int(x[1][0][np.argmax(index.vector(*x[1][:2]))]), x[1][2]))
+    matrix = np.array([v for v, _ in own])
+    toxic = np.array([e[2] for _, e in own], float)
+    out = []
+    for i, c in enumerate([e[:2] for _, e in own] if same else asked):
+        cosine = np.round(matrix @ unit(c), 6)
+        if same:
+            cosine[i] = 0
+        at = np.lexsort((np.arange(len(cosine)), -cosine))[:k]
+        at = at[cosine[at] > 0]
+        out.append(((cosine[at] @ toxic[at] + smooth * index.rate) / (cosine[at].sum() + smooth), np.sort(cosine[at])[::-1]))
+    return out
+
+
 def test_nearest_is_exact():
+    """Cosines of the k nearest, with dense and listed features, many blocks, and votes, equal those of plain vectors."""
     rng = random.Random(1)
-    names = [f"f{i}#1" for i in range(60)]
-    index = toxicity.Index(names, np.arange(60) + 1.0, 1000)
-    examples = [({f: rng.randrange(1, 4) for f in rng.sample(range(60), rng.randrange(0, 9))}, rng.randrange(2)) for _ in range(700)]
+    some = lambda most: sorted(rng.sample(range(300), rng.randrange(0, most)))
+    examples = []
+    for _ in range(700):
+        ids = sorted(set(some(12)) | {f for f in range(6) if rng.random() < 0.5})
+        examples.append((np.array(ids, np.int64), np.array([rng.randrange(1, 4) for _ in ids], np.int64), rng.randrange(2)))
+    index = toxicity.Index([f"f{i}#1" for i in range(300)], np.array([1.0 + (i % 7 == 0) * 5 for i in range(300)]), np.arange(300) + 1.0, 1000)
     index.fit(examples, 7, 0.5)
-    marked = sorted(((sorted(c), c, y) for c, y in examples if c), key=lambda e: (e[0], e[2]))
-    dense = np.zeros((len(marked), 60))
-    for i, (_, c, _) in enumerate(marked):
-        ids, w = index.vector(c)
-        dense[i, ids] = w
-    for c, _ in examples[:200]:
-        if c:
-            ids, w = index.vector(c)
-            q = np.zeros(60)
-            q[ids] = w
-            want = np.sort((dense @ q)[dense @ q > 0])[::-1][:7]
-            at, got = index.nearest(ids, w)
-            assert np.allclose(got, want)
-            assert np.allclose((dense @ q)[at], got)
+    assert 0 < len(index.dense) < 300 and index.blocks > 8
+    asked = [e[:2] for e in examples if len(e[0])][:300]
+    at, cosine = index.nearest([(i, index.vector(i, c)) for i, c in asked])
+    got = index.votes(at, cosine)
+    for i, (vote, want) in enumerate(dense_votes(index, examples, asked, 7, 0.5, False)):
+        assert np.allclose(cosine[i][: len(want)], want, atol=3e-6)
+        assert len(want) == (at[i] >= 0).sum()
+
+
+def test_toxicity_brute_force(spark, sf):
+    """Scores of the whole table by plain dense vectors over the same examples."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {d: y for d, y in duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall() if zlib.crc32(str(d).encode()) % 3 != 1}
+    texts = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    index = toxicity.learn(docs, labels)
+    reader = toxicity.Reader(index.features)
+    words = {d: set(re.findall(r"[^\W\d_]+", (t or "").lower())) for d, t in texts.items()}
+    known = set().union(*(words[d] for d in truth if d in words))
+    assert known == {f.removesuffix("#1") for f in index.features if f.endswith("#1") and "*" not in f}
+    for f in random.Random(3).sample(sorted(known), 60):
+        i = index.features.index(f"{f}#1")
+        share = (1 + len(texts)) / (1 + sum(f in w for w in words.values()))
+        assert index.idf[i] >= math.log(share) + 1 - 1e-9  # relevance is 1 or more
+    examples = sorted(((*reader.counts(texts[d] or ""), y) for d, y in truth.items() if d in texts), key=lambda e: (e[0].tobytes(), e[1].tobytes(), e[2]))
+    own = np.array([v for v, _ in dense_votes(index, examples, [], index.k, index.smooth, True)])
+    order = sorted(((index.vector(*e[:2]), e) for e in examples if len(e[0])), key=lambda x: (int(x[1][0][np.argmax(x[0])]), x[1][2]))
+    curve = index.calibration(own, np.array([e[2] for _, e in order], float))
+    asked = {d: reader.counts(t or "") for d, t in texts.items()}
+    votes = dict(zip(asked, dense_votes(index, examples, list(asked.values()), index.k, index.smooth, False)))
+    got = {r.doc_id: r.score for r in queries.op10_toxicity(spark, sf).collect()}
+    for d, (vote, near) in votes.items():
+        want = float(np.clip(np.interp(vote, *curve), 0, 1)) if len(near) else index.base
+        assert got[d] == pytest.approx(want, abs=2e-3), d
 
 
 def test_toxicity_held_out(spark):
