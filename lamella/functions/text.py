@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import html as html_names
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
-#: The entities that are unescaped.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Every HTML entity, by name or number, as its character: the JVM has no function for the names."""
+    return text.map(html_names.unescape, na_action="ignore")
 
 
 def normalize_text(*parts: Column) -> Column:
@@ -19,17 +26,15 @@ def separators_to_blanks(text: Column) -> Column:
 
 
 def clean_fragment(html: Column) -> Column:
-    """A fragment without tags, entities unescaped and white space squeezed."""
-    out = F.regexp_replace(html, "<[^>]*>", " ")
-    for k, v in ENTITIES.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """A fragment with entities unescaped, then without tags, white space squeezed; null if nothing is left."""
+    out = F.regexp_replace(unescaped(html), "<[^>]+>", " ")
+    return F.nullif(F.trim(F.regexp_replace(out, "(?U)[\\s\\x1c-\\x1f]+", " ")), F.lit(""))
 
 
 def evidence_text(*parts: Column, most: int = 4000) -> Column:
-    """Clean parts that aren't empty, joined by ' ; ' and cut."""
-    cleaned = F.filter(F.array(*[clean_fragment(p) for p in parts]), lambda x: x.isNotNull() & (x != ""))
-    return F.left(F.array_join(cleaned, " ; "), F.lit(most))
+    """Clean parts that aren't empty, joined by ' ; ' and cut; null if there are none."""
+    cleaned = F.array_compact(F.array(*[clean_fragment(p) for p in parts]))
+    return F.nullif(F.left(F.array_join(cleaned, " ; "), F.lit(most)), F.lit(""))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.numbers import finite, ratio
+from lamella.operators.spatial import run_overlap, run_union
 
 PI = 3.141592653589793
 
@@ -54,15 +55,23 @@ def density(objects: DataFrame, image: str, areas: DataFrame) -> DataFrame:
     return areas.join(n, image, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("density", ratio(F.col("n").cast("double"), F.col("area_um2")))
 
 
-def compartment_areas(runs: DataFrame, image: str, tissue: str, nm: float | None = None) -> DataFrame:
-    """Area and share of tissue of each label's runs (image, label, y, x0, x1), with cytoplasm as tissue less the rest."""
-    a = runs.groupBy(image, "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
-    t = a.where(F.col("label") == tissue).select(image, F.col("area").alias("tissue_area"))
-    rest = a.where(F.col("label") != tissue).groupBy(image).agg(F.sum("area").alias("inner"))
-    cyto = t.join(rest, image, "left").select(image, F.lit("cytoplasm").alias("label"), (F.col("tissue_area") - F.coalesce("inner", F.lit(0))).alias("area"))
-    d = a.unionByName(cyto).join(t, image, "left")
-    um2 = F.col("area") * (nm / 1000) ** 2 if nm else F.lit(None).cast("double")
-    return d.select(image, "label", "area", ratio(F.col("area").cast("double"), F.col("tissue_area")).alias("fraction"), um2.alias("area_um2"))
+def compartment_areas(runs: DataFrame, image: str, tissue: str, nm: float | None = None, nucleus: str = "nucleus", cytoplasm: str = "cytoplasm") -> DataFrame:
+    """image, label, area, fraction, area_um2: each label's runs (image, label, y, x0, x1) inside the tissue, and its share of it.
+
+    Where there is a nucleus and no cytoplasm, that is the tissue without the nucleus. Shares are 0 where there is no
+    tissue; without a positive pixel size there are no micron areas.
+    """
+    merged = run_union(runs, [image, "label"])
+    t = merged.where(F.col("label") == tissue)
+    total = t.groupBy(image).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    inner = run_overlap(merged.where(F.col("label") != tissue), t, [image]).select(image, F.col("a_label").alias("label"), F.col("shared").alias("area"))
+    every = runs.select(image, "label").distinct()
+    d = every.join(inner.unionByName(total.select(image, F.lit(tissue).alias("label"), "area")), [image, "label"], "left").withColumn("area", F.coalesce("area", F.lit(0)))
+    d = d.join(total.withColumnRenamed("area", "total"), image, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    cored = d.groupBy(image).agg(F.max(F.when(F.col("label") == nucleus, F.col("area"))).alias("core"), F.max("total").alias("total"), F.bool_or(F.col("label") == cytoplasm).alias("own"))
+    rest = cored.where("core is not null and not own").select(image, F.lit(cytoplasm).alias("label"), (F.col("total") - F.col("core")).alias("area"), "total")
+    um2 = F.col("area") * (nm / 1000) ** 2 if nm and nm > 0 else F.lit(None).cast("double")
+    return d.unionByName(rest).select(image, "label", "area", F.coalesce(ratio(F.col("area").cast("double"), F.col("total")), F.lit(0.0)).alias("fraction"), um2.alias("area_um2"))
 
 
 def assign_points(points: DataFrame, runs: DataFrame, image: str, width: int = 256) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.numbers import ratio
 from lamella.operators.rounds import persist
+from lamella.operators.spatial import nearest
 
 
 def confusion(df: DataFrame, keys: list[str], pred: Column, truth: Column, both_empty: str = "one", smooth: float = 0.0) -> DataFrame:
@@ -35,8 +36,8 @@ def instance_pairs(cont: DataFrame) -> DataFrame:
     return cont.where("p <> 0 and g <> 0").withColumn("iou", F.col("n") / (F.col("area_p") + F.col("area_g") - F.col("n")))
 
 
-def mutual_best(pairs: DataFrame, keys: list[str], threshold: float, rounds: int = 20) -> DataFrame:
-    """One-to-one matches by falling overlap: pairs that are best for both sides match, their rivals go, and so on.
+def mutual_best(pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """One-to-one matches by falling overlap: pairs that are best for both sides match, their rivals go, until none is left.
 
     Above 0.5 pairs are unique by themselves. Equal to the greedy order, with ties broken by ids.
     """
@@ -44,15 +45,16 @@ def mutual_best(pairs: DataFrame, keys: list[str], threshold: float, rounds: int
     if threshold > 0.5:
         return live
     order = [F.desc("iou"), F.asc("p"), F.asc("g")]
-    out = None
-    for _ in range(rounds):
+    out, done = None, 0
+    while True:
         ranked = live.withColumn("rp", F.row_number().over(Window.partitionBy(*keys, "p").orderBy(*order))).withColumn("rg", F.row_number().over(Window.partitionBy(*keys, "g").orderBy(*order)))
         won = persist(ranked.where("rp = 1 and rg = 1").drop("rp", "rg"))
         out = won if out is None else out.unionByName(won)
         live = persist(live.join(won.select(*keys, "p"), [*keys, "p"], "left_anti").join(won.select(*keys, "g"), [*keys, "g"], "left_anti"))
         if live.isEmpty():
-            break
-    return out
+            return out
+        done += 1
+        out = out if done % 20 else persist(out)
 
 
 def panoptic(cont: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
@@ -136,8 +138,8 @@ def set_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg((F.count_if((F.col("a") == 1) & (F.col("b") == 1)) / F.count("*")).alias("iou"))
 
 
-def boundary_f1(pred: DataFrame, truth: DataFrame, image: str, tolerance: float) -> DataFrame:
-    """image, precision, recall, f1 of boundary pixels within a tolerance of the other side's boundary; 1 where both are empty."""
+def boundary_f1(pred: DataFrame, truth: DataFrame, images: DataFrame, image: str, tolerance: float) -> DataFrame:
+    """image, precision, recall, f1 of boundary pixels within a tolerance of the other side's boundary, for every one of `images`; 1 where both sides are empty."""
     side = lambda df: boundary_pixels(df, [image]).select(image, F.struct(image, "x", "y").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     p, t = side(pred), side(truth)
 
@@ -150,14 +152,24 @@ def boundary_f1(pred: DataFrame, truth: DataFrame, image: str, tolerance: float)
         hits = hits.where((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= tolerance**2).select("point_id").distinct()
         return a.join(hits.withColumn("hit", F.lit(1)), "point_id", "left").groupBy(image).agg((F.count("hit") / F.count("*")).alias(name))
 
-    d = share(p, t, "precision").join(share(t, p, "recall"), image, "full")
-    d = d.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall")})
+    d = images.select(image).distinct().join(share(p, t, "precision"), image, "left").join(share(t, p, "recall"), image, "left")
+    empty = F.when(F.col("precision").isNull() & F.col("recall").isNull(), 1.0).otherwise(0.0)
+    d = d.select(image, *[F.coalesce(c, empty).alias(c) for c in ("precision", "recall")])
     return d.withColumn("f1", F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def hd95(distances: DataFrame, image: str) -> DataFrame:
-    """image, hd95: the larger of both sides' 95th percentile of boundary distances (image, side, distance)."""
-    return distances.groupBy(image, "side").agg(F.percentile("distance", F.lit(0.95)).alias("q")).groupBy(image).agg(F.max("q").alias("hd95"))
+def hd95(pred: DataFrame, truth: DataFrame, sizes: DataFrame, image: str, cell: float = 2.0) -> DataFrame:
+    """image, hd95: the larger of both sides' 95th percentile of the distances from boundary pixels to the other side's boundary.
+
+    An image of `sizes` (image, width, height) with one side only has its diagonal, and 0 if it has none.
+    """
+    side = lambda df: boundary_pixels(df.select(image, "x", "y").distinct(), [image]).select(image, F.struct("x", "y").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p, t = persist(side(pred)), persist(side(truth))
+    far = lambda a, b, name: nearest(a, b, cell, within=(image,)).groupBy(image).agg(F.percentile("distance", F.lit(0.95)).alias(name))
+    some = p.select(image).unionByName(t.select(image)).distinct().withColumn("some", F.lit(True))
+    d = sizes.select(image, F.sqrt(F.pow("width", 2) + F.pow("height", 2)).alias("diagonal")).join(some, image, "left")
+    d = d.join(far(p, t, "a"), image, "left").join(far(t, p, "b"), image, "left")
+    return d.select(image, F.when(F.col("some").isNull(), 0.0).otherwise(F.coalesce(F.greatest("a", "b"), "diagonal")).alias("hd95"))
 
 
 def crop_specification(splits: DataFrame, manifest: DataFrame, values: dict[str, list[int]]) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def persist(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names, or in a temporary one only where that is unset."""
+    """A checkpoint in the folder that spark.checkpoint.dir names, or in a temporary one where that is unset on a local master."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()

@@ -22,17 +22,34 @@ def box_area(p: str = "") -> Column:
     return (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """a_id, b_id, shared, area_a, area_b: pairs of boxes (id, x0, y0, x1, y1) with common area, each in one cell only.
+def intersections(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """a_id, b_id, x0, y0, x1, y1 (what is common), area_a, area_b: pairs of boxes (id, x0, y0, x1, y1) with common area, each once.
 
     Boxes meet in the grid cells they share; a pair is kept in the cell of its intersection's corner.
     """
     pre = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")], "cx", "cy")
     d = pre(box_cells(a, cell), "a_").join(pre(box_cells(b, cell), "b_"), ["cx", "cy"])
-    left, top = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
-    w, h = F.least("a_x1", "b_x1") - left, F.least("a_y1", "b_y1") - top
-    d = d.where((w > 0) & (h > 0) & (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")))
-    return d.select("a_id", "b_id", (w * h).alias("shared"), box_area("a_").alias("area_a"), box_area("b_").alias("area_b"))
+    left, top, right, low = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0"), F.least("a_x1", "b_x1"), F.least("a_y1", "b_y1")
+    d = d.where((right > left) & (low > top) & (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")))
+    return d.select("a_id", "b_id", left.alias("x0"), top.alias("y0"), right.alias("x1"), low.alias("y1"), box_area("a_").alias("area_a"), box_area("b_").alias("area_b"))
+
+
+def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """a_id, b_id, shared, area_a, area_b: pairs of boxes with common area."""
+    return intersections(a, b, cell).select("a_id", "b_id", box_area().alias("shared"), "area_a", "area_b")
+
+
+def union_area(boxes: DataFrame, key: str) -> DataFrame:
+    """key, area: what the boxes (key, x0, y0, x1, y1) of each key cover together.
+
+    The edges of a key's boxes cut it into slabs; in each, the parts that its boxes add from left to right are summed.
+    """
+    edges = boxes.select(key, F.explode(F.array("y0", "y1")).alias("top")).distinct()
+    slabs = edges.withColumn("low", F.lead("top").over(Window.partitionBy(key).orderBy("top"))).where("low is not null")
+    d = boxes.join(slabs, key).where("top >= y0 and low <= y1")
+    reach = F.max("x1").over(Window.partitionBy(key, "top").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
+    added = F.greatest(F.col("x1") - F.greatest(F.col("x0"), F.coalesce(reach, F.col("x0"))), F.col("x1") - F.col("x1"))
+    return d.withColumn("added", added * (F.col("low") - F.col("top"))).groupBy(key).agg(F.sum("added").alias("area"))
 
 
 def protected(new: DataFrame, kept: DataFrame, cell: float, confirmed: float = 0.3, excluded: float = 0.8) -> DataFrame:
@@ -66,9 +83,10 @@ def outside_regions(boxes: DataFrame, regions: DataFrame, cell: float) -> DataFr
 
 
 def covered(candidates: DataFrame, outlines: DataFrame, cell: float, share: float = 0.7) -> DataFrame:
-    """id, action: delete candidates that outlines cover by `share`, trim those covered by less."""
-    part = overlaps(candidates, outlines, cell).groupBy(F.col("a_id").alias("id")).agg(F.max(F.col("shared") / F.col("area_a")).alias("part"))
-    return part.select("id", F.when(F.col("part") >= share, "delete").otherwise("trim").alias("action"))
+    """id, action: delete candidates that all outlines together cover by `share`, trim those covered by less."""
+    met = intersections(candidates, outlines, cell).withColumnRenamed("a_id", "id")
+    part = union_area(met.select("id", "x0", "y0", "x1", "y1"), "id").join(candidates.select("id", box_area().alias("own")), "id")
+    return part.select("id", F.when(F.col("area") / F.col("own") >= share, "delete").otherwise("trim").alias("action"))
 
 
 def union_links(boxes: DataFrame, cell: float, share: float = 0.7) -> DataFrame:
@@ -77,30 +95,33 @@ def union_links(boxes: DataFrame, cell: float, share: float = 0.7) -> DataFrame:
     return d.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def nearest(a: DataFrame, b: DataFrame, cell: float, same: bool = False, rounds: int = 40) -> DataFrame:
-    """point_id, near_id, distance: the nearest point of b (point_id, x, y) to each of a. same: a row isn't its own neighbour.
+def nearest(a: DataFrame, b: DataFrame, cell: float, same: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """point_id, near_id, distance, and `within`: the nearest point of b (point_id, x, y) to each of a, among those with equal columns
+    `within`. same: a row isn't its own neighbour.
 
     Both sides are bucketed by cell. A point whose best distance is no more than the cell's width has found it, as the
-    nine cells around it hold everything that near; the rest is tried again with cells of twice the width.
+    nine cells around it hold everything that near; the rest is tried again with cells of twice the width, until a cell
+    is wider than all points lie apart: what is open then has no point to find.
     """
-    out, left = None, a.select("point_id", "x", "y")
-    for _ in range(rounds):
+    keys = list(within)
+    out, left = None, persist(a.select("point_id", *keys, "x", "y"))
+    extent = b.select("x", "y").unionByName(left.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    reach, done = 2 * max(extent[0] or 0, extent[1] or 0, 1), 0
+    while True:
         near = F.explode(F.expr("flatten(transform(sequence(cast(-1 as bigint), cast(1 as bigint)), i -> transform(sequence(cast(-1 as bigint), cast(1 as bigint)), j -> struct(cx + i as cx, cy + j as cy))))"))
-        probe = point_cells(left, cell).select("point_id", "x", "y", near.alias("c")).select("point_id", "x", "y", "c.cx", "c.cy")
-        other = point_cells(b, cell).select(F.col("point_id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
-        d = probe.join(other, ["cx", "cy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)))
+        probe = point_cells(left, cell).select("point_id", *keys, "x", "y", near.alias("c")).select("point_id", *keys, "x", "y", "c.cx", "c.cy")
+        other = point_cells(b, cell).select(*keys, F.col("point_id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
+        d = probe.join(other, [*keys, "cx", "cy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)))
         d = d.where("point_id <> near_id") if same else d
-        best = d.groupBy("point_id").agg(F.min(F.struct("distance", "near_id")).alias("m")).select("point_id", "m.near_id", "m.distance").where(F.col("distance") <= cell)
+        best = d.groupBy("point_id", *keys).agg(F.min(F.struct("distance", "near_id")).alias("m")).select("point_id", *keys, "m.near_id", "m.distance").where(F.col("distance") <= cell)
         best = persist(best)
         out = best if out is None else out.unionByName(best)
-        left = persist(left.join(best, "point_id", "left_anti"))
-        if left.isEmpty() or b.isEmpty():
-            break
+        left = persist(left.join(best, ["point_id", *keys], "left_anti"))
+        done += 1
+        out = out if done % 10 else persist(out)
+        if cell > reach or left.isEmpty():
+            return out
         cell *= 2
-        extent = b.select("point_id", "x", "y").unionByName(left).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-        if cell > 4 * max(extent[0] or 0, extent[1] or 0, 1):
-            break
-    return out
 
 
 def within(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
@@ -238,16 +259,17 @@ def earliest_wins(pixels: DataFrame, order: list[str]) -> DataFrame:
     return pixels.where("v > 0").groupBy("x", "y").agg(F.min_by("v", F.struct(*order)).alias("v"))
 
 
-def choose_shift(cands: DataFrame, key: str, order: list[Column], tile: int, most_overlap: float = 0.4, rounds: int = 200) -> DataFrame:
+def choose_shift(cands: DataFrame, key: str, order: list[Column], tile: int, most_overlap: float = 0.4) -> DataFrame:
     """One window (cx, cy) for each nominal tile `key`, in order of tiles: its best that no tile before it covers too much.
 
-    A tile is settled in the round in which all earlier tiles near enough to touch it are.
+    A tile is settled in the round in which all earlier tiles near enough to touch it are; the first open one is settled
+    in every round, so rounds end when none is left.
     """
     near = cands.select(F.col(key).alias("k"), "cx", "cy").groupBy("k").agg(F.min("cx").alias("x0"), F.min("cy").alias("y0"), (F.max("cx") + tile).alias("x1"), (F.max("cy") + tile).alias("y1")).withColumnRenamed("k", "id")
     after = persist(overlaps(near, near, float(tile * 2)).where("b_id < a_id").select("a_id", "b_id"))
-    left, out = persist(near.select("id")), None
+    left, out, done = persist(near.select("id")), None, 0
     ranked = cands.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    for _ in range(rounds):
+    while not left.isEmpty():
         waits = after.join(left.withColumnRenamed("id", "b_id"), "b_id", "left_semi").select(F.col("a_id").alias("id")).distinct()
         ready = left.join(waits, "id", "left_anti")
         mine = ranked.join(ready.withColumnRenamed("id", key), key, "left_semi")
@@ -258,11 +280,10 @@ def choose_shift(cands: DataFrame, key: str, order: list[Column], tile: int, mos
             mine = tagged.join(bad, "cid", "left_anti").drop("cid")
         took = mine.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("rank"))).where("r = 1").drop("r", "rank")
         took = persist(took)
-        out = took if out is None else out.unionByName(took)
+        done += 1
+        out = took if out is None else persist(out.unionByName(took)) if done % 20 == 0 else out.unionByName(took)
         left = persist(left.join(ready, "id", "left_anti"))
-        if left.isEmpty():
-            break
-    return out
+    return cands.limit(0) if out is None else out
 
 
 def signed_nearest(points: DataFrame, boundary: DataFrame, inside: DataFrame, cell: float) -> DataFrame:

@@ -48,12 +48,14 @@ def repository_rules(t: Tables) -> DataFrame:
     return t.pages.select("page_id", catalog.repository_of(F.col("url"), HOSTS).alias("repository"), catalog.reference_url(doi, F.col("url"), F.lit(None).cast("string")).alias("link"))
 
 
-_CLEAN = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
-for _k, _v in tx.ENTITIES.items():
-    _CLEAN = f"replace({_CLEAN}, '{_k.replace(chr(39), chr(39) * 2)}', '{_v.replace(chr(39), chr(39) * 2)}')"
+#: The entities that pages have, the ampersand last so that nothing is unescaped twice; unescaped before tags are stripped.
+_CLEAN = "html"
+for _k, _v in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&middot;": "·", "&copy;": "©"}.items():
+    _CLEAN = f"replace({_CLEAN}, '{_k}', '{_v}')"
+_CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '&amp;?', '&', 'g'), '<[^>]+>', ' ', 'g')"
 
 
-@BOOK.add(f"SELECT page_id, left(trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')), 4000) AS evidence FROM pages")
+@BOOK.add(f"SELECT page_id, nullif(left(trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')), 4000), '') AS evidence FROM pages")
 def html_clean(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tx.evidence_text(F.col("html")).alias("evidence"))
 

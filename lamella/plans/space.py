@@ -45,22 +45,24 @@ def point_in_region(t: Tables) -> DataFrame:
     return spatial.containing(points(t), boxes(t), 64.0)
 
 
-@BOOK.add(f"WITH {B_SQL}, {OV} SELECT id, CASE WHEN max(shared / area_a) >= 0.7 THEN 'delete' ELSE 'trim' END AS action FROM ov JOIN bx ON id = a_id WHERE a_id % 3 = 0 AND b_id % 3 = 1 GROUP BY 1")
+@BOOK.add(f"""WITH {B_SQL}, {OV}, cut AS (SELECT a_id, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1, greatest(a.y0, b.y0) AS y0, least(a.y1, b.y1) AS y1, area_a FROM ov JOIN bx a ON a.id = a_id JOIN bx b ON b.id = b_id WHERE a_id % 2 = 0 AND b_id % 2 = 1),
+rows_ AS (SELECT a_id, area_a, x0, x1, unnest(range(y0, y1)) AS y FROM cut), cells AS (SELECT DISTINCT a_id, area_a, unnest(range(x0, x1)) AS x, y FROM rows_)
+SELECT a_id AS id, CASE WHEN count(*) / area_a >= 0.7 THEN 'delete' ELSE 'trim' END AS action FROM cells GROUP BY a_id, area_a""")
 def covered_boxes(t: Tables) -> DataFrame:
     b = boxes(t)
-    return spatial.covered(b.where("id % 3 = 0"), b.where("id % 3 = 1"), 64.0)
+    return spatial.covered(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 64.0)
 
 
-@BOOK.add(f"WITH {B_SQL}, {OV}, {P_SQL} SELECT id FROM bx WHERE id % 3 = 0 AND id NOT IN (SELECT a.id FROM bx a JOIN bx r ON r.id % 3 = 1 AND a.id % 3 = 0 AND (a.x0 + a.x1) / 2 >= r.x0 AND (a.x0 + a.x1) / 2 < r.x1 AND (a.y0 + a.y1) / 2 >= r.y0 AND (a.y0 + a.y1) / 2 < r.y1)")
+@BOOK.add(f"WITH {B_SQL}, {OV}, {P_SQL} SELECT id FROM bx WHERE id % 2 = 0 AND id NOT IN (SELECT a.id FROM bx a JOIN bx r ON r.id % 2 = 1 AND a.id % 2 = 0 AND (a.x0 + a.x1) / 2 >= r.x0 AND (a.x0 + a.x1) / 2 < r.x1 AND (a.y0 + a.y1) / 2 >= r.y0 AND (a.y0 + a.y1) / 2 < r.y1)")
 def outside_regions(t: Tables) -> DataFrame:
     b = boxes(t)
-    return spatial.outside_regions(b.where("id % 3 = 0"), b.where("id % 3 = 1"), 64.0).select("id")
+    return spatial.outside_regions(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 64.0).select("id")
 
 
-@BOOK.add(f"WITH {B_SQL}, {OV} SELECT id, id IN (SELECT a_id FROM ov WHERE b_id % 3 = 1) AS touched FROM bx WHERE id % 3 = 0")
+@BOOK.add(f"WITH {B_SQL}, {OV} SELECT id, id IN (SELECT a_id FROM ov WHERE b_id % 2 = 1) AS touched FROM bx WHERE id % 2 = 0")
 def touched_boxes(t: Tables) -> DataFrame:
     b = boxes(t)
-    some, regions = b.where("id % 3 = 0"), b.where("id % 3 = 1")
+    some, regions = b.where("id % 2 = 0"), b.where("id % 2 = 1")
     return spatial.touched(some, regions, 64.0).select("id", F.lit(True).alias("touched")).unionByName(spatial.untouched(some, regions, 64.0).select("id", F.lit(False).alias("touched")))
 
 
@@ -70,27 +72,30 @@ def merged_boxes(t: Tables) -> DataFrame:
     return spatial.label_components(spatial.union_links(boxes(t), 64.0))
 
 
-@BOOK.add(f"""WITH {P_SQL}, q AS (SELECT * FROM pt WHERE point_id % 5 = 0), r AS (SELECT * FROM pt WHERE point_id % 5 = 1), d AS (SELECT q.point_id, r.point_id AS near_id, sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2) AS distance FROM q, r)
+@BOOK.add(f"""WITH {P_SQL}, q AS (SELECT * FROM pt WHERE point_id % 20 = 0), d AS (SELECT q.point_id, r.point_id AS near_id, sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2) AS distance FROM q JOIN pt r ON q.point_id <> r.point_id)
 SELECT point_id, near_id, round(distance, 9) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY distance, near_id) = 1""")
 def nearest(t: Tables) -> DataFrame:
+    """The stated queries, ids divisible by 20, against all other points."""
     p = points(t)
-    return spatial.nearest(p.where("point_id % 5 = 0"), p.where("point_id % 5 = 1"), 16.0).withColumn("distance", F.round("distance", 9))
+    return spatial.nearest(p.where("point_id % 20 = 0"), p, 16.0, same=True).withColumn("distance", F.round("distance", 9))
 
 
-@BOOK.add(f"""WITH {P_SQL}, q AS (SELECT * FROM pt WHERE point_id % 5 = 0), d AS (SELECT q.point_id, min(sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2)) AS distance FROM q JOIN q r ON q.point_id <> r.point_id GROUP BY 1), b AS (SELECT CASE WHEN distance < 5 THEN 0 WHEN distance < 10 THEN 1 WHEN distance < 20 THEN 2 ELSE 3 END AS band, distance FROM d)
+@BOOK.add(f"""WITH {P_SQL}, d AS (SELECT q.point_id, min(sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2)) AS distance FROM pt q JOIN pt r ON q.point_id <> r.point_id GROUP BY 1), b AS (SELECT CASE WHEN distance < 5 THEN 0 WHEN distance < 10 THEN 1 WHEN distance < 20 THEN 2 ELSE 3 END AS band, distance FROM d)
 SELECT band, count(*) AS n, count(*) / (SELECT count(*) FROM d)::DOUBLE AS share, round((SELECT median(distance) FROM d), 9) AS median FROM b GROUP BY 1""")
 def neighbour_bands(t: Tables) -> DataFrame:
-    p = points(t).where("point_id % 5 = 0")
+    p = points(t)
     return spatial.distance_bands(spatial.nearest(p, p, 16.0, same=True), [5.0, 10.0, 20.0]).withColumn("median", F.round("median", 9))
 
 
-@BOOK.add(f"""WITH {P_SQL}, h AS (SELECT DISTINCT a.point_id FROM pt a JOIN pt b ON a.point_id % 5 = 0 AND b.point_id % 5 = 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 100) SELECT event_type, count(h.point_id) / count(*)::DOUBLE AS contact, count(*) AS n FROM pt LEFT JOIN h USING (point_id) WHERE point_id % 5 = 0 GROUP BY 1""")
+@BOOK.add(f"""WITH {P_SQL}, h AS (SELECT DISTINCT a.point_id FROM pt a JOIN pt b ON a.point_id % 2 = 0 AND b.point_id % 2 = 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 100) SELECT event_type, count(h.point_id) / count(*)::DOUBLE AS contact, count(*) AS n FROM pt LEFT JOIN h USING (point_id) WHERE point_id % 2 = 0 GROUP BY 1""")
 def contact_fraction(t: Tables) -> DataFrame:
     p = points(t)
-    return spatial.contact_fraction(p.where("point_id % 5 = 0"), p.where("point_id % 5 = 1"), 10.0, "event_type")
+    return spatial.contact_fraction(p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1"), 10.0, "event_type")
 
 
-@BOOK.add()
+@BOOK.add(f"""WITH RECURSIVE {B_SQL}, {OV}, rk AS (SELECT id, row_number() OVER (ORDER BY p_retailprice DESC, id) AS n FROM bx), riv AS (SELECT a.n, list(b.n) AS rivals FROM ov JOIN rk a ON a.id = a_id JOIN rk b ON b.id = b_id WHERE b.n < a.n GROUP BY 1),
+g(n, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.n + 1, CASE WHEN len(list_intersect(g.chosen, coalesce(riv.rivals, []))) = 0 THEN list_append(g.chosen, g.n + 1) ELSE g.chosen END FROM g LEFT JOIN riv ON riv.n = g.n + 1 WHERE g.n < (SELECT count(*) FROM bx))
+SELECT id FROM (SELECT unnest(chosen) AS n FROM (SELECT chosen FROM g ORDER BY n DESC LIMIT 1)) JOIN rk USING (n)""")
 def greedy_selection(t: Tables) -> DataFrame:
     return spatial.greedy(boxes(t), "p_retailprice", 64.0).select("id")
 
@@ -110,10 +115,10 @@ def components(t: Tables) -> DataFrame:
     return d.select("image", "area", *[F.round(c, 6).alias(c) for c in ("total", "mark_x", "mark_y", "peak_value")])
 
 
-@BOOK.add("""WITH RECURSIVE k AS (SELECT DISTINCT conv_id, role || substr(md5(split_part(text, ' ', 1)), 1, 3) AS k FROM conversations WHERE turn < 2), l AS (SELECT a.conv_id AS a, b.conv_id AS b FROM k a JOIN k b ON a.k = b.k),
+@BOOK.add("""WITH RECURSIVE k AS (SELECT DISTINCT conv_id, role || md5(split_part(text, ' ', 1)) AS k FROM conversations), l AS (SELECT a.conv_id AS a, b.conv_id AS b FROM k a JOIN k b ON a.k = b.k),
 r(node, root) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def shared_key_clusters(t: Tables) -> DataFrame:
-    k = t.conversations.where("turn < 2").select("conv_id", F.concat("role", F.substring(F.md5(F.split("text", " ")[0]), 1, 3)).alias("k")).distinct()
+    k = t.conversations.select("conv_id", F.concat("role", F.md5(F.split("text", " ")[0])).alias("k")).distinct()
     head = k.groupBy("k").agg(F.min("conv_id").alias("b"))
     return spatial.label_components(k.join(head, "k").select(F.col("conv_id").alias("a"), "b"))
 
@@ -140,36 +145,38 @@ def object_intensity(t: Tables) -> DataFrame:
     return analysis.intensity(t.lineitem, ["l_suppkey"], "l_quantity").withColumns({c: F.round(c, 6) for c in ("mean", "p10", "p50", "p90")})
 
 
-RUNS = f"""{B_SQL}, rn AS (SELECT (x1 - x0) % 2 AS image, p_type AS label, unnest(range(y0, y1)) AS y, x0, x1 - 1 AS x1 FROM bx WHERE p_type IN ('PROMO', 'SMALL')),
-cell AS (SELECT DISTINCT image, label, y, unnest(range(x0, x1 + 1)) AS x FROM rn), tissue AS (SELECT image, 'tissue' AS label, {EXTENT + 100} * {EXTENT + 100} AS area FROM (SELECT unnest(range(0, 2)) AS image))"""
+#: Runs of six labels in two images; the tissue is a square that some of them reach beyond.
+RUNS = f"""{B_SQL}, rn AS (SELECT (x1 - x0) % 2 AS image, p_type AS label, unnest(range(y0, y1)) AS y, x0, x1 - 1 AS x1 FROM bx),
+cell AS (SELECT DISTINCT image, label, y, unnest(range(x0, x1 + 1)) AS x FROM rn), tissue AS (SELECT image, 'tissue' AS label, {EXTENT} * {EXTENT} AS area FROM (SELECT unnest(range(0, 2)) AS image))"""
+
+
+def label_runs(t: Tables) -> DataFrame:
+    return boxes(t).select(((F.col("x1") - F.col("x0")) % 2).alias("image"), F.col("p_type").alias("label"), F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", (F.col("x1") - 1).alias("x1"))
 
 
 def runs(t: Tables) -> DataFrame:
-    """Merged runs of two labels in four images, and a tissue that is the whole image."""
-    b = boxes(t).where("p_type in ('PROMO', 'SMALL')").select(((F.col("x1") - F.col("x0")) % 2).alias("image"), F.col("p_type").alias("label"), F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", (F.col("x1") - 1).alias("x1"))
-    merged = spatial.run_union(b, ["image", "label"])
-    rows = t.spark.range(EXTENT + 100).select(F.col("id").alias("y")).crossJoin(t.spark.range(2).select(F.col("id").alias("image")))
-    return merged.select("image", "label", "y", "x0", "x1").unionByName(rows.select("image", F.lit("tissue").alias("label"), "y", F.lit(0).cast("long").alias("x0"), F.lit(EXTENT + 99).cast("long").alias("x1")))
+    """The labels' runs and the tissue's."""
+    rows = t.spark.range(EXTENT).select(F.explode(F.expr("array(0L, 1L)")).alias("image"), F.col("id").alias("y"))
+    return spatial.run_union(label_runs(t), ["image", "label"]).unionByName(rows.select("image", F.lit("tissue").alias("label"), "y", F.lit(0).cast("long").alias("x0"), F.lit(EXTENT - 1).cast("long").alias("x1")))
 
 
 @BOOK.add(f"WITH {RUNS} SELECT image, label, count(*) AS area FROM cell GROUP BY ALL")
 def region_area(t: Tables) -> DataFrame:
-    b = boxes(t).where("p_type in ('PROMO', 'SMALL')").select(((F.col("x1") - F.col("x0")) % 2).alias("image"), F.col("p_type").alias("label"), F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", (F.col("x1") - 1).alias("x1"))
-    return spatial.run_area(b, ["image", "label"])
+    return spatial.run_area(label_runs(t), ["image", "label"])
 
 
 @BOOK.add(f"WITH {RUNS} SELECT a.image, a.label AS a_label, b.label AS b_label, count(*) AS shared FROM cell a JOIN cell b USING (image, x, y) WHERE a.label < b.label GROUP BY ALL")
 def region_overlap(t: Tables) -> DataFrame:
-    r = runs(t).where("label <> 'tissue'")
+    r = spatial.run_union(label_runs(t), ["image", "label"])
     return spatial.run_overlap(r, r, ["image"]).where("a_label < b_label")
 
 
-AREAS = f"{RUNS}, ar AS (SELECT image, label, count(*) AS area FROM cell GROUP BY ALL UNION ALL SELECT * FROM tissue), ca AS (SELECT * FROM ar UNION ALL SELECT t.image, 'cytoplasm', t.area - (SELECT coalesce(sum(area), 0) FROM ar WHERE ar.image = t.image AND label <> 'tissue') FROM tissue t), fr AS (SELECT ca.image, ca.label, ca.area::BIGINT AS area, (ca.area / t.area)::DOUBLE AS fraction FROM ca JOIN tissue t ON ca.image = t.image)"
+AREAS = f"{RUNS}, lb AS (SELECT image, label, count(*) FILTER (WHERE x < {EXTENT} AND y < {EXTENT}) AS area FROM cell GROUP BY ALL), ca AS (SELECT * FROM lb UNION ALL SELECT * FROM tissue UNION ALL SELECT t.image, 'cytoplasm', t.area - lb.area FROM tissue t JOIN lb ON lb.image = t.image AND lb.label = 'PROMO'), fr AS (SELECT ca.image, ca.label, ca.area::BIGINT AS area, (ca.area / t.area)::DOUBLE AS fraction FROM ca JOIN tissue t ON ca.image = t.image)"
 
 
 @BOOK.add(f"WITH {AREAS} SELECT image, label, area, round(fraction, 9) AS fraction, round(area * 0.0025, 6)::DOUBLE AS area_um2 FROM fr")
 def compartment_areas(t: Tables) -> DataFrame:
-    return analysis.compartment_areas(runs(t), "image", "tissue", 50.0).withColumns({"fraction": F.round("fraction", 9), "area_um2": F.round("area_um2", 6)})
+    return analysis.compartment_areas(runs(t), "image", "tissue", 50.0, "PROMO").withColumns({"fraction": F.round("fraction", 9), "area_um2": F.round("area_um2", 6)})
 
 
 def image_points(t: Tables) -> DataFrame:
@@ -180,7 +187,7 @@ def image_points(t: Tables) -> DataFrame:
 SELECT fr.image, fr.label, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 9)::DOUBLE AS share, round(coalesce(n, 0) / total / fraction, 6)::DOUBLE AS enrichment FROM fr JOIN tot ON fr.image = tot.image LEFT JOIN hit ON fr.image = hit.image AND fr.label = hit.label WHERE fr.label <> 'cytoplasm'""")
 def enrichment(t: Tables) -> DataFrame:
     r = runs(t)
-    areas = analysis.compartment_areas(r, "image", "tissue").where("label <> 'cytoplasm'")
+    areas = analysis.compartment_areas(r, "image", "tissue", nucleus="PROMO").where("label <> 'cytoplasm'")
     d = analysis.enrichment(analysis.assign_points(image_points(t), r, "image"), areas, "image")
     return d.withColumns({"share": F.round("share", 9), "enrichment": F.round("enrichment", 6)})
 
@@ -188,14 +195,17 @@ def enrichment(t: Tables) -> DataFrame:
 @BOOK.add()
 def null_test(t: Tables) -> DataFrame:
     r = runs(t)
-    areas = analysis.compartment_areas(r, "image", "tissue").where("label <> 'cytoplasm'").select("image", "label", "fraction")
-    return analysis.randomness(image_points(t).where("point_id % 10 < 4"), r, areas, "image", "tissue", 9, "csr")
+    areas = analysis.compartment_areas(r, "image", "tissue", nucleus="PROMO").where("label <> 'cytoplasm'").select("image", "label", "fraction")
+    return analysis.randomness(image_points(t), r, areas, "image", "tissue", 99, "csr")
 
 
-@BOOK.add(f"WITH {P_SQL}, {RUNS} SELECT image, x, y FROM cell c WHERE label = 'PROMO' AND (SELECT count(*) FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)) > 0 AND NOT ((image, label, x + 1, y) IN (SELECT (image, label, x, y) FROM cell) AND (image, label, x - 1, y) IN (SELECT (image, label, x, y) FROM cell) AND (image, label, x, y + 1) IN (SELECT (image, label, x, y) FROM cell) AND (image, label, x, y - 1) IN (SELECT (image, label, x, y) FROM cell))")
+BESIDE = " ".join(f"LEFT JOIN cell c{i} ON c{i}.image = c.image AND c{i}.label = c.label AND c{i}.x = c.x + {dx} AND c{i}.y = c.y + {dy}" for i, (dx, dy) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))))
+
+
+@BOOK.add(f"WITH {RUNS} SELECT c.image, c.label, c.x, c.y FROM cell c {BESIDE} WHERE c0.x IS NULL OR c1.x IS NULL OR c2.x IS NULL OR c3.x IS NULL")
 def boundary_pixels(t: Tables) -> DataFrame:
-    r = runs(t).where("label = 'PROMO'")
-    return labels.boundary_pixels(r.select("image", F.explode(F.sequence("x0", "x1")).alias("x"), "y"), ["image"])
+    r = spatial.run_union(label_runs(t), ["image", "label"])
+    return labels.boundary_pixels(r.select("image", "label", F.explode(F.sequence("x0", "x1")).alias("x"), "y"), ["image", "label"])
 
 
 @BOOK.add("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x for x in embedding::DOUBLE[]])) AS n FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0)
@@ -223,34 +233,39 @@ def blended_tiles(t: Tables) -> DataFrame:
     return tiles.blend(d.where("x between x0 and x0 + 15 and y < 16"), 16).withColumn("p", F.round("p", 6))
 
 
-@BOOK.add(f"""WITH {P_SQL}, q AS (SELECT * FROM pt WHERE point_id % 5 = 0), r AS (SELECT * FROM pt WHERE point_id % 5 = 1), d AS (SELECT q.point_id, r.point_id AS near_id, sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2) AS distance FROM q, r)
+@BOOK.add(f"""WITH {P_SQL}, q AS (SELECT * FROM pt WHERE event_type <> 'error'), r AS (SELECT * FROM pt WHERE event_type = 'error'), d AS (SELECT q.point_id, r.point_id AS near_id, sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2) AS distance FROM q, r)
 SELECT point_id, near_id, round(CASE WHEN point_id % 2 = 0 THEN -distance ELSE distance END, 9) + 0.0 AS distance FROM d QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d.distance, near_id) = 1""")
 def signed_distance(t: Tables) -> DataFrame:
+    """The boundary is the points of one kind, the points are all others."""
     p = points(t)
-    d = spatial.signed_nearest(p.where("point_id % 5 = 0"), p.where("point_id % 5 = 1"), p.where("point_id % 2 = 0"), 16.0)
+    d = spatial.signed_nearest(p.where("event_type <> 'error'"), p.where("event_type = 'error'"), p.where("point_id % 2 = 0"), 16.0)
     return d.withColumn("distance", F.round("distance", 9) + F.lit(0.0))
 
 
-SIDES = "a AS (SELECT DISTINCT event_type AS image, user_id::BIGINT AS x, extract(day FROM ts)::BIGINT AS y FROM events WHERE value > 20), b AS (SELECT DISTINCT event_type AS image, user_id::BIGINT AS x, extract(day FROM ts)::BIGINT AS y FROM events WHERE value > 25)"
+#: Two masks of each kind of event; one kind is in neither, and one in the first only.
+SIDES = "a AS (SELECT DISTINCT event_type AS image, user_id::BIGINT AS x, extract(day FROM ts)::BIGINT AS y FROM events WHERE value > 20 AND event_type <> 'signup'), b AS (SELECT DISTINCT event_type AS image, user_id::BIGINT AS x, extract(day FROM ts)::BIGINT AS y FROM events WHERE value > 25 AND event_type NOT IN ('signup', 'view')), im AS (SELECT event_type AS image, max(user_id) + 1 AS width, 32 AS height FROM events GROUP BY 1)"
 EDGE = "{n} AS (SELECT * FROM {m} p WHERE (SELECT count(*) FROM {m} q WHERE q.image = p.image AND abs(q.x - p.x) + abs(q.y - p.y) = 1) < 4)"
 
 
-@BOOK.add(f"""WITH {SIDES}, {EDGE.format(n='ea', m='a')}, {EDGE.format(n='eb', m='b')}, p AS (SELECT image, avg((EXISTS (SELECT 1 FROM eb WHERE eb.image = ea.image AND (eb.x - ea.x) ** 2 + (eb.y - ea.y) ** 2 <= 1))::INTEGER) AS precision FROM ea GROUP BY 1), r AS (SELECT image, avg((EXISTS (SELECT 1 FROM ea WHERE eb.image = ea.image AND (eb.x - ea.x) ** 2 + (eb.y - ea.y) ** 2 <= 1))::INTEGER) AS recall FROM eb GROUP BY 1)
-SELECT image, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM p JOIN r USING (image)""")
+def sides(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    side = lambda v, *out: t.events.where((F.col("value") > v) & ~F.col("event_type").isin(*out)).select(F.col("event_type").alias("image"), F.col("user_id").cast("long").alias("x"), F.dayofmonth("ts").cast("long").alias("y")).distinct()
+    return side(20, "signup"), side(25, "signup", "view"), t.events.groupBy(F.col("event_type").alias("image")).agg((F.max("user_id") + 1).alias("width"), F.lit(32).alias("height"))
+
+
+@BOOK.add(f"""WITH {SIDES}, {EDGE.format(n='ea', m='a')}, {EDGE.format(n='eb', m='b')}, p AS (SELECT image, avg((EXISTS (SELECT 1 FROM eb WHERE eb.image = ea.image AND (eb.x - ea.x) ** 2 + (eb.y - ea.y) ** 2 <= 1))::INTEGER) AS precision FROM ea GROUP BY 1), r AS (SELECT image, avg((EXISTS (SELECT 1 FROM ea WHERE eb.image = ea.image AND (eb.x - ea.x) ** 2 + (eb.y - ea.y) ** 2 <= 1))::INTEGER) AS recall FROM eb GROUP BY 1),
+f AS (SELECT image, coalesce(precision, CASE WHEN recall IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS precision, coalesce(recall, CASE WHEN precision IS NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS recall FROM im LEFT JOIN p USING (image) LEFT JOIN r USING (image))
+SELECT image, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM f""")
 def boundary_f1(t: Tables) -> DataFrame:
-    side = lambda v: t.events.where(F.col("value") > v).select(F.col("event_type").alias("image"), F.col("user_id").cast("long").alias("x"), F.dayofmonth("ts").cast("long").alias("y")).distinct()
-    return labels.boundary_f1(side(20), side(25), "image", 1.0).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+    a, b, images = sides(t)
+    return labels.boundary_f1(a, b, images, "image", 1.0).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
-@BOOK.add(f"""WITH {SIDES}, d AS (SELECT a.image, 'a' AS side, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS distance FROM a JOIN b ON a.image = b.image AND a.x % 7 = 0 GROUP BY a.image, a.x, a.y UNION ALL SELECT b.image, 'b', min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) FROM a JOIN b ON a.image = b.image AND b.x % 7 = 0 GROUP BY b.image, b.x, b.y),
-q AS (SELECT image, side, quantile_cont(distance, 0.95) AS q FROM d GROUP BY 1, 2) SELECT image, round(max(q), 9) AS hd95 FROM q GROUP BY 1""")
+@BOOK.add(f"""WITH {SIDES}, {EDGE.format(n='ea', m='a')}, {EDGE.format(n='eb', m='b')}, d AS (SELECT ea.image, 'a' AS side, min(sqrt((ea.x - eb.x) ** 2 + (ea.y - eb.y) ** 2)) AS distance FROM ea JOIN eb ON ea.image = eb.image GROUP BY ea.image, ea.x, ea.y UNION ALL SELECT eb.image, 'b', min(sqrt((ea.x - eb.x) ** 2 + (ea.y - eb.y) ** 2)) FROM ea JOIN eb ON ea.image = eb.image GROUP BY eb.image, eb.x, eb.y),
+q AS (SELECT image, side, quantile_cont(distance, 0.95) AS q FROM d GROUP BY 1, 2), m AS (SELECT image, max(q) AS q FROM q GROUP BY 1), edged AS (SELECT DISTINCT image FROM ea UNION SELECT DISTINCT image FROM eb)
+SELECT im.image, round(CASE WHEN edged.image IS NULL THEN 0.0 ELSE coalesce(m.q, sqrt(width ** 2 + height ** 2)) END, 9)::DOUBLE AS hd95 FROM im LEFT JOIN m ON m.image = im.image LEFT JOIN edged ON edged.image = im.image""")
 def boundary_hd95(t: Tables) -> DataFrame:
-    side = lambda v: t.events.where(F.col("value") > v).select(F.col("event_type").alias("image"), F.col("user_id").cast("double").alias("x"), F.dayofmonth("ts").cast("double").alias("y")).distinct()
-    far = F.hash("image") % 1000 * 1000.0  # images side by side, too far apart to meet
-    flat = lambda df: df.withColumn("x", F.col("x") + far).withColumn("point_id", F.struct("image", "x", "y"))
-    a, b = flat(side(20)), flat(side(25))
-    one = lambda p, q, name: spatial.nearest(p.where((F.col("point_id.x") - far) % 7 == 0), q, 2.0).select(F.col("point_id.image").alias("image"), F.lit(name).alias("side"), "distance")
-    return labels.hd95(one(a, b, "a").unionByName(one(b, a, "b")), "image").withColumn("hd95", F.round("hd95", 9))
+    a, b, images = sides(t)
+    return labels.hd95(a, b, images, "image").withColumn("hd95", F.round("hd95", 9))
 
 
 @BOOK.add(f"WITH {B_SQL}, s AS (SELECT id, p_type, CASE WHEN id % 5 > 0 THEN p_retailprice / 2000 END AS score, (x1 - x0) * (y1 - y0) AS area FROM bx) SELECT id, p_type, row_number() OVER (PARTITION BY p_type ORDER BY score IS NULL, score DESC, area, id) AS rank FROM s QUALIFY rank <= 20")

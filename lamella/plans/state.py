@@ -87,7 +87,12 @@ def _stream(t: Tables) -> DataFrame:
 
 
 def _folder(t: Tables) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder in the shared one; on a local master without one (tests), in a temporary one."""
+    sc = t.spark.sparkContext
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root}/streams/{uuid.uuid4().hex}"
 
 
