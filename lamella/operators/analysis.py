@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.numbers import finite, ratio
-from lamella.operators.spatial import run_overlap, run_union
+from lamella.operators.spatial import box_cells, point_cells, run_overlap, run_union
+from lamella.operators.stats import rollup_units
 
 PI = 3.141592653589793
 
@@ -206,3 +207,20 @@ def group_null(observed: DataFrame, null: DataFrame, units: DataFrame, group: st
     """Group means over units, observed and in every replicate, summarised against each other. null has `rep`."""
     mean = lambda df, *keys: df.join(units, unit).groupBy(*keys).agg(F.avg(finite(F.col(value))).alias(value))
     return null_summary(mean(observed, group), mean(null, group, "rep"), [group], value)
+
+
+def group_query(runs: DataFrame, value: str, segmentation: Column | None = None, group: str | None = None) -> DataFrame:
+    """Group means over images of successful runs (status, segmentation, grp, image), of one segmentation or group if asked for; a blank group is the runs without one."""
+    d = runs.where(F.col("status") == "success").withColumn("grp", F.coalesce("grp", F.lit("")))
+    d = d.where(F.col("segmentation") == segmentation) if segmentation is not None else d
+    d = d.where(F.col("grp") == group) if group is not None else d
+    return rollup_units(d, "grp", "image", F.col(value))
+
+
+def reviewed_flags(objects: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
+    """objects (image, point_id, x, y) with `reviewed`: their centre lies in a reviewed region (image, id, x0, y0, x1, y1) of the image; null where it has none."""
+    some = regions.select("image").distinct().withColumn("some", F.lit(True))
+    r = box_cells(regions, cell).select("image", "x0", "y0", "x1", "y1", "cx", "cy")
+    hit = point_cells(objects, cell).join(r, ["image", "cx", "cy"]).where("x >= x0 and x < x1 and y >= y0 and y < y1").select("image", "point_id").distinct().withColumn("hit", F.lit(True))
+    d = objects.join(some, "image", "left").join(hit, ["image", "point_id"], "left")
+    return d.withColumn("reviewed", F.when(F.col("some"), F.coalesce("hit", F.lit(False)))).drop("some", "hit")

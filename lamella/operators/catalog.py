@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from json import loads
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lamella.functions.text import blank_to_null, normalize_text, separators_to_blanks
+from lamella.functions.text import blank_to_null, normalize_text, separators_to_blanks, unique_ignoring_case
 from lamella.operators.rules import bounded, first_match, substring_hits, term_hits
 
 # Fixed values of the catalogue: modality terms, evidence terms, exclusion patterns, display names, reference terms.
@@ -157,17 +162,82 @@ def same_bytes(df: DataFrame, content: str, created: str, key: str) -> DataFrame
     return df.groupBy(F.sha2(content, 256).alias("digest")).agg(F.min_by(key, F.struct(created, key)).alias("keeper"), F.count("*").alias("n"))
 
 
-def any_depth(json: Column, keys: list[str], depth: int = 4) -> Column:
-    """Values of keys (compared by letters and digits only) in a JSON text down to a fixed depth, in order found."""
-    wanted = [k.lower() for k in keys]
-    plain = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")
-    level, found = F.from_json(json, "map<string,string>"), F.array().cast("array<string>")
-    entries = F.map_entries(level)
-    for i in range(depth):
-        found = F.concat(found, F.transform(F.filter(entries, lambda e: plain(e["key"]).isin(*wanted)), lambda e: e["value"]))
-        if i + 1 < depth:
-            entries = F.flatten(F.transform(entries, lambda e: F.coalesce(F.map_entries(F.from_json(e["value"], "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))))
-    return found
+def any_depth(json: Column, keys: list[str]) -> Column:
+    """Values of keys in a JSON text at any depth, in objects and lists, in the order of the text; lists give their plain items.
+
+    Keys are compared in lower case with runs of other characters as one underscore. Depth has no bound, so this is a
+    function of Arrow batches; a text that isn't JSON has none.
+    """
+    wanted = frozenset(keys)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: named_values(text, wanted), na_action="ignore")
+
+    return found(json)
+
+
+def named_values(text: str, wanted: frozenset[str]) -> list[str]:
+    try:
+        todo: list[tuple[str | None, object]] = [(None, loads(text))]
+    except ValueError:
+        return []
+    out: list[str] = []
+    while todo:
+        key, value = todo.pop()
+        if key is not None and re.sub("[^a-z0-9]+", "_", key.strip().lower()).strip("_") in wanted:
+            out += [str(v) for v in (value if isinstance(value, list) else [value]) if v is not None and not isinstance(v, dict | list)]
+        inner = list(value.items()) if isinstance(value, dict) else [(None, v) for v in value] if isinstance(value, list) else []
+        todo += reversed(inner)
+    return out
+
+
+#: Imaging methods by pattern, all that match in this order; words for volume methods; words that say too little.
+METHODS = [
+    (r"\bsbf[- ]?sem\b|serial block[- ]face", "SBF-SEM"), (r"\bfib[- ]?sem\b|focused ion beam", "FIB-SEM"), (r"\batum[- ]?sem\b", "ATUM-SEM"), (r"\bat[- ]?sem\b|array tomography sem", "AT-SEM"),
+    (r"\bss[- ]?tem\b|serial section tem|serial-section tem", "ssTEM"), (r"transmission electron microscopy|\btem\b", "TEM"), (r"electron tomography|resin-section et", "electron tomography"),
+]
+VOLUME_METHOD = r"volume electron microscopy|\bvolume em\b|\bvem\b"
+GENERAL_METHODS = ["em", "electron microscopy", "volume em", "volume electron microscopy"]
+#: Organisms by pattern, the first that matches.
+ORGANISMS = [
+    (r"\bhomo sapiens\b|\bhuman\b|\bhela\b", "Human"), (r"\bmus musculus\b|\bmouse\b|\bmurine\b", "Mouse"), (r"\brattus norvegicus\b|\brat\b", "Rat"), (r"\bdanio rerio\b|\bzebrafish\b", "Zebrafish"),
+    (r"\barabidopsis thaliana\b|\barabidopsis\b", "Arabidopsis thaliana"), (r"\bdrosophila melanogaster\b|\bdrosophila\b", "Drosophila melanogaster"), (r"\bcaenorhabditis elegans\b|\bc\.?\s*elegans\b", "C. elegans"),
+    (r"\bsaccharomyces cerevisiae\b|\byeast\b", "Saccharomyces cerevisiae"), (r"\bplasmodium berghei\b|\bp\.?\s*berghei\b", "Plasmodium berghei"),
+]
+#: Samples by pattern before organs, the organs with what may follow them, and samples after organs.
+SAMPLES = [
+    (r"\bhela\s+cell\s+pellet\b", "HeLa cell pellet"), (r"\bhela\s+cells?\b|\bhela\b", "HeLa cell"), (r"(?s)jugular vein.*carotid artery|carotid artery.*jugular vein", "jugular vein or carotid artery"), (r"\bookinetes?\b", "ookinete"),
+    (r"\bbrown adipose tissue\b", "brown adipose tissue"), (r"\badipose tissue\b", "adipose tissue"), (r"\bcochlear hair cells?\b", "cochlear hair cell"),
+]
+ORGANS = ["liver", "brain", "retina", "kidney", "breast", "tongue", "intestine", "cochlea", "heart", "lung", "muscle", "spleen", "pancreas", "skin", "root", "leaf"]
+ORGAN_ENDS = ["tissue sample", "tissue", "cells", "cell", "sample"]
+OWNERS = "human|mouse|murine|rat|zebrafish|arabidopsis"
+CELLS = [(r"\bhepatocytes?\b", "hepatocyte"), (r"\bcholangiocytes?\b", "cholangiocyte"), (r"\bendothelial cells?\b", "endothelial cell"), (r"\bneurons?\b", "neuron")]
+
+
+def methods_of(direct: Column, text: Column) -> Column:
+    """A named method and those that the text tells, each once, joined by ' ; '; general words only count where nothing else is told."""
+    low = F.lower(text)
+    told = F.array_compact(F.array(direct, *[F.when(low.rlike(p), F.lit(v)) for p, v in METHODS]))
+    special = F.filter(told, lambda m: ~F.lower(m).isin(*GENERAL_METHODS))
+    volume = F.exists(told, lambda m: F.lower(m).isin("volume em", "volume electron microscopy")) | F.coalesce(low.rlike(VOLUME_METHOD), F.lit(False))
+    chosen = F.when(F.size(special) > 0, special).when(volume, F.array(F.lit("volume EM"))).otherwise(told)
+    return F.nullif(F.array_join(unique_ignoring_case(chosen), " ; "), F.lit(""))
+
+
+def organism_of(direct: Column, text: Column) -> Column:
+    """The organism that a named value tells, else that value itself, else the one that the text tells."""
+    return F.coalesce(first_match(F.lower(direct), ORGANISMS), blank_to_null(direct), first_match(F.lower(text), ORGANISMS))
+
+
+def sample_of(text: Column) -> Column:
+    """The sample that a text tells: by name, by an organ and what follows it, by an owner's organ, by a kind of cell."""
+    low = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "[_/-]+", " "), r"\s+", " ")))
+    organs = "|".join(ORGANS)
+    ended = [F.concat(F.nullif(F.regexp_extract(low, rf"\b(?:{OWNERS})?\s*({organs})\s+{end}\b", 1), F.lit("")), F.lit(f" {end}")) for end in ORGAN_ENDS]
+    owned = F.nullif(F.regexp_extract(low, rf"\b(?:{OWNERS})\s+({organs})\b", 1), F.lit(""))
+    return F.coalesce(first_match(low, SAMPLES), *ended, F.when(owned == "retina", owned).otherwise(F.concat(owned, F.lit(" tissue"))), first_match(low, CELLS))
 
 
 #: Repositories by link, in order.

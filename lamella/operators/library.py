@@ -87,3 +87,12 @@ def match_names(assets: DataFrame, files: DataFrame) -> DataFrame:
     a = assets.withColumn("k", plain(F.col("name")))
     d = a.join(full.withColumnRenamed("p", "p1"), "k", "left").join(stem.withColumnRenamed("p", "p2"), "k", "left")
     return d.select("asset_id", F.coalesce("p1", "p2").alias("path"))
+
+
+def label_states(objects: DataFrame, segmentation: str) -> DataFrame:
+    """segmentation, label_state, n: objects by state, rejected ones too."""
+    return objects.groupBy(segmentation, "label_state").agg(F.count("*").alias("n"))
+
+
+def rejected(objects: DataFrame, segmentation: str) -> DataFrame:
+    return objects.groupBy(segmentation).agg(F.count_if(F.col("label_state") == "rejected").alias("rejected"))

@@ -116,5 +116,13 @@ def override_values(df: DataFrame, rules: DataFrame) -> DataFrame:
     return df.join(r, ["grp", "name"], "left").where(~F.coalesce("dropped", F.lit(False))).withColumn("name", F.coalesce("replacement", "name")).drop("replacement", "dropped")
 
 
-#: Kinds of content that must not be published.
-FORBIDDEN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "orcid": r"\b[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]\b", "ipv4": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"}
+#: Kinds of content that must not be published anywhere.
+FORBIDDEN = {"email": r"[\w.+-]+@[\w-]+\.[\w.]+", "orcid": r"\b\d{4}-\d{4}-\d{4}-\d{3}[\dX]\b", "contributor": r"\{'(?:name|affiliation|orcid)'"}
+#: What a curated vocabulary must not hold; titles of depositors are left as they are.
+FORBIDDEN_TERMS = {"specimen": r"(?i)\b(?:patient|donor|subject)\s+[A-Z]?\d"}
+
+
+def scan_terms(df: DataFrame, term: str, patterns: dict[str, str] = FORBIDDEN_TERMS) -> DataFrame:
+    """term, kind: values of a vocabulary that no facet may show."""
+    terms = df.select(F.col(term).alias("term")).distinct()
+    return terms.select("term", F.explode(F.array_compact(F.array(*[F.when(F.col("term").rlike(p), F.lit(k)) for k, p in patterns.items()]))).alias("kind"))

@@ -185,3 +185,31 @@ def source_map(crops: DataFrame, manifests: DataFrame) -> DataFrame:
     """Crops with the source image and split that some manifest (entries: crop_id, source_image, split) gives them, else their own file."""
     m = manifests.select(F.explode("entries").alias("e")).select("e.*").groupBy("crop_id").agg(F.min("source_image").alias("__s"), F.min("split").alias("manifest_split"))
     return crops.join(m, "crop_id", "left").withColumn("source_image", F.coalesce("__s", "em_file")).drop("__s")
+
+
+#: Data sets that a clean pool leaves out, by prefix and by part of the name.
+DENIED_PREFIX, DENIED = "jrc_", ("wei2020_mitoem", "kasthuri", "guay", "openorganelle", "bleck", "cremi", "perez")
+#: Foreground shares below which a crop is sparse, and partial.
+SPARSE, PARTIAL = 0.02, 0.1
+#: The data set that is capped by specimen, and the caps of its specimens and of other sources.
+BY_SPECIMEN, SPECIMEN, CAP_SPECIMEN, CAP_SOURCE = "zenodo_mitoem2", r"^(ME2-[A-Za-z0-9]+)", 600, 1000
+
+
+def clean_source(name: Column) -> Column:
+    low = F.lower(name)
+    return ~F.startswith(low, F.lit(DENIED_PREFIX)) & ~low.rlike("|".join(DENIED))
+
+
+def coverage_tier(foreground: Column, area: Column) -> Column:
+    share = foreground / F.greatest(area, F.lit(1))
+    return F.when(share < SPARSE, "sparse").when(share < PARTIAL, "partial").otherwise("full")
+
+
+def source_key(dataset: Column, crop: Column) -> Column:
+    """The source that a crop counts for: its data set, or its specimen in the one that is capped by specimen."""
+    specimen = F.coalesce(F.nullif(F.regexp_extract(crop, SPECIMEN, 1), F.lit("")), F.lit("UNK"))
+    return F.when(dataset == BY_SPECIMEN, F.concat(F.lit(f"{BY_SPECIMEN}/"), specimen)).otherwise(dataset)
+
+
+def source_cap(key: Column) -> Column:
+    return F.when(F.startswith(key, F.lit(f"{BY_SPECIMEN}/")), CAP_SPECIMEN).otherwise(CAP_SOURCE)

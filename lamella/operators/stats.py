@@ -96,3 +96,32 @@ def moments(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFra
     x = F.col(value).cast("double")
     d = df.groupBy(*(keys or [])).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     return d.select(*(keys or []), "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2)).alias("sd"))
+
+
+def bootstrap_interval(replicates: DataFrame, value: str, level: float = 95.0) -> DataFrame:
+    """lo, hi: the percentiles that leave out as much on either side, over replicates (a row each)."""
+    out = (100.0 - level) / 200.0
+    q = replicates.agg(F.percentile(value, F.array(F.lit(out), F.lit(1 - out))).alias("q"))
+    return q.select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+def in_domain(cells: DataFrame, pairs: DataFrame, on: list[str]) -> DataFrame:
+    """Cells of a score table that lie in the domain a model was trained on."""
+    return cells.join(pairs.select(*on).distinct(), on, "left_semi")
+
+
+def instance_table(df: DataFrame, model: str, dataset: str, crop: str, metrics: list[str], datasets: list[str]) -> DataFrame:
+    """Per model its first metric in each data set with instances, the means over data sets of every metric, and its crops; best first."""
+    first = metrics[0]
+    d = df.where(F.col(dataset).isin(*datasets) & finite(F.col(first)).isNotNull())
+    per = d.groupBy(model, dataset).agg(*[F.avg(finite(F.col(m))).alias(m) for m in metrics])
+    wide = per.groupBy(model).agg(*[F.max(F.when(F.col(dataset) == x, F.col(first))).alias(x) for x in datasets], *[F.avg(m).alias(f"mean_{m}") for m in metrics])
+    return wide.join(d.groupBy(model).agg(F.countDistinct(crop).alias("n")), model).orderBy(F.desc(f"mean_{first}"), model)
+
+
+def arm_table(scores: DataFrame, arm: list[str], subgroup: str, metrics: list[str], excluded: str, worst: str, places: int = 5) -> DataFrame:
+    """Per arm (and split): rows evaluated and excluded, the macro of each metric over subgroups, and the worst subgroup's value of one."""
+    counts = scores.groupBy(*arm).agg(F.count_if(~F.col(excluded)).alias("n_evaluated"), F.count_if(F.col(excluded)).alias("n_excluded"))
+    cells = scores.where(~F.col(excluded)).groupBy(*arm, subgroup).agg(*[F.avg(finite(F.col(m))).alias(m) for m in metrics])
+    means = cells.groupBy(*arm).agg(*[F.round(F.avg(m), places).alias(m) for m in metrics], F.round(F.min(worst), places).alias(f"worst_{worst}"), F.min_by(subgroup, F.struct(worst, subgroup)).alias("worst_subgroup"))
+    return counts.join(means, arm, "left")

@@ -181,3 +181,10 @@ def resolve_paths(records: DataFrame, files: DataFrame, key: str, candidates: Co
     """The first of a record's candidate paths that the listing has; null without one."""
     tried = records.select(key, F.posexplode(candidates).alias("i", "path")).join(files.select("path"), "path", "left_semi")
     return records.join(tried.groupBy(key).agg(F.min_by("path", "i").alias("path")), key, "left")
+
+
+def factor_record(df: DataFrame, wanted: list[str], factors: dict[str, list[str]], logs: dict[str, tuple[float, float]], denied: dict[str, list[str]]) -> DataFrame:
+    """source_id and dataset_id (blank where missing), and the code or value of each wanted factor with its validity."""
+    d = factor_codes(df, {f: v for f, v in factors.items() if f in wanted}, {f: v for f, v in logs.items() if f in wanted}, denied)
+    shown = [c for f in wanted for c in (f"{f}_code" if f in factors else f"{f}_z", f"{f}_valid")]
+    return d.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source_id", "dataset_id")], *shown)

@@ -63,7 +63,7 @@ def html_clean(t: Tables) -> DataFrame:
 _SCAN = "SELECT {k} AS id, '{n}' AS origin, '{kind}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS found FROM {n}"
 
 
-@BOOK.add(" UNION ALL ".join(_SCAN.format(k=k, n=n, kind=kind, p=p) for k, n in (("doc_id", "documents"), ("conv_id", "conversations")) for kind, p in rules.FORBIDDEN.items()))
+@BOOK.add(" UNION ALL ".join(_SCAN.format(k=k, n=n, kind=kind, p=p.replace("'", "''")) for k, n in (("doc_id", "documents"), ("conv_id", "conversations")) for kind, p in rules.FORBIDDEN.items()))
 def pii_scan(t: Tables) -> DataFrame:
     a = rules.scan(t.documents, "doc_id", "text", rules.FORBIDDEN).select(F.col("doc_id").alias("id"), F.lit("documents").alias("origin"), "kind", "found")
     b = rules.scan(t.conversations.withColumn("row", F.struct("conv_id", "turn")), "row", "text", rules.FORBIDDEN).select(F.col("row.conv_id").alias("id"), F.lit("conversations").alias("origin"), "kind", "found")

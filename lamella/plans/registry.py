@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.plans import corpus, directory, records, scores, space, state
+from lamella.plans import corpus, directory, measures, records, scores, space, state
 
-MODULES = [scores, records, directory, corpus, space, state]
+MODULES = [scores, records, directory, corpus, space, state, measures]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

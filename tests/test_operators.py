@@ -91,8 +91,8 @@ def test_record_filter(spark):
 def test_catalog_rest(spark):
     d = spark.createDataFrame([("https://doi.org/10.6019/EMPIAR-1",), ("http://other",), (" ",), (None,)], "url string")
     assert [r[0] for r in d.select(catalog.repository_of(F.col("url"))).collect()] == ["EMPIAR", "Other", "Not yet deposited", "Not yet deposited"]
-    r = one(spark, catalog.any_depth(F.lit('{"A": {"Sample-Type": "x", "b": {"sample_type": "y"}}, "sampleType": "z"}'), ["sampletype"]), catalog.open_access(F.array().cast("array<string>")), catalog.open_access(F.array(F.lit("restricted"))))
-    assert sorted(r[0]) == ["x", "y", "z"] and (r[1], r[2]) == (True, False)
+    r = one(spark, catalog.any_depth(F.lit('{"A": {"Sample-Type": "x", "b": [[{"c": {"d": {"e": {"sample type": ["y", {"q": 1}, 2]}}}}]]}, "sample_type": {"k": 0}, "Sample.Type ": "z"}'), ["sample_type"]), catalog.open_access(F.array().cast("array<string>")), catalog.open_access(F.array(F.lit("restricted"))))
+    assert r[0] == ["x", "y", "2", "z"] and (r[1], r[2]) == (True, False)
     r = one(spark, catalog.data_links(F.array(F.lit("http://a/data"), F.lit("http://a/paper.pdf")), F.array(F.lit("http://a/data"))), catalog.relevance(F.lit("Volume EM of cells"), {"m": ["volume em"], "o": ["plants"]}, ["m"]))
     assert r[0] == ["http://a/data"] and r[1]["relevant"] and r[1]["terms"] == ["volume em"]
 
@@ -358,3 +358,80 @@ def test_greedy_of_a_long_chain(spark):
     """Boxes that each overlap the next, with falling scores: every other one is chosen, however long the chain."""
     d = spark.createDataFrame([(i, 10 * i, 0, 10 * i + 15, 5, 1000.0 - i) for i in range(140)], "id long, x0 long, y0 long, x1 long, y1 long, s double")
     assert sorted(r.id for r in spatial.greedy(d, "s", 64.0).collect()) == list(range(0, 140, 2))
+
+
+def test_long_chains(spark):
+    """Rounds go on to the end: 200 boxes in a row, each over the next, with falling scores, and a chain of 60 matches."""
+    boxes = spark.createDataFrame([(i, 6.0 * i, 0.0, 6.0 * i + 10, 5.0, 1000.0 - i) for i in range(200)], "id long, x0 double, y0 double, x1 double, y1 double, score double")
+    assert sorted(r.id for r in spatial.greedy(boxes, "score", 16.0).collect()) == list(range(0, 200, 2))
+    steps = [(1, i, i, 0.49 - i / 1000) for i in range(60)] + [(1, i, i + 1, 0.4895 - i / 1000) for i in range(60)]
+    pairs = spark.createDataFrame(steps, "k int, p int, g int, iou double")
+    got = {(r.p, r.g) for r in labels.mutual_best(pairs, ["k"], 0.1).collect()}
+    done_p, done_g, want = set(), set(), set()
+    for _, p, g, _ in sorted(steps, key=lambda r: (-r[3], r[1], r[2])):
+        if p not in done_p and g not in done_g:
+            want.add((p, g))
+            done_p.add(p)
+            done_g.add(g)
+    assert got == want
+
+
+def test_union_area(spark):
+    rng = random.Random(4)
+    rows = [(k, x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9)) for k in range(12) for x, y in [(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(1, 9))]]
+    got = {r.k: r.area for r in spatial.union_area(spark.createDataFrame(rows, "k int, x0 int, y0 int, x1 int, y1 int"), "k").collect()}
+    assert got == {k: len({(x, y) for r in rows if r[0] == k for x in range(r[1], r[3]) for y in range(r[2], r[4])}) for k in {r[0] for r in rows}}
+    box = lambda *r: spark.createDataFrame(list(r), "id int, x0 double, y0 double, x1 double, y1 double")
+    halves = box((1, 0.0, 0.0, 4.0, 10.0), (2, 6.0, 0.0, 10.0, 10.0), (3, 0.0, 0.0, 4.0, 5.0))
+    assert [tuple(r) for r in spatial.covered(box((9, 0.0, 0.0, 10.0, 10.0)), halves, 4.0).collect()] == [(9, "delete")]
+    assert [tuple(r) for r in spatial.covered(box((9, 0.0, 0.0, 10.0, 10.0)), halves.where("id <> 2"), 4.0).collect()] == [(9, "trim")]
+
+
+def test_compartments_inside_tissue(spark):
+    """Labels are cut to the tissue, overlaps count once, and shares of no tissue are 0."""
+    runs = [(1, "tissue", 0, 0, 9), (1, "nucleus", 0, 5, 14), (1, "nucleus", 0, 8, 12), (1, "spot", 0, 0, 6), (2, "nucleus", 0, 0, 4)]
+    got = {(r.image, r.label): (r.area, r.fraction) for r in analysis.compartment_areas(spark.createDataFrame(runs, "image int, label string, y int, x0 int, x1 int"), "image", "tissue").collect()}
+    assert got == {(1, "tissue"): (10, 1.0), (1, "nucleus"): (5, 0.5), (1, "spot"): (7, 0.7), (1, "cytoplasm"): (5, 0.5), (2, "nucleus"): (0, 0.0), (2, "cytoplasm"): (0, 0.0)}
+
+
+def test_far_neighbours(spark):
+    """Neighbours are found whatever the distance; points whose group has none in b are left out."""
+    schema = "point_id int, image string, x double, y double"
+    a = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "b", 0.0, 0.0), (3, "c", 5.0, 5.0)], schema)
+    b = spark.createDataFrame([(7, "a", 3e6, 4e6), (8, "b", 1.0, 0.0), (9, "b", 0.0, 2.0)], schema)
+    got = {r.point_id: (r.near_id, r.distance) for r in spatial.nearest(a, b, 1.0, within=("image",)).collect()}
+    assert got == {1: (7, 5e6), 2: (8, 1.0)}
+
+
+def test_distances_of_bare_sides(spark):
+    mask = lambda *r: spark.createDataFrame(list(r), "image int, x int, y int")
+    sizes = spark.createDataFrame([(1, 3, 4), (2, 3, 4), (3, 3, 4)], "image int, width int, height int")
+    pred, truth = mask((1, 0, 0), (2, 0, 0)), mask((1, 0, 2))
+    assert {r.image: r.hd95 for r in labels.hd95(pred, truth, sizes, "image").collect()} == {1: 2.0, 2: 5.0, 3: 0.0}
+    assert {r.image: r.f1 for r in labels.boundary_f1(pred, truth, sizes, "image", 1.0).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
+
+
+def test_chosen_shifts(spark, sf):
+    """Tile by tile in order, the best window that covers no earlier one by more than the limit."""
+    from lamella.plans import measures, registry
+    from lamella.plans.binding import Tables
+
+    nominal = [r.asDict() for r in measures.nominal(Tables(spark, sf)).collect()]
+    want, taken = {}, []
+    for t in sorted(nominal, key=lambda t: t["tile"]):
+        options = {(max(0, min(t["x"] + dx, t["width"] - 64)), max(0, min(t["y"] + dy, t["height"] - 64))) for dx in (-16, 0, 16) for dy in (-16, 0, 16)}
+        rank = lambda o: (-((o[0] * 31 + o[1] * 17) % 101), abs(o[0] - t["x"]) + abs(o[1] - t["y"]), o[1], o[0])  # noqa: E731, B023
+        for o in sorted(options, key=rank):
+            if all(max(0, 64 - abs(o[0] - p[0])) * max(0, 64 - abs(o[1] - p[1])) / 4096 <= 0.4 for p in taken):
+                want[t["tile"]] = o
+                taken.append(o)
+                break
+    assert {r.tile: (r.cx, r.cy) for r in registry.QUERIES["chosen_shifts"](spark, sf).collect()} == want
+
+
+def test_group_query(spark):
+    runs = spark.createDataFrame([("success", "s1", "a", 1, 2.0), ("success", "s1", "a", 1, 4.0), ("success", "s2", "a", 2, 9.0), ("failed", "s1", "a", 3, 99.0), ("success", "s1", None, 4, 5.0)], "status string, segmentation string, grp string, image int, v double")
+    shown = lambda df: {r.grp: (r["mean"], r.n) for r in df.collect()}
+    assert shown(analysis.group_query(runs, "v")) == {"a": (6.0, 2), "": (5.0, 1)}
+    assert shown(analysis.group_query(runs, "v", F.lit("s1"), "a")) == {"a": (3.0, 1)}
+    assert shown(analysis.group_query(runs, "v", group="")) == {"": (5.0, 1)}
