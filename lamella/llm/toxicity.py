@@ -42,13 +42,23 @@ BLOCK = 64
 FREQUENT = 25
 
 
+#: Every ASCII character but letters as a blank.
+_LETTERS = {i: " " for i in range(128) if not chr(i).isalpha()}
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    low = text.lower()
+    return low.translate(_LETTERS).split() if low.isascii() else _WORDS.findall(low)
+
+
 def features_of(word: str) -> list[str]:
     """The word itself, and its starts, marked by a star."""
     return [word, *(word[:n] + "*" for n in STARTS if len(word) >= n)]
 
 
 def text_features(text: str) -> set[str]:
-    words = Counter(_WORDS.findall(text.lower()))
+    words = Counter(words_of(text))
     seen: Counter[str] = Counter()
     for w, n in words.items():
         for f in features_of(w):
@@ -117,7 +127,7 @@ def example_words(examples: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (text,) in rows(batches, "text"):
-            yield from ((f"{w}#1",) for w in set(_WORDS.findall((text or "").lower())))
+            yield from ((f"{w}#1",) for w in set(words_of(text or "")))
 
     return examples.select("text").mapInArrow(lambda b: gathered(made(b), schema, lambda r: 20), "feature string").distinct()
 
@@ -134,19 +144,19 @@ class Reader:
         self.counted = {f: v for f, v in names.items() if f.endswith("*") or len(v) > 1 or v[0][0] > 1}
         self.plain = {f: v[0][1] for f, v in names.items() if f not in self.counted}
         self.heads = {f[: STARTS[0]] for f in self.counted}
+        self.marked = {w for w in self.plain if w[: STARTS[0]] in self.heads}
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the features of a text, and how often each is there."""
-        words = Counter(_WORDS.findall(text.lower()))
+        words = Counter(words_of(text))
         plain, heads, head = self.plain, self.heads, STARTS[0]
-        known = [w for w in words if w in plain]
-        ids, often = [plain[w] for w in known], [words[w] for w in known]
+        found = [(i, n) for w, n in words.items() if (i := plain.get(w)) is not None]
+        ids, often = [i for i, _ in found], [n for _, n in found]
         seen: dict[str, int] = {}
-        for w in words:
-            if w[:head] in heads:
-                for f in features_of(w):
-                    if f in self.counted:
-                        seen[f] = seen.get(f, 0) + words[w]
+        for w in itertools.chain(self.marked.intersection(words), [w for w in words if w[:head] in heads and w not in plain] if len(found) < len(words) else ()):
+            for f in features_of(w):
+                if f in self.counted:
+                    seen[f] = seen.get(f, 0) + words[w]
         for f, n in seen.items():
             for times, i in self.counted[f]:
                 if n >= times:
@@ -301,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: int = 20_000, examples:
     rows_, bad = train.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     taken = train.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").select("doc_id").limit(examples)
     own = materialise(train.join(F.broadcast(taken.distinct()), "doc_id").select("text", "toxic"), "toxic-examples")
-    chosen = choose_features(feature_counts(train), example_words(own), rows_, bad, features)
+    chosen = choose_features(materialise(feature_counts(train), "toxic-counts"), example_words(own), rows_, bad, features)
     names = [f for f, _ in chosen]
     index = Index(names, np.array([r for _, r in chosen]), *document_frequencies(docs, names))
     schema = pa.schema([("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("toxic", pa.int32())])
