@@ -1,14 +1,17 @@
 """The contracted queries against plain Python over the same documents."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -275,3 +278,92 @@ def test_oracles(spark, name):
     got = queries.QUERIES[name](spark, where).toPandas()[list(want.columns)]
     order = lambda f: f.sort_values(list(f.columns)).reset_index(drop=True)
     assert order(want).astype(str).equals(order(got).astype(str))
+
+
+def test_packing_follows_the_curve(spark, sf):
+    """Documents come in the order of their curve keys, so neighbours in a sequence are neighbours on the curve."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    key = {r.doc_id: r.curve for r in packing.tokenized(docs).select("doc_id", "curve").collect()}
+    pieces = sorted(packing.pack_along_curve(docs).select("sequence_id", "offset", "doc_id").collect())
+    order = [key[r.doc_id] for r in pieces]
+    assert order == sorted(order) and len(set(order)) > 20
+    curve = packing.Curve(50_257)
+    some = np.array([curve.vector(ids(BYTE_BPE, t)) for t in ("the cat sat on the mat " * 9, "the cat sat on the mat " * 8 + "once", "zahl und wort und satz " * 9)])
+    placed = some @ curve.matrix / np.linalg.norm(some, axis=1, keepdims=True)
+    assert np.abs(placed[0] - placed[1]).max() < np.abs(placed[0] - placed[2]).max()
+
+
+def test_line_runs_reopened(spark, sf):
+    """A later job takes up the runs of an earlier one: the same totals, and keys of earlier batches keep their keeper."""
+    lines = line_dedup.line_keys(spark.read.parquet(f"{sf}/documents.parquet"), 20)
+    parts = [lines.where(f"pmod(__id, 5) = {k}") for k in range(5)]
+    once = line_dedup.LineRuns(spark)
+    root = shared_path(spark, "runs")
+    for k, part in enumerate(parts):
+        once.add(part)
+        runs = line_dedup.LineRuns.open(spark, root) if k else line_dedup.LineRuns(spark, root=root)
+        runs.add(part)
+    again = line_dedup.LineRuns.open(spark, root)
+    assert again.version == 5 and [len(x) for x in again.levels] == [len(x) for x in once.levels]
+    rows = lambda r: sorted(map(tuple, r.totals().collect()))
+    assert rows(again) == rows(once)
+    first = {}
+    for k, part in enumerate(parts):
+        for r in part.collect():
+            have = first.setdefault((r.h1, r.h2), (k, r["__id"]))
+            if have[0] == k:
+                first[r.h1, r.h2] = (k, max(have[1], r["__id"]))
+    assert {(h1, h2): keeper for h1, h2, _, keeper in rows(again)} == {x: v for x, (_, v) in first.items()}
+
+
+def test_frequent_lines(spark):
+    """Keys that are broadcast and keys that are joined give the same lines."""
+    docs = spark.createDataFrame([(i, f"this line is in every document\nthis line is in some, number {i % 40}\nown line of number {i} alone") for i in range(300)], "doc_id long, text string")
+    got = [sorted(map(tuple, line_dedup.dedup_lines(docs, frequent=f).collect())) for f in (1, 50, 10**9)]
+    assert got[0] == got[1] == got[2] and sum(r[-1] for r in got[0]) == 299 + 260
+
+
+def test_token_file_format(spark, sf):
+    """What is written: dictionary or delta pages, page indexes, row groups within bounds; and a range reads its documents only."""
+    path = shared_path(spark, "format")
+    token_files.write_tokens(spark.read.parquet(f"{sf}/documents.parquet"), path)
+    seen, rows = set(), 0
+    for file in Path(path.removeprefix("file://")).glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).total_byte_size <= 3 * token_files.FORMAT["parquet.block.size"]
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                assert column.has_offset_index and (column.has_column_index or column.path_in_schema.startswith("ids"))
+                assert column.compression == "ZSTD"
+                seen |= set(column.encodings)
+        rows += meta.num_rows
+    assert {"RLE_DICTIONARY"} <= seen and "PLAIN" not in seen - {"RLE", "RLE_DICTIONARY", "PLAIN", "DELTA_BINARY_PACKED"}
+    docs = texts(sf)
+    assert rows == len(docs)
+    low, high = sorted(docs)[10], sorted(docs)[20]
+    got = {r.doc_id: r.ids for r in token_files.read_tokens(spark, path, low, high).collect()}
+    assert got == {d: ids(WORD_BPE, docs[d], 2).tolist() for d in sorted(docs)[10:21]}
+    plan = token_files.read_tokens(spark, path, low, high)._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(doc_id,{low})" in plan and f"LessThanOrEqual(doc_id,{high})" in plan
+    assert "ids" not in token_files.read_lengths(spark, path)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
+
+
+def test_quality_verdict(spark, sf):
+    """`kept` by walking every tree of the forest for every document, one split at a time."""
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stats, forest, cut = quality.fitted(docs, known)
+    n = forest.subsample
+    usual = 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    want = {}
+    for r in stats.collect():
+        total = 0.0
+        for feature, cuts, left, right, path in forest.trees:
+            at = 0
+            while left[at] != at:
+                at = left[at] if r.stats[feature[at]] < cuts[at] else right[at]
+            total += path[at]
+        want[r.doc_id] = not r.base_failed and 2 ** (-total / len(forest.trees) / usual) < cut
+    assert {r.doc_id: r.kept for r in queries.op6_quality(spark, sf).collect()} == want
+    assert 0 < sum(want.values()) < len(want)
+

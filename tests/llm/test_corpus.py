@@ -9,9 +9,13 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lamella.llm import components, near_dedup, queries, scoring, toxicity
+from lamella.llm import components, line_dedup, mixing, near_dedup, quality, queries, scoring, token_counts, toxicity
+from lamella.llm.common import materialise
+from lamella.llm.tokens import BYTE_BPE
 
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
@@ -325,3 +329,62 @@ def test_stages(spark, sf):
     for r in stages["packing"](spark, docs, sf).collect():
         tokens[r.doc_id] += r.length
     assert len(tokens) == docs.count()
+
+
+def test_pipeline_brute_force(spark, sf):
+    """Every stage on what the one before kept, odd rows among them, against plain Python."""
+    odd = [(None, "an odd row " * 30, "en", None, 330, 1), (None, "an odd row " * 30, "en", None, 330, 2), (9_000_001, None, None, "web", 0, 3), (9_000_002, "", "en", "web", 0, 4), (9_000_003, "long text of many words here " * 9000, "en", "web", 261_000, 5)]
+    odd += [(9_000_010 + i, " ".join(f"word{(i * 7 + j) % 97}x{j % 13}" for j in range(60 + i)) + "\nthis line is shared by all of them", "de", "books", 1, i) for i in range(6)] * 2
+    base = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs = base.withColumn("__doc", F.lit(0)).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, __doc int"))
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: df.collect()
+
+    kept = materialise(stages["quality rules"](spark, docs, sf), "t1")
+    judged = quality.judge(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert Counter(r.doc_id for r in rows(kept)) == Counter(r.doc_id for r in rows(judged) if r.kept)
+
+    lined = materialise(stages["line dedup"](spark, kept, sf), "t2")
+    low = lambda d: -(1 << 63) if d is None else d
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(list)
+    for r in rows(kept):
+        for k in {key(x) for x in (r.text or "").split("\n")}:
+            holders[k].append(low(r.doc_id))
+    goes = lambda x, d: len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and max(holders[key(x)]) > d
+    want = Counter((r.doc_id, "\n".join(x for x in (r.text or "").split("\n") if not goes(x, low(r.doc_id)))) for r in rows(kept))
+    assert Counter((r.doc_id, r.text) for r in rows(lined)) == want
+
+    single = materialise(stages["near duplicates"](spark, lined, sf), "t3")
+    every = sorted({(low(r.doc_id), r.text) for r in rows(lined)})
+    found = brute_classes(dict(enumerate(t for _, t in every)))
+    assert Counter((low(r.doc_id), r.text) for r in rows(single)) == Counter(every[i] for i in {min(j for j in found if found[j] == root) for root in set(found.values())})
+
+    mixed = materialise(stages["mixing"](spark, single, sf), "t4")
+    times = Counter(r.doc_id for r in rows(mixed))
+    taken = {r.doc_id: r for r in rows(mixing.mix(single, mixing.quality_weights(spark.read.parquet(f"{sf}/labels.parquet"))))}
+    assert all(abs(times[d] - r["taken"] / r["size"]) <= 0.5 for d, r in taken.items() if r["size"])
+    assert mixed.columns == docs.columns
+
+    tokens = Counter()
+    for r in rows(stages["packing"](spark, mixed, sf)):
+        tokens[r.doc_id] += r.length
+    fresh, want = Tokenizer.from_file(BYTE_BPE), Counter()
+    for r in rows(mixed):
+        want[r.doc_id] += len(fresh.encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert tokens == want
+
+
+@pytest.mark.parametrize("apply", [
+    lambda d, k: near_dedup.near_duplicates(d), lambda d, k: near_dedup.keep_one(d), lambda d, k: scoring.score_documents(d), lambda d, k: toxicity.toxicity(d, k),
+    lambda d, k: token_counts.length_counts(d), lambda d, k: line_dedup.dedup_lines(d), lambda d, k: mixing.mix(d), lambda d, k: quality.judge(d, k),
+], ids=["classes", "one", "scores", "toxicity", "lengths", "lines", "mix", "quality"])
+def test_clashing_columns(spark, apply):
+    """Columns with the operators' own names, null ids, null and repeated texts: nothing breaks, and no row is lost."""
+    names = ["__id", "__t", "__own", "__gone", "id", "t", "n", "w", "bucket", "key", "length", "size", "u", "weight", "h1", "score", "toxic", "row", "__doc"]
+    rows = [(None, "some words that are here " * 9, "s", *range(len(names))), (1, None, None, *range(len(names))), (1, "some words that are here " * 9, "s", *range(len(names)))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{x} int" for x in names))
+    known = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert apply(docs, known).count() > 0
+    assert apply(docs.limit(0), known).count() == 0
+
