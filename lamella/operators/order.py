@@ -29,6 +29,15 @@ def running_by_bin(df: DataFrame, bin_: str, order: list[str], size: str, out: s
     return summed.join(bases, on).withColumn(out, F.col("__base") + F.col("__own")).drop("__own", "__base", "__bin", *[f"__{k}" for k in keys])
 
 
+def placed(df: DataFrame, group: list[str], bin_: Column, order: list[str]) -> DataFrame:
+    """Adds `place` (from 1), a row's place in (bin, order) inside its group, and `members`, the group's size: no task sees a whole group."""
+    one = F.lit(1).cast("long")
+    d = running_by_bin(df.withColumns({"hbin": bin_, "__one": one}), "hbin", order, "__one", "place", group).withColumn("place", F.col("place") + 1)
+    n = df.groupBy(*group).agg(F.count("*").alias("members")).select(*[F.col(g).alias(f"__{g}") for g in group], "members")
+    on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
+    return d.join(n, on).drop("hbin", "__one", *[f"__{g}" for g in group])
+
+
 def seeded(df: DataFrame, seed: str, *key: str) -> DataFrame:
     """Adds `digest`, the SHA-1 of seed and key: a seeded shuffle is its order."""
     return df.withColumn("digest", F.sha1(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key])))
@@ -47,10 +56,9 @@ def shards(placed: DataFrame, size: int) -> DataFrame:
 
 def balanced(df: DataFrame, source: str, seed: str, key: str) -> DataFrame:
     """Adds `share`: a row's seeded rank inside its source over the source's size, so that sorting by it mixes sources evenly."""
-    w = Window.partitionBy(source)
     d = seeded(df, seed, key)
-    rank = F.row_number().over(w.orderBy("digest", key))
-    return d.withColumn("share", (rank - 0.5) / F.count("*").over(w)).withColumn("source_digest", F.sha1(F.concat_ws(":", F.lit(seed), F.col(source))))
+    d = placed(d, [source], hashed_bin(F.col("digest")), ["digest", key])
+    return d.withColumn("share", (F.col("place") - 0.5) / F.col("members")).drop("place", "members").withColumn("source_digest", F.sha1(F.concat_ws(":", F.lit(seed), F.col(source))))
 
 
 def round_robin(df: DataFrame, source: str, first_seen: str, n: int) -> DataFrame:

@@ -26,9 +26,10 @@ def bounded(term: str) -> str:
 
 
 def term_hits(text: Column, terms: list[str]) -> Column:
-    """The terms found in the text as it is or with separators as blanks, in list order."""
+    """The terms found in the text as it is or with separators as blanks, in list order. Few texts hold a term at all, so patterns are only tried on those."""
     other = separators_to_blanks(text)
-    return F.array_compact(F.array(*[F.when(text.rlike(bounded(t)) | other.rlike(bounded(t)), F.lit(t)) for t in terms]))
+    found = lambda x, t: F.contains(x, F.lit(t)) & x.rlike(bounded(t))
+    return F.array_compact(F.array(*[F.when(found(text, t) | found(other, t), F.lit(t)) for t in terms]))
 
 
 def substring_hits(text: Column, terms: list[str]) -> Column:

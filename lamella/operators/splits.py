@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.numbers import hash01
-from lamella.operators.order import running_by_bin
+from lamella.operators.order import hashed_bin, placed, running_by_bin
 
 
 def organelle_set(text: Column) -> Column:
@@ -35,10 +35,9 @@ def leak_guard(train: DataFrame, test: DataFrame, on: list[str]) -> DataFrame:
 
 def by_count(df: DataFrame, group: list[str], key: str, share: float) -> DataFrame:
     """Adds `split`: the first ceil(share * n) of a group in hash order are val."""
-    w = Window.partitionBy(*group)
     d = df.withColumn("h", hash01(F.col(key).cast("string")))
-    val = F.row_number().over(w.orderBy("h", key)) <= F.ceil(F.lit(share) * F.count("*").over(w))
-    return d.withColumn("split", F.when(val, "val").otherwise("train"))
+    d = placed(d, group, F.floor(F.col("h") * 4096), ["h", key])
+    return d.withColumn("split", F.when(F.col("place") <= F.ceil(F.lit(share) * F.col("members")), "val").otherwise("train")).drop("place", "members")
 
 
 def by_budget(df: DataFrame, key: str, weight: str, share: float, group: list[str] | None = None) -> DataFrame:
@@ -85,15 +84,14 @@ def solve_share(q: DataFrame, source: str, solved: str, share: float) -> DataFra
 
 def draw(rows: DataFrame, quotas: DataFrame, source: str, key: str, seed: str) -> DataFrame:
     d = rows.join(quotas.select(source, "quota"), source).withColumn("digest", F.sha1(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy(source).orderBy("digest", key))).where("place <= quota").drop("quota", "place")
+    return placed(d, [source], hashed_bin(F.col("digest")), ["digest", key]).where("place <= quota").drop("quota", "place", "members")
 
 
 def stratified(df: DataFrame, group: str, key: str, share: float, seed: str) -> DataFrame:
     """A nested subset: at least one row a group, round(share * n) half to even, in seeded order."""
-    w = Window.partitionBy(group)
     d = df.withColumn("digest", F.sha1(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
-    n = F.greatest(F.lit(1.0), F.rint(F.lit(share) * F.count("*").over(w)))
-    return d.withColumn("place", F.row_number().over(w.orderBy("digest", key))).withColumn("n_take", n).where("place <= n_take").drop("n_take")
+    d = placed(d, [group], hashed_bin(F.col("digest")), ["digest", key])
+    return d.where(F.col("place") <= F.greatest(F.lit(1.0), F.rint(F.lit(share) * F.col("members")))).drop("members")
 
 
 def oversample(df: DataFrame, cls: str, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.order import running_by_bin
+
 
 def starts(length: Column, tile: Column, stride: Column, edge: str = "floor") -> Column:
     """Window starts along an axis. edge: floor (whole windows only), flush (one more at the end), pull (same, if it overlaps no more than half)."""
@@ -62,12 +64,13 @@ def to_uint8(v: Column, lo: Column, hi: Column, inverted: Column) -> Column:
 
 def spatial_cap(df: DataFrame, source: str, key: str, x: str, y: str, score: list[Column], cap: int, seed: str, grid: int = 10) -> DataFrame:
     """At most `cap` rows a source: bins of a grid over the source's extent take turns in seeded order, each with its best first."""
-    w = Window.partitionBy(source)
-    place = lambda c: F.least(F.lit(grid - 1), F.coalesce(F.floor((F.col(c) - F.min(c).over(w)) / F.nullif(F.max(c).over(w) - F.min(c).over(w), F.lit(0)) * grid), F.lit(0)))
-    d = df.withColumn("bin", place(y) * grid + place(x))
+    extent = df.groupBy(F.col(source).alias("__source")).agg(*[f(c).alias(f"__{n}_{a}") for a, c in (("x", x), ("y", y)) for n, f in (("low", F.min), ("high", F.max))])
+    at = lambda a, c: F.least(F.lit(grid - 1), F.coalesce(F.floor((F.col(c) - F.col(f"__low_{a}")) / F.nullif(F.col(f"__high_{a}") - F.col(f"__low_{a}"), F.lit(0)) * grid), F.lit(0)))
+    d = df.join(extent, F.col(source).eqNullSafe(F.col("__source"))).withColumn("bin", at("y", y) * grid + at("x", x)).drop(*extent.columns)
     d = d.withColumn("turn", F.row_number().over(Window.partitionBy(source, "bin").orderBy(*score, key)))
     d = d.withColumn("bin_digest", F.sha1(F.concat_ws(":", F.lit(seed), F.col(source), F.col("bin").cast("string"))))
-    return d.withColumn("place", F.row_number().over(w.orderBy("turn", "bin_digest"))).where(F.col("place") <= cap)
+    d = running_by_bin(d.withColumn("__one", F.lit(1)), "turn", ["bin_digest"], "__one", "place", [source]).drop("__one")
+    return d.withColumn("place", F.col("place") + 1).where(F.col("place") <= cap)
 
 
 def enrich(tiles: DataFrame, meta: DataFrame, key: str, fields: list[str], overwrite: bool = False) -> DataFrame:
@@ -123,12 +126,21 @@ def log_stats(df: DataFrame, value: str, qs: list[float], bin_width: float = 0.0
     return ranked.where("r = place - before").select("q", F.col("v").alias("at"), "n", "log_mean", "log_sd")
 
 
-def fingerprint(df: DataFrame, key: str, bins: int = 256) -> DataFrame:
-    """A digest of a set of keys, whatever their order: digests of sorted keys by hash bin, then of the bins."""
+def fingerprint(df: DataFrame, key: str, digits: int = 6) -> DataFrame:
+    """A digest of a set of keys, whatever their order: a tree over the first hex digits of their hash.
+
+    Keys that share all `digits` are joined in order and digested; then, two digits less at a time, the digests below. A
+    list holds 256 digests at most, and at its leaves one key in 16**digits of all.
+    """
     k = F.col(key).cast("string")
-    parts = df.select(k.alias("k")).distinct().withColumn("bin", F.pmod(F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long"), F.lit(bins)))
-    parts = parts.groupBy("bin").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("d"), F.count("*").alias("c"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "d"))), lambda x: x["d"]), "\n"), 256).alias("fingerprint"), F.sum("c").alias("n"))
+    d = df.select(k.alias("d")).distinct().select(F.substring(F.md5("d"), 1, digits).alias("at"), F.lit("").alias("own"), "d", F.lit(1).cast("long").alias("c"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("own", "d"))), lambda x: x["d"]), "\n")
+        d = d.groupBy("at").agg(F.sha2(joined, 256).alias("d"), F.sum("c").alias("c"))
+        if digits <= 0:
+            return d.select(F.col("d").alias("fingerprint"), F.col("c").alias("n"))
+        digits -= 2
+        d = d.select(F.substring("at", 1, max(digits, 0)).alias("at"), F.col("at").alias("own"), "d", "c")
 
 
 def shard_counts(sharded: DataFrame, source: str) -> DataFrame:

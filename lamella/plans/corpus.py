@@ -85,7 +85,7 @@ def log_stats(t: Tables) -> DataFrame:
     return tiles.log_stats(t.orders, "o_totalprice", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]).withColumns({c: F.round(c, 6) for c in ("log_mean", "log_sd")})
 
 
-@BOOK.add("""WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS k FROM documents), b AS (SELECT ('0x' || substr(md5(k), 1, 8))::BIGINT % 256 AS bin, sha256(string_agg(k, chr(10) ORDER BY k)) AS d, count(*) AS c FROM k GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY bin)) AS fingerprint, sum(c)::BIGINT AS n FROM b""")
+@BOOK.add("""WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS k FROM documents), a6 AS (SELECT substr(md5(k), 1, 6) AS p, sha256(string_agg(k, chr(10) ORDER BY k)) AS d, count(*) AS c FROM k GROUP BY 1), a4 AS (SELECT substr(p, 1, 4) AS p, sha256(string_agg(d, chr(10) ORDER BY a6.p)) AS d, sum(c) AS c FROM a6 GROUP BY substr(a6.p, 1, 4)), a2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(d, chr(10) ORDER BY a4.p)) AS d, sum(c) AS c FROM a4 GROUP BY substr(a4.p, 1, 2)) SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS fingerprint, sum(c)::BIGINT AS n FROM a2""")
 def fingerprint(t: Tables) -> DataFrame:
     return tiles.fingerprint(t.documents, "doc_id")
 
