@@ -216,15 +216,15 @@ def apart(led: DataFrame, roots: DataFrame) -> DataFrame:
     not sent at all: frequent ones, such as those of a passage, come last and are rarely sent.
     """
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = led.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    rest = led.hint("merge").join(named("a"), "a", "left").hint("merge").join(named("b"), "b", "left")
     rest = rest.select("b", "a", "n", "lead_n", "diff", F.size("diff").cast("long").alias("d"), F.coalesce("a_root", "a").alias("root"), F.coalesce("b_root", "b").alias("lead_root"))
     mixed = materialise(rest.groupBy("b").agg(F.count_if(F.col("root") != F.col("lead_root")).alias("apart"), F.count("*").alias("size")).where("apart > 0 and size > 1").select("b"), "mixed")
-    rest = materialise(rest.join(mixed, "b").withColumn("rid", F.monotonically_increasing_id()), "rest")
+    rest = materialise(rest.hint("merge").join(mixed, "b").withColumn("rid", F.monotonically_increasing_id()), "rest")
     each = rest.select("rid", F.xxhash64("root").alias("r"), F.explode("diff").alias("token"))
     several = materialise(each.groupBy("token").agg(F.count("*").alias("times"), F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token", "times"), "tokens")
-    held = each.join(several, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("held"))  # at most a text's own k-mers
+    held = each.hint("merge").join(several, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("held"))  # at most a text's own k-mers
     width = F.greatest(F.lit(1), F.expr("lead_n div 12"))
-    sent = rest.select("rid", "a", "root", "n", "lead_n", "d", width.alias("w")).join(held, "rid")
+    sent = rest.select("rid", "a", "root", "n", "lead_n", "d", width.alias("w")).hint("merge").join(held, "rid")
     sent = sent.select("a", "root", "n", "lead_n", "d", "w", F.size("held").alias("shared"), F.posexplode("held").alias("at", "one"))
     sent = sent.select("a", "root", "n", "lead_n", "d", "w", F.col("one.token").alias("token"), (F.col("shared") - F.col("at")).cast("long").alias("from_here"))
     low, high = (F.floor((F.col("d") + sign * F.col("n") / 4) / F.col("w")) for sign in (-1, 1))
@@ -234,18 +234,18 @@ def apart(led: DataFrame, roots: DataFrame) -> DataFrame:
     partner = sent.select("token", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"o_{c}") for c in ("a", "root", "n", "d", "from_here")])
     differ = (F.col("root") != F.col("o_root")) & (F.col("a") < F.col("o_a")) & (5 * F.col("n") >= 4 * F.col("o_n")) & (5 * F.col("o_n") >= 4 * F.col("n"))
     open_ = 9 * (F.col("d") + F.col("o_d")) - (F.col("n") + F.col("o_n"))
-    met = sent.alias("x").join(partner.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.other") == F.col("y.other")) & differ & (18 * F.least("from_here", "o_from_here") >= open_))
+    met = sent.hint("merge").alias("x").join(partner.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.other") == F.col("y.other")) & differ & (18 * F.least("from_here", "o_from_here") >= open_))
     # those that have the leader's k-mers in another order need have nothing else in common
     near = rest.where(9 * F.col("d") <= F.col("n") + F.col("lead_n")).select("b", "a", "root", "n", "d", "lead_root")
     turned = near.where("root <> lead_root").select("b", *[F.col(c).alias(f"o_{c}") for c in ("a", "root", "n", "d")])
-    by_leader = near.join(turned, "b").where((F.col("root") != F.col("o_root")) & (open_ <= 0))
+    by_leader = near.hint("merge").join(turned, "b").where((F.col("root") != F.col("o_root")) & (open_ <= 0))
     return met.select("a", F.col("o_a").alias("b")).unionByName(by_leader.select(F.least("a", "o_a").alias("a"), F.greatest("a", "o_a").alias("b"))).distinct()
 
 
 def text_classes(texts: DataFrame, buckets: DataFrame) -> DataFrame:
     """node, root: texts that have near-duplicates, with the least of their class. texts: t, words; buckets: bucket, t, n, company."""
     leaders = buckets.groupBy("bucket").agg(F.max_by("t", F.struct("company", "t")).alias("lead"))
-    pairs = buckets.join(leaders, "bucket").where("t <> lead").select(F.col("t").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = buckets.hint("merge").join(leaders, "bucket").where("t <> lead").select(F.col("t").alias("a"), F.col("lead").alias("b")).distinct()
     led = materialise(led_by(pairs, texts), "led")
     roots = materialise(components(led.where(F.col("sim") >= SIMILARITY).select("a", "b")), "roots")
     found = materialise(aligned(apart(led, roots), texts).where(F.col("sim") >= SIMILARITY).select("a", "b"), "found")
@@ -257,24 +257,27 @@ def text_classes(texts: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """id, t, class_id: every document with the least id of its class of near-duplicates."""
+    """id, t, class_id: every document with the least id of its class of near-duplicates.
+
+    Joins of tables that grow with the corpus are merge joins at any size, so that growth on small tables tells that on large ones.
+    """
+    merged = lambda df: df.hint("merge")
     written = materialise(signatures(docs).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     texts = written.where("n > 0").groupBy("t").agg(F.min("id").alias("least"), F.min("uid").alias("uid"))
     texts = materialise(texts, "texts")
-    first = written.select("uid", "t", "n", "keys").join(texts.select("uid"), "uid", "left_semi")
+    first = merged(written.select("uid", "t", "n", "keys")).join(texts.select("uid"), "uid", "left_semi")
     keyed = first.select(F.explode("keys").alias("bucket"), "t", "n")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialise(keyed.join(shared, "bucket"), "buckets")
+    buckets = materialise(merged(keyed).join(shared, "bucket"), "buckets")
     company = materialise(buckets.groupBy("t").agg(F.sum("size").alias("company")), "company")
-    chosen = texts.join(company, "t").select("uid")
-    # the words are moved once, by the same plan at any size
-    several = materialise(written.select("uid", "t", "words").hint("merge").join(chosen, "uid").select("t", "words"), "candidates")
-    roots = text_classes(several, buckets.join(company, "t"))
-    named = texts.join(roots, texts["t"] == roots["node"], "left").select("t", "least", F.coalesce("root", "t").alias("root"))
+    chosen = merged(texts).join(company, "t").select("uid")
+    several = materialise(merged(written.select("uid", "t", "words")).join(chosen, "uid").select("t", "words"), "candidates")
+    roots = text_classes(several, merged(buckets).join(company, "t"))
+    named = merged(texts).join(roots, texts["t"] == roots["node"], "left").select("t", "least", F.coalesce("root", "t").alias("root"))
     named = materialise(named, "named")
     heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_text = named.join(heads, "root").select("t", "class_id")
-    return written.select("id", "t", "n").join(by_text, "t", "left").select("id", "t", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    by_text = merged(named).join(heads, "root").select("t", "class_id")
+    return merged(written.select("id", "t", "n")).join(by_text, "t", "left").select("id", "t", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
