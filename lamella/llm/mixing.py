@@ -1,9 +1,9 @@
 """Mixing sources to target weights by weighted sampling without replacement.
 
-Each document gets an exponential key, -ln(u) / weight, from a hash of its id (of its text where the id is null): within a source the documents in key
-order are a weighted random order. A source's target in words is met by complete epochs over all its documents first;
-the rest is taken in key order by a running sum of sizes, and the document at the edge is cut to fit. DataFrame and
-SQL functions only.
+Each document gets an exponential key, -ln(u) / weight, from a hash of its id (of its text where the id is null): within
+a source the documents in key order are a weighted random order. A source's target in words is met by complete epochs
+over all its documents first; the rest is taken in key order by a running sum of sizes, and the document at the edge is
+cut to fit. DataFrame and SQL functions only.
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; a source of
 size 0 has target 0; a null weight counts as 1; equal keys are ordered by doc_id, then size; repeated rows are
