@@ -157,8 +157,9 @@ def first_records(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def same_bytes(df: DataFrame, content: str, created: str, key: str) -> DataFrame:
-    """digest, keeper, n: the oldest row of each content."""
+def same_bytes(df: DataFrame, content: str, created: str, key: str, usable: Column | None = None) -> DataFrame:
+    """digest, keeper, n: the oldest usable row of each content."""
+    df = df if usable is None else df.where(usable)
     return df.groupBy(F.sha2(content, 256).alias("digest")).agg(F.min_by(key, F.struct(created, key)).alias("keeper"), F.count("*").alias("n"))
 
 

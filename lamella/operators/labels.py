@@ -178,3 +178,9 @@ def crop_specification(splits: DataFrame, manifest: DataFrame, values: dict[str,
     fixed = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     own = F.map_keys(F.map_filter("names", lambda k, v: F.contains(F.lower(v), F.lower(F.col("organelle")))))
     return splits.where("split = 'test'").join(m, ["dataset", "crop_id"]).withColumn("values", F.when(F.size(own) > 0, F.sort_array(own)).otherwise(fixed[F.col("organelle")])).drop("names")
+
+
+def held_out_threshold(train: DataFrame, held: DataFrame, crop: str) -> DataFrame:
+    """crop, dice, threshold: held-out crops of a sweep at the threshold that is best on the training crops."""
+    best = best_threshold(train).select(F.col("threshold").alias("best"))  # one row
+    return held.join(F.broadcast(best), F.col("threshold") == F.col("best")).select(crop, "dice", "threshold")

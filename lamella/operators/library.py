@@ -14,10 +14,20 @@ def assign_membership(members: DataFrame, changes: DataFrame, replace: bool) ->
     return kept.unionByName(changes.select("item", "dataset").where("dataset is not null")).distinct()
 
 
+def stray_links(members: DataFrame, moves: DataFrame, homes: DataFrame) -> DataFrame:
+    """Links of moved items (item, experiment) to data sets (dataset, experiment) that their new experiment can't hold."""
+    return members.join(moves, "item").join(homes.withColumnRenamed("experiment", "home"), "dataset").where(~F.col("home").eqNullSafe(F.col("experiment"))).select("item", "dataset")
+
+
 def set_experiment(members: DataFrame, moves: DataFrame, homes: DataFrame) -> DataFrame:
-    """Drops links of moved items (item, experiment) to data sets (dataset, experiment) that their new experiment can't hold."""
-    stray = members.join(moves, "item").join(homes.withColumnRenamed("experiment", "home"), "dataset").where(~F.col("home").eqNullSafe(F.col("experiment"))).select("item", "dataset")
-    return members.join(stray, ["item", "dataset"], "left_anti")
+    """members without the stray links of moved items."""
+    return members.join(stray_links(members, moves, homes), ["item", "dataset"], "left_anti")
+
+
+def dropped_links(members: DataFrame, moves: DataFrame, homes: DataFrame) -> DataFrame:
+    """item, dropped: how many links each moved item loses."""
+    n = stray_links(members, moves, homes).groupBy("item").agg(F.count("*").alias("n"))
+    return moves.select("item").distinct().join(n, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("dropped"))
 
 
 def resolve_scope(datasets: DataFrame, images: DataFrame, members: DataFrame, active: DataFrame) -> DataFrame:

@@ -211,3 +211,31 @@ def source_key(dataset: Column, crop: Column) -> Column:
 
 def source_cap(key: Column) -> Column:
     return F.when(F.startswith(key, F.lit(f"{BY_SPECIMEN}/")), CAP_SPECIMEN).otherwise(CAP_SOURCE)
+
+
+#: Names of organelles by family.
+FAMILIES = {
+    "mito": ["mito"],
+    "er": ["er", "er_sheets", "er_tubules", "peripheral_er", "er_other_cells", "er_at_the_close_proximity_to_chromosomes_(at_320_nm_distance)"],
+    "nucleus": ["nucleus", "nuclei"],
+    "ld": ["ld", "lipid_droplets", "lipid_droplet_above_nucleus", "lipid_droplet_below_nucleus", "lipid_droplet_touching_nucleus"],
+}
+#: Estimated nm a pixel by file name, the first rule that fits.
+ESTIMATED_NM = [
+    (r"^protoplasma_original", 18.51), (r"^figure[ _]*\d+_original", 14.81), (r"^z6\d\d$", 2.47), (r"^n22-miao", 2.47), (r"^xc10", 6.17),
+    (r"^xc0", 4.63), (r"^cs10", 6.17), (r"^wh5", 4.63), (r"^c60\d$", 3.09), (r"^a_60", 3.09),
+]
+
+
+def families(organelles: Column) -> Column:
+    """The families that a list of organelles has a member of."""
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(organelles, F.array(*map(F.lit, names))), F.lit(f)) for f, names in FAMILIES.items()]))
+
+
+def estimated_nm(path: Column) -> Column:
+    """The resolution that a file's name lets one guess; null if none does."""
+    name = F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), r"\.(tif|tiff|png|jpg|jpeg)$", "")
+    out = F.when(F.lit(False), F.lit(None).cast("double"))
+    for pattern, nm in ESTIMATED_NM:
+        out = out.when(name.rlike(pattern), F.lit(nm))
+    return out

@@ -81,6 +81,28 @@ def enrich(tiles: DataFrame, meta: DataFrame, key: str, fields: list[str], overw
     return d.withColumns({f: F.coalesce(F.col(f"__{f}"), have(f)) if overwrite else F.coalesce(have(f), F.col(f"__{f}")) for f in fields}).drop(*[f"__{f}" for f in fields])
 
 
+def enrich_counts(tiles: DataFrame, meta: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """field, tiles, matched, added: tiles whose key has metadata, and those that get a value they had not."""
+    m = meta.select(F.col(key).alias("__key"), *[F.col(f).alias(f"__{f}") for f in fields])
+    d = tiles.join(m, F.col(key) == F.col("__key"), "left")
+    have = lambda f: F.col(f).isNotNull() if f in tiles.columns else F.lit(False)
+    one = d.agg(F.count("*").alias("tiles"), F.count("__key").alias("matched"), *[F.count_if(~have(f) & F.col(f"__{f}").isNotNull()).alias(f) for f in fields])
+    return one.select(F.expr(f"stack({len(fields)}, " + ", ".join(f"'{f}', {f}" for f in fields) + ") as (field, added)"), "tiles", "matched")
+
+
+def unpaired(images: DataFrame, masks: DataFrame, path: str, there: str, instead: str) -> DataFrame:
+    """images, unpaired: how many images there are, and those whose mask, by the rewritten path, is missing."""
+    wanted = images.select(F.replace(F.col(path), F.lit(there), F.lit(instead)).alias("__mask"))
+    have = masks.select(F.col(path).alias("__mask"), F.lit(1).alias("have")).distinct()
+    return wanted.join(have, "__mask", "left").agg(F.count("*").alias("images"), F.count_if(F.col("have").isNull()).alias("unpaired"))
+
+
+def distinct_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, kept, dropped: what dropping repeated keys leaves."""
+    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"))
+
+
 def unmatched(tiles: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     return tiles.join(meta, key, "left_anti").select(key).distinct()
 

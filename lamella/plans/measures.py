@@ -277,4 +277,51 @@ def forbidden_terms(t: Tables) -> DataFrame:
     return rules.scan_terms(t.conversations.select(F.explode(F.array(one, two)).alias("term")), "term")
 
 
+@BOOK.add("""WITH o AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS segment FROM orders), m AS (SELECT c_custkey AS k, nullif(c_mktsegment, 'BUILDING') AS segment, c_name AS name FROM customer WHERE c_custkey % 3 > 0), j AS (SELECT o.segment AS have, m.* FROM o LEFT JOIN m USING (k))
+SELECT 'segment' AS field, count(*) FILTER (WHERE have IS NULL AND segment IS NOT NULL) AS added, count(*) AS tiles, count(k) FILTER (WHERE name IS NOT NULL) AS matched FROM j UNION ALL SELECT 'name', count(name), count(*), count(name) FROM j""")
+def metadata_counts(t: Tables) -> DataFrame:
+    o = t.orders.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("segment"))
+    m = t.customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.col("c_name").alias("name"))
+    return tiles.enrich_counts(o, m, "k", ["segment", "name"])
+
+
+@BOOK.add("SELECT count(*) AS images, count(*) FILTER (WHERE p_partkey % 5 = 0) AS unpaired FROM part")
+def unpaired_images(t: Tables) -> DataFrame:
+    path = lambda kind: F.concat(F.lit(f"a/{kind}/"), "p_partkey").alias("path")
+    return tiles.unpaired(t.part.select(path("images")), t.part.where("p_partkey % 5 > 0").select(path("masks")), "path", "/images/", "/masks/")
+
+
+@BOOK.add("SELECT sum(n)::BIGINT AS rows, count(*) AS kept, (sum(n) - count(*))::BIGINT AS dropped FROM (SELECT count(*) AS n FROM documents GROUP BY text)")
+def repeated_texts(t: Tables) -> DataFrame:
+    return tiles.distinct_counts(t.documents, ["text"])
+
+
+@BOOK.add("""WITH m AS (SELECT DISTINCT o_custkey AS item, o_orderkey % 10 AS dataset FROM orders), v AS (SELECT c_custkey AS item, c_nationkey % 2 AS experiment FROM customer WHERE c_custkey % 3 = 0)
+SELECT v.item, count(m.dataset) FILTER (WHERE m.dataset % 2 <> v.experiment) AS dropped FROM v LEFT JOIN m ON m.item = v.item GROUP BY 1""")
+def lost_links(t: Tables) -> DataFrame:
+    members = t.orders.select(F.col("o_custkey").alias("item"), (F.col("o_orderkey") % 10).alias("dataset")).distinct()
+    moves = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("item"), (F.col("c_nationkey") % 2).cast("long").alias("experiment"))
+    return library.dropped_links(members, moves, members.select("dataset").distinct().withColumn("experiment", F.col("dataset") % 2))
+
+
+_NM = "CASE " + " ".join(f"WHEN regexp_matches(b, '{p}') THEN {v}::DOUBLE" for p, v in splits.ESTIMATED_NM) + " END"
+
+
+@BOOK.add(f"""WITH n AS (SELECT p_partkey, ['x/Protoplasma_Original', 'Figure 3_Original', 'z604', 'N22-Miao', 'xc10', 'xc07', 'cs10', 'wh5', 'C603', 'other'][p_partkey % 10 + 1] AS b0, ['mito;golgi', 'er_sheets| nuclei', 'lipid_droplets', ''][p_size % 4 + 1] AS o FROM part), l AS (SELECT *, lower(regexp_extract(b0, '[^/]*$')) AS b, [trim(x) FOR x IN string_split(replace(o, '|', ';'), ';')] AS os FROM n)
+SELECT p_partkey, {_NM} AS nm, concat_ws(',', CASE WHEN list_contains(os, 'mito') THEN 'mito' END, CASE WHEN list_contains(os, 'er_sheets') THEN 'er' END, CASE WHEN list_contains(os, 'nuclei') THEN 'nucleus' END, CASE WHEN list_contains(os, 'lipid_droplets') THEN 'ld' END) AS families FROM l""")
+def file_families(t: Tables) -> DataFrame:
+    at = lambda names, i: F.get(F.array(*map(F.lit, names)), i)
+    base = at(["x/Protoplasma_Original", "Figure 3_Original", "z604", "N22-Miao", "xc10", "xc07", "cs10", "wh5", "C603", "other"], (F.col("p_partkey") % 10).cast("int"))
+    kinds = at(["mito;golgi", "er_sheets| nuclei", "lipid_droplets", ""], F.col("p_size") % 4)
+    return t.part.select("p_partkey", splits.estimated_nm(F.concat(F.lit("d/"), base, F.lit(".TIF"))).alias("nm"), F.array_join(splits.families(splits.organelle_set(kinds)), ",").alias("families"))
+
+
+@BOOK.add(f"""WITH {PX}, st AS (SELECT unnest([0.2, 0.5, 0.8]) AS threshold), c AS (SELECT image, threshold, count(*) FILTER (WHERE v / 50 >= threshold AND flag = 'A') AS tp, count(*) FILTER (WHERE v / 50 >= threshold AND flag <> 'A') AS fp, count(*) FILTER (WHERE v / 50 < threshold AND flag = 'A') AS fn FROM px, st GROUP BY 1, 2),
+d AS (SELECT image, threshold::DOUBLE AS threshold, CASE WHEN tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END AS dice FROM c), b AS (SELECT threshold FROM d WHERE image % 2 = 0 GROUP BY 1 ORDER BY avg(dice) DESC, threshold LIMIT 1) SELECT image, round(dice, 9) AS dice, d.threshold FROM d JOIN b ON d.threshold = b.threshold WHERE image % 2 = 1""")
+def held_out_dice(t: Tables) -> DataFrame:
+    d = pixels(t).select("image", (F.col("v") / 50).alias("prob"), (F.col("flag") == "A").cast("int").alias("truth"))
+    swept = labels.threshold_sweep(d, "image", "prob", "truth", [0.2, 0.5, 0.8])
+    return rounded(labels.held_out_threshold(swept.where("image % 2 = 0"), swept.where("image % 2 = 1"), "image"), "dice")
+
+
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

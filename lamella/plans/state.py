@@ -118,9 +118,7 @@ def stream_versions(t: Tables) -> DataFrame:
     where = _folder(t)
     stream = _stream(t).select("user_id", "event_id", "event_type")
     ingest.keep_versions(stream, f"{where}/table", f"{where}/checkpoint", ["user_id"], ["event_id"])
-    d = t.spark.read.parquet(f"{where}/table")
-    last = d.agg(F.max("generation")).first()[0]
-    return d.where(F.col("generation") == last).drop("generation")
+    return ingest.kept_versions(t.spark, f"{where}/table", stream.schema, ["user_id"], ["event_id"])
 
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

@@ -43,6 +43,12 @@ def sidecars(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("status = 'accepted'")
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """path of each file below a folder that isn't JSON: the notice that sidecars() passes over."""
+    read = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return read.where(F.try_parse_json("value").isNull()).select("path")
+
+
 def source_runs(files: DataFrame) -> DataFrame:
     """source_id, runs from paths of the form .../<run>/tiles/source_id=<id>/... (column path)."""
     d = files.select(F.regexp_extract("path", r"([^/]+)/tiles/source_id=([^/]+)", 1).alias("run"), F.regexp_extract("path", r"/tiles/source_id=([^/]+)", 1).alias("source_id")).where("source_id <> ''")
@@ -60,6 +66,15 @@ def points_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where(good).select("ord", "x", "y"), d.where(~good).select("ord", "line", why.alias("why"))
 
 
+def require_points(good: DataFrame, bad: DataFrame) -> None:
+    """Raises if a line is not a number, naming the first, or if there are lines and no good one."""
+    wrong = bad.where("why = 'not a number'").orderBy("ord").first()
+    if wrong:
+        raise ValueError(f"line {wrong['ord']} is not a point: {wrong['line']!r}")
+    if good.isEmpty() and not bad.isEmpty():
+        raise ValueError("no line has finite coordinates")
+
+
 def xml_records(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(schema).load(path)
 
@@ -155,10 +170,16 @@ def run_results(spark: SparkSession, root: str) -> DataFrame:
     return marks.join(results, "folder").select("folder", "arm", F.explode("splits").alias("split", "metrics"))
 
 
-def extract(spark: SparkSession, root: str, exclude: list[str]) -> dict[str, DataFrame]:
-    """The directory extract as data sets, assets and long tags: side tables joined, named data sets and orphans left out."""
+def extract(spark: SparkSession, root: str, exclude: list[str], links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The directory extract as data sets, assets and long tags: side tables joined, named data sets and orphans left out.
+
+    links (dataset_id, source_url, dataset_doi, experiment_doi) come before the extract's own where they have a value.
+    """
     read = lambda name: header_csv(spark, f"{root}/{name}")
     urls = read("dataset_urls.csv").select("dataset_id", "source_url", "dataset_doi", "experiment_doi")
+    if links is not None:
+        over = links.select("dataset_id", *[F.nullif(F.trim(c), F.lit("")).alias(f"__{c}") for c in urls.columns[1:]])
+        urls = urls.join(over, "dataset_id", "full").select("dataset_id", *[F.coalesce(f"__{c}", c).alias(c) for c in urls.columns[1:]])
     datasets = read("datasets.csv").where(~F.col("dataset_id").isin(*exclude) if exclude else F.lit(True)).join(urls, "dataset_id", "left")
     nm = read("derived/asset_inplane_resolution_nm.csv")
     nm = nm.select(F.col(f"`{nm.columns[0]}`").alias("asset_id"), F.col("inplane_nm").try_cast("double").alias("inplane_nm"))

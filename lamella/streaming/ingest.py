@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lamella.operators.library import latest
@@ -32,17 +33,40 @@ def run_once(df: DataFrame, path: str, checkpoint: str, form: str = "parquet") -
     return query
 
 
-def keep_versions(stream: DataFrame, path: str, checkpoint: str, keys: list[str], version: list[str]) -> None:
-    """The newest version of each key in a table of generations: each batch merges with the last generation and writes the next."""
-    spark = stream.sparkSession
+def live_runs(batches: int, fanout: int) -> list[tuple[int, int]]:
+    """(level, number) of the runs that hold `batches` batches, oldest first: a run of a level holds `fanout` of the level below."""
+    out, level = [], 0
+    while batches:
+        out = [(level, i) for i in range(batches // fanout * fanout, batches)] + out
+        batches, level = batches // fanout, level + 1
+    return out
+
 
-    def merge(batch: DataFrame, number: int) -> None:
-        both = batch
-        if number:
-            both = spark.read.schema(batch.schema).parquet(f"{path}/generation={number - 1}").unionByName(batch)
-        latest(both, keys, version).write.mode("overwrite").parquet(f"{path}/generation={number}")
+def keep_versions(stream: DataFrame, path: str, checkpoint: str, keys: list[str], version: list[str], fanout: int = 8) -> None:
+    """The newest version of each key in levelled runs: a batch is written as a run of its own, and as many runs of a level as
+    `fanout` become one of the next, so a row is rewritten about as often as there are levels. A batch that comes again
+    after a loss writes the same runs again."""
+    spark = stream.sparkSession
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def add(batch: DataFrame, number: int) -> None:
+        latest(batch, keys, version).write.mode("overwrite").parquet(f"{path}/level=0/run={number}")
+        level, done = 0, number + 1
+        while done % fanout == 0:
+            runs = [f"{path}/level={level}/run={i}" for i in range(done - fanout, done)]
+            level, done = level + 1, done // fanout
+            latest(spark.read.schema(batch.schema).parquet(*runs), keys, version).write.mode("overwrite").parquet(f"{path}/level={level}/run={done - 1}")
+        spark.range(1).selectExpr(f"{number + 1} as batches").write.mode("overwrite").json(f"{path}-count/{number % 2}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def kept_versions(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], version: list[str], fanout: int = 8) -> DataFrame:
+    """The newest version of each key over all runs that keep_versions() left."""
+    counted = spark.read.schema("batches int").option("recursiveFileLookup", True).json(f"{path}-count")
+    batches = counted.agg(F.max("batches")).first()[0] or 0
+    runs = [f"{path}/level={level}/run={i}" for level, i in live_runs(batches, fanout)]
+    found = spark.read.schema(schema).parquet(*runs) if runs else spark.createDataFrame([], schema)
+    return latest(found, keys, version)
 
 
 def cached(spark: SparkSession, build, path: str, versions: dict[str, str]) -> DataFrame:

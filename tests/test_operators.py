@@ -435,3 +435,43 @@ def test_group_query(spark):
     assert shown(analysis.group_query(runs, "v")) == {"a": (6.0, 2), "": (5.0, 1)}
     assert shown(analysis.group_query(runs, "v", F.lit("s1"), "a")) == {"a": (3.0, 1)}
     assert shown(analysis.group_query(runs, "v", group="")) == {"": (5.0, 1)}
+
+
+def test_points_required(spark):
+    lines = lambda *r: readers.points_csv(spark.createDataFrame(list(enumerate(r, 1)), "ord int, line string"))
+    readers.require_points(*lines("x,y", "1,2", "inf,3"))
+    readers.require_points(*lines("x,y"))
+    with pytest.raises(ValueError, match="line 3"):
+        readers.require_points(*lines("x,y", "1,2", "a,3"))
+    with pytest.raises(ValueError, match="no line"):
+        readers.require_points(*lines("inf,1", "nan,2"))
+
+
+def test_unreadable_sidecars(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "good.json").write_text('{"status": "accepted", "id": "1"}')
+    (tmp_path / "a" / "bad.json").write_text('{"status": ')
+    assert [r.id for r in readers.sidecars(spark, str(tmp_path), "status string, id string").collect()] == ["1"]
+    assert [r.path.rsplit("/", 1)[1] for r in readers.unreadable(spark, str(tmp_path)).collect()] == ["bad.json"]
+
+
+def test_same_bytes_usable(spark):
+    d = spark.createDataFrame([(1, "a", False), (2, "a", True), (3, "a", True), (4, "b", False)], "id int, content string, ok boolean")
+    assert [(r.keeper, r.n) for r in catalog.same_bytes(d, "content", "id", "id", F.col("ok")).collect()] == [(2, 2)]
+
+
+def test_versions_in_runs(spark, tmp_path):
+    """Ten batches, three runs a level: every key has its newest version, also after a second call."""
+    schema = "k int, v int"
+    assert ingest.live_runs(10, 3) == [(2, 0), (0, 9)] and ingest.live_runs(8, 3) == [(1, 0), (1, 1), (0, 6), (0, 7)] and ingest.live_runs(0, 3) == []
+    want = {}
+    for half in range(2):
+        for i in range(5):
+            rows = [(k, 10 * (5 * half + i) + k) for k in range(i, i + 4)]
+            want |= dict(rows)
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = ingest.read_stream(spark, str(tmp_path / "in"), schema, files=1)
+        ingest.keep_versions(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), ["k"], ["v"], fanout=3)
+        assert {r.k: r.v for r in ingest.kept_versions(spark, str(tmp_path / "out"), stream.schema, ["k"], ["v"], fanout=3).collect()} == want
+    assert (tmp_path / "out" / "level=2").exists()
+
