@@ -93,9 +93,9 @@ def contact_fraction(t: Tables) -> DataFrame:
     return spatial.contact_fraction(p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1"), 10.0, "event_type")
 
 
-@BOOK.add(f"""WITH RECURSIVE {B_SQL}, {OV}, rk AS (SELECT id, row_number() OVER (ORDER BY p_retailprice DESC, id) AS n FROM bx), riv AS (SELECT a.n, list(b.n) AS rivals FROM ov JOIN rk a ON a.id = a_id JOIN rk b ON b.id = b_id WHERE b.n < a.n GROUP BY 1),
-g(n, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.n + 1, CASE WHEN len(list_intersect(g.chosen, coalesce(riv.rivals, []))) = 0 THEN list_append(g.chosen, g.n + 1) ELSE g.chosen END FROM g LEFT JOIN riv ON riv.n = g.n + 1 WHERE g.n < (SELECT count(*) FROM bx))
-SELECT id FROM (SELECT unnest(chosen) AS n FROM (SELECT chosen FROM g ORDER BY n DESC LIMIT 1)) JOIN rk USING (n)""")
+@BOOK.add(f"""WITH {B_SQL}, {OV}, rk AS (SELECT id, row_number() OVER (ORDER BY p_retailprice DESC, id) AS n FROM bx), riv AS (SELECT a.n, list(b.n) AS rivals FROM ov JOIN rk a ON a.id = a_id JOIN rk b ON b.id = b_id WHERE b.n < a.n GROUP BY 1),
+o AS (SELECT list(list_prepend(rk.n, coalesce(rivals, [])) ORDER BY rk.n) AS steps FROM rk LEFT JOIN riv USING (n)), c AS (SELECT unnest(list_reduce(list_prepend([]::BIGINT[], steps), lambda m, x: CASE WHEN list_has_any(m, x[2:]) THEN m ELSE list_append(m, x[1]) END)) AS n FROM o)
+SELECT id FROM c JOIN rk USING (n)""")
 def greedy_selection(t: Tables) -> DataFrame:
     return spatial.greedy(boxes(t), "p_retailprice", 64.0).select("id")
 
