@@ -167,22 +167,34 @@ class Reader:
         return ids[order], often[order]
 
 
-def document_frequencies(docs: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature is, and their number: a task sends a row a feature that it saw at most."""
-    if not features:
-        return np.zeros(0), 0
+def read_features(docs: DataFrame, features: Sequence[str]) -> DataFrame:
+    """doc_id, ids, counts: the features of every text and how often each is there, as little-endian 32-bit integers."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        reader = Reader(features)
+        for doc_id, text in rows(batches, "doc_id", "text"):
+            ids, counts = reader.counts(text or "")
+            yield doc_id, ids.astype("<i4").tobytes(), counts.astype("<i4").tobytes()
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 2 * len(r[1])), "doc_id long, ids binary, counts binary")
+
+
+def document_frequencies(read: DataFrame, features: int) -> tuple[np.ndarray, int]:
+    """In how many of the texts read each feature is, and their number: a task sends a row a feature that it saw at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, tally, n = Reader(features), np.zeros(len(features) + 1, np.int64), 0
-        for (text,) in rows(batches, "text"):
-            tally[reader.counts(text or "")[0]] += 1
-            n += 1
-        tally[-1] = n
+        tally = np.zeros(features + 1, np.int64)
+        for batch in batches:
+            for (ids,) in rows([batch], "ids"):
+                tally[np.frombuffer(ids, "<i4")] += 1
+            tally[-1] += batch.num_rows
         there = np.flatnonzero(tally)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(tally[there])], names=["f", "n"])
 
-    found = docs.select("text").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(features) + 1)
+    found = read.select("ids").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(features + 1)
     for f, n in found:
         df[f] = n
     return df[:-1], int(df[-1])
@@ -305,48 +317,52 @@ class Index:
         return np.clip(np.where(at[:, 0] >= 0, found, self.base), 0.0, 1.0), at, cosine
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: int = 20_000, examples: int = 4096, features: int = 2000, k: int = 15, smooth: float = 0.5, seed: int = 3) -> Index:
-    """The index of at most `examples` labelled rows, with relevance from at most `training`; document frequencies cover all rows."""
+def fitted(docs: DataFrame, labels: DataFrame, training: int = 20_000, examples: int = 4096, features: int = 2000, k: int = 15, smooth: float = 0.5, seed: int = 3) -> tuple[Index, DataFrame]:
+    """The index of at most `examples` labelled rows, with relevance from at most `training`, and the features of all texts,
+    which are read once: document frequencies and scores both come from them."""
     train = materialise(training_rows(docs, labels, training, seed), "toxic-training")
     rows_, bad = train.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
-    taken = train.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").select("doc_id").limit(examples)
-    own = materialise(train.join(F.broadcast(taken.distinct()), "doc_id").select("text", "toxic"), "toxic-examples")
+    taken = train.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").select("doc_id").limit(examples)
+    own = materialise(train.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic"), "toxic-examples")
     chosen = choose_features(materialise(feature_counts(train), "toxic-counts"), example_words(own), rows_, bad, features)
     names = [f for f, _ in chosen]
-    index = Index(names, np.array([r for _, r in chosen]), *document_frequencies(docs, names))
-    schema = pa.schema([("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("toxic", pa.int32())])
+    read = materialise(read_features(docs, names), "toxic-features")
+    index = Index(names, np.array([r for _, r in chosen]), *document_frequencies(read, len(names)))
+    found = read_features(own, names).join(F.broadcast(own.select("doc_id", "toxic")), "doc_id").select("ids", "counts", "toxic").collect()  # of bounded size: the examples
+    unpacked = [(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64), int(bool(r["toxic"]))) for r in found]
+    index.fit(sorted(unpacked, key=lambda e: (e[0].tobytes(), e[1].tobytes(), e[2])), k, smooth)
+    return index, read
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        reader = Reader(names)
-        for text, toxic in rows(batches, "text", "toxic"):
-            yield *reader.counts(text or ""), int(bool(toxic))
 
-    found = own.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 60), "ids array<int>, counts array<int>, toxic int").collect()  # of bounded size: the examples
-    index.fit(sorted(((np.array(r["ids"], np.int64), np.array(r["counts"], np.int64), r["toxic"]) for r in found), key=lambda e: (e[0].tobytes(), e[1].tobytes(), e[2])), k, smooth)
-    return index
+def learn(docs: DataFrame, labels: DataFrame, **options: object) -> Index:
+    return fitted(docs, labels, **options)[0]
 
 
-def score_texts(docs: DataFrame, index: Index, strict: float = 0.7) -> DataFrame:
+def score_features(read: DataFrame, index: Index, strict: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the features that weigh most, neighbours with their cosines, toxic ones)."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.string())])
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # of bounded size: the examples' words
+    shared = read.sparkSession.sparkContext.broadcast(index)  # of bounded size: the examples' words
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own = shared.value
-        reader = Reader(own.features)
-        for some in itertools.batched(rows(batches, "doc_id", "text"), 128):
-            queries = [reader.counts(text or "") for _, text in some]
+        for some in itertools.batched(rows(batches, "doc_id", "ids", "counts"), 128):
+            queries = [(np.frombuffer(ids, "<i4"), np.frombuffer(counts, "<i4")) for _, ids, counts in some]
             scores, at, cosine = own.scores(queries)
-            for (doc_id, _), (ids, counts), score, near, c in zip(some, queries, scores.tolist(), at, cosine, strict=True):
+            for (doc_id, *_), (ids, counts), score, near, c in zip(some, queries, scores.tolist(), at, cosine, strict=True):
                 n = int((near >= 0).sum())
                 top = ids[np.argsort(-(1 + np.log(counts)) * own.idf[ids], kind="stable")[:3]]
                 seen = ",".join(own.features[f] for f in top)
                 yield doc_id, score, f"{seen};neighbours={n};nearest={c[0]:.3f};toxic={int(own.toxic[near[:n]].sum())}" if n else ""
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = slim.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 100), "doc_id long, score double, evidence string")
+    scored = read.mapInArrow(lambda b: gathered(made(b), schema, lambda r: 100), "doc_id long, score double, evidence string")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= strict).cast("int").alias("predicted"), "evidence")
 
 
+def score_texts(docs: DataFrame, index: Index, strict: float = 0.7) -> DataFrame:
+    """The scores of any texts under an index."""
+    return score_features(read_features(docs, index.features), index, strict)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    return score_texts(docs, learn(docs, labels, **options))
+    index, read = fitted(docs, labels, **options)
+    return score_features(read, index)
