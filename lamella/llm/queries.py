@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import line_dedup, media, mixing, near_dedup, packing, quality, scoring, token_counts, token_files, toxicity
+from lamella.llm import interaction, line_dedup, media, mixing, near_dedup, packing, quality, scoring, token_counts, token_files, toxicity
 from lamella.llm.common import documents, labels, shared_path
 
 
@@ -71,3 +71,11 @@ def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_scoring"] = op5_scoring
 ORACLES["op5_scoring"] = scoring.ORACLE
+
+
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.filter_interactions(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES["op11_interactions"] = op11_interactions
+ORACLES["op11_interactions"] = interaction.ORACLE
