@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import interaction, line_dedup, media, mixing, near_dedup, packing, quality, scoring, token_counts, token_files, toxicity
-from lamella.llm.common import documents, labels, shared_path
+from lamella.llm import interaction, line_dedup, media, mixing, near_dedup, packing, quality, repair, scoring, token_counts, token_files, toxicity
+from lamella.llm.common import documents, labels, shared_path, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,3 +79,13 @@ def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op11_interactions"] = op11_interactions
 ORACLES["op11_interactions"] = interaction.ORACLE
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited, counts = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+    said = repair.digests(edited).withColumnRenamed("conv_id", "__conv")
+    d = counts.join(said, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    return d.select(*counts.columns, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES["op12_repair"] = op12_repair
