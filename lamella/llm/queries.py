@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import interaction, line_dedup, media, mixing, near_dedup, packing, quality, repair, scoring, token_counts, token_files, toxicity
+from lamella.llm import html_cut, interaction, line_dedup, media, mixing, near_dedup, packing, quality, repair, scoring, token_counts, token_files, toxicity
 from lamella.llm.common import documents, labels, shared_path, table
 
 
@@ -89,3 +89,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_repair"] = op12_repair
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = html_cut.label_blocks(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    text = blocks.select("page_id", "url", html_cut.main_text(F.col("blocks")).alias("text"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES["op13_html_text"] = op13_html_text
