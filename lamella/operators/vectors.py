@@ -3,54 +3,26 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.operators.rounds import persist
+from lamella.operators import index
 
 
-def unit(v: Column) -> Column:
-    v = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+def cosine_topk(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int | None = None) -> DataFrame:
+    """query, key, cosine, rank: the k nearest other rows of each query, exactly, by the cells of an inverted file."""
+    found = index.search(index.build(df, key, vector, cells), queries, key, vector, k)
+    return found.select("query", F.col("id").alias(key), "cosine", "rank")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine_topk(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
-    """query, key, cosine, rank: the k nearest other rows of each query, exactly. Queries are dealt by hash into blocks of about `block`, and each block is compared with all rows.
-
-    Ranks are first cut to k inside parts of the table, so the final rank sees k rows a part.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for i in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i)
-        d = _topk(df, q, key, vector, k)
-        d = persist(d) if blocks > 1 else d
-        found = d if found is None else found.unionByName(d)
-    return found
-
-
-def _topk(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("q"))
-    d = df.select(F.col(key), unit(F.col(vector)).alias("v")).join(F.broadcast(q), F.col(key) != F.col("query"))
-    d = d.select("query", key, F.round(dot(F.col("q"), F.col("v")), 9).alias("cosine")).withColumn("part", F.pmod(F.xxhash64(key), F.lit(64)))
-    order = [F.desc("cosine"), F.asc(key)]
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("query", "part").orderBy(*order))).where(F.col("r") <= k)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", key, "cosine", "rank")
-
-
-def near_pairs(df: DataFrame, key: str, vector: str, distance: float, width: float = 0.5, tables: int = 6) -> DataFrame:
-    """Pairs of unit vectors at most `distance` apart, found by random projections (recall below 1)."""
-    d = df.select(key, array_to_vector(unit(F.col(vector))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(d)
-    return model.approxSimilarityJoin(d, d, distance, "distance").where(F.col(f"datasetA.{key}") < F.col(f"datasetB.{key}")).select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), "distance")
+def near_pairs(df: DataFrame, key: str, vector: str, distance: float, cells: int | None = None) -> DataFrame:
+    """a, b, distance: all pairs of rows whose unit vectors are at most `distance` apart, exactly."""
+    found = index.near(index.build(df, key, vector, cells), df, key, vector, 1 - distance * distance / 2 - 1e-12)
+    pairs = found.where("query < id").withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))))
+    return pairs.select(F.col("query").alias("a"), F.col("id").alias("b"), "distance")
 
 
 def principal(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
