@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions.numbers import finite, ratio
-from lamella.operators.spatial import box_cells, point_cells, run_overlap, run_union
+from lamella.operators.rounds import persist
+from lamella.operators.scans import Scan, scan, with_percentiles
+from lamella.operators.levels import holding
+from lamella.operators.spatial import run_overlap, run_union
 from lamella.operators.stats import rollup_units
 
 PI = 3.141592653589793
@@ -29,8 +32,7 @@ def measure_objects(pixels: DataFrame, keys: list[str], value: str | None = None
 
 
 def intensity(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    d = pixels.groupBy(*keys).agg(F.avg(value).alias("mean"), q.alias("q"))
+    d = with_percentiles(pixels.groupBy(*keys).agg(F.avg(value).alias("mean")), pixels, keys, value, [0.1, 0.5, 0.9])
     return d.select(*keys, "mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90"))
 
 
@@ -110,8 +112,8 @@ def null_draws(runs: DataFrame, counts: DataFrame, image: str, replicates: int,
     A hash of (seed, image, replicate, number) picks an ordinal of the mask's area; a run holds a range of ordinals, and
     both are bucketed by it.
     """
-    w = Window.partitionBy(image).orderBy("y", "x0")
-    r = runs.withColumn("len", (F.col("x1") - F.col("x0") + 1).cast("long")).withColumn("from", F.sum("len").over(w) - F.col("len"))
+    r = runs.withColumn("len", (F.col("x1") - F.col("x0") + 1).cast("long"))
+    r = scan(r, [image], ["y", "x0"], **{"from": Scan("len", inclusive=False)}).withColumn("from", F.coalesce("from", F.lit(0).cast("long")))
     area = r.groupBy(image).agg(F.sum("len").alias("area"))
     d = counts.where("n > 0").join(area, image).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))))
     name = F.concat_ws(":", F.lit(seed), F.col(image).cast("string"), F.col("rep").cast("string"), F.col("i").cast("string"))
@@ -131,17 +133,30 @@ def null_summary(observed: DataFrame, null: DataFrame, keys: list[str], value: s
 
 
 def randomness(points: DataFrame, runs: DataFrame, areas: DataFrame, image: str, mask: str, replicates: int, seed: str, metric: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """Observed enrichment against uniform places in the mask. metric(points, areas, image) may be any frame of (image, label, enrichment)."""
-    metric = metric or (lambda p, a, im: enrichment(assign_points(p, runs, im), a, im))
-    counts = points.groupBy(image).agg(F.count("*").alias("n"))
-    draws = null_draws(runs.where(F.col("label") == mask), counts, image, replicates, seed)
-    unit = F.concat_ws("#", F.col(image).cast("string"), F.col("rep").cast("string"))
-    reps = draws.select(unit.alias("unit"), image, "rep", F.col("i").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    assigned = assign_points(reps.select(image, F.struct("rep", "point_id").alias("point_id"), "x", "y", "unit"), runs, image)
-    by_unit = assigned.select("unit", "labels")
-    unit_areas = areas.join(reps.select("unit", image).distinct(), image).select("unit", "label", "fraction")
-    null = enrichment(by_unit, unit_areas, "unit").withColumn(image, F.split("unit", "#")[0]).withColumn(image, F.col(image).cast(dict(points.dtypes)[image]))
-    return null_summary(metric(points, areas, image), null, [image, "label"], "enrichment")
+    """image, label, observed, null_mean, null_sd, z, p: a statistic of the points in the mask against uniform places there.
+
+    Each replicate draws as many places as the image has points in the mask, and only those points are observed: both
+    sides see the same population. metric(points, areas, unit) gives (unit, label, enrichment) for points (unit, image,
+    point_id, x, y) and areas (unit, label, fraction); it is applied to both sides. A unit is an image and a replicate.
+    """
+    return null_summary(*randomised(points, runs, areas, image, mask, replicates, seed, metric), [image, "label"], "enrichment")
+
+
+def randomised(points: DataFrame, runs: DataFrame, areas: DataFrame, image: str, mask: str, replicates: int, seed: str, metric: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The statistic of the points in the mask (image, label, enrichment) and that of each replicate (with rep)."""
+    metric = metric or (lambda p, a, unit: enrichment(assign_points(p, runs, image), a, unit))
+    tissue = runs.where(F.col("label") == mask)
+    inside = assign_points(points.select(image, "point_id", "x", "y"), tissue, image).where(F.size("labels") > 0)
+    draws = null_draws(tissue, inside.groupBy(image).agg(F.count("*").alias("n")), image, replicates, seed)
+    place = [F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
+    seen = inside.select(image, F.lit(-1).alias("rep"), F.struct(F.lit(-1).alias("rep"), F.col("point_id").cast("string").alias("i")).alias("point_id"), *place)
+    drawn = draws.select(image, "rep", F.struct("rep", F.col("i").cast("string").alias("i")).alias("point_id"), *place)
+    unit = F.struct(F.col(image).alias("image"), "rep")
+    every = seen.unionByName(drawn).withColumn("unit", unit)
+    reps = inside.select(image).distinct().withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    unit_areas = areas.join(reps, image).select(unit.alias("unit"), "label", "fraction")
+    found = persist(metric(every, unit_areas, "unit").select(F.col("unit.image").alias(image), F.col("unit.rep").alias("rep"), "label", "enrichment"))
+    return found.where("rep < 0").drop("rep"), found.where("rep >= 0")
 
 
 def internal_control(null_means: DataFrame, tolerance: float = 0.05) -> DataFrame:
@@ -149,6 +164,27 @@ def internal_control(null_means: DataFrame, tolerance: float = 0.05) -> DataFram
     return null_means.agg(F.max(F.abs(F.col("null_mean") - 1)).alias("worst")).withColumn("ok", F.col("worst") <= tolerance)
 
 
+#: Fixed values of the self-check: points that the smallest compartment should get, and bounds of the number drawn.
+PER_COMPARTMENT, LEAST_POINTS, MOST_POINTS = 2_000, 2_000, 50_000
+
+
+def self_check(runs: DataFrame, areas: DataFrame, image: str, mask: str, seed: str) -> DataFrame:
+    """image, n_points, smallest, worst: how far from 1 the enrichment of uniform places is in any compartment of an image.
+
+    So many places are drawn that the smallest compartment with an area gets enough, but no more than the mask has
+    pixels. An image whose mask is empty has 0 points and nulls.
+    """
+    tissue = runs.where(F.col("label") == mask)
+    total = tissue.groupBy(image).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    least = areas.groupBy(image).agg(F.min(F.when(F.col("fraction") > 0, F.col("fraction"))).alias("smallest"))
+    want = F.greatest(F.lit(LEAST_POINTS), F.floor(F.lit(PER_COMPARTMENT) / F.coalesce("smallest", F.lit(1.0))))
+    n = F.when(F.col("area") > 0, F.least(F.lit(MOST_POINTS), "area", want)).otherwise(0).cast("long")
+    plan = persist(least.join(total, image, "left").select(image, n.alias("n"), F.when(F.col("area") > 0, F.coalesce("smallest", F.lit(1.0))).alias("smallest")))
+    drawn = null_draws(tissue, plan, image, 1, seed).select(image, F.col("i").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    found = enrichment(assign_points(drawn, runs, image), areas, image).groupBy(image).agg(F.max(F.abs(F.col("enrichment") - 1)).alias("worst"))
+    return plan.join(found, image, "left").select(image, F.col("n").alias("n_points"), "smallest", F.when(F.col("n") > 0, F.col("worst")).alias("worst"))
+
+
 def group_warnings(runs: DataFrame, group: str, run: str) -> DataFrame:
     """group, warning, runs: warnings once each in order of first appearance, with the runs that gave them (warnings is a list)."""
     d = runs.select(group, run, F.posexplode("warnings").alias("ord", "warning"))
@@ -192,9 +228,25 @@ def pixel_size(df: DataFrame) -> DataFrame:
     return df.withColumns({"usable_nm": good, "produced_without": F.col("run_nm").isNull(), "calibrated_after": F.col("run_nm").isNull() & good.isNotNull()})
 
 
-def source_model(features: Column, names: DataFrame | None, fallback: str) -> Column:
-    """The model that an object's features name, else a fallback by the kind of feature."""
-    return F.coalesce(features["model"], F.when(features["mean_prob"].isNotNull(), "model"), F.when(features["annotator"].isNotNull(), "manual"), F.lit(fallback))
+#: Organelles whose mark in an object's features says that a model made it, and states that a hand gave.
+MARKERS = ["mito", "er", "nucleus", "lipid"]
+BY_HAND = ["CONFIRMED", "EXCLUDED"]
+
+
+def source_model(features: Column, state: Column, organelle: Column, models: dict[str, dict[str, str]], defaults: dict[str, str], fallback: str = "manual") -> Column:
+    """The model that made an object: by its features' model_family among the organelle's models, else the organelle's default where a
+    mark says that a model did, else `manual` for labels given by hand, else the default. features: a map of texts, or null.
+
+    models: the organelles' models by family; defaults: their default models, and `fallback` for other organelles.
+    """
+    default = F.coalesce(F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])[organelle], F.lit(fallback))
+    family = F.lower(F.trim(features["model_family"]))
+    named = F.coalesce(*[F.when((organelle == o) & (family == f), F.lit(v)) for o, own in models.items() for f, v in own.items()])
+    said = lambda m: F.coalesce(~F.lower(features[f"{m}_generated"]).isin("", "false", "0", "0.0", "null"), F.lit(False))
+    marked = said(MARKERS[0])
+    for m in MARKERS[1:]:
+        marked = marked | said(m)
+    return F.coalesce(named, F.when(marked, default), F.when(state.isin(*BY_HAND), F.lit("manual")), default)
 
 
 def valid_region(df: DataFrame) -> DataFrame:
@@ -203,10 +255,16 @@ def valid_region(df: DataFrame) -> DataFrame:
     return df.where(F.col("valid") & (~F.col("coverage").isin("partial", "sparse") | inside))
 
 
-def group_null(observed: DataFrame, null: DataFrame, units: DataFrame, group: str, unit: str, value: str) -> DataFrame:
-    """Group means over units, observed and in every replicate, summarised against each other. null has `rep`."""
-    mean = lambda df, *keys: df.join(units, unit).groupBy(*keys).agg(F.avg(finite(F.col(value))).alias(value))
-    return null_summary(mean(observed, group), mean(null, group, "rep"), [group], value)
+def group_null(observed: DataFrame, null: DataFrame, units: DataFrame, group: list[str], unit: str, value: str) -> DataFrame:
+    """group, n, observed, null_mean, null_sd, z: group means over units, observed and in every replicate (null has `rep`).
+
+    The null's spread is that of a population; z is 0 where there is none.
+    """
+    mean = lambda df, *keys: df.join(units, unit).groupBy(*keys).agg(F.avg(finite(F.col(value))).alias(value), F.countDistinct(unit).alias("n"))
+    spread = mean(null, *group, "rep").groupBy(*group).agg(F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_sd"))
+    d = mean(observed, *group).withColumnRenamed(value, "observed").join(spread, group)
+    z = F.coalesce((F.col("observed") - F.col("null_mean")) / F.nullif(F.col("null_sd"), F.lit(0.0)), F.lit(0.0))
+    return d.select(*group, "n", "observed", "null_mean", "null_sd", z.alias("z"))
 
 
 def group_query(runs: DataFrame, value: str, segmentation: Column | None = None, group: str | None = None) -> DataFrame:
@@ -217,10 +275,9 @@ def group_query(runs: DataFrame, value: str, segmentation: Column | None = None,
     return rollup_units(d, "grp", "image", F.col(value))
 
 
-def reviewed_flags(objects: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
+def reviewed_flags(objects: DataFrame, regions: DataFrame) -> DataFrame:
     """objects (image, point_id, x, y) with `reviewed`: their centre lies in a reviewed region (image, id, x0, y0, x1, y1) of the image; null where it has none."""
     some = regions.select("image").distinct().withColumn("some", F.lit(True))
-    r = box_cells(regions, cell).select("image", "x0", "y0", "x1", "y1", "cx", "cy")
-    hit = point_cells(objects, cell).join(r, ["image", "cx", "cy"]).where("x >= x0 and x < x1 and y >= y0 and y < y1").select("image", "point_id").distinct().withColumn("hit", F.lit(True))
+    hit = holding(objects.select("image", "point_id", "x", "y"), regions, ["image"]).select("image", "point_id").distinct().withColumn("hit", F.lit(True))
     d = objects.join(some, "image", "left").join(hit, ["image", "point_id"], "left")
     return d.withColumn("reviewed", F.when(F.col("some"), F.coalesce("hit", F.lit(False)))).drop("some", "hit")

@@ -217,10 +217,30 @@ OWNERS = "human|mouse|murine|rat|zebrafish|arabidopsis"
 CELLS = [(r"\bhepatocytes?\b", "hepatocyte"), (r"\bcholangiocytes?\b", "cholangiocyte"), (r"\bendothelial cells?\b", "endothelial cell"), (r"\bneurons?\b", "neuron")]
 
 
+#: Named values that say nothing, and samples that say too little.
+UNKNOWN = ["unknown", "not known", "not specified", "n/a", "na", "none", "null", "/"]
+VAGUE_SAMPLES = ["cell", "cells", "tissue", "sample", "specimen", "volume", "raw images", "benchmark data"]
+
+
+def cleaned(value: Column) -> Column:
+    """A named value without runs of blanks, or blanks, semicolons and commas at its ends; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(value, r"\s+", " "), "^[ ;,]+|[ ;,]+$", ""), F.lit(""))
+
+
+def known(value: Column) -> Column:
+    """A cleaned value, null where it says that the value isn't known."""
+    return F.when(~F.lower(F.trim(cleaned(value))).isin(*UNKNOWN), cleaned(value))
+
+
+def first_known(values: Column) -> Column:
+    """The first of a list of named values that tells something."""
+    return F.get(F.filter(F.transform(values, known), lambda v: v.isNotNull()), F.lit(0))
+
+
 def methods_of(direct: Column, text: Column) -> Column:
     """A named method and those that the text tells, each once, joined by ' ; '; general words only count where nothing else is told."""
     low = F.lower(text)
-    told = F.array_compact(F.array(direct, *[F.when(low.rlike(p), F.lit(v)) for p, v in METHODS]))
+    told = F.array_compact(F.array(known(direct), *[F.when(low.rlike(p), F.lit(v)) for p, v in METHODS]))
     special = F.filter(told, lambda m: ~F.lower(m).isin(*GENERAL_METHODS))
     volume = F.exists(told, lambda m: F.lower(m).isin("volume em", "volume electron microscopy")) | F.coalesce(low.rlike(VOLUME_METHOD), F.lit(False))
     chosen = F.when(F.size(special) > 0, special).when(volume, F.array(F.lit("volume EM"))).otherwise(told)
@@ -228,17 +248,18 @@ def methods_of(direct: Column, text: Column) -> Column:
 
 
 def organism_of(direct: Column, text: Column) -> Column:
-    """The organism that a named value tells, else that value itself, else the one that the text tells."""
-    return F.coalesce(first_match(F.lower(direct), ORGANISMS), blank_to_null(direct), first_match(F.lower(text), ORGANISMS))
+    """The organism that a named value tells, else that value itself, else the one that the text tells. "Unknown" and the like are no values."""
+    return F.coalesce(first_match(F.lower(known(direct)), ORGANISMS), known(direct), first_match(F.lower(text), ORGANISMS))
 
 
-def sample_of(text: Column) -> Column:
-    """The sample that a text tells: by name, by an organ and what follows it, by an owner's organ, by a kind of cell."""
+def sample_of(direct: Column, text: Column) -> Column:
+    """A named sample unless it is vague, else the one that the text tells: by name, by an organ and what follows it, by an owner's organ, by a kind of cell."""
     low = F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "[_/-]+", " "), r"\s+", " ")))
     organs = "|".join(ORGANS)
     ended = [F.concat(F.nullif(F.regexp_extract(low, rf"\b(?:{OWNERS})?\s*({organs})\s+{end}\b", 1), F.lit("")), F.lit(f" {end}")) for end in ORGAN_ENDS]
     owned = F.nullif(F.regexp_extract(low, rf"\b(?:{OWNERS})\s+({organs})\b", 1), F.lit(""))
-    return F.coalesce(first_match(low, SAMPLES), *ended, F.when(owned == "retina", owned).otherwise(F.concat(owned, F.lit(" tissue"))), first_match(low, CELLS))
+    named = F.when(~F.lower(known(direct)).isin(*VAGUE_SAMPLES), known(direct))
+    return F.coalesce(named, first_match(low, SAMPLES), *ended, F.when(owned == "retina", owned).otherwise(F.concat(owned, F.lit(" tissue"))), first_match(low, CELLS))
 
 
 #: Repositories by link, in order.

@@ -51,7 +51,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def fit_centres(df: DataFrame, key: str, vector: str, cells: int, sample: int = 8192, rounds: int = 8) -> np.ndarray:
     """Centres by spherical k-means over at most `sample` rows, the first in hash order: what the driver holds is bounded."""
     took = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(key), key).limit(sample).toPandas()
-    v = units(np.array(took["v"].tolist(), float).reshape(len(took), -1 if len(took) else 0))
+    if took.empty:
+        return np.zeros((0, 0))
+    v = units(np.array(took["v"].tolist(), float))
     centres = v[:: max(1, len(v) // max(1, cells))][:cells]
     for _ in range(rounds):
         nearest = (v @ centres.T).argmax(axis=1)
@@ -63,9 +65,11 @@ def fit_centres(df: DataFrame, key: str, vector: str, cells: int, sample: int =
 
 
 def build(df: DataFrame, key: str, vector: str, cells: int | None = None, sample: int = 8192) -> Index:
-    """cells: the square root of the number of rows by default, 4,096 at most."""
+    """cells: by default the square root of the number of rows, or as many as have 1,024 rows each; 4,096 at most."""
     d = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    cells = cells or int(min(4096, max(1, d.count() ** 0.5)))
+    if not cells:
+        n = d.count()
+        cells = int(min(4096, max(1, min(n**0.5, n / 1024))))
     centres = fit_centres(d, "id", "v", cells, sample)
     kind = d.schema["id"].dataType.simpleString()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.numbers import ratio
 from lamella.operators.rounds import persist
+from lamella.operators.scans import Scan, percentiles, scan
 from lamella.operators.spatial import nearest
 
 
@@ -77,9 +78,9 @@ def average_precision(pairs: DataFrame, confidence: DataFrame, truths: DataFrame
     best = best.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "threshold", "p").orderBy(F.desc("iou"), "g"))).where("r = 1")
     best = best.join(confidence, [*keys, "p"]).withColumn("first", F.row_number().over(Window.partitionBy(*keys, "threshold", "g").orderBy(F.desc("score"), "p")))
     d = t.join(best.where("first = 1").select(*keys, "threshold", "p", F.lit(1).alias("hit")), [*keys, "threshold", "p"], "left").join(truths, keys)
-    w = Window.partitionBy(*keys, "threshold").orderBy(F.desc("score"), "p")
-    d = d.withColumn("tp", F.sum(F.coalesce("hit", F.lit(0))).over(w)).withColumn("k", F.row_number().over(w)).withColumn("precision", F.col("tp") / F.col("k"))
-    d = d.withColumn("envelope", F.max("precision").over(Window.partitionBy(*keys, "threshold").orderBy(F.asc("score"), F.desc("p"))))
+    by = [*keys, "threshold"]
+    d = scan(d, by, [F.desc("score"), F.asc("p")], tp=Scan(F.coalesce("hit", F.lit(0))), k=Scan(F.lit(1))).withColumn("precision", F.col("tp") / F.col("k"))
+    d = scan(d, by, [F.asc("score"), F.desc("p")], envelope=Scan("precision", "max"))
     return d.groupBy(*keys, "threshold").agg((F.sum(F.when(F.col("hit") == 1, F.col("envelope") / F.col("n_true")).otherwise(0.0))).alias("ap"))
 
 
@@ -158,14 +159,14 @@ def boundary_f1(pred: DataFrame, truth: DataFrame, images: DataFrame, image: str
     return d.withColumn("f1", F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def hd95(pred: DataFrame, truth: DataFrame, sizes: DataFrame, image: str, cell: float = 2.0) -> DataFrame:
+def hd95(pred: DataFrame, truth: DataFrame, sizes: DataFrame, image: str) -> DataFrame:
     """image, hd95: the larger of both sides' 95th percentile of the distances from boundary pixels to the other side's boundary.
 
     An image of `sizes` (image, width, height) with one side only has its diagonal, and 0 if it has none.
     """
     side = lambda df: boundary_pixels(df.select(image, "x", "y").distinct(), [image]).select(image, F.struct("x", "y").alias("point_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     p, t = persist(side(pred)), persist(side(truth))
-    far = lambda a, b, name: nearest(a, b, cell, within=(image,)).groupBy(image).agg(F.percentile("distance", F.lit(0.95)).alias(name))
+    far = lambda a, b, name: percentiles(nearest(a, b, within=(image,)), [image], "distance", [0.95]).select(image, F.col("q")[0].alias(name))
     some = p.select(image).unionByName(t.select(image)).distinct().withColumn("some", F.lit(True))
     d = sizes.select(image, F.sqrt(F.pow("width", 2) + F.pow("height", 2)).alias("diagonal")).join(some, image, "left")
     d = d.join(far(p, t, "a"), image, "left").join(far(t, p, "b"), image, "left")

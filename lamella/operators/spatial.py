@@ -1,136 +1,87 @@
-"""Spatial joins by grid cells: overlaps, containment, nearest neighbours, components, greedy choice, run unions."""
+"""Spatial joins: overlaps, containment, nearest neighbours, components, greedy choice, run unions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators import levels, quadtree
 from lamella.operators.rounds import persist
-
-
-def box_cells(df: DataFrame, cell: float) -> DataFrame:
-    """A row for each grid cell that a box (x0, y0, x1, y1) touches."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    return df.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-
-
-def point_cells(df: DataFrame, cell: float) -> DataFrame:
-    return df.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+from lamella.operators.scans import percentiles
 
 
 def box_area(p: str = "") -> Column:
     return (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
 
 
-def intersections(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """a_id, b_id, x0, y0, x1, y1 (what is common), area_a, area_b: pairs of boxes (id, x0, y0, x1, y1) with common area, each once.
-
-    Boxes meet in the grid cells they share; a pair is kept in the cell of its intersection's corner.
-    """
-    pre = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")], "cx", "cy")
-    d = pre(box_cells(a, cell), "a_").join(pre(box_cells(b, cell), "b_"), ["cx", "cy"])
-    left, top, right, low = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0"), F.least("a_x1", "b_x1"), F.least("a_y1", "b_y1")
-    d = d.where((right > left) & (low > top) & (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy")))
-    return d.select("a_id", "b_id", left.alias("x0"), top.alias("y0"), right.alias("x1"), low.alias("y1"), box_area("a_").alias("area_a"), box_area("b_").alias("area_b"))
+def intersections(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a_id, b_id, x0, y0, x1, y1 (what is common), area_a, area_b: pairs of boxes (id, x0, y0, x1, y1) with common area, each once."""
+    common = [F.greatest("a_x0", "b_x0").alias("x0"), F.greatest("a_y0", "b_y0").alias("y0"), F.least("a_x1", "b_x1").alias("x1"), F.least("a_y1", "b_y1").alias("y1")]
+    return levels.meetings(a, b).select("a_id", "b_id", *common, box_area("a_").alias("area_a"), box_area("b_").alias("area_b"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_id, b_id, shared, area_a, area_b: pairs of boxes with common area."""
-    return intersections(a, b, cell).select("a_id", "b_id", box_area().alias("shared"), "area_a", "area_b")
-
-
-def union_area(boxes: DataFrame, key: str) -> DataFrame:
-    """key, area: what the boxes (key, x0, y0, x1, y1) of each key cover together.
-
-    The edges of a key's boxes cut it into slabs; in each, the parts that its boxes add from left to right are summed.
-    """
-    edges = boxes.select(key, F.explode(F.array("y0", "y1")).alias("top")).distinct()
-    slabs = edges.withColumn("low", F.lead("top").over(Window.partitionBy(key).orderBy("top"))).where("low is not null")
-    d = boxes.join(slabs, key).where("top >= y0 and low <= y1")
-    reach = F.max("x1").over(Window.partitionBy(key, "top").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
-    added = F.greatest(F.col("x1") - F.greatest(F.col("x0"), F.coalesce(reach, F.col("x0"))), F.col("x1") - F.col("x1"))
-    return d.withColumn("added", added * (F.col("low") - F.col("top"))).groupBy(key).agg(F.sum("added").alias("area"))
+    return intersections(a, b).select("a_id", "b_id", box_area().alias("shared"), "area_a", "area_b")
 
 
-def protected(new: DataFrame, kept: DataFrame, cell: float, confirmed: float = 0.3, excluded: float = 0.8) -> DataFrame:
+def protected(new: DataFrame, kept: DataFrame, confirmed: float = 0.3, excluded: float = 0.8) -> DataFrame:
     """New boxes that no protected box (with state) covers: the share of either area decides, by state."""
-    pairs = overlaps(new, kept, cell).join(kept.select(F.col("id").alias("b_id"), "state"), "b_id")
+    pairs = overlaps(new, kept).join(kept.select(F.col("id").alias("b_id"), "state"), "b_id")
     most = F.col("shared") / F.least("area_a", "area_b")
     hits = pairs.where(((F.col("state") == "confirmed") & (most >= confirmed)) | ((F.col("state") == "excluded") & (most >= excluded)))
     return new.join(hits.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def containing(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+def containing(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """point_id, id: boxes around each point, edges included on the low side."""
-    b = box_cells(boxes, cell).select("id", "x0", "y0", "x1", "y1", "cx", "cy")
-    d = point_cells(points, cell).join(b, ["cx", "cy"])
-    return d.where("x >= x0 and x < x1 and y >= y0 and y < y1").select("point_id", "id")
+    return levels.holding(points.select("point_id", "x", "y"), boxes).select("point_id", "id")
 
 
-def touched(boxes: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
+def touched(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """Boxes with area in common with any region."""
-    return boxes.join(overlaps(boxes, regions, cell).select(F.col("a_id").alias("id")).distinct(), "id", "left_semi")
+    return boxes.join(overlaps(boxes, regions).select(F.col("a_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def partition_candidates(candidates: DataFrame, reviewed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates that may be confirmed, and those on reviewed ground, from one join."""
+    hits = overlaps(candidates, reviewed).select(F.col("a_id").alias("id")).distinct().withColumn("__hit", F.lit(True))
+    d = persist(candidates.join(hits, "id", "left"))
+    return d.where("__hit is null").drop("__hit"), d.where("__hit").drop("__hit")
 
 
-def untouched(boxes: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
-    return boxes.join(overlaps(boxes, regions, cell).select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
+def untouched(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    return boxes.join(overlaps(boxes, regions).select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def outside_regions(boxes: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
+def outside_regions(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """Boxes whose centre lies in no region."""
     centres = boxes.select(F.col("id").alias("point_id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return boxes.join(containing(centres, regions, cell).select(F.col("point_id").alias("id")).distinct(), "id", "left_anti")
+    return boxes.join(containing(centres, regions).select(F.col("point_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def covered(candidates: DataFrame, outlines: DataFrame, cell: float, share: float = 0.7) -> DataFrame:
+def covered(candidates: DataFrame, outlines: DataFrame, share: float = 0.7) -> DataFrame:
     """id, action: delete candidates that all outlines together cover by `share`, trim those covered by less."""
-    met = intersections(candidates, outlines, cell).withColumnRenamed("a_id", "id")
-    part = union_area(met.select("id", "x0", "y0", "x1", "y1"), "id").join(candidates.select("id", box_area().alias("own")), "id")
+    met = intersections(candidates, outlines).withColumnRenamed("a_id", "id")
+    part = levels.union_area(met.select("id", "x0", "y0", "x1", "y1"), "id").join(candidates.select("id", box_area().alias("own")), "id")
     return part.select("id", F.when(F.col("area") / F.col("own") >= share, "delete").otherwise("trim").alias("action"))
 
 
-def union_links(boxes: DataFrame, cell: float, share: float = 0.7) -> DataFrame:
+def union_links(boxes: DataFrame, share: float = 0.7) -> DataFrame:
     """a, b: boxes to merge, as one has more than `share` of its area in the other."""
-    d = overlaps(boxes, boxes, cell).where("a_id < b_id").where(F.col("shared") / F.least("area_a", "area_b") > share)
+    d = overlaps(boxes, boxes).where("a_id < b_id").where(F.col("shared") / F.least("area_a", "area_b") > share)
     return d.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def nearest(a: DataFrame, b: DataFrame, cell: float, same: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, same: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
     """point_id, near_id, distance, and `within`: the nearest point of b (point_id, x, y) to each of a, among those with equal columns
-    `within`. same: a row isn't its own neighbour.
-
-    Both sides are bucketed by cell. A point whose best distance is no more than the cell's width has found it, as the
-    nine cells around it hold everything that near; the rest is tried again with cells of twice the width, until a cell
-    is wider than all points lie apart: what is open then has no point to find.
-    """
-    keys = list(within)
-    out, left = None, persist(a.select("point_id", *keys, "x", "y"))
-    extent = b.select("x", "y").unionByName(left.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    reach, done = 2 * max(extent[0] or 0, extent[1] or 0, 1), 0
-    while True:
-        near = F.explode(F.expr("flatten(transform(sequence(cast(-1 as bigint), cast(1 as bigint)), i -> transform(sequence(cast(-1 as bigint), cast(1 as bigint)), j -> struct(cx + i as cx, cy + j as cy))))"))
-        probe = point_cells(left, cell).select("point_id", *keys, "x", "y", near.alias("c")).select("point_id", *keys, "x", "y", "c.cx", "c.cy")
-        other = point_cells(b, cell).select(*keys, F.col("point_id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
-        d = probe.join(other, [*keys, "cx", "cy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)))
-        d = d.where("point_id <> near_id") if same else d
-        best = d.groupBy("point_id", *keys).agg(F.min(F.struct("distance", "near_id")).alias("m")).select("point_id", *keys, "m.near_id", "m.distance").where(F.col("distance") <= cell)
-        best = persist(best)
-        out = best if out is None else out.unionByName(best)
-        left = persist(left.join(best, ["point_id", *keys], "left_anti"))
-        done += 1
-        out = out if done % 10 else persist(out)
-        if cell > reach or left.isEmpty():
-            return out
-        cell *= 2
+    `within`. same: a row isn't its own neighbour."""
+    return quadtree.search(quadtree.grow(b, list(within)), a, same).select("point_id", *within, "near_id", "distance")
 
 
 def within(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     """Points of a with a point of b at most `reach` away."""
-    near = F.explode(F.expr("flatten(transform(sequence(cast(-1 as bigint), cast(1 as bigint)), i -> transform(sequence(cast(-1 as bigint), cast(1 as bigint)), j -> struct(cx + i as cx, cy + j as cy))))"))
-    probe = point_cells(a, reach).select("point_id", "x", "y", near.alias("c")).select("point_id", "x", "y", "c.cx", "c.cy")
-    other = point_cells(b, reach).select(F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
-    hits = probe.join(other, ["cx", "cy"]).where(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) <= reach * reach)
-    return a.join(hits.select("point_id").distinct(), "point_id", "left_semi")
+    return a.join(nearest(a, b).where(F.col("distance") <= reach).select("point_id").distinct(), "point_id", "left_semi")
 
 
 def contact_fraction(a: DataFrame, b: DataFrame, reach: float, group: str) -> DataFrame:
@@ -145,17 +96,18 @@ def distance_bands(distances: DataFrame, edges: list[float], value: str = "dista
     for i, e in enumerate(edges):
         band = band.when(F.abs(value) < e, i)
     d = distances.withColumn("band", band.otherwise(len(edges)))
-    total = distances.agg(F.count("*").alias("total"), F.median(F.abs(value)).alias("median"))
+    median = percentiles(distances.select(F.abs(value).alias("v")), [], "v", [0.5]).select(F.col("q")[0].alias("median"))
+    total = distances.agg(F.count("*").alias("total")).join(F.broadcast(median), how="left")  # one row
     return d.groupBy("band").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("band", "n", (F.col("n") / F.col("total")).alias("share"), "median")
 
 
-def greedy(boxes: DataFrame, score: str, cell: float, most_overlap: float = 0.0) -> DataFrame:
+def greedy(boxes: DataFrame, score: str, most_overlap: float = 0.0) -> DataFrame:
     """Boxes of a greedy choice by falling score without overlaps: the same set as going through them one by one.
 
     Conflicts are found once. In each round boxes that beat all their open rivals are chosen and their rivals go; ties
     are broken by id. Rounds go on until no box is open; the best open box is chosen in each, so they end.
     """
-    pairs = overlaps(boxes, boxes, cell).where("a_id <> b_id").where(F.col("shared") / F.least("area_a", "area_b") > most_overlap)
+    pairs = overlaps(boxes, boxes).where("a_id <> b_id").where(F.col("shared") / F.least("area_a", "area_b") > most_overlap)
     s = boxes.select("id", F.col(score).alias("s"))
     edges = pairs.join(s.withColumnsRenamed({"id": "a_id", "s": "sa"}), "a_id").join(s.withColumnsRenamed({"id": "b_id", "s": "sb"}), "b_id")
     better = F.struct(F.col("sb"), -F.col("b_id")) > F.struct(F.col("sa"), -F.col("a_id"))
@@ -266,7 +218,7 @@ def choose_shift(cands: DataFrame, key: str, order: list[Column], tile: int, mos
     in every round, so rounds end when none is left.
     """
     near = cands.select(F.col(key).alias("k"), "cx", "cy").groupBy("k").agg(F.min("cx").alias("x0"), F.min("cy").alias("y0"), (F.max("cx") + tile).alias("x1"), (F.max("cy") + tile).alias("y1")).withColumnRenamed("k", "id")
-    after = persist(overlaps(near, near, float(tile * 2)).where("b_id < a_id").select("a_id", "b_id"))
+    after = persist(overlaps(near, near).where("b_id < a_id").select("a_id", "b_id"))
     left, out, done = persist(near.select("id")), None, 0
     ranked = cands.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     while not left.isEmpty():
@@ -276,7 +228,7 @@ def choose_shift(cands: DataFrame, key: str, order: list[Column], tile: int, mos
         if out is not None:
             box = lambda df, name: df.select(F.col(name).alias("id"), F.col("cx").alias("x0"), F.col("cy").alias("y0"), (F.col("cx") + tile).alias("x1"), (F.col("cy") + tile).alias("y1"))
             tagged = mine.withColumn("cid", F.struct(key, "rank"))
-            bad = overlaps(box(tagged, "cid"), box(out, key), float(tile)).where(F.col("shared") / (tile * tile) > most_overlap).select(F.col("a_id").alias("cid")).distinct()
+            bad = overlaps(box(tagged, "cid"), box(out, key)).where(F.col("shared") / (tile * tile) > most_overlap).select(F.col("a_id").alias("cid")).distinct()
             mine = tagged.join(bad, "cid", "left_anti").drop("cid")
         took = mine.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("rank"))).where("r = 1").drop("r", "rank")
         took = persist(took)
@@ -286,10 +238,10 @@ def choose_shift(cands: DataFrame, key: str, order: list[Column], tile: int, mos
     return cands.limit(0) if out is None else out
 
 
-def signed_nearest(points: DataFrame, boundary: DataFrame, inside: DataFrame, cell: float) -> DataFrame:
+def signed_nearest(points: DataFrame, boundary: DataFrame, inside: DataFrame) -> DataFrame:
     """point_id, near_id, distance, negative for points that are inside (a frame of point_id); unreadable points are dropped."""
     ok = points.where("x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('infinity') and abs(y) < double('infinity')")
-    d = nearest(ok, boundary, cell).join(inside.select("point_id", F.lit(-1.0).alias("sign")).distinct(), "point_id", "left")
+    d = nearest(ok, boundary).join(inside.select("point_id", F.lit(-1.0).alias("sign")).distinct(), "point_id", "left")
     return d.select("point_id", "near_id", (F.col("distance") * F.coalesce("sign", F.lit(1.0))).alias("distance"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.numbers import hash01
 from lamella.operators.order import hashed_bin, placed, running_by_bin
+from lamella.operators.scans import ranked
 
 
 def organelle_set(text: Column) -> Column:
@@ -62,10 +63,9 @@ def held_out_by_rule(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
 def held_out_band(df: DataFrame, volume: str, place: list[str], share: float = 0.15, least: int = 20) -> DataFrame:
     """Adds `split`: the last share of each volume's crops along its spatial key is held out, in volumes with enough crops."""
-    w = Window.partitionBy(volume)
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(*[F.desc(p) for p in place]))
-    return df.withColumn("split", F.when((n >= least) & (rank <= F.greatest(F.lit(1), F.rint(F.lit(share) * n))), "heldout_image").otherwise("train"))
+    d = ranked(df, [volume], [F.desc(p) for p in place], "__rank", "__n")
+    held = (F.col("__n") >= least) & (F.col("__rank") <= F.greatest(F.lit(1), F.rint(F.lit(share) * F.col("__n"))))
+    return d.withColumn("split", F.when(held, "heldout_image").otherwise("train")).drop("__rank", "__n")
 
 
 def quota(supply: DataFrame, current: DataFrame, source: str, caps: Column) -> DataFrame:
@@ -96,12 +96,10 @@ def stratified(df: DataFrame, group: str, key: str, share: float, seed: str) ->
 
 def oversample(df: DataFrame, cls: str, key: str) -> DataFrame:
     """Every class cycled to the size of the largest: adds `draw`, the turn in which the row comes."""
-    w = Window.partitionBy(cls)
-    n = df.groupBy(cls).agg(F.count("*").alias("n"))
-    most = n.agg(F.max("n").alias("most"))
-    d = df.withColumn("i", F.row_number().over(w.orderBy(key)) - 1).join(n, cls).crossJoin(F.broadcast(most))  # one row
-    turns = F.floor((F.col("most") - 1 - F.col("i")) / F.col("n"))
-    return d.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), turns))).drop("n", "most", "i")
+    most = df.where(F.col(cls).isNotNull()).groupBy(cls).agg(F.count("*").alias("n")).agg(F.max("n").alias("__most"))
+    d = ranked(df.where(F.col(cls).isNotNull()), [cls], [key], "__place", "__n").crossJoin(F.broadcast(most))  # one row
+    turns = F.floor((F.col("__most") - F.col("__place")) / F.col("__n"))
+    return d.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), turns))).drop("__n", "__most", "__place")
 
 
 def imbalance(df: DataFrame, cls: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.numbers import finite, ratio
+from lamella.operators.rounds import persist
+from lamella.operators.scans import ranked, with_percentiles
 
 
 def long_form(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -36,12 +38,9 @@ def score_matrix(long: DataFrame, row: str, column: str, columns: list) -> DataF
 
 def distribution(long: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean, sample sd, quartiles, range and number missing."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        long.groupBy(*keys, "metric")
-        .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), q.alias("q"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(F.col("value").isNull()).alias("missing"))
-        .select(*keys, "metric", "n", "mean", "sd", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "low", "high", "missing")
-    )
+    d = long.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(F.col("value").isNull()).alias("missing"))
+    d = with_percentiles(d, long, [*keys, "metric"], "value", [0.25, 0.5, 0.75])
+    return d.select(*keys, "metric", "n", "mean", "sd", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "low", "high", "missing")
 
 
 def rollup_units(df: DataFrame, group: str, unit: str, value: Column, weight: Column | None = None) -> DataFrame:
@@ -72,7 +71,8 @@ def bootstrap_macro(df: DataFrame, cell: str, order: str, value: str, replicates
 
     Returns replicate, macro. Rows are numbered inside cells; draws are rows (replicate, cell, slot) joined on the number.
     """
-    numbered = df.select(cell, F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(cell).orderBy(order)) - 1).alias("i"), F.count("*").over(Window.partitionBy(cell)).alias("n"))
+    numbered = ranked(df.select(cell, F.col(value).alias("v"), F.col(order).alias("o")), [cell], ["o"], "i", "n").select(cell, "v", (F.col("i") - 1).cast("int").alias("i"), "n")
+    numbered = persist(numbered)
     slots = numbered.select(cell, "n", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     name = F.concat_ws(":", F.lit(seed), "replicate", F.col(cell).cast("string"), "slot")
     drawn = slots.withColumn("i", F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("n")).cast("int"))

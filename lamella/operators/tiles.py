@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.scans import with_percentiles
 from lamella.operators.order import running_by_bin
 
 
@@ -189,14 +190,12 @@ def factor_codes(df: DataFrame, factors: dict[str, list[str]], logs: dict[str, t
 
 def percentile_range(pixels: DataFrame, keys: list[str], value: str, low: float = 0.001, high: float = 0.999, support: int = 64, span: float = 16.0) -> DataFrame:
     """Normalisation range by key, with flags for thin support and a low dynamic range."""
-    q = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    d = pixels.groupBy(*keys).agg(F.count(value).alias("n"), q.alias("q"))
+    d = with_percentiles(pixels.groupBy(*keys).agg(F.count(value).alias("n")), pixels, keys, value, [low, high])
     return d.select(*keys, "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), (F.col("n") < support).alias("thin"), (F.col("q")[1] - F.col("q")[0] < span).alias("low_range"))
 
 
 def tile_stats(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.01), F.lit(0.99)))
-    d = pixels.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), q.alias("q"))
+    d = with_percentiles(pixels.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")), pixels, keys, value, [0.01, 0.99])
     return d.select(*keys, "mean", "sd", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p99"))
 
 

@@ -230,7 +230,7 @@ def reviewed_objects(t: Tables) -> DataFrame:
     x, y = (F.col("p_partkey") * 7919) % 2000, (F.col("p_partkey") * 104729) % 2000
     regions = t.part.select(F.when(F.col("p_type") == "PROMO", "click").otherwise("view").alias("image"), F.col("p_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"))
     objects = t.events.select(F.col("event_type").alias("image"), F.col("event_id").alias("point_id"), ((F.col("event_id") * 31) % 2000).cast("double").alias("x"), ((F.col("event_id") * 577 + F.col("user_id")) % 2000).cast("double").alias("y"))
-    return analysis.reviewed_flags(objects, regions, 64.0).select("image", "point_id", "reviewed")
+    return analysis.reviewed_flags(objects, regions).select("image", "point_id", "reviewed")
 
 
 @BOOK.add("""WITH d AS (SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'zenodo_mitoem2' WHEN 'SMALL' THEN 'jrc_' || p_size WHEN 'LARGE' THEN 'x_Perez_' || p_size ELSE 'set' || p_size END AS ds, CASE WHEN p_size % 2 = 0 THEN 'ME2-S' || p_size || '_c' ELSE 'crop' END AS crop, p_size AS fg, p_retailprice AS area FROM part), k AS (SELECT *, CASE WHEN ds = 'zenodo_mitoem2' THEN 'zenodo_mitoem2/' || CASE WHEN p_partkey IS NOT NULL AND crop LIKE 'ME2-%' THEN regexp_extract(crop, '^ME2-[A-Za-z0-9]+') ELSE 'UNK' END ELSE ds END AS key FROM d)
@@ -245,20 +245,31 @@ def source_rules(t: Tables) -> DataFrame:
 
 #: Phrases by part type, to which the part's name is added.
 PHRASES = {"PROMO": "SBF-SEM of mouse liver tissue sample", "SMALL": "Volume EM, HeLa cells", "LARGE": "FIB-SEM and ssTEM of human retina", "ECONOMY": "rat hepatocytes by transmission electron microscopy", "MEDIUM": "no method at all"}
-_PHRASE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PHRASES.items()) + " ELSE '' END"
-_LIST = lambda rules_, c: "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{v}'" for p, v in rules_) + " END"
-_ENDED = "coalesce(" + ", ".join(f"nullif(regexp_extract(low, '\\b(?:{catalog.OWNERS})?\\s*({'|'.join(catalog.ORGANS)})\\s+{end}\\b', 1), '') || ' {end}'" for end in catalog.ORGAN_ENDS) + ")"
-_OWNED = f"nullif(regexp_extract(low, '\\b(?:{catalog.OWNERS})\\s+({'|'.join(catalog.ORGANS)})\\b', 1), '')"
 
 
-@BOOK.add(f"""WITH d AS (SELECT p_partkey, lower({_PHRASE} || ' ' || p_name) AS low, CASE WHEN p_partkey % 7 = 0 THEN 'volume EM' END AS direct FROM part), n AS (SELECT * REPLACE (trim(regexp_replace(regexp_replace(low, '[_/-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS low), low AS raw FROM d),
-m AS (SELECT *, [x FOR x IN [{', '.join(f"CASE WHEN regexp_matches(raw, '{p}') THEN '{v}' END" for p, v in catalog.METHODS)}] IF x IS NOT NULL] AS told FROM n)
-SELECT p_partkey, nullif(CASE WHEN len(told) > 0 THEN array_to_string(told, ' ; ') WHEN direct IS NOT NULL OR regexp_matches(raw, '{catalog.VOLUME_METHOD}') THEN 'volume EM' ELSE '' END, '') AS methods, {_LIST(catalog.ORGANISMS, 'raw')} AS organism,
- coalesce({_LIST(catalog.SAMPLES, 'low')}, {_ENDED}, CASE WHEN {_OWNED} = 'retina' THEN 'retina' ELSE {_OWNED} || ' tissue' END, {_LIST(catalog.CELLS, 'low')}) AS sample FROM m""")
+@BOOK.add("""WITH d AS (SELECT p_partkey, p_type AS k, CASE p_partkey % 7 WHEN 0 THEN 'volume EM' WHEN 3 THEN 'Cryo Magic' END AS method, CASE p_partkey % 6 WHEN 0 THEN 'Human' WHEN 2 THEN 'Strange beast' END AS beast, CASE p_partkey % 5 WHEN 2 THEN 'Named thing' END AS thing FROM part),
+m AS (SELECT *, [x FOR x IN [CASE WHEN method = 'Cryo Magic' THEN method END, CASE k WHEN 'PROMO' THEN 'SBF-SEM' WHEN 'LARGE' THEN 'FIB-SEM' WHEN 'ECONOMY' THEN 'TEM' END, CASE k WHEN 'LARGE' THEN 'ssTEM' END] IF x IS NOT NULL] AS told FROM d)
+SELECT p_partkey, CASE WHEN len(told) > 0 THEN array_to_string(told, ' ; ') WHEN k = 'SMALL' OR method = 'volume EM' THEN 'volume EM' END AS methods, coalesce(beast, CASE k WHEN 'PROMO' THEN 'Mouse' WHEN 'SMALL' THEN 'Human' WHEN 'LARGE' THEN 'Human' WHEN 'ECONOMY' THEN 'Rat' END) AS organism,
+ coalesce(thing, CASE k WHEN 'PROMO' THEN 'liver tissue sample' WHEN 'SMALL' THEN 'HeLa cell' WHEN 'LARGE' THEN 'retina' WHEN 'ECONOMY' THEN 'hepatocyte' END) AS sample FROM m""")
 def told_samples(t: Tables) -> DataFrame:
-    phrase = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])[F.col("p_type")]
-    text, direct = F.concat(F.coalesce(phrase, F.lit("")), F.lit(" "), "p_name"), F.when(F.col("p_partkey") % 7 == 0, F.lit("volume EM"))
-    return t.part.select("p_partkey", catalog.methods_of(direct, text).alias("methods"), catalog.organism_of(F.lit(None).cast("string"), text).alias("organism"), catalog.sample_of(text).alias("sample"))
+    """Named values, some of which say nothing or too little, beside a text."""
+    text = F.concat(F.coalesce(F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])[F.col("p_type")], F.lit("")), F.lit(" "), "p_name")
+    pick = lambda n, *v: F.get(F.array(*[F.lit(x).cast("string") for x in v]), F.col("p_partkey") % n)
+    method = catalog.first_known(F.array(pick(7, None, "unknown", " n/a ;", "N/A", None, "/", None), pick(7, "volume EM", "Unknown", None, " Cryo \t Magic,", None, "none", None)))
+    organism, sample = pick(6, "Homo sapiens cells", "not specified", " Strange  beast; ", None, "NULL", ""), pick(5, "Tissue", "N/A", ",Named thing;", " cells ", None)
+    return t.part.select("p_partkey", catalog.methods_of(method, text).alias("methods"), catalog.organism_of(organism, text).alias("organism"), catalog.sample_of(sample, text).alias("sample"))
+
+
+@BOOK.add("""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS org, o_orderkey % 5 AS f, o_orderkey % 3 AS st FROM orders), d AS (SELECT *, CASE org WHEN 0 THEN 'm-default' WHEN 1 THEN 'n-default' ELSE 'manual' END AS dflt FROM o)
+SELECT o_orderkey, CASE WHEN f = 0 AND org = 0 THEN 'm-one' WHEN f = 0 AND org = 1 THEN 'n-one' WHEN f = 1 AND org = 0 THEN 'm-two' WHEN f IN (0, 1, 2) AND f = 2 THEN dflt WHEN st IN (0, 1) THEN 'manual' ELSE dflt END AS model FROM d""")
+def source_models(t: Tables) -> DataFrame:
+    """Objects with a family, a mark, no features, or a mark that says no; labels given by hand or not."""
+    k = lambda n: F.col("o_orderkey") % n
+    said = F.when(k(5) == 0, F.create_map(F.lit("model_family"), F.lit(" One "))).when(k(5) == 1, F.create_map(F.lit("model_family"), F.lit("two"))).when(k(5) == 2, F.create_map(F.lit("model_family"), F.lit("other"), F.lit("er_generated"), F.lit("true"))).when(k(5) == 3, F.create_map(F.lit("mito_generated"), F.lit("false")))
+    organelle = F.when(k(4) == 0, "mito").when(k(4) == 1, "nucleus").when(k(4) == 2, "golgi")
+    state = F.when(k(3) == 0, "CONFIRMED").when(k(3) == 1, "EXCLUDED").otherwise("CANDIDATE")
+    model = analysis.source_model(said, state, organelle, {"mito": {"one": "m-one", "two": "m-two"}, "nucleus": {"one": "n-one"}}, {"mito": "m-default", "nucleus": "n-default"})
+    return t.orders.select("o_orderkey", model.alias("model"))
 
 
 @BOOK.add("SELECT event_id, CASE WHEN value > 5 THEN event_type END AS first, 2 + CASE WHEN value > 5 THEN 1 ELSE 0 END AS n FROM events")

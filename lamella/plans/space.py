@@ -30,19 +30,19 @@ OV = "ov AS (SELECT a.id AS a_id, b.id AS b_id, (least(a.x1, b.x1) - greatest(a.
 
 @BOOK.add(f"WITH {B_SQL}, {OV} SELECT a_id, b_id, shared, area_a, area_b FROM ov WHERE a_id < b_id")
 def boxes_overlap(t: Tables) -> DataFrame:
-    return spatial.overlaps(boxes(t), boxes(t), 64.0).where("a_id < b_id")
+    return spatial.overlaps(boxes(t), boxes(t)).where("a_id < b_id")
 
 
 @BOOK.add(f"""WITH {B_SQL}, {OV} SELECT id FROM bx WHERE id % 2 = 0 AND id NOT IN (SELECT a_id FROM ov JOIN bx b ON b.id = b_id WHERE b_id % 2 = 1 AND ((b.p_type = 'PROMO' AND shared / least(area_a, area_b) >= 0.3) OR (b.p_type <> 'PROMO' AND shared / least(area_a, area_b) >= 0.8)))""")
 def protected_boxes(t: Tables) -> DataFrame:
     b = boxes(t)
     kept = b.where("id % 2 = 1").withColumn("state", F.when(F.col("p_type") == "PROMO", "confirmed").otherwise("excluded"))
-    return spatial.protected(b.where("id % 2 = 0"), kept, 64.0).select("id")
+    return spatial.protected(b.where("id % 2 = 0"), kept).select("id")
 
 
 @BOOK.add(f"WITH {B_SQL}, {P_SQL} SELECT point_id, id FROM pt JOIN bx ON x >= x0 AND x < x1 AND y >= y0 AND y < y1")
 def point_in_region(t: Tables) -> DataFrame:
-    return spatial.containing(points(t), boxes(t), 64.0)
+    return spatial.containing(points(t), boxes(t))
 
 
 @BOOK.add(f"""WITH {B_SQL}, {OV}, cut AS (SELECT a_id, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1, greatest(a.y0, b.y0) AS y0, least(a.y1, b.y1) AS y1, area_a FROM ov JOIN bx a ON a.id = a_id JOIN bx b ON b.id = b_id WHERE a_id % 2 = 0 AND b_id % 2 = 1),
@@ -50,26 +50,26 @@ rows_ AS (SELECT a_id, area_a, x0, x1, unnest(range(y0, y1)) AS y FROM cut), cel
 SELECT a_id AS id, CASE WHEN count(*) / area_a >= 0.7 THEN 'delete' ELSE 'trim' END AS action FROM cells GROUP BY a_id, area_a""")
 def covered_boxes(t: Tables) -> DataFrame:
     b = boxes(t)
-    return spatial.covered(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 64.0)
+    return spatial.covered(b.where("id % 2 = 0"), b.where("id % 2 = 1"))
 
 
 @BOOK.add(f"WITH {B_SQL}, {OV}, {P_SQL} SELECT id FROM bx WHERE id % 2 = 0 AND id NOT IN (SELECT a.id FROM bx a JOIN bx r ON r.id % 2 = 1 AND a.id % 2 = 0 AND (a.x0 + a.x1) / 2 >= r.x0 AND (a.x0 + a.x1) / 2 < r.x1 AND (a.y0 + a.y1) / 2 >= r.y0 AND (a.y0 + a.y1) / 2 < r.y1)")
 def outside_regions(t: Tables) -> DataFrame:
     b = boxes(t)
-    return spatial.outside_regions(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 64.0).select("id")
+    return spatial.outside_regions(b.where("id % 2 = 0"), b.where("id % 2 = 1")).select("id")
 
 
 @BOOK.add(f"WITH {B_SQL}, {OV} SELECT id, id IN (SELECT a_id FROM ov WHERE b_id % 2 = 1) AS touched FROM bx WHERE id % 2 = 0")
 def touched_boxes(t: Tables) -> DataFrame:
     b = boxes(t)
     some, regions = b.where("id % 2 = 0"), b.where("id % 2 = 1")
-    return spatial.touched(some, regions, 64.0).select("id", F.lit(True).alias("touched")).unionByName(spatial.untouched(some, regions, 64.0).select("id", F.lit(False).alias("touched")))
+    return spatial.touched(some, regions).select("id", F.lit(True).alias("touched")).unionByName(spatial.untouched(some, regions).select("id", F.lit(False).alias("touched")))
 
 
 @BOOK.add(f"""WITH RECURSIVE {B_SQL}, {OV}, l AS (SELECT a_id AS a, b_id AS b FROM ov WHERE a_id <> b_id AND shared / least(area_a, area_b) > 0.7), r(node, root) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a)
 SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def merged_boxes(t: Tables) -> DataFrame:
-    return spatial.label_components(spatial.union_links(boxes(t), 64.0))
+    return spatial.label_components(spatial.union_links(boxes(t)))
 
 
 @BOOK.add(f"""WITH {P_SQL}, q AS (SELECT * FROM pt WHERE point_id % 20 = 0), d AS (SELECT q.point_id, r.point_id AS near_id, sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2) AS distance FROM q JOIN pt r ON q.point_id <> r.point_id)
@@ -77,14 +77,14 @@ SELECT point_id, near_id, round(distance, 9) AS distance FROM d QUALIFY row_numb
 def nearest(t: Tables) -> DataFrame:
     """The stated queries, ids divisible by 20, against all other points."""
     p = points(t)
-    return spatial.nearest(p.where("point_id % 20 = 0"), p, 16.0, same=True).withColumn("distance", F.round("distance", 9))
+    return spatial.nearest(p.where("point_id % 20 = 0"), p, same=True).withColumn("distance", F.round("distance", 9))
 
 
 @BOOK.add(f"""WITH {P_SQL}, d AS (SELECT q.point_id, min(sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2)) AS distance FROM pt q JOIN pt r ON q.point_id <> r.point_id GROUP BY 1), b AS (SELECT CASE WHEN distance < 5 THEN 0 WHEN distance < 10 THEN 1 WHEN distance < 20 THEN 2 ELSE 3 END AS band, distance FROM d)
 SELECT band, count(*) AS n, count(*) / (SELECT count(*) FROM d)::DOUBLE AS share, round((SELECT median(distance) FROM d), 9) AS median FROM b GROUP BY 1""")
 def neighbour_bands(t: Tables) -> DataFrame:
     p = points(t)
-    return spatial.distance_bands(spatial.nearest(p, p, 16.0, same=True), [5.0, 10.0, 20.0]).withColumn("median", F.round("median", 9))
+    return spatial.distance_bands(spatial.nearest(p, p, same=True), [5.0, 10.0, 20.0]).withColumn("median", F.round("median", 9))
 
 
 @BOOK.add(f"""WITH {P_SQL}, h AS (SELECT DISTINCT a.point_id FROM pt a JOIN pt b ON a.point_id % 2 = 0 AND b.point_id % 2 = 1 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 100) SELECT event_type, count(h.point_id) / count(*)::DOUBLE AS contact, count(*) AS n FROM pt LEFT JOIN h USING (point_id) WHERE point_id % 2 = 0 GROUP BY 1""")
@@ -97,7 +97,7 @@ def contact_fraction(t: Tables) -> DataFrame:
 o AS (SELECT list(list_prepend(rk.n, coalesce(rivals, [])) ORDER BY rk.n) AS steps FROM rk LEFT JOIN riv USING (n)), c AS (SELECT unnest(list_reduce(list_prepend([]::BIGINT[], steps), lambda m, x: CASE WHEN list_has_any(m, x[2:]) THEN m ELSE list_append(m, x[1]) END)) AS n FROM o)
 SELECT id FROM c JOIN rk USING (n)""")
 def greedy_selection(t: Tables) -> DataFrame:
-    return spatial.greedy(boxes(t), "p_retailprice", 64.0).select("id")
+    return spatial.greedy(boxes(t), "p_retailprice").select("id")
 
 
 GRID = "px AS (SELECT user_id::BIGINT AS x, (extract(day FROM ts) * 24 + extract(hour FROM ts))::BIGINT AS y, event_type AS image, sum(value) AS v FROM events GROUP BY ALL)"
@@ -192,22 +192,67 @@ def enrichment(t: Tables) -> DataFrame:
     return d.withColumns({"share": F.round("share", 9), "enrichment": F.round("enrichment", 6)})
 
 
-@BOOK.add()
+#: A tissue that leaves out much of the plane, in rows of changing width; places are drawn by ordinal along its rows.
+NULLS = f"""{RUNS.rsplit(", tissue AS", 1)[0]}, {P_SQL}, tis AS (SELECT y, y % 400 AS x0, 1599 - y % 300 AS x1, (sum(1600 - y % 300 - y % 400) OVER (ORDER BY y))::BIGINT - (1600 - y % 300 - y % 400) AS frm FROM (SELECT unnest(range(0, 1800)) AS y)), size AS (SELECT sum(x1 - x0 + 1)::BIGINT AS area FROM tis),
+ar AS (SELECT c.image, c.label, count(t.y) AS area FROM cell c LEFT JOIN tis t ON c.y = t.y AND c.x BETWEEN t.x0 AND t.x1 GROUP BY ALL UNION ALL SELECT i, 'tissue', area FROM size, (SELECT unnest([0, 1]) AS i)), fr AS (SELECT image, label, (ar.area / size.area)::DOUBLE AS fraction FROM ar, size),
+ob AS (SELECT point_id % 2 AS image, -1 AS rep, point_id AS i, pt.x::BIGINT AS x, pt.y::BIGINT AS y FROM pt JOIN tis ON pt.y::BIGINT = tis.y AND pt.x::BIGINT BETWEEN tis.x0 AND tis.x1)"""
+DRAWN = """dr AS (SELECT image, rep, unnest(range(1, n + 1)) AS i FROM (SELECT image, n, unnest(range(0, {reps})) AS rep FROM nn)), od AS (SELECT *, ('0x' || substr(md5('{seed}:' || image || ':' || rep || ':' || i), 1, 15))::BIGINT % (SELECT area FROM size) AS o FROM dr), nu AS (SELECT od.image, od.rep, od.i, tis.x0 + od.o - tis.frm AS x, tis.y FROM od ASOF JOIN tis ON od.o >= tis.frm),
+ev AS (SELECT image, rep, i, x, y FROM nu {more}), hit AS (SELECT ev.image, rep, label, count(*) AS n FROM ev JOIN cell USING (image, x, y) GROUP BY ALL UNION ALL SELECT image, rep, 'tissue', count(*) FROM ev GROUP BY ALL),
+en AS (SELECT r.image, r.rep, fr.label, coalesce(hit.n, 0)::DOUBLE / r.total / nullif(fr.fraction, 0) AS e FROM (SELECT image, rep, count(*)::DOUBLE AS total FROM ev GROUP BY ALL) r JOIN fr ON fr.image = r.image LEFT JOIN hit ON hit.image = r.image AND hit.rep = r.rep AND hit.label = fr.label)"""
+BOTH = f"WITH {NULLS}, nn AS (SELECT image, count(*) AS n FROM ob GROUP BY 1), {DRAWN.format(reps=99, seed='csr', more='UNION ALL SELECT image, rep, i, x, y FROM ob')}"
+
+
+def null_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Runs of labels and of the narrow tissue, and the labels' shares of it."""
+    rows = t.spark.range(1800).select(F.explode(F.expr("array(0L, 1L)")).alias("image"), F.lit("tissue").alias("label"), F.col("id").alias("y"), (F.col("id") % 400).alias("x0"), (1599 - F.col("id") % 300).alias("x1"))
+    r = spatial.run_union(label_runs(t), ["image", "label"]).unionByName(rows)
+    return r, analysis.compartment_areas(r, "image", "tissue", nucleus="PROMO").where("label <> 'cytoplasm'").select("image", "label", "fraction")
+
+
+@BOOK.add(f"""{BOTH}, st AS (SELECT image, label, avg(e) AS m, stddev_samp(e) AS sd, count(e) AS reps FROM en WHERE rep >= 0 GROUP BY ALL), o AS (SELECT image, label, e FROM en WHERE rep = -1), far AS (SELECT n.image, n.label, count(*) FILTER (abs(n.e - m) >= abs(o.e - m)) AS far FROM en n JOIN st ON st.image = n.image AND st.label = n.label JOIN o ON o.image = n.image AND o.label = n.label WHERE n.rep >= 0 GROUP BY ALL)
+SELECT o.image, o.label, round(o.e, 6) AS observed, round(m, 6) AS null_mean, round(sd, 6) AS null_sd, round(CASE WHEN sd > 0 AND reps > 1 THEN (o.e - m) / sd END, 4) AS z, round(CASE WHEN sd > 0 AND reps > 1 THEN (far + 1) / (reps + 1) END, 6)::DOUBLE AS p FROM o JOIN st ON st.image = o.image AND st.label = o.label JOIN far ON far.image = o.image AND far.label = o.label""")
 def null_test(t: Tables) -> DataFrame:
-    r = runs(t)
-    areas = analysis.compartment_areas(r, "image", "tissue", nucleus="PROMO").where("label <> 'cytoplasm'").select("image", "label", "fraction")
-    return analysis.randomness(image_points(t), r, areas, "image", "tissue", 99, "csr")
+    r, areas = null_sides(t)
+    d = analysis.randomness(image_points(t), r, areas, "image", "tissue", 99, "csr")
+    return d.withColumns({c: F.round(c, 4 if c == "z" else 6) for c in ("observed", "null_mean", "null_sd", "z", "p")})
+
 
+@BOOK.add(f"""{BOTH}, g AS (SELECT rep, label, avg(e) AS e, count(DISTINCT image) AS n FROM en GROUP BY ALL), st AS (SELECT label, avg(e) AS m, stddev_pop(e) AS sd FROM g WHERE rep >= 0 GROUP BY 1)
+SELECT 'both' AS grp, label, n, round(e, 6) AS observed, round(m, 6) AS null_mean, round(sd, 6) AS null_sd, round(coalesce((e - m) / nullif(sd, 0), 0), 4) AS z FROM g JOIN st USING (label) WHERE rep = -1""")
+def null_groups(t: Tables) -> DataFrame:
+    """Both images as one group."""
+    r, areas = null_sides(t)
+    observed, null = analysis.randomised(image_points(t), r, areas, "image", "tissue", 99, "csr")
+    units = t.spark.range(2).select(F.col("id").alias("image"), F.lit("both").alias("grp"))
+    d = analysis.group_null(observed, null, units, ["grp", "label"], "image", "enrichment")
+    return d.withColumns({c: F.round(c, 4 if c == "z" else 6) for c in ("observed", "null_mean", "null_sd", "z")})
 
-BESIDE = " ".join(f"LEFT JOIN cell c{i} ON c{i}.image = c.image AND c{i}.label = c.label AND c{i}.x = c.x + {dx} AND c{i}.y = c.y + {dy}" for i, (dx, dy) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))))
 
+@BOOK.add(f"""WITH {NULLS}, sm AS (SELECT image, min(fraction) AS smallest FROM fr WHERE fraction > 0 GROUP BY 1), nn AS (SELECT image, least(50000, (SELECT area FROM size), greatest(2000, floor(2000 / smallest)))::BIGINT AS n, smallest FROM sm), {DRAWN.format(reps=1, seed='check', more='')}
+SELECT nn.image, n AS n_points, round(smallest, 9) AS smallest, round((SELECT max(abs(e - 1)) FROM en WHERE en.image = nn.image), 6) AS worst FROM nn""")
+def null_control(t: Tables) -> DataFrame:
+    r, areas = null_sides(t)
+    return analysis.self_check(r, areas, "image", "tissue", "check").withColumns({"smallest": F.round("smallest", 9), "worst": F.round("worst", 6)})
 
-@BOOK.add(f"WITH {RUNS} SELECT c.image, c.label, c.x, c.y FROM cell c {BESIDE} WHERE c0.x IS NULL OR c1.x IS NULL OR c2.x IS NULL OR c3.x IS NULL")
+
+#: The shifted copies of a mask's cells say in one grouping how many side neighbours each has.
+SHIFTED = " UNION ALL ".join(f"SELECT image, label, x + {dx}, y + {dy}, 0, 1 FROM cell" for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+
+
+@BOOK.add(f"WITH {RUNS}, every AS (SELECT image, label, x, y, 1 AS own, 0 AS beside FROM cell UNION ALL {SHIFTED}) SELECT image, label, x, y FROM every GROUP BY image, label, x, y HAVING sum(own) = 1 AND sum(beside) < 4")
 def boundary_pixels(t: Tables) -> DataFrame:
     r = spatial.run_union(label_runs(t), ["image", "label"])
     return labels.boundary_pixels(r.select("image", "label", F.explode(F.sequence("x0", "x1")).alias("x"), "y"), ["image", "label"])
 
 
+@BOOK.add(f"WITH {B_SQL}, {OV} SELECT id, id IN (SELECT a_id FROM ov WHERE b_id % 3 = 0) AS reviewed FROM bx WHERE id % 3 > 0")
+def candidate_ground(t: Tables) -> DataFrame:
+    """Candidates that may be confirmed, and those on reviewed ground, with the name of their frame."""
+    b = boxes(t)
+    free, reviewed = spatial.partition_candidates(b.where("id % 3 > 0"), b.where("id % 3 = 0"))
+    return free.select("id", F.lit(False).alias("reviewed")).unionByName(reviewed.select("id", F.lit(True).alias("reviewed")))
+
+
 @BOOK.add("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x for x in embedding::DOUBLE[]])) AS n FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0)
 SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(q.v, e.v) / (q.n * e.n), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, e.v) / (q.n * e.n), 9) DESC, e.vec_id) AS rank FROM q JOIN e ON q.vec_id <> e.vec_id QUALIFY rank <= 5""")
 def cosine_topk(t: Tables) -> DataFrame:
@@ -238,7 +283,7 @@ SELECT point_id, near_id, round(CASE WHEN point_id % 2 = 0 THEN -distance ELSE d
 def signed_distance(t: Tables) -> DataFrame:
     """The boundary is the points of one kind, the points are all others."""
     p = points(t)
-    d = spatial.signed_nearest(p.where("event_type <> 'error'"), p.where("event_type = 'error'"), p.where("point_id % 2 = 0"), 16.0)
+    d = spatial.signed_nearest(p.where("event_type <> 'error'"), p.where("event_type = 'error'"), p.where("point_id % 2 = 0"))
     return d.withColumn("distance", F.round("distance", 9) + F.lit(0.0))
 
 

@@ -64,7 +64,7 @@ def test_recall(spark, scale):
     """All queries against brute force: vectors without any structure, so three of four cells must be searched."""
     d = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = d.where("id % 20 = 0")
-    own = index.build(d, "id", "v")
+    own = index.build(d, "id", "v", 30)
     truth = index.search(own, asked, "id", "v", 10)
     v = [list(map(float, r.v)) for r in d.orderBy("id").collect()]
     assert {q: [i for i, _ in x] for q, x in found(truth).items()} == {q: [i for i, _ in x] for q, x in brute(v, range(0, len(v), 20), 10).items()}

@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lamella.functions import numbers, text
-from lamella.operators import analysis, catalog, facets, labels, library, order, rules, spatial, splits, stats, tiles, vectors
+from lamella.operators import analysis, catalog, facets, labels, levels, library, order, rules, spatial, splits, stats, tiles, vectors
 from lamella.sources import readers, writers
 from lamella.streaming import ingest
 
@@ -143,15 +143,15 @@ def test_greedy(spark):
         if all(min(b[3], k[3]) <= max(b[1], k[1]) or min(b[4], k[4]) <= max(b[2], k[2]) for k in kept):
             kept.append(b)
     d = spark.createDataFrame(boxes, "id long, x0 long, y0 long, x1 long, y1 long, s int")
-    assert sorted(r.id for r in spatial.greedy(d, "s", 16.0).collect()) == sorted(k[0] for k in kept)
+    assert sorted(r.id for r in spatial.greedy(d, "s").collect()) == sorted(k[0] for k in kept)
 
 
 def test_nearest_far(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 5.0)], "point_id long, x double, y double")
     b = spark.createDataFrame([(7, 3.0, 4.0), (8, -1.0, 900.0)], "point_id long, x double, y double")
-    got = {r.point_id: (r.near_id, r.distance) for r in spatial.nearest(a, b, 1.0).collect()}
+    got = {r.point_id: (r.near_id, r.distance) for r in spatial.nearest(a, b).collect()}
     assert got[1] == (7, 5.0) and got[2][0] == 7
-    assert spatial.nearest(a, b.limit(0), 1.0).count() == 0
+    assert spatial.nearest(a, b.limit(0)).count() == 0
 
 
 def test_runs(spark):
@@ -357,13 +357,13 @@ def test_components_of_long_shapes(spark):
 def test_greedy_of_a_long_chain(spark):
     """Boxes that each overlap the next, with falling scores: every other one is chosen, however long the chain."""
     d = spark.createDataFrame([(i, 10 * i, 0, 10 * i + 15, 5, 1000.0 - i) for i in range(140)], "id long, x0 long, y0 long, x1 long, y1 long, s double")
-    assert sorted(r.id for r in spatial.greedy(d, "s", 64.0).collect()) == list(range(0, 140, 2))
+    assert sorted(r.id for r in spatial.greedy(d, "s").collect()) == list(range(0, 140, 2))
 
 
 def test_long_chains(spark):
     """Rounds go on to the end: 200 boxes in a row, each over the next, with falling scores, and a chain of 60 matches."""
     boxes = spark.createDataFrame([(i, 6.0 * i, 0.0, 6.0 * i + 10, 5.0, 1000.0 - i) for i in range(200)], "id long, x0 double, y0 double, x1 double, y1 double, score double")
-    assert sorted(r.id for r in spatial.greedy(boxes, "score", 16.0).collect()) == list(range(0, 200, 2))
+    assert sorted(r.id for r in spatial.greedy(boxes, "score").collect()) == list(range(0, 200, 2))
     steps = [(1, i, i, 0.49 - i / 1000) for i in range(60)] + [(1, i, i + 1, 0.4895 - i / 1000) for i in range(60)]
     pairs = spark.createDataFrame(steps, "k int, p int, g int, iou double")
     got = {(r.p, r.g) for r in labels.mutual_best(pairs, ["k"], 0.1).collect()}
@@ -379,12 +379,12 @@ def test_long_chains(spark):
 def test_union_area(spark):
     rng = random.Random(4)
     rows = [(k, x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9)) for k in range(12) for x, y in [(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(1, 9))]]
-    got = {r.k: r.area for r in spatial.union_area(spark.createDataFrame(rows, "k int, x0 int, y0 int, x1 int, y1 int"), "k").collect()}
+    got = {r.k: r.area for r in levels.union_area(spark.createDataFrame(rows, "k int, x0 int, y0 int, x1 int, y1 int"), "k").collect()}
     assert got == {k: len({(x, y) for r in rows if r[0] == k for x in range(r[1], r[3]) for y in range(r[2], r[4])}) for k in {r[0] for r in rows}}
     box = lambda *r: spark.createDataFrame(list(r), "id int, x0 double, y0 double, x1 double, y1 double")
     halves = box((1, 0.0, 0.0, 4.0, 10.0), (2, 6.0, 0.0, 10.0, 10.0), (3, 0.0, 0.0, 4.0, 5.0))
-    assert [tuple(r) for r in spatial.covered(box((9, 0.0, 0.0, 10.0, 10.0)), halves, 4.0).collect()] == [(9, "delete")]
-    assert [tuple(r) for r in spatial.covered(box((9, 0.0, 0.0, 10.0, 10.0)), halves.where("id <> 2"), 4.0).collect()] == [(9, "trim")]
+    assert [tuple(r) for r in spatial.covered(box((9, 0.0, 0.0, 10.0, 10.0)), halves).collect()] == [(9, "delete")]
+    assert [tuple(r) for r in spatial.covered(box((9, 0.0, 0.0, 10.0, 10.0)), halves.where("id <> 2")).collect()] == [(9, "trim")]
 
 
 def test_compartments_inside_tissue(spark):
@@ -399,7 +399,7 @@ def test_far_neighbours(spark):
     schema = "point_id int, image string, x double, y double"
     a = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "b", 0.0, 0.0), (3, "c", 5.0, 5.0)], schema)
     b = spark.createDataFrame([(7, "a", 3e6, 4e6), (8, "b", 1.0, 0.0), (9, "b", 0.0, 2.0)], schema)
-    got = {r.point_id: (r.near_id, r.distance) for r in spatial.nearest(a, b, 1.0, within=("image",)).collect()}
+    got = {r.point_id: (r.near_id, r.distance) for r in spatial.nearest(a, b, within=("image",)).collect()}
     assert got == {1: (7, 5e6), 2: (8, 1.0)}
 
 
