@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.functions.numbers import finite, ratio
 from lamella.operators.rounds import persist
@@ -204,11 +205,40 @@ def circular_columns(columns: list[str], used: list[str]) -> list[str]:
     return [c for c in columns if c in made]
 
 
+def _bad_numbers(v: Column, kind: T.DataType, path: Column) -> Column | None:
+    """An array of (path, v) of the numbers below a value that are NaN or infinite; None if there can be none."""
+    none = F.array().cast("array<struct<path: string, v: double>>")
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        x = v.cast("double")
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.array(F.struct(path.alias("path"), x.alias("v")))).otherwise(none)
+    if isinstance(kind, T.StructType):
+        inner = [_bad_numbers(v[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields if not f.name.startswith("_")]
+        inner = [x for x in inner if x is not None]
+        return F.coalesce(F.concat(*inner), none) if inner else None
+    if isinstance(kind, T.ArrayType):
+        if _bad_numbers(F.lit(None), kind.elementType, path) is None:
+            return None
+        each = F.transform(v, lambda x, i: _bad_numbers(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(each), none)
+    if isinstance(kind, T.MapType):
+        if _bad_numbers(F.lit(None), kind.valueType, path) is None:
+            return None
+        named = F.filter(F.map_entries(v), lambda e: ~e["key"].cast("string").startswith("_"))
+        each = F.transform(named, lambda e: _bad_numbers(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string"))))
+        return F.coalesce(F.flatten(each), none)
+    return None
+
+
 def non_finite(df: DataFrame, key: str) -> DataFrame:
-    """key, path: the numbers of a wide result that are NaN or infinite."""
-    names = [c for c, t in df.dtypes if t in ("double", "float")]
-    d = df.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("path"), F.col(n).cast("double").alias("v")) for n in names])))
-    return d.where(F.isnan("v") | (F.abs("v") == float("inf"))).select(key, "path")
+    """key, path, value: the numbers of a result that are NaN or infinite, in its structs, lists and maps too.
+
+    Paths read a.b[0].c; names that begin with _ are passed over.
+    """
+    own = [_bad_numbers(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in df.schema.fields if f.name != key and not f.name.startswith("_")]
+    own = [x for x in own if x is not None]
+    if not own:
+        return df.select(key, F.lit("").alias("path"), F.lit(0.0).alias("value")).limit(0)
+    return df.select(key, F.explode(F.concat(*own)).alias("x")).select(key, "x.path", F.col("x.v").alias("value"))
 
 
 def tally(df: DataFrame, value: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.functions.text import blank_to_null, normalize_text, separators_to_blanks, unique_ignoring_case
-from lamella.operators.rules import bounded, first_match, substring_hits, term_hits
+from lamella.functions.text import blank_to_null, normalize_text, unique_ignoring_case
+from lamella.operators import terms
+from lamella.operators.rules import first_match, substring_hits, term_hits
 
 # Fixed values of the catalogue: modality terms, evidence terms, exclusion patterns, display names, reference terms.
 MODALITY_TERMS = [
@@ -72,16 +73,15 @@ def classify(df: DataFrame, modality_terms: list[str] = MODALITY_TERMS, evidence
     c = F.col
     text = normalize_text(c("title"), c("modality"), c("tissue_or_sample"), c("evidence_text"), F.array_join("file_formats", " "), c("raw_metadata"))
     df = df.withColumn("__text", text).withColumn("__about", normalize_text(c("modality"), c("evidence_text"), c("title")))
-    df = df.withColumn("__hits", term_hits(c("__about"), modality_terms)).withColumn("__evidence", substring_hits(c("__text"), evidence_terms))
+    df = df.withColumn("__told", terms.found(c("__about"), {"hits": terms.words(modality_terms)}))
+    df = df.withColumn("__said", terms.found(c("__text"), {"evidence": terms.parts(evidence_terms), "reference": terms.words(reference_terms), "context": terms.parts(SEM_CONTEXT)}))
+    df = df.withColumn("__hits", c("__told.hits")).withColumn("__evidence", c("__said.evidence"))
     df = df.withColumn("__excluded", first_match(c("__text"), exclusions)).withColumn("__layer", (c("source_name") == "webknossos") & has_em_layer(c("raw_metadata")))
     hit, seen = F.try_element_at("__hits", F.lit(1)), F.try_element_at("__evidence", F.lit(1))
     some_hit, some_seen = F.size("__hits") > 0, F.size("__evidence") > 0
-    other = separators_to_blanks(c("__text"))
-    referenced = some_hit
-    for t in reference_terms:
-        referenced = referenced | c("__text").rlike(bounded(t)) | other.rlike(bounded(t))
+    referenced = some_hit | (F.size("__said.reference") > 0)
     shown = display_modality(c("modality"), hit)
-    sem_only = (F.instr("__text", "sem") > 0) & (F.size(substring_hits(c("__text"), SEM_CONTEXT)) == 0)
+    sem_only = (F.instr("__text", "sem") > 0) & (F.size("__said.context") == 0)
     out = (
         F.when(c("__excluded").isNotNull(), verdict("ineligible", 0.95, None, None, c("__excluded"), False))
         .when(c("source_name").startswith("literature_"), verdict("uncertain", 0.5, None, None, "lead: public data links and evidence are still to be read", True))
@@ -94,7 +94,7 @@ def classify(df: DataFrame, modality_terms: list[str] = MODALITY_TERMS, evidence
         .when(sem_only, verdict("uncertain", 0.75, None, None, "SEM without cross-sectional evidence", True))
         .otherwise(verdict("uncertain", 0.35, None, None, "no qualifying modality", True))
     )
-    return df.withColumn("verdict", out).drop("__text", "__about", "__hits", "__evidence", "__excluded", "__layer")
+    return df.withColumn("verdict", out).drop("__text", "__about", "__told", "__said", "__hits", "__evidence", "__excluded", "__layer")
 
 
 def route(status: Column, review: Column) -> Column:

@@ -272,6 +272,16 @@ def source_models(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", model.alias("model"))
 
 
+@BOOK.add("""SELECT event_id, 'r.list[1].x' AS path, 'Infinity' AS value FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'r.named.' || event_type, 'NaN' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'plain', '-Infinity' FROM events WHERE event_id % 7 = 0""")
+def numbers_in_results(t: Tables) -> DataFrame:
+    """Results with structs, lists and maps, some of whose numbers no JSON can hold."""
+    when = lambda n, bad: F.when(F.col("event_id") % n == 0, F.lit(float(bad))).otherwise(F.col("value"))
+    listed = F.array(F.struct(F.col("value").alias("x")), F.struct(when(3, "inf").alias("x")))
+    r = F.struct(listed.alias("list"), F.create_map("event_type", when(5, "nan"), F.lit("_hidden"), F.lit(float("nan"))).alias("named"), F.lit(float("nan")).alias("_skipped"), F.col("event_type").alias("kind"))
+    d = t.events.select("event_id", r.alias("r"), when(7, "-inf").alias("plain"))
+    return analysis.non_finite(d, "event_id").withColumn("value", F.col("value").cast("string"))
+
+
 @BOOK.add("SELECT event_id, CASE WHEN value > 5 THEN event_type END AS first, 2 + CASE WHEN value > 5 THEN 1 ELSE 0 END AS n FROM events")
 def named_at_depth(t: Tables) -> DataFrame:
     """Each event as nested JSON, ten levels deep, with the names spelt in several ways."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators import analysis, library
 from lamella.plans.binding import Book, Tables
-from lamella.streaming import ingest
+from lamella.streaming import ingest, ledger
 
 BOOK = Book()
 
@@ -121,4 +121,22 @@ def stream_versions(t: Tables) -> DataFrame:
     return ingest.kept_versions(t.spark, f"{where}/table", stream.schema, ["user_id"], ["event_id"])
 
 
+@BOOK.add("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def stream_first(t: Tables) -> DataFrame:
+    """The first event of each user and kind, however late a repeat comes."""
+    where = _folder(t)
+    ledger.keep_first(_stream(t).select("user_id", "event_type", "event_id"), f"{where}/table", f"{where}/checkpoint", ["user_id", "event_type"], ["event_id"])
+    return ledger.first_records(t.spark, f"{where}/table", "user_id long, event_type string, event_id long")
+
+
+@BOOK.add("SELECT event_type AS part, event_id, value FROM events")
+def part_table(t: Tables) -> DataFrame:
+    """Events by kind as parts of a table: offered twice, parsed once."""
+    where = _folder(t)
+    d = t.events.select(F.col("event_type").alias("part"), "event_id", "value")
+    for offered in (d.where("part < 'm'"), d):
+        ledger.add_parts(t.spark, where, offered, lambda new: new)
+    return ledger.read_parts(t.spark, where, "part string, event_id long, value double")
+
+
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

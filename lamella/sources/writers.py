@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def json_lines(df: DataFrame, path: str) -> int:
@@ -37,6 +38,29 @@ def good_and_bad(df: DataFrame, error: Column, good: str, bad: str) -> dict[str,
     return {k: seen.get[k] for k in ("good", "bad")}
 
 
+def by_outcome(df: DataFrame, error: Column, path: str, source: str | None = None) -> DataFrame:
+    """One write of good and bad rows, a folder each (outcome=good, outcome=bad), with the column `error`.
+
+    Returns source, error, n: the good rows as one row without error, counted on the way, and the bad ones by source and
+    error, read from their own folder.
+    """
+    seen = Observation()
+    d = df.withColumn("error", error).observe(seen, F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+    d.withColumn("outcome", F.when(F.col("error").isNull(), "good").otherwise("bad")).write.partitionBy("outcome").parquet(path)
+    spark, counts = df.sparkSession, seen.get
+    good = spark.createDataFrame([(None, None, counts["good"])], "source string, error string, n long")
+    if not counts["bad"]:
+        return good
+    name = F.col(source).cast("string") if source else F.lit(None).cast("string")
+    return good.unionByName(outcome(spark, path, "bad", d.schema).groupBy(name.alias("source"), "error").agg(F.count("*").alias("n")))
+
+
+def outcome(spark: SparkSession, path: str, which: str, schema: T.StructType) -> DataFrame:
+    """The good or the bad rows of by_outcome(); none where there were none."""
+    d = spark.read.schema(T.StructType([*schema.fields, T.StructField("outcome", T.StringType())])).parquet(path)
+    return d.where(F.col("outcome") == which).drop("outcome")
+
+
 def bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """CSV tables with headers, also where they have no rows, and a manifest of names, columns and rows."""
     spark = next(iter(tables.values())).sparkSession
