@@ -88,6 +88,8 @@ def unpack_lzw(data: bytes, most: int) -> bytes:
             continue
         if code == END or size >= most:
             break
+        if code > len(table) or (code == len(table) and not last):
+            raise ValueError(f"LZW code {code} where the table has {len(table)}")
         entry = table[code] if code < len(table) else last + last[:1]
         if last:
             if len(table) < 1 << 12:

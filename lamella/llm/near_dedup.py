@@ -287,7 +287,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document has the least id of its class, once each."""
+    """The rows of docs whose document has the least id of its class, once each; of rows with that id and text the one whose other
+    columns come first as JSON."""
     kept = classes(docs).where("id = class_id").select("id", "t")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), text_key(F.col("text")).alias("t"), F.struct(*docs.columns).alias("row"))
-    return keyed.join(kept, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]).select("row.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.to_json(F.struct(*others)) if others else F.lit("")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), text_key(F.col("text")).alias("t"), tie.alias("tie"), F.struct(*docs.columns).alias("row"))
+    first = keyed.groupBy("id", "t").agg(F.min("tie").alias("tie")).join(kept, ["id", "t"], "left_semi")
+    return keyed.join(first, ["id", "t", "tie"], "left_semi").dropDuplicates(["id", "t"]).select("row.*")

@@ -74,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
                 at = to
 
     tokens = materialise(packed_tokens(docs, tokenizer, end_id), "packed-tokens")
-    ordered = tokens.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "tie")
+    ordered = tokens.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     writer = ordered.select("doc_id", "wide", "packed").mapInArrow(run, SCHEMA).write
     for k, v in FORMAT.items():
         writer = writer.option(k, v)
