@@ -79,6 +79,35 @@ def suffix_of(name: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"\.((?:[a-z0-9]{1,8}\.)?(?:gz|bz2|zip|zst)|[a-z0-9]{1,8})$", 1), F.lit(""))
 
 
+#: Suffixes of deposited files that are kept whole.
+WHOLE_SUFFIXES = ["ome.tiff", "ome.tif", "tiff", "tif", "zip"]
+
+
+def deposit_formats(names: Column, kinds: Column) -> Column:
+    """The formats of deposited files: their suffixes in upper case and their media types, sorted, each once."""
+    whole = lambda n: F.regexp_extract(F.lower(n), rf"\.({'|'.join(x.replace('.', chr(92) + '.') for x in WHOLE_SUFFIXES)})$", 1)
+    plain = lambda n: F.regexp_extract(F.lower(n), r"[^/.](\.[^./]+)$", 1)
+    suffix = lambda n: F.coalesce(F.nullif(whole(n), F.lit("")), F.nullif(F.ltrim(F.translate(plain(n), ".", "")), F.lit("")))
+    some = F.concat(F.transform(names, lambda n: F.upper(suffix(n))), F.transform(kinds, lambda k: F.nullif(k, F.lit(""))))
+    return F.array_sort(F.array_distinct(F.array_compact(some)))
+
+
+def size_summary(files: Column, size: Column) -> Column:
+    """How many files, and how many bytes in total, as far as they are known and not 0."""
+    n, total = F.when(files > 0, F.concat(files.cast("string"), F.lit(" files"))), F.when(size > 0, F.concat(size.cast("string"), F.lit(" bytes total")))
+    return F.nullif(F.concat_ws("; ", n, total), F.lit(""))
+
+
+def licence_text(licence: Column, rights: Column, access: Column) -> Column:
+    """A record's licence (a map of title, id, url) with its link, else the first of its rights (maps of rights, rights_identifier, rights_uri) with a name, else its access right."""
+    some = lambda *v: F.coalesce(*[F.nullif(x, F.lit("")) for x in v])
+    linked = lambda name, url: F.when(name.isNotNull() & url.isNotNull(), F.concat(name, F.lit(" ("), url, F.lit(")")))
+    name, url = some(licence["title"], licence["id"]), some(licence["url"])
+    named = lambda r: some(r["rights"], r["rights_identifier"])
+    told = F.transform(F.filter(rights, lambda r: named(r).isNotNull()), lambda r: F.coalesce(linked(named(r), some(r["rights_uri"])), named(r)))
+    return F.coalesce(linked(name, url), name, url, F.get(told, 0), some(access))
+
+
 def formats_of(names: Column) -> Column:
     """The suffixes of a list of names, sorted, each once."""
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(names, suffix_of))))

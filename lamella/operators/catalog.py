@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lamella.functions.text import blank_to_null, normalize_text, unique_ignoring_case
 from lamella.operators import terms
 from lamella.operators.rules import first_match, substring_hits, term_hits
+from lamella.operators.spatial import label_components
 
 # Fixed values of the catalogue: modality terms, evidence terms, exclusion patterns, display names, reference terms.
 MODALITY_TERMS = [
@@ -148,8 +149,55 @@ def data_links(*lists: Column, most: int = 25) -> Column:
     return F.slice(F.filter(every, lambda u: data_link(u, F.lit(""))), 1, most)
 
 
-def public_project(df: DataFrame) -> Column:
-    return F.coalesce(F.col("Public").cast("boolean"), F.lit(True)) & ~F.coalesce(F.lower("Status").isin("private", "embargoed", "draft"), F.lit(False))
+def public_project(public: Column, status: Column) -> Column:
+    """Not said to be private: neither `public` (false, no, 0) nor a status other than live or public."""
+    closed = F.lower(F.trim(public.cast("string"))).isin("false", "no", "0")
+    said = F.lower(F.trim(status))
+    return ~F.coalesce(closed, F.lit(False)) & (F.coalesce(said, F.lit("")).isin("", "live", "public"))
+
+
+#: Electron imaging by pattern in a project's text, all that match in this order.
+PROJECT_METHODS = [
+    ("ATUM-SEM", r"\bATUM[-_ ]?SEM\b|automatic tape.*\bSEM\b"), ("FIB-SEM", r"\bFIB[-_ ]?SEM\b|focused ion beam"), ("SBF-SEM", r"\bSBF[-_ ]?SEM\b|\bSBEM\b|serial block[- ]face"), ("AT-SEM", r"\bAT[-_ ]?SEM\b|array tomography.*\bSEM\b"),
+    ("ssTEM", r"\bss[-_ ]?TEM\b|serial section transmission electron|serial-section TEM"), ("TEM", r"\bTEM\b|transmission electron microscopy"), ("SEM", r"\bSEM\b|scanning electron microscopy"), ("EM", r"\bEM\b|electron microscopy"),
+]
+
+
+def project_methods(text: Column) -> Column:
+    """The methods that a project's text tells, joined by ' ; '; plain EM only where nothing else is told. Null: it doesn't look like electron microscopy."""
+    told = F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(n)) for n, p in PROJECT_METHODS]))
+    return F.nullif(F.array_join(F.when(F.size(told) > 1, F.array_remove(told, "EM")).otherwise(told), " ; "), F.lit(""))
+
+
+#: Patterns that tell electron microscopy by themselves, and words beside which TEM and SEM do.
+STRONG_PATTERNS = [
+    r"\belectron microscopy\b", r"\belectron micrographs?\b", r"\belectron microscope\b", r"\btransmission electron\b", r"\bscanning electron\b", r"\bvolume electron microscopy\b", r"\bvolume em\b", r"\bfocused ion beam\b",
+    r"\bfib[- ]?sem\b", r"\bsbf[- ]?sem\b", r"\bsbem\b", r"\bserial block[- ]face\b", r"\bserial section(?:ing)?\b", r"\barray tomography\b", r"\bultrastructure\b",
+]
+TEM_BESIDE = ["ultrastructure", "mitochond", "organelle", "intracellular", "cellular", "cell", "tissue", "membrane", "neuron", "axon", "synapse"]
+SEM_BESIDE = ["fib", "sbf", "sbem", "serial block", "volume", "ultrastructure", "intracellular", "cellular", "tissue"]
+
+
+def harvested_relevance(text: Column) -> Column:
+    """Whether a harvested record's text (normalised) tells electron microscopy of cells."""
+    beside = lambda words: text.rlike("|".join(words))
+    told = text.rlike("|".join(STRONG_PATTERNS)) | (text.rlike(r"\btem\b") & beside(TEM_BESIDE)) | (text.rlike(r"\bsem\b") & beside(SEM_BESIDE)) | (text.rlike(r"\bvem\b") & beside(TEM_BESIDE + SEM_BESIDE))
+    return F.coalesce(told, F.lit(False))
+
+
+def duplicate_keys(dataset_doi: Column, landing_url: Column, source: Column, record: Column) -> Column:
+    """The keys by which two records are the same: DOI, link, and the source's own id, each with its kind."""
+    key = lambda kind, v: F.when(v != "", F.concat(F.lit(f"{kind}:"), F.lower(F.trim(v))))
+    own = F.concat(F.coalesce(source, F.lit("")), F.lit(":"), F.coalesce(record, F.lit("")))
+    return F.array_compact(F.array(key("dataset_doi", dataset_doi), key("landing_url", landing_url), key("source_record", own)))
+
+
+def same_records(df: DataFrame, record: str) -> DataFrame:
+    """record, root: the least record of those that share a key, directly or through others. df: record, and the columns of duplicate_keys()."""
+    keys = duplicate_keys(F.col("dataset_doi"), F.col("landing_url"), F.col("source_name"), F.col("source_record_id"))
+    k = df.select(F.col(record).alias("a"), F.explode(keys).alias("k")).distinct()
+    heads = k.groupBy("k").agg(F.min("a").alias("b"))
+    return label_components(k.join(heads, "k").select("a", "b")).select(F.col("node").alias(record), "root")
 
 
 def first_records(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

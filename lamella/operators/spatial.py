@@ -101,12 +101,18 @@ def distance_bands(distances: DataFrame, edges: list[float], value: str = "dista
     return d.groupBy("band").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("band", "n", (F.col("n") / F.col("total")).alias("share"), "median")
 
 
-def greedy(boxes: DataFrame, score: str, most_overlap: float = 0.0) -> DataFrame:
+def greedy(boxes: DataFrame, score: str, most_overlap: float = 0.0, floor: float | None = None, candidates: int | None = None, most: int | None = None) -> DataFrame:
     """Boxes of a greedy choice by falling score without overlaps: the same set as going through them one by one.
 
+    floor: the least score; candidates: only so many of the best are looked at; most: only so many of the best chosen
+    ones come out. All are off unless asked for.
+
     Conflicts are found once. In each round boxes that beat all their open rivals are chosen and their rivals go; ties
     are broken by id. Rounds go on until no box is open; the best open box is chosen in each, so they end.
     """
+    best = lambda d, n: d.join(d.where("id is not null").orderBy(F.desc(score), "id").limit(n).select("id"), "id", "left_semi") if n else d
+    boxes = boxes if floor is None else boxes.where(F.col(score) >= floor)
+    boxes = best(boxes, candidates)
     pairs = overlaps(boxes, boxes).where("a_id <> b_id").where(F.col("shared") / F.least("area_a", "area_b") > most_overlap)
     s = boxes.select("id", F.col(score).alias("s"))
     edges = pairs.join(s.withColumnsRenamed({"id": "a_id", "s": "sa"}), "a_id").join(s.withColumnsRenamed({"id": "b_id", "s": "sb"}), "b_id")
@@ -124,7 +130,7 @@ def greedy(boxes: DataFrame, score: str, most_overlap: float = 0.0) -> DataFrame
         open_ = persist(open_.join(live.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(live.withColumnRenamed("id", "b_id"), "b_id", "left_semi"))
         done += 1
         chosen = chosen if done % 20 else persist(chosen)
-    return boxes.join(chosen, "id", "left_semi")
+    return best(boxes.join(chosen, "id", "left_semi"), most)
 
 
 def label_components(links: DataFrame) -> DataFrame:

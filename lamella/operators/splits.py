@@ -172,8 +172,17 @@ def planes(df: DataFrame, depth: str, spacing: Column, most: int | None = None)
     return df.where(F.col(depth) > 0).withColumn("z", F.explode(at))
 
 
-def window_summary(labels: DataFrame, window: list[str]) -> DataFrame:
-    """Per window and label value its area and bounding box."""
+def window_summary(labels: DataFrame, window: list[str], names: dict[int, str] | None = None, wanted: list[int] | None = None) -> DataFrame:
+    """Per window and label value its area and bounding box; with `names` (for values without one value_<n>) also the name and whether
+    the value is in scope: one of `wanted`, or any where none are given. The value 0 is background and left out then."""
+    d = window_boxes(labels, window)
+    if names is None:
+        return d
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("value").cast("int")], F.concat(F.lit("value_"), F.col("value").cast("string")))
+    return d.where("value <> 0").withColumns({"name": name, "in_scope": F.lit(True) if wanted is None else F.col("value").isin(*wanted)})
+
+
+def window_boxes(labels: DataFrame, window: list[str]) -> DataFrame:
     return labels.groupBy(*window, "value").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 
 

@@ -210,8 +210,9 @@ def blend(preds: DataFrame, tile: int) -> DataFrame:
     return d.groupBy("image", "x", "y").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
 
 
-def resolve_paths(records: DataFrame, files: DataFrame, key: str, candidates: Column) -> DataFrame:
-    """The first of a record's candidate paths that the listing has; null without one."""
+def resolve_paths(records: DataFrame, files: DataFrame, key: str, candidates: Column, predicate: Column | None = None) -> DataFrame:
+    """The first of a record's candidate paths that the listing has; null without one. predicate: only records that it holds for are looked up."""
+    records = records if predicate is None else records.where(predicate)
     tried = records.select(key, F.posexplode(candidates).alias("i", "path")).join(files.select("path"), "path", "left_semi")
     return records.join(tried.groupBy(key).agg(F.min_by("path", "i").alias("path")), key, "left")
 

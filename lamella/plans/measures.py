@@ -260,6 +260,34 @@ def told_samples(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", catalog.methods_of(method, text).alias("methods"), catalog.organism_of(organism, text).alias("organism"), catalog.sample_of(sample, text).alias("sample"))
 
 
+@BOOK.add("""WITH RECURSIVE r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '10.1/' || o_custkey ELSE '' END AS doi, CASE WHEN o_orderkey % 5 = 0 THEN 'https://x/' || (o_custkey % 40) END AS url, o_orderkey AS own FROM orders WHERE o_custkey % 4 = 0),
+k AS (SELECT id, 'd' || lower(trim(doi)) AS k FROM r WHERE doi <> '' UNION ALL SELECT id, 'u' || lower(trim(url)) FROM r WHERE url IS NOT NULL UNION ALL SELECT id, 's' || own FROM r), h AS (SELECT k, min(id) AS head FROM k GROUP BY 1), l AS (SELECT DISTINCT k.id AS a, head AS b FROM k JOIN h USING (k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a) SELECT node AS id, min(root) AS root FROM c GROUP BY 1""")
+def candidate_clusters(t: Tables) -> DataFrame:
+    """Records that share a DOI, a link or an id, directly or through others."""
+    k = lambda n: F.col("o_orderkey") % n == 0
+    r = t.orders.where("o_custkey % 4 = 0").select(
+        F.col("o_orderkey").alias("id"), F.when(k(3), F.concat(F.lit("10.1/"), "o_custkey")).otherwise("").alias("dataset_doi"), F.when(k(5), F.concat(F.lit("HTTPS://X/"), F.col("o_custkey") % 40, F.lit(" "))).alias("landing_url"),
+        F.lit("s").alias("source_name"), F.col("o_orderkey").cast("string").alias("source_record_id"),
+    )
+    return catalog.same_records(r, "id")
+
+
+@BOOK.add("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Given' ELSE CASE p_partkey % 7 WHEN 0 THEN 'SBF-SEM' WHEN 1 THEN 'cellular EM patch dataset' WHEN 2 THEN 'vEM' WHEN 3 THEN 'SSTEM' WHEN 4 THEN 'volume em' WHEN 5 THEN 'multibeam SEM' ELSE 'electron tomography' END END AS shown FROM part""")
+def shown_modalities(t: Tables) -> DataFrame:
+    """Given names, aliases, and terms without one."""
+    hit = F.get(F.array(*map(F.lit, ["sbfsem", "cem500k", "vem", "sstem", "volume em", "multi-beam sem", "electron tomography"])), F.col("p_partkey") % 7)
+    given = F.when(F.col("p_partkey") % 4 == 0, "Given").when(F.col("p_partkey") % 3 == 0, " ")
+    return t.part.select("p_partkey", catalog.display_modality(given, hit).alias("shown"))
+
+
+@BOOK.add("""SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'SBF-SEM ; SEM' WHEN 'SMALL' THEN 'EM' WHEN 'LARGE' THEN 'FIB-SEM ; ssTEM ; SEM' WHEN 'ECONOMY' THEN 'TEM' END AS methods, p_type IN ('PROMO', 'SMALL', 'LARGE', 'ECONOMY') AS relevant FROM part""")
+def project_looks(t: Tables) -> DataFrame:
+    """What texts of projects tell, and whether harvested records with them would be kept."""
+    text = F.coalesce(F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])[F.col("p_type")], F.lit(""))
+    return t.part.select("p_partkey", catalog.project_methods(text).alias("methods"), catalog.harvested_relevance(F.lower(text)).alias("relevant"))
+
+
 @BOOK.add("""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS org, o_orderkey % 5 AS f, o_orderkey % 3 AS st FROM orders), d AS (SELECT *, CASE org WHEN 0 THEN 'm-default' WHEN 1 THEN 'n-default' ELSE 'manual' END AS dflt FROM o)
 SELECT o_orderkey, CASE WHEN f = 0 AND org = 0 THEN 'm-one' WHEN f = 0 AND org = 1 THEN 'n-one' WHEN f = 1 AND org = 0 THEN 'm-two' WHEN f IN (0, 1, 2) AND f = 2 THEN dflt WHEN st IN (0, 1) THEN 'manual' ELSE dflt END AS model FROM d""")
 def source_models(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.functions.text import clean_doi, clean_fragment, evidence_text, formats_of, year_of
+from lamella.streaming.ledger import add_parts, read_parts
 
 CANDIDATE = {
     "source_name": "string", "source_record_id": "string", "title": "string", "landing_url": "string", "publication_doi": "string", "dataset_doi": "string", "modality": "string", "organism": "string",
@@ -84,11 +85,11 @@ DATACITE = "identifier string, titles struct<title:array<string>>, publicationYe
 OAI = "header struct<_status:string,identifier:string,datestamp:string,setSpec:array<string>>, metadata struct<dc:struct<title:array<string>,description:array<string>,identifier:array<string>,type:array<string>,date:array<string>>>"
 
 
-def datacite(spark: SparkSession, path: str) -> DataFrame:
+def datacite(spark: SparkSession, path: str | list[str], by_file: bool = False) -> DataFrame:
     d = xml_records(spark, path, "resource", DATACITE)
     first = lambda c: F.get(c, 0)
-    d = d.select(F.col("identifier").alias("record_id"), first(F.col("titles.title")).alias("title"), year_of(F.col("publicationYear")).alias("year"), F.col("resourceType._resourceTypeGeneral").alias("kind"), F.col("rightsList.rights").alias("rights"), evidence_text(F.array_join("descriptions.description", " "), F.array_join("subjects.subject", " ")).alias("text"))
-    return d.where("record_id is not null").dropDuplicates(["record_id"])
+    d = d.select(F.col("identifier").alias("record_id"), first(F.col("titles.title")).alias("title"), year_of(F.col("publicationYear")).alias("year"), F.col("resourceType._resourceTypeGeneral").alias("kind"), F.col("rightsList.rights").alias("rights"), evidence_text(F.array_join("descriptions.description", " "), F.array_join("subjects.subject", " ")).alias("text"), *([F.col("_metadata.file_path").alias("part")] if by_file else []))
+    return d.where("record_id is not null") if by_file else d.where("record_id is not null").dropDuplicates(["record_id"])
 
 
 def oai(spark: SparkSession, path: str) -> DataFrame:
@@ -170,10 +171,37 @@ def run_results(spark: SparkSession, root: str) -> DataFrame:
     return marks.join(results, "folder").select("folder", "arm", F.explode("splits").alias("split", "metrics"))
 
 
-def extract(spark: SparkSession, root: str, exclude: list[str], links: DataFrame | None = None) -> dict[str, DataFrame]:
+def union_manifests(spark: SparkSession, paths: dict[str, str], form: str = "csv") -> DataFrame:
+    """Manifests of any form that Spark reads, by the name of their pool (column pool), with the union of their columns."""
+    read = lambda p: header_csv(spark, p) if form == "csv" else spark.read.format(form).load(p)
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(p).withColumn("pool", F.lit(name)) for name, p in paths.items()])
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """part: the files below a folder; their content isn't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("part"))
+
+
+def archive_records(spark: SparkSession, files: DataFrame, table: str) -> DataFrame:
+    """The DataCite records of an archive's files (column part, a path), parsed once a file into a part table and read from there;
+    of one id the record of the first file counts."""
+    schema = "record_id string, title string, year int, kind string, rights array<string>, text string, part string"
+
+    def parse(new: DataFrame) -> DataFrame:
+        paths = [r.part for r in new.select("part").distinct().collect()]  # names of files
+        return datacite(spark, paths, True).select(*[c.split()[0] for c in schema.split(", ")])
+
+    add_parts(spark, table, files, parse)
+    d = read_parts(spark, table, schema)
+    one = d.groupBy("record_id").agg(F.min_by(F.struct(*[c for c in d.columns if c != "record_id"]), F.struct("part", "title", "text")).alias("r"))
+    return one.select("record_id", "r.*")
+
+
+def extract(spark: SparkSession, root: str, exclude: list[str], links: DataFrame | None = None, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
     """The directory extract as data sets, assets and long tags: side tables joined, named data sets and orphans left out.
 
     links (dataset_id, source_url, dataset_doi, experiment_doi) come before the extract's own where they have a value.
+    vocabulary (grp, name, instead): tags that are renamed, or dropped where `instead` is null; groups that begin with _ are passed over.
     """
     read = lambda name: header_csv(spark, f"{root}/{name}")
     urls = read("dataset_urls.csv").select("dataset_id", "source_url", "dataset_doi", "experiment_doi")
@@ -187,4 +215,8 @@ def extract(spark: SparkSession, root: str, exclude: list[str], links: DataFrame
     assets = read("asset_meta.csv").join(datasets.select("dataset_id"), "dataset_id", "left_semi").join(nm, "asset_id", "left").join(tiles, "asset_id", "left").join(read("derived/asset_tidy.csv").select("asset_id", "dim"), "asset_id", "left")
     assets = assets.withColumn("accepted_tiles", F.coalesce("accepted_tiles", F.lit(0)))
     tags = read("asset_tag_long.csv").withColumnsRenamed({"group": "grp"}).join(assets.select("asset_id"), "asset_id", "left_semi")
+    if vocabulary is not None:
+        v = vocabulary.where(~F.startswith("grp", F.lit("_"))).select("grp", "name", "instead", F.lit(True).alias("__said"))
+        tags = tags.join(v, ["grp", "name"], "left").where("__said is null or instead is not null")
+        tags = tags.withColumn("name", F.coalesce("instead", "name")).drop("instead", "__said").distinct()
     return {"datasets": datasets, "assets": assets, "tags": tags}
