@@ -2,13 +2,13 @@
 
 The examples are a bounded sample of labelled rows in hash order. Features are all words of the examples, and as extra
 ones the starts and repeats of words that mark toxic rows of a larger, also bounded, training sample. A feature weighs
-(1 + log count) * idf * relevance: inverse document frequencies come from all documents, and relevance is 1 for words that
-tell nothing and grows with the evidence, over the training sample, that a word marks toxic rows.
+(1 + log count) * idf, with inverse document frequencies over all documents: labels choose features and weigh none.
 
 The examples' unit vectors are indexed by feature in blocks of examples, with each block's largest weight; words that
-many examples have are held as dense columns. A query's bound in every block comes from these; blocks are taken in the
-order of their bounds until none can reach the k-th neighbour, so the k nearest are exact. Neighbours vote by cosine,
-and votes are calibrated by the examples' own leave-one-out votes.
+many examples have are held as dense columns. A query's bound in every block comes from these; its best block comes
+first, then the others in the order of their bounds, and the postings of a block are only read for queries whose k-th
+neighbour its bound can reach, so the k nearest are exact. Neighbours vote by cosine, and votes are calibrated by the
+examples' own leave-one-out votes.
 
 Labels are read from rows whose crc32(doc_id as text) mod 3 is not 1 only; language, source, id and labels are no input
 of a score.
@@ -101,24 +101,17 @@ def feature_counts(train: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def relevance(n: Column, toxic: Column, rows_: int, bad: int, boost: float = 8.0, doubt: float = 10.0) -> Column:
-    """1 and more: the logarithm of how much likelier a feature is in toxic rows, less where few of them have it."""
-    odds = F.log((toxic + 0.5) / F.lit(bad + 1.0)) - F.log((n - toxic + 0.5) / F.lit(rows_ - bad + 1.0))
-    return 1 + boost * F.greatest(F.lit(0.0), odds) * F.pow(toxic / (toxic + doubt), 2)
-
-
-def choose_features(counts: DataFrame, words: DataFrame, rows_: int, bad: int, most: int, least: int = 4, lift: float = 3.0) -> list[tuple[str, float]]:
-    """Features and their relevance: all of `words`, and the `most` others that mark toxic rows best (log-likelihood ratio)."""
+def choose_features(counts: DataFrame, words: DataFrame, rows_: int, bad: int, most: int, least: int = 4, lift: float = 3.0) -> list[str]:
+    """Features: all of `words`, and the `most` others that mark toxic rows best (log-likelihood ratio)."""
     if not bad or bad == rows_:
         return []
     p = bad / rows_
     part = lambda k, n, q: F.when(k > 0, k * F.log(k / (n * F.lit(q)))).otherwise(0.0)
     score = part(F.col("toxic"), F.col("n"), p) + part(F.col("n") - F.col("toxic"), F.col("n"), 1 - p)
-    named = counts.select("feature", "n", "toxic", relevance(F.col("n"), F.col("toxic"), rows_, bad).alias("relevance"))
-    marked = named.where((F.col("toxic") >= least) & (F.col("toxic") >= lift * p * F.col("n")) & (F.col("toxic") * 2 >= F.col("n")))
-    marked = marked.withColumn("score", score).orderBy(F.desc("score"), "feature").limit(most).select("feature", "relevance")
-    found = named.join(words, "feature").select("feature", "relevance").unionByName(marked).distinct().collect()  # of bounded size: the examples' words
-    return sorted(map(tuple, found))
+    marked = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= lift * p * F.col("n")) & (F.col("toxic") * 2 >= F.col("n")))
+    marked = marked.withColumn("score", score).orderBy(F.desc("score"), "feature").limit(most).select("feature")
+    found = counts.join(words, "feature").select("feature").unionByName(marked).distinct().collect()  # of bounded size: the examples' words
+    return sorted(r["feature"] for r in found)
 
 
 def example_words(examples: DataFrame) -> DataFrame:
@@ -203,9 +196,9 @@ def document_frequencies(read: DataFrame, features: int) -> tuple[np.ndarray, in
 class Index:
     """Unit vectors of the examples by feature, in blocks of BLOCK examples, with each block's largest weight."""
 
-    def __init__(self, features: Sequence[str], factor: np.ndarray, df: np.ndarray, n: int) -> None:
+    def __init__(self, features: Sequence[str], df: np.ndarray, n: int) -> None:
         self.features = features
-        self.idf = (np.log((1 + n) / (1 + df)) + 1) * factor if len(features) else np.zeros(0)
+        self.idf = np.log((1 + n) / (1 + df)) + 1 if len(features) else np.zeros(0)
         self.k, self.smooth, self.toxic, self.rate, self.base, self.curve = 1, 0.0, np.zeros(0), 0.0, 0.0, (np.zeros(1), np.zeros(1))
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -241,6 +234,11 @@ class Index:
         self.bound_block = block[order[edge]].astype(np.int32)
         self.bound = np.maximum.reduceat(weight[order], edge) if len(edge) else np.zeros(0, np.float32)
         self.bound_starts = np.searchsorted(ids[order[edge]], np.arange(size + 1)).astype(np.int32)
+        # the postings of a feature inside a block lie together: where they begin and end
+        own = ids[order[edge]].astype(np.int64) * max(1, self.blocks) + self.bound_block
+        held = np.repeat(np.arange(size, dtype=np.int64), np.diff(self.starts)) * max(1, self.blocks) + self.place // BLOCK
+        self.run_from, self.run_to = np.searchsorted(held, own), np.searchsorted(held, own, "right")
+        self.touched = 0
         votes = np.concatenate([self.votes(*self.nearest([v[:2] for v in vectors[at : at + 256]], list(range(at, min(at + 256, n))))) for at in range(0, n, 256)]) if n else np.zeros(0)
         self.curve = self.calibration(votes, self.toxic)
 
@@ -265,19 +263,22 @@ class Index:
             return best_at, best
         at, number, w = self._spread(self.bound_starts, queries)
         bounds = np.bincount(number * nb + self.bound_block[at], w * self.bound[at], q * nb).reshape(q, nb) * (1 + 1e-5)
-        at, number, w = self._spread(self.starts, queries)
-        cosine = np.bincount(number * n + self.place[at], w * self.weight[at], q * n).reshape(q, n)
+        order = np.argsort(self.bound_block[at], kind="stable")
+        at, number, w = at[order], number[order], w[order]
+        edges = np.searchsorted(self.bound_block[at], np.arange(nb + 1))
         query = np.zeros((q, len(self.dense)), np.float32)
         for i, (ids, weights) in enumerate(queries):
             own = self.column[ids]
             query[i, own[own >= 0]] = weights[own >= 0]
-        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
-            asks = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best[:, -1]))
+        first = bounds.argmax(axis=1)  # each query's own best block comes before all others, so that the k-th cosine is high early
+        falling = np.argsort(-bounds.max(axis=0), kind="stable")
+        for own, b in [(True, b) for b in falling] + [(False, b) for b in falling]:
+            asks = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best[:, -1]) & ((first == b) == own))
             if not len(asks):
                 continue
             lo, hi = b * BLOCK, min((b + 1) * BLOCK, n)
             asked = query if len(asks) == q else query[asks]
-            found = np.round(cosine[asks, lo:hi] + asked @ self.dense[:, lo:hi], 6)
+            found = np.round(self._postings(asks, q, at[edges[b] : edges[b + 1]], number[edges[b] : edges[b + 1]], w[edges[b] : edges[b + 1]], lo, hi) + asked @ self.dense[:, lo:hi], 6)
             if skip is not None:
                 found[np.array(skip)[asks, None] == np.arange(lo, hi)] = 0
             better = np.flatnonzero((found > 0).any(axis=1) & (found.max(axis=1) >= best[asks, -1]))
@@ -288,6 +289,17 @@ class Index:
             best[asks], best_at[asks] = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)
         return best_at, best
 
+    def _postings(self, asks: np.ndarray, q: int, entries: np.ndarray, number: np.ndarray, w: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """What the postings of one block add to the cosines of the queries that still ask for it; the others' are not touched."""
+        row = np.full(q, -1)
+        row[asks] = np.arange(len(asks))
+        mine = np.flatnonzero(row[number] >= 0)
+        begin, length = self.run_from[entries[mine]], self.run_to[entries[mine]] - self.run_from[entries[mine]]
+        at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+        self.touched += len(at)
+        cell = np.repeat(row[number[mine]], length) * (hi - lo) + self.place[at] - lo
+        return np.bincount(cell, np.repeat(w[mine], length) * self.weight[at], len(asks) * (hi - lo)).reshape(len(asks), hi - lo)
+
     def votes(self, at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         toxic = np.where(at >= 0, self.toxic[at] if len(self.toxic) else 0.0, 0.0)
         return ((cosine * toxic).sum(axis=1) + self.smooth * self.rate) / (cosine.sum(axis=1) + self.smooth)
@@ -318,16 +330,15 @@ class Index:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, training: int = 20_000, examples: int = 4096, features: int = 2000, k: int = 15, smooth: float = 0.5, seed: int = 3) -> tuple[Index, DataFrame]:
-    """The index of at most `examples` labelled rows, with relevance from at most `training`, and the features of all texts,
+    """The index of at most `examples` labelled rows, with marking features of at most `training`, and the features of all texts,
     which are read once: document frequencies and scores both come from them."""
     train = materialise(training_rows(docs, labels, training, seed), "toxic-training")
     rows_, bad = train.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     taken = train.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").select("doc_id").limit(examples)
     own = materialise(train.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic"), "toxic-examples")
-    chosen = choose_features(materialise(feature_counts(train), "toxic-counts"), example_words(own), rows_, bad, features)
-    names = [f for f, _ in chosen]
+    names = choose_features(materialise(feature_counts(train), "toxic-counts"), example_words(own), rows_, bad, features)
     read = materialise(read_features(docs, names), "toxic-features")
-    index = Index(names, np.array([r for _, r in chosen]), *document_frequencies(read, len(names)))
+    index = Index(names, *document_frequencies(read, len(names)))
     found = read_features(own, names).join(F.broadcast(own.select("doc_id", "toxic")), "doc_id").select("ids", "counts", "toxic").collect()  # of bounded size: the examples
     unpacked = [(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64), int(bool(r["toxic"]))) for r in found]
     index.fit(sorted(unpacked, key=lambda e: (e[0].tobytes(), e[1].tobytes(), e[2])), k, smooth)
