@@ -12,15 +12,15 @@ def hashed_bin(text: Column, bins: int = 4096) -> Column:
     return F.substring(text, 1, digits)
 
 
-def running_by_bin(df: DataFrame, bin_: str, order: list[str], size: str, out: str, within: list[str] | None = None) -> DataFrame:
-    """Adds `out`: the sum of `size` over the rows before, in (bin, order), inside each `within` group.
+def running_by_bin(df: DataFrame, bin_: str, order: list[str], size: str, out: str, within: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Adds `out`: the sum of `size` over the rows before, in (bin, order), inside each `within` group; and the group's sum as `total`.
 
     Bins are totalled and prefix-summed (one row a bin), and rows are summed inside their bin.
     """
     keys = within or []
     before = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, bin_).agg(F.sum(size).alias("__s"))
-    bases = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(bin_).alias("__bin"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
+    bases = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(bin_).alias("__bin"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"), *([F.sum("__s").over(Window.partitionBy(*keys)).alias(total)] if total else []))
     own = Window.partitionBy(*keys, bin_).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.withColumn("__own", F.coalesce(F.sum(size).over(own), F.lit(0)))
     on = F.col(bin_) == F.col("__bin")
@@ -32,10 +32,8 @@ def running_by_bin(df: DataFrame, bin_: str, order: list[str], size: str, out: s
 def placed(df: DataFrame, group: list[str], bin_: Column, order: list[str]) -> DataFrame:
     """Adds `place` (from 1), a row's place in (bin, order) inside its group, and `members`, the group's size: no task sees a whole group."""
     one = F.lit(1).cast("long")
-    d = running_by_bin(df.withColumns({"hbin": bin_, "__one": one}), "hbin", order, "__one", "place", group).withColumn("place", F.col("place") + 1)
-    n = df.groupBy(*group).agg(F.count("*").alias("members")).select(*[F.col(g).alias(f"__{g}") for g in group], "members")
-    on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
-    return d.join(n, on).drop("hbin", "__one", *[f"__{g}" for g in group])
+    d = running_by_bin(df.withColumns({"hbin": bin_, "__one": one}), "hbin", order, "__one", "place", group, "members")
+    return d.withColumn("place", F.col("place") + 1).drop("hbin", "__one")
 
 
 def seeded(df: DataFrame, seed: str, *key: str) -> DataFrame:

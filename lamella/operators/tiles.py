@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.operators.scans import with_percentiles
 from lamella.operators.order import running_by_bin
+from lamella.operators.scans import ranked, with_percentiles
 
 
 def starts(length: Column, tile: Column, stride: Column, edge: str = "floor") -> Column:
@@ -68,7 +68,7 @@ def spatial_cap(df: DataFrame, source: str, key: str, x: str, y: str, score: lis
     extent = df.groupBy(F.col(source).alias("__source")).agg(*[f(c).alias(f"__{n}_{a}") for a, c in (("x", x), ("y", y)) for n, f in (("low", F.min), ("high", F.max))])
     at = lambda a, c: F.least(F.lit(grid - 1), F.coalesce(F.floor((F.col(c) - F.col(f"__low_{a}")) / F.nullif(F.col(f"__high_{a}") - F.col(f"__low_{a}"), F.lit(0)) * grid), F.lit(0)))
     d = df.join(extent, F.col(source).eqNullSafe(F.col("__source"))).withColumn("bin", at("y", y) * grid + at("x", x)).drop(*extent.columns)
-    d = d.withColumn("turn", F.row_number().over(Window.partitionBy(source, "bin").orderBy(*score, key)))
+    d = ranked(d, [source, "bin"], [*score, key], "turn")
     d = d.withColumn("bin_digest", F.sha1(F.concat_ws(":", F.lit(seed), F.col(source), F.col("bin").cast("string"))))
     d = running_by_bin(d.withColumn("__one", F.lit(1)), "turn", ["bin_digest"], "__one", "place", [source]).drop("__one")
     return d.withColumn("place", F.col("place") + 1).where(F.col("place") <= cap)
