@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lamella.llm import components, line_dedup, mixing, near_dedup, quality, queries, scoring, token_counts, toxicity
-from lamella.llm.common import materialise
+from lamella.llm import components, line_dedup, media, mixing, near_dedup, packing, quality, queries, scoring, token_counts, token_files, toxicity
+from lamella.llm.common import materialise, shared_path
 from lamella.llm.tokens import BYTE_BPE
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -397,10 +397,17 @@ def test_pipeline_brute_force(spark, sf):
     assert tokens == want
 
 
+def written_tokens(docs):
+    path = shared_path(docs.sparkSession, "clash")
+    token_files.write_tokens(docs, path)
+    return token_files.checksums(token_files.read_tokens(docs.sparkSession, path))
+
+
 @pytest.mark.parametrize("apply", [
     lambda d, k: near_dedup.near_duplicates(d), lambda d, k: near_dedup.keep_one(d), lambda d, k: scoring.score_documents(d), lambda d, k: toxicity.toxicity(d, k),
     lambda d, k: token_counts.length_counts(d), lambda d, k: line_dedup.dedup_lines(d), lambda d, k: mixing.mix(d), lambda d, k: quality.judge(d, k),
-], ids=["classes", "one", "scores", "toxicity", "lengths", "lines", "mix", "quality"])
+    lambda d, k: packing.pack_along_curve(d), lambda d, k: media.page_features(media.read_pages(media.stored_texts(d))), lambda d, k: written_tokens(d),
+], ids=["classes", "one", "scores", "toxicity", "lengths", "lines", "mix", "quality", "pack", "media", "tokens"])
 def test_clashing_columns(spark, apply):
     """Columns with the operators' own names, null ids, null and repeated texts: nothing breaks, and no row is lost."""
     names = ["__id", "__t", "__own", "__gone", "id", "t", "n", "w", "bucket", "key", "length", "size", "u", "weight", "h1", "score", "toxic", "row", "__doc"]
