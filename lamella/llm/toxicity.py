@@ -37,7 +37,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6)
 #: A marking word or start is a feature of its own where it occurs at least so often.
 TIMES = (1, 2, 3)
-BLOCK = 64
+#: Examples a block: on texts that share most of their words few blocks can be ruled out, and small ones cost more than they spare.
+BLOCK = 512
 #: A feature that one in so many examples has is a dense column of the index.
 FREQUENT = 25
 

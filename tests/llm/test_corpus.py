@@ -236,8 +236,9 @@ def dense_votes(index, examples, asked, k, smooth, same):
     return out
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact(monkeypatch):
     """Cosines of the k nearest, with dense and listed features, many blocks, and votes, equal those of plain vectors."""
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
     rng = random.Random(1)
     some = lambda most: sorted(rng.sample(range(300), rng.randrange(0, most)))
     examples = []
@@ -255,8 +256,9 @@ def test_nearest_is_exact():
         assert len(want) == (at[i] >= 0).sum()
 
 
-def test_blocks_are_passed_over():
+def test_blocks_are_passed_over(monkeypatch):
     """Where examples have clusters, most postings of a query's features lie in blocks that its bound rules out."""
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
     rng = random.Random(2)
     examples = []
     for c in range(40):
