@@ -104,6 +104,22 @@ def test_points_off_the_tissue_change_nothing(spark, tissue):
         assert (r.observed, r.null_mean, r.null_sd, r.z, r.p) == pytest.approx(want)
 
 
+def test_ties_about_the_mean(spark):
+    """A value as far above the mean as the observed one is below counts, whatever the order of the sum; a nearer one doesn't."""
+    low, rows, seen, want = [45] * 13 + [47] * 6 + [46] * 2 + [40] * 35 + [50] * 15 + [52] * 21 + [49] * 2 + [51] * 5, [], [], {}
+    assert (len(low), sum(low)) == (99, 99 * 46)
+    for image in range(60):
+        more, base = image % 3 - 1, 10**9 * (image % 2)
+        counts = [base + n for n in low[:-1] + [low[-1] + more]]
+        random.Random(image).shuffle(counts)
+        share = lambda n: n / 2871 / 0.0158
+        rows += [(image, rep, share(n)) for rep, n in enumerate(counts)]
+        seen.append((image, share(base + 45)))
+        want[image] = (sum(abs(99 * n - sum(counts)) >= abs(99 * (base + 45) - sum(counts)) for n in counts) + 1) / 100
+    got = analysis.null_summary(spark.createDataFrame(seen, "image int, e double"), spark.createDataFrame(rows, "image int, rep int, e double"), ["image"], "e")
+    assert {r.image: r.p for r in got.collect()} == want and set(want.values()) == {0.92, 0.98}
+
+
 def test_any_statistic_on_both_sides(spark, tissue):
     """The mean of x as the statistic; and a constant, whose null is the constant."""
     runs, _, every, rows = tissue
