@@ -279,7 +279,7 @@ def looked_up(asked: DataFrame, counts: DataFrame, hot: Hot, buckets: int, alpha
         raw = np.frombuffer(b"".join(f["code"]), np.uint8).reshape(-1, width)
         code = np.zeros((len(raw), 8), np.uint8)
         code[:, :width] = raw
-        code = code.view(np.uint64).ravel()
+        code = code.view(np.uint64).ravel() & np.uint64(hot.mask)  # of eight bytes, the highest have the mark of rare words
         doc = np.concatenate([np.frombuffer(x, "<u2") for x in f["doc"]]).astype(np.int64)
         chunk = np.concatenate([np.frombuffer(x, "<i8") for x in f["value"]])
         known, n = u["code"].to_numpy().astype(np.int64).view(np.uint64), u["n"].to_numpy().astype(float)
