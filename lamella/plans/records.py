@@ -57,7 +57,8 @@ _CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '&amp;?', '&', 'g'), '<[^>]+>
 
 @BOOK.add(f"SELECT page_id, nullif(left(trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')), 4000), '') AS evidence FROM pages")
 def html_clean(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", tx.evidence_text(F.col("html")).alias("evidence"))
+    """Pages may be cut inside an entity, which then stays as it is."""
+    return t.pages.select("page_id", tx.evidence_text(F.col("html"), closed=True).alias("evidence"))
 
 
 _SCAN = "SELECT {k} AS id, '{n}' AS origin, '{kind}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS found FROM {n}"

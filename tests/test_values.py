@@ -3,12 +3,14 @@
 import json
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lamella.functions import text
 from lamella.operators import analysis, catalog, library, spatial, splits, tiles, vectors
+from lamella.plans import registry
 from lamella.sources import readers, writers
 
 
@@ -193,3 +195,12 @@ def test_vectors_with_known_answers(spark):
     assert len(told) == 3 and all(r.score > 0.9 for r in told)
     plane = vectors.probe(d, "id", "v", "y", regression=True).collect()
     assert all(0.5 < r.score <= 1 and not math.isnan(r.score) for r in plane)
+
+
+@pytest.mark.parametrize("page", ["x = &quot", "a &quot;b&quot; &copy", "&amp &ampquot; &amp;quot; &am", "A &amp;lt;b&amp;gt; &middot; &middo", "&ltfoo; <b>&lt;i&gt;</b> &nbsp", "&amp"])
+def test_cut_entities(spark, tmp_path, page):
+    """Pages that end inside an entity, beside the query's SQL."""
+    spark.createDataFrame([(1, f"<p>{page}")], "page_id int, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert [tuple(r) for r in registry.QUERIES["html_clean"](spark, str(tmp_path)).collect()] == con.execute(registry.ORACLES["html_clean"]).fetchall()
