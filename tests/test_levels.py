@@ -141,3 +141,67 @@ def test_self_check(spark, tissue):
     places = drawn(400, "c", 1)[0]
     assert got[1].n_points == 400 and got[1].worst == pytest.approx(abs(sum(x < 10 and y < 10 for x, y in places) / 400 / 0.25 - 1))
     assert (got[2].n_points, got[2].worst) == (0, None)
+
+
+def copied(copies, n=40):
+    """Some boxes, a few without an area, and so many copies of each."""
+    rng = random.Random(8)
+    shapes = [(x := rng.randrange(60), y := rng.randrange(60), x + rng.randrange(0, 14), y + rng.randrange(0, 14), rng.randrange(8), rng.choice(["confirmed", "excluded"])) for _ in range(n)]
+    return [(100 * k + i, *s) for i, s in enumerate(shapes) for k in range(copies)]
+
+
+def shared(p, q):
+    w, h = min(p[3], q[3]) - max(p[1], q[1]), min(p[4], q[4]) - max(p[2], q[2])
+    return w * h if w > 0 and h > 0 else 0
+
+
+def area(p):
+    return (p[3] - p[1]) * (p[4] - p[2])
+
+
+def brute(kind, boxes):
+    new, kept = [b for b in boxes if b[0] % 2 == 0], [b for b in boxes if b[0] % 2]
+    if kind == "overlaps":
+        return {(p[0], q[0], s) for p in new for q in kept if (s := shared(p, q))}
+    if kind == "protected":
+        return {p[0] for p in new if not any((s := shared(p, q)) and s / min(area(p), area(q)) >= (0.3 if q[6] == "confirmed" else 0.8) for q in kept)}
+    if kind == "covered":
+        cells = {p[0]: {(x, y) for q in kept for x in range(max(p[1], q[1]), min(p[3], q[3])) for y in range(max(p[2], q[2]), min(p[4], q[4]))} for p in new}
+        return {(p[0], "delete" if len(cells[p[0]]) / area(p) >= 0.7 else "trim") for p in new if cells[p[0]]}
+    if kind == "merged":
+        root = {b[0]: b[0] for b in boxes}
+        links = [(p[0], q[0]) for p in boxes for q in boxes if p[0] < q[0] and (s := shared(p, q)) and s / min(area(p), area(q)) > 0.7]
+        for _ in boxes:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return {(a, root[a]) for link in links for a in link}
+    taken = []
+    for p in sorted(boxes, key=lambda b: (-b[5], b[0])):
+        if not any(shared(p, q) for q in taken):
+            taken.append(p)
+    return {p[0] for p in taken}
+
+
+@pytest.mark.parametrize("kind", ["overlaps"])
+def test_equal_boxes_meet_once(spark, monkeypatch, kind):
+    """Twelve copies of every box give the results of a plain loop, and no more rows meet than without copies."""
+    found, real = [], levels.meetings
+    monkeypatch.setattr(levels, "meetings", lambda a, b, keys=(): found.append((d := real(a, b, keys)).count()) or d)
+    for copies in (1, 12):
+        boxes = copied(copies)
+        d = spark.createDataFrame(boxes, "id long, x0 long, y0 long, x1 long, y1 long, s long, state string")
+        new, kept = d.where("id % 2 = 0"), d.where("id % 2 = 1")
+        made = {
+            "overlaps": lambda: spatial.overlaps(new, kept).select("a_id", "b_id", "shared"), "protected": lambda: spatial.protected(new, kept).select("id"), "covered": lambda: spatial.covered(new, kept),
+            "merged": lambda: spatial.merged(d), "greedy": lambda: spatial.greedy(d, "s").select("id"),
+        }[kind]().collect()
+        got = [tuple(r) if len(r) > 1 else r[0] for r in made]
+        assert len(got) == len(set(got)) and set(got) == brute(kind, boxes)
+    assert len(found) == 2 and found[0] == found[1] > 0
+
+
+def test_many_equal_boxes_as_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MEMBERS", 10)
+    d = spark.range(100).selectExpr("id", "0L as x0", "0L as y0", "2L as x1", "3L as y1")
+    assert spatial.gathered(d).count() > 5
+    assert {(r.a_id, r.b_id) for r in spatial.overlaps(d, d).collect()} == {(i, j) for i in range(100) for j in range(100)}
