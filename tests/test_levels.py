@@ -182,7 +182,7 @@ def brute(kind, boxes):
     return {p[0] for p in taken}
 
 
-@pytest.mark.parametrize("kind", ["overlaps", "protected", "covered", "merged"])
+@pytest.mark.parametrize("kind", ["overlaps", "protected", "covered", "merged", "greedy"])
 def test_equal_boxes_meet_once(spark, monkeypatch, kind):
     """Twelve copies of every box give the results of a plain loop, and no more rows meet than without copies."""
     found, real = [], levels.meetings
