@@ -205,3 +205,21 @@ def test_many_equal_boxes_as_several_rows(spark, monkeypatch):
     d = spark.range(100).selectExpr("id", "0L as x0", "0L as y0", "2L as x1", "3L as y1")
     assert spatial.gathered(d).count() > 5
     assert {(r.a_id, r.b_id) for r in spatial.overlaps(d, d).collect()} == {(i, j) for i in range(100) for j in range(100)}
+
+
+def test_shifts_of_equal_tiles(spark, monkeypatch):
+    """Tiles in one place, of which few get a window, and places near each other: as one tile after another, but in few rounds."""
+    kept, real = [], spatial.persist
+    monkeypatch.setattr(spatial, "persist", lambda d: kept.append(1) or real(d))
+    rng = random.Random(2)
+    order = {(k, dx, dy): rng.random() for k in range(6) for dx in (0, 5) for dy in (0, 5)}
+    places = [(k % 6, t) for t, k in enumerate(rng.randrange(60) for _ in range(400))]
+    cands = [(t, 7 * (p % 3) + dx, 7 * (p // 3) + dy, order[p, dx, dy]) for p, t in places for dx in (0, 5) for dy in (0, 5)]
+    got = {r.k: (r.cx, r.cy) for r in spatial.choose_shift(spark.createDataFrame(cands, "k int, cx int, cy int, s double"), "k", [F.desc("s")], 8, 0.3).collect()}
+    taken = {}
+    for t in range(400):
+        for _, cx, cy, _s in sorted((c for c in cands if c[0] == t), key=lambda c: -c[3]):
+            if all(max(0, 8 - abs(cx - x)) * max(0, 8 - abs(cy - y)) <= 0.3 * 64 for x, y in taken.values()):
+                taken[t] = (cx, cy)
+                break
+    assert got == taken and len(taken) > 3 and len(kept) < 40
