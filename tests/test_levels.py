@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.operators import analysis, levels, spatial
+from lamella.operators import analysis, labels, levels, spatial
 
 
 def mixed(n, seed, big=3):
@@ -223,3 +223,15 @@ def test_shifts_of_equal_tiles(spark, monkeypatch):
                 taken[t] = (cx, cy)
                 break
     assert got == taken and len(taken) > 3 and len(kept) < 40
+
+
+def test_boundary_of_runs(spark):
+    """The same pixels as by looking at each one's neighbours; a large square is never written out."""
+    rng = random.Random(4)
+    cells = {(k, x, y) for k in range(3) for _ in range(25) for x0, y0 in [(rng.randrange(40), rng.randrange(20))] for x in range(x0, x0 + rng.randrange(1, 9)) for y in range(y0, y0 + 4)}
+    cells |= {(1, x, 50) for x in range(5)} | {(1, 7, 50), (1, 9, 50), (1, 10, 50)}
+    runs = spatial.runs_of(spark.createDataFrame(sorted(cells), "k int, x int, y int"), ["k"])
+    got = [tuple(r) for r in labels.run_boundary(runs, ["k"]).select("k", "x", "y").collect()]
+    assert sorted(got) == sorted((k, x, y) for k, x, y in cells if not {(k, x + 1, y), (k, x - 1, y), (k, x, y + 1), (k, x, y - 1)} <= cells)
+    square = spark.range(100_000).selectExpr("1 as k", "id as y", "0L as x0", "99999L as x1")
+    assert labels.run_boundary(square, ["k"]).count() == 4 * 99_999
