@@ -104,6 +104,19 @@ def test_points_off_the_tissue_change_nothing(spark, tissue):
         assert (r.observed, r.null_mean, r.null_sd, r.z, r.p) == pytest.approx(want)
 
 
+def test_null_counts_without_places(spark, tissue, monkeypatch):
+    """Where more is drawn than the mask has pixels, no place meets the runs by itself; the same values either way."""
+    runs, _, every, _ = tissue
+    extra = spark.createDataFrame([(1, "other", y, x, x + 7) for y in range(25) for x in (2, 6, 11)] + [(1, "none", 900, 0, 4)], runs.schema)
+    runs = runs.unionByName(extra)
+    areas = analysis.compartment_areas(runs, "image", "tissue").select("image", "label", "fraction")
+    by_place = lambda p, a, unit: analysis.enrichment(analysis.assign_points(p, runs, "image"), a, unit)
+    shown = lambda metric: [sorted(map(tuple, d.select("label", "enrichment", *d.columns[3:]).collect()), key=str) for d in (x.select("image", "label", "enrichment", *[c for c in x.columns if c == "rep"]) for x in analysis.randomised(every, runs, areas, "image", "tissue", 25, "s", metric))]
+    want = shown(by_place)
+    monkeypatch.setattr(analysis, "null_draws", None)
+    assert shown(None) == want and len(want[1]) == 25 * areas.count()
+
+
 def test_ties_about_the_mean(spark):
     """A value as far above the mean as the observed one is below counts, whatever the order of the sum; a nearer one doesn't."""
     low, rows, seen, want = [45] * 13 + [47] * 6 + [46] * 2 + [40] * 35 + [50] * 15 + [52] * 21 + [49] * 2 + [51] * 5, [], [], {}
